@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneloom.llm import language_id, packing, suffix_dedup
+from paneloom.llm import language_id, near_dedup, packing, suffix_dedup
 from paneloom.llm.common import fold, table
 
 
@@ -38,8 +38,13 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "is_first", "class_size", "n_copies", "n_links")
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (op2_packing, op3_language_id, op7_suffix_array_dedup)}
+    return {q.__name__: q for q in (op2_packing, op3_language_id, op7_suffix_array_dedup, op8_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
