@@ -31,6 +31,8 @@ SEGMENT, TOGETHER = 1 << 22, 1 << 18
 PLACE_BITS = 25
 #: Distinct passages that are sorted at a time; a fingerprint's passages stay together.
 COLLECTION = 20_000
+#: Starts in a block of a passage with a very frequent fingerprint.
+BLOCK = 64
 
 SPANS = "array<struct<start: long, end: long>>"
 
@@ -166,11 +168,15 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000) ->
     text is empty. Rows that repeat, ids included, are texts of their own. Texts shorter
     than length keep all bytes. Columns named n_bytes, spans or kept are replaced.
 
-    A fingerprint with more than hot anchors does not go to one task: the strings around
-    those anchors are compared by 128-bit hashes, each a key of its own.
+    A fingerprint with more than hot anchors does not go to one task. Its passages are cut
+    into blocks of BLOCK starts, which meet by a hash of what all strings of a block have
+    in common, so that only strings nearly equal still meet. If more than hot of those do,
+    each string goes by a 128-bit hash of its own, counted in part before the shuffle.
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
+    if length > 1000:
+        raise ValueError("length must be at most 1000: a place in a passage has ten bits")
     docs = docs.drop("n_bytes", "spans", "kept")
     names = docs.columns
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -197,42 +203,37 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000) ->
     beside = keyed.join(placed, ["_k1", "_k2"]).withColumn("text", text).select("_k1", "_k2", "text", "prints", "at", "is_hot", *[n for n in names if n != "text"])
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Equal passages of a batch go out once, with all their places; those of hot anchors string by string."""
+        """Equal passages of a batch go out once, with all their places."""
         for batch in slices(batches, 1024):
             equal: dict[tuple, list[tuple[int, int, int]]] = defaultdict(list)
-            single = []
             for k1, k2, raw, prints, at, is_hot in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 for p, where, h in zip(prints, at, is_hot, strict=True):
                     place, before, after = where >> 20, (where >> 10) & 1023, where & 1023
                     first, last = place - before, place - after
-                    if h:
-                        for s in range(first, last + 1):
-                            d = np.frombuffer(hashlib.blake2b(raw[s : s + length], digest_size=16).digest(), np.int64)
-                            single.append((int(d[0]), int(d[1]), k1, k2, s))
-                    else:
+                    if not h:
                         equal[p, before, raw[first : last + length]].append((k1, k2, first))
+                        continue
+                    for block in range(after // BLOCK, before // BLOCK + 1):
+                        point = place - block * BLOCK
+                        low, high = max(first, point - BLOCK + 1), min(last, point)
+                        inner = hashlib.blake2b(raw[point : point - BLOCK + 1 + length], digest_size=8, salt=block.to_bytes(2, "little")).digest()
+                        equal[int.from_bytes(inner, "little", signed=True), point - low, raw[low : high + length]].append((k1, k2, low))
             yield pa.record_batch(
                 {
                     "print": pa.array([k[0] for k in equal], pa.int64()),
                     "before": pa.array([k[1] for k in equal], pa.int64()),
                     "passage": pa.array([k[2] for k in equal], pa.binary()),
                     "owners": pa.array([np.array(v, np.int64).tobytes() for v in equal.values()], pa.binary()),
-                    "second": pa.array([None] * len(equal), pa.int64()),
                 }
             )
-            if single:
-                s = np.array(single, np.int64)
-                yield pa.record_batch(
-                    {
-                        "print": s[:, 0],
-                        "before": pa.array([None] * len(s), pa.int64()),
-                        "passage": pa.array([None] * len(s), pa.binary()),
-                        "owners": pa.array([r.tobytes() for r in s[:, 2:]], pa.binary()),
-                        "second": s[:, 1],
-                    }
-                )
 
-    out = beside.mapInArrow(passages, "print long, before long, passage binary, owners binary, second long")
+    out = beside.mapInArrow(passages, "print long, before long, passage binary, owners binary")
+    crowded = None
+    if repeated.where(F.col("n") > hot).limit(1).count():
+        out = written(out, "passages")
+        many = out.groupBy("print").count().where(F.col("count") > hot).select("print")
+        if many.limit(1).count():
+            crowded, out = out.join(many, "print", "left_semi"), out.join(many, "print", "left_anti")
 
     def cover(group: dict[tuple[int, int, bytes], list[bytes]], several: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
         alone = repeated_starts([(p, a) for _, a, p in several], length) if several else []
@@ -265,21 +266,29 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000) ->
         several += mine if len(mine) > 1 else []
         yield told(group, several)
 
-    spans = (
-        out.where("second is null").select("print", "before", "passage", "owners")
-        .repartition("print").sortWithinPartitions("print")
-        .mapInArrow(sort, "k1 long, k2 long, start long, end long")
-    )
-    if repeated.where(F.col("n") > hot).limit(1).count():
-        one = out.where("second is not null").select("print", "second", "owners")
-        twice = one.groupBy("print", "second").count().where("count > 1").drop("count")
+    spans = out.repartition("print").sortWithinPartitions("print").mapInArrow(sort, "k1 long, k2 long, start long, end long")
+    if crowded is not None:
+
+        def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                rows = []
+                for passage, owners in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    for s in range(len(passage) - length + 1):
+                        rows.append((hashlib.blake2b(passage[s : s + length], digest_size=16).digest(), s, owners))
+                yield pa.record_batch(
+                    {"string": pa.array([r[0] for r in rows], pa.binary()), "s": pa.array([r[1] for r in rows], pa.int64()), "owners": pa.array([r[2] for r in rows], pa.binary())}
+                )
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 3)
-                yield pa.record_batch({"k1": rows[:, 0], "k2": rows[:, 1], "start": rows[:, 2], "end": rows[:, 2] + length})
-
-        spans = spans.unionByName(one.join(twice, ["print", "second"]).select("owners").mapInArrow(alone, "k1 long, k2 long, start long, end long"))
+                owners = batch.column(1).to_pylist()
+                rows = np.frombuffer(b"".join(owners), np.int64).reshape(-1, 3)
+                start = rows[:, 2] + np.repeat(batch.column(0).to_numpy(), [len(o) // 24 for o in owners])
+                yield pa.record_batch({"k1": rows[:, 0], "k2": rows[:, 1], "start": start, "end": start + length})
+
+        one = crowded.mapInArrow(singly, "string binary, s long, owners binary")
+        twice = one.groupBy("string").agg(F.sum(F.octet_length("owners")).alias("n")).where("n > 24").drop("n")
+        spans = spans.unionByName(one.join(twice, "string").select("s", "owners").mapInArrow(alone, "k1 long, k2 long, start long, end long"))
     spans = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
     spans = spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("found.start").alias("starts"), F.col("found.end").alias("ends"))
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"n_bytes long, spans {SPANS}, kept binary").fields])
