@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,39 +20,79 @@ from paneloom.llm.common import slices, written
 PIECES = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^\x00-\x20\x7fa-z0-9\x80-\xff]+")
 #: ASCII without controls, and letters of the Latin blocks that have one code point each.
 PLAIN = re.compile("[\t\n\r\x20-\x7eªµºÀ-ÖØ-öø-įı-ɏ]*")
-MEMO = 400_000
+#: Pieces that a worker remembers, and pieces that are encoded in one call.
+MEMO, CALL = 700_000, 2_000
 
-_memo: dict[str, dict[bytes, bytes]] = {}
-_loaded: dict[str, object] = {}
 
+class Memo(dict):
+    """Ids by piece; pieces that are not there are noted in new, once each."""
 
-def token_bytes(texts: list[str | None], tokenizer: str, end_id: int) -> list[bytes]:
-    """Ids of each text and the end id, as little-endian unsigned 32-bit numbers.
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> bytes:
+        self.new.append(piece)
+        self[piece] = b""
+        return b""
+
+
+class Encoder:
+    """Token ids by piece, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer never joins across white space, so ids are looked up piece by piece;
-    a worker remembers at most MEMO pieces.
+    The tokenizer never joins across white space nor across its first cut, so a text's
+    ids are those of its pieces. New pieces go to the tokenizer many at a time, with a
+    space between; the mark of a word's last token shows where each ends.
     """
-    if tokenizer not in _loaded:
+
+    def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        _loaded[tokenizer] = Tokenizer.from_file(tokenizer)
-        _loaded[tokenizer].encode_special_tokens = True
-        _memo[tokenizer] = {}
-    memo = _memo[tokenizer]
-    cut = []
-    for text in texts:
-        raw = (text or "").encode("utf-8", "replace").lower()
-        cut.append(PIECES.findall(raw) if PLAIN.fullmatch(text or "") else raw.split())
-    new = [p for p in set().union(*cut) if p not in memo]
-    if len(memo) + len(new) > MEMO:
-        memo.clear()
-        new = list(set().union(*cut))
-    for at in range(0, len(new), 5000):
-        some = new[at : at + 5000]
-        for piece, found in zip(some, _loaded[tokenizer].encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False), strict=True):
-            memo[piece] = np.asarray(found.ids, "<u4").tobytes()
-    end = np.asarray([end_id], "<u4").tobytes()
-    return [b"".join([*map(memo.__getitem__, pieces), end]) for pieces in cut]
+        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer.encode_special_tokens = True
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.memo = Memo()
+
+    def ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, cut: list[list[bytes]]) -> None:
+        pieces, self.memo.new = self.memo.new, []
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+            pieces = list(set().union(*cut))
+        for at in range(0, len(pieces), CALL):
+            some = pieces[at : at + CALL]
+            found = np.frombuffer(self.ids(b" ".join(some).decode("utf-8", "replace")), "<u4")
+            ends = 4 * (np.flatnonzero(self.last[found]) + 1)
+            if len(ends) == len(some):
+                raw, starts = found.tobytes(), [0, *ends.tolist()]
+                self.memo.update(zip(some, [raw[a:b] for a, b in zip(starts, starts[1:], strict=False)], strict=True))
+            else:  # a piece in which the tokenizer sees several words, or none
+                self.memo.update((p, self.ids(p.decode("utf-8", "replace"))) for p in some)
+
+    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
+        cut = []
+        for text in texts:
+            raw = (text or "").encode("utf-8", "replace").lower()
+            cut.append(PIECES.findall(raw) if PLAIN.fullmatch(text or "") else raw.split())
+        for pieces in cut:
+            deque(map(self.memo.__getitem__, pieces), 0)  # the new ones go to self.memo.new
+        if self.memo.new:
+            self.learn(cut)
+        return [b"".join([*map(self.memo.__getitem__, pieces), end]) for pieces in cut]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def token_bytes(texts: list[str | None], tokenizer: str, end_id: int) -> list[bytes]:
+    """Ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = Encoder(tokenizer)
+    return _encoders[tokenizer].encode(texts, np.asarray([end_id], "<u4").tobytes())
 
 
 def tokenize(docs: DataFrame, tokenizer: str, *, end_id: int = 1) -> DataFrame:
