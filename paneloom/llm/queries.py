@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneloom.llm import decontamination, language_id, near_dedup, packing, quality_rules, suffix_dedup
+from paneloom.llm import decontamination, language_id, near_dedup, packing, quality_rules, suffix_dedup, url_filters, warc
 from paneloom.llm.common import fold, table
 
 
@@ -34,6 +34,20 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "distance")
 
 
+#: The rules of op6: verdict, host and path.
+URL_RULES = [
+    url_filters.Rule("allow", "com", "/"),
+    url_filters.Rule("block", "example.com", "/en/"),
+    url_filters.Rule("allow", "www.example.com", "/en/"),
+    url_filters.Rule("block", "net", "/es/"),
+    url_filters.Rule("block", "net", "/fr/"),
+]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
     return found.select(
@@ -56,6 +70,26 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS h,
+         max(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, payload_bytes,
+       translate(to_base(CAST('0x' || h[1:10] AS BIGINT), 32, 8) || to_base(CAST('0x' || h[11:20] AS BIGINT), 32, 8)
+              || to_base(CAST('0x' || h[21:30] AS BIGINT), 32, 8) || to_base(CAST('0x' || h[31:40] AS BIGINT), 32, 8),
+                 '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM d
+"""
+
+
 OP9_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -90,9 +124,9 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 
 
 def queries() -> dict:
-    found = (op1_quality_rules, op2_packing, op3_language_id, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_decontamination)
+    found = (op1_quality_rules, op2_packing, op3_language_id, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_decontamination, op10_warc_revisits)
     return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL}
+    return {"op9_decontamination": OP9_SQL, "op10_warc_revisits": OP10_SQL}
