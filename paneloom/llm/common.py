@@ -44,8 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(doc_id: str = "doc_id", folds: int = 5):
-    """crc32 of the id's text, modulo the number of folds."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(folds)
+    """crc32 of the id's text, modulo the number of folds; -1, no fold, for a null id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(folds), F.lit(-1))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

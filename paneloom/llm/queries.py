@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneloom.llm import decontamination, language_id, near_dedup, packing, quality_rules, suffix_dedup, url_filters, warc
+from paneloom.llm import class_lm, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, url_filters, warc
 from paneloom.llm.common import fold, table
 
 
@@ -34,6 +34,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score", "distance")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality_classifier.scored(docs, labels, fold() != 0, cut=0.3)
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = class_lm.learn(docs.where(fold() != 1))
+    found = class_lm.scored(docs, model)
+    return found.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: The rules of op6: verdict, host and path.
 URL_RULES = [
     url_filters.Rule("allow", "com", "/"),
@@ -124,7 +137,7 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 
 
 def queries() -> dict:
-    found = (op1_quality_rules, op2_packing, op3_language_id, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_decontamination, op10_warc_revisits)
+    found = (op1_quality_rules, op2_packing, op3_language_id, op4_quality_classifier, op5_class_lm, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_decontamination, op10_warc_revisits)
     return {q.__name__: q for q in found}
 
 
