@@ -30,5 +30,5 @@ class PanelConfig:
 
 #: Values under which the rules discriminate on the driver's tables.
 SAMPLE = PanelConfig(
-    early=(1995, 1997), transition=1998, later=(1999, 2001), max_distance_km=150.0, min_overlap=0.005, min_coverage=0.20, min_years=2, min_days=175, min_sites=15, quality_year=2001,
+    early=(1995, 1997), transition=1998, later=(1999, 2001), max_distance_km=150.0, min_overlap=0.005, min_coverage=0.20, min_years=2, min_days=75, min_sites=8, quality_year=2001,
 )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from paneloom.plans import analysis, geography, measurement, population
+
 
 def _modules() -> list:
-    return []
+    return [measurement, geography, population, analysis]
 
 
 def queries() -> dict:

@@ -126,6 +126,6 @@ pairs AS (
 candidates AS (SELECT * FROM pairs WHERE distance_km <= 150.0),
 site_days AS (SELECT DISTINCT l_suppkey AS site, CAST(l_shipdate AS DATE) AS date_local FROM lineitem),
 station_days AS (SELECT o_custkey AS station, CAST(o_orderdate AS DATE) AS date_local, max(floor(o_totalprice / 10000)) AS station_tmax_c FROM orders GROUP BY 1, 2),
-overlaps AS (
+overlapping AS (
   SELECT c.site, c.station, any_value(distance_km) AS distance_km, count(t.date_local) AS both_days, count(*) AS site_day_count, count(t.date_local) / count(*) AS overlap_fraction
   FROM candidates c JOIN site_days d ON c.site = d.site LEFT JOIN station_days t ON t.station = c.station AND t.date_local = d.date_local GROUP BY 1, 2)"""
