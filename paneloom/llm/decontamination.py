@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.llm.arrays import grams, sliding_least
+from paneloom.llm.common import written
 
 #: What is between words once A-Z are lower-cased. As letters of either case part words alike, a text can be cut before.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -58,8 +59,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
             F.array_distinct("prints").alias("item_prints"),
             F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: run_text("words", i, size)).alias("runs"),
         )
+        of_items = written(of_items, "benchmark-runs")
         prints = with_fingerprints(with_words(texts), size).select("_id", "_id2", F.explode(F.array_distinct("prints")).alias("print"))
         shared = prints.join(of_items.select("item_id", F.explode("item_prints").alias("print")), "print").select("_id", "_id2", "item_id").distinct()
+        shared = written(shared, "shared-runs")
         pairs = texts.join(shared, ["_id", "_id2"])
         pairs = with_fingerprints(with_words(pairs), size).join(of_items, "item_id")
         near = F.filter(F.transform("prints", lambda p, i: F.when(F.array_contains("item_prints", p), i + 1)), lambda i: i.isNotNull())
