@@ -180,45 +180,115 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
             for star, salt, role, t, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if role == 0:
                     group, own = (star, salt), weights.shingles(raw)
-                elif (star, salt) == group and (s := similarity(own, weights.shingles(raw))) >= threshold:
+                elif (star, salt) == group and (s := similarity(own, weights.shingles(raw))) >= threshold - 1e-9:
                     found.append((star, t, s))
             yield pa.record_batch([pa.array([f[k] for f in found], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["a", "b", "similarity"])
 
     return rows.repartition("star", "salt").sortWithinPartitions("star", "salt", "role").mapInArrow(check, "a long, b long, similarity double")
 
 
-def links(buckets: DataFrame, texts: DataFrame, weights: Weights, threshold: float, slots: int = 8) -> tuple[DataFrame, DataFrame]:
+def cross_tested(state: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """Links between different components c of the same home, from state (home, t, c).
+
+    Members outside a home's largest component are tested against all its members, in
+    tiles of at most about OUTSIDE by MEMBERS, so a home of any size is spread over tasks.
+    A tile's texts are cut into shingles once and only links leave it.
+    """
+    sizes = state.groupBy("home", "c").agg(F.count("*").alias("n"))
+    homes = sizes.groupBy("home").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("n_all")).where("n_all > main.n")
+    tiles = homes.select("home", F.col("main.c").alias("main_c"), (F.floor((F.col("n_all") - F.col("main.n")) / OUTSIDE) + 1).alias("rows"), (F.floor(F.col("n_all") / MEMBERS) + 1).alias("columns"))
+    there = state.join(tiles, "home")
+    own_row, own_column = F.expr("pmod(xxhash64(t), rows)"), F.expr("pmod(xxhash64(t, 1), columns)")
+    outside = there.where("c <> main_c").select("home", own_row.alias("row"), F.explode(F.expr("sequence(0L, columns - 1)")).alias("column"), F.lit(0).alias("role"), "t", "c")
+    members = there.select("home", F.explode(F.expr("sequence(0L, rows - 1)")).alias("row"), own_column.alias("column"), F.lit(1).alias("role"), "t", "c")
+    dealt = outside.unionByName(members).join(texts, "t").select("home", "row", "column", "role", "t", "c", "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, some, tables = None, [], None
+        for batch in slices(batches):
+            found = []
+            for home, row, column, role, t, c, raw in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (home, row, column) != tile:
+                    tile, some, tables = (home, row, column), [], None
+                if role == 0:
+                    some.append((t, c, weights.shingles(raw)))
+                elif some:
+                    tables = [Table(x) for x in parts(some)] if tables is None else tables
+                    own = weights.shingles(raw)
+                    found += [(star, t, sim) for table in tables for star, sim in table.alike(t, c, own, threshold)]
+            yield pa.record_batch([pa.array([f[k] for f in found], kind) for k, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["a", "b", "similarity"])
+
+    keys = ["home", "row", "column"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(check, "a long, b long, similarity double")
+
+
+#: Texts outside the largest component, and members, in a tile.
+OUTSIDE, MEMBERS = 512, 2_048
+#: Entries of a table of weights.
+ENTRIES = 2_000_000
+
+
+def parts(some: list[tuple]) -> Iterator[list[tuple]]:
+    """Lists of texts whose table of weights stays under ENTRIES, or of one text."""
+    part, keys = [], 0
+    for x in some:
+        n = len(x[2][0])
+        if part and (len(part) + 1) * (keys + n) > ENTRIES:
+            yield part
+            part, keys = [], 0
+        part.append(x)
+        keys += n
+    yield part
+
+
+class Table:
+    """Weights of some texts (t, c, shingles) by shingle, to compare one text with all of them."""
+
+    def __init__(self, some: list[tuple]):
+        self.t, self.c = np.array([x[0] for x in some]), np.array([x[1] for x in some])
+        self.keys = np.unique(np.concatenate([x[2][0] for x in some]))
+        self.weights = np.zeros((len(self.keys), len(some)), np.float32)
+        for i, (_, _, (keys, w)) in enumerate(some):
+            self.weights[np.searchsorted(self.keys, keys), i] = w
+        self.totals = self.weights.sum(0, dtype=np.float64)
+
+    def alike(self, t: int, c: int, own: tuple[np.ndarray, np.ndarray], threshold: float) -> list[tuple[int, float]]:
+        keys, w = own
+        if not len(keys) or not len(self.keys):
+            return []
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        both = self.keys[at] == keys
+        common = np.minimum(self.weights[at[both]], w[both, None]).sum(0, dtype=np.float64)
+        sims = common / (self.totals + float(w.sum(dtype=np.float64)) - common)
+        hits = np.flatnonzero((sims >= threshold - 1e-9) & (self.c != c) & (self.t != t))
+        return [(int(self.t[i]), float(sims[i])) for i in hits]
+
+
+def links(buckets: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> tuple[DataFrame, DataFrame]:
     """All links (a, b, similarity) that decide the classes of the buckets (bucket, t), and labels (t, c).
 
-    Testing all pairs of a bucket would grow with its square. Instead each round takes
-    stars from each bucket, out of its smallest components, and tests each star against
-    the members that are not yet connected with it. A bucket is done when its members
-    that were no star yet are all in one component, for then no untested pair could join
-    two components. Rounds go on until all buckets are done, so no bucket is capped.
+    Testing all pairs of a bucket would grow with its square. First each bucket's star is
+    tested against its members: the text that meets most others, which of edited copies
+    is mostly the one they were made from. Most buckets are one component then. Members of
+    the others meet at their star, once however many buckets they share, and all pairs of
+    different components are tested there. So no link that joins two components is
+    missed, and no bucket is capped.
     """
-    rest, labels, found, first = buckets, None, None, True
-    while True:
-        if labels is None:
-            state = rest.withColumn("c", F.col("t"))
-        else:
-            state = rest.join(labels, "t", "left").select("bucket", "t", F.coalesce("c", "t").alias("c"))
-            mixed = state.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-            state = written(state.join(mixed, "bucket"), "open")
-            if not state.limit(1).count():
-                return found, labels
-        sizes = state.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.min("t").alias("t"))
-        slot = F.lit(0) if first else F.expr(f"pmod(xxhash64(t), {slots})")
-        stars = sizes.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("n", "t", "c")).alias("s")).select("bucket", F.col("s.t").alias("star"), F.col("s.c").alias("star_c"))
-        pairs = state.join(stars, "bucket").where("c <> star_c").select("star", "t").distinct()
-        new = written(verified(pairs, texts, weights, threshold), "links")
-        found = new if found is None else found.union(new)
-        rest = state.select("bucket", "t").join(stars.select("bucket", F.col("star").alias("t")), ["bucket", "t"], "left_anti")
-        if not new.limit(1).count():
-            if labels is None:
-                labels = found.select(F.col("a").alias("t"), F.col("a").alias("c")).where("false")
-        else:
-            labels = components(found)
-        first = False
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
+    scores = buckets.join(sizes, "bucket").groupBy("t").agg(F.sum("n").alias("score"))
+    best = F.min(F.struct(-F.col("score"), "t")).alias("s")
+    stars = written(buckets.join(scores, "t").groupBy("bucket").agg(best).select("bucket", F.col("s.t").alias("star")), "stars")
+    pairs = buckets.join(stars, "bucket").where("t <> star").select("star", "t").distinct()
+    found = written(verified(pairs, texts, weights, threshold), "links")
+    labels = components(found)
+    state = buckets.join(labels, "t", "left").join(stars, "bucket").where("t <> star").select("bucket", "star", "t", F.coalesce("c", "t").alias("c"))
+    mixed = state.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    state = written(state.join(mixed, "bucket").select(F.col("star").alias("home"), "t", "c").distinct(), "open")
+    more = written(cross_tested(state, texts, weights, threshold), "cross-links")
+    if more.limit(1).count():
+        found = found.union(more)
+        labels = components(found)
+    return found, labels
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5, bands: int = 16, rows: int = 4) -> DataFrame:
