@@ -195,3 +195,80 @@ def largest_difference(left: DataFrame, right: DataFrame, keys: Sequence[str], c
     a, b = left.alias("a"), right.alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     return a.join(b, on, "full").agg(*[F.max(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))).alias(c) for c in columns], F.count_if(F.col(f"a.{columns[0]}").isNull() | F.col(f"b.{columns[0]}").isNull()).alias("unmatched"))
+
+
+BLOCK = "climate_region string, site_id string, gram array<double>, cross array<double>, x_mean array<double>, y_mean double"
+
+
+def site_blocks(rows: DataFrame, design: Design, y: str) -> DataFrame:
+    """What a site adds to any fit with this design, and the means that its counterfactuals need.
+
+    A site that is drawn several times adds its block as often, so a bootstrap never reads
+    the rows again.
+    """
+    with_r, xs = design.columns(rows)
+    p = len(xs)
+
+    def block(data: pd.DataFrame) -> pd.DataFrame:
+        data = data.sort_values("k")
+        full = np.zeros((p + 2, p + 2))
+        full[np.triu_indices(p + 2)] = data["v"].to_numpy()
+        full = np.triu(full) + np.triu(full, 1).T
+        n, mean = full[0, 0], full[0, 1:] / full[0, 0]
+        within = full[1:, 1:] - n * np.outer(mean, mean)
+        return pd.DataFrame(
+            {"climate_region": data["climate_region"].iloc[:1], "site_id": data["site_id"].iloc[:1], "gram": [within[:p, :p].ravel()], "cross": [within[:p, p]], "x_mean": [mean[:p]], "y_mean": [mean[p]]}
+        )
+
+    blocks = moments(with_r, xs, y).groupBy("climate_region", "site_id").applyInPandas(block, BLOCK)
+    temps = rows.groupBy("site_id").agg(*[F.array(*[F.avg(F.when(F.col("period") == p_, F.col(t))) for t in design.ts]).alias(f"{p_}_t") for p_ in ("early", "later")])
+    if design.ss:
+        days = rows.select("site_id", "day_of_year", *design.ss).dropDuplicates(["site_id", "day_of_year"]).groupBy("site_id").agg(F.array(*[F.avg(s) for s in design.ss]).alias("s"))
+        temps = temps.join(days, "site_id")
+    else:
+        temps = temps.withColumn("s", F.array().cast("array<double>"))
+    return blocks.join(temps, "site_id")
+
+
+def refit(drawn: DataFrame, blocks: DataFrame, design: Design, r0: float, r1: float, *, spread: int = 32) -> DataFrame:
+    """A, B, C and D of each replicate and region, from draws (replicate, climate_region, source_site).
+
+    Draws are summed to multiplicities and meet the blocks of their region, replicates
+    dealt over spread groups of each region. A singular replicate has nulls and its reason
+    in failure.
+    """
+    times = drawn.groupBy("replicate", "climate_region", "source_site").agg(F.count("*").alias("times")).withColumn("part", F.pmod(F.xxhash64("replicate"), F.lit(spread)))
+    spread_blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")))
+    e, nt, ns = len(design.extra), len(design.ts), len(design.ss)
+    p = 1 + e + 2 * nt + 2 * ns
+
+    def solve(key: tuple, draws: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("site_id").reset_index(drop=True)
+        at = pd.Series(own.index, index=own["site_id"])
+        gram, cross, x = (np.array(own[c].tolist(), float).reshape(len(own), *shape) for c, shape in (("gram", (p, p)), ("cross", (p,)), ("x_mean", (p,))))
+        y, te, tl, s = own["y_mean"].to_numpy(float), *(np.array(own[c].tolist(), float).reshape(len(own), n) for c, n in (("early_t", nt), ("later_t", nt), ("s", ns)))
+        out = []
+        for replicate, some in draws.groupby("replicate"):
+            i, m = at[some["source_site"]].to_numpy(), some["times"].to_numpy(float)
+            try:
+                beta = np.linalg.solve(np.tensordot(m, gram[i], 1), m @ cross[i])
+            except np.linalg.LinAlgError as error:
+                out.append((replicate, key[0], int(m.sum()), None, None, None, None, str(error)))
+                continue
+            alpha = y[i] - x[i] @ beta
+            t, ti, c, ci = np.split(beta[1 + e :], [nt, 2 * nt, 2 * nt + ns])
+            means = [float(m @ (alpha + r * beta[0] + temps[i] @ (t + r * ti) + s[i] @ (c + r * ci)) / m.sum()) for r in (r0, r1) for temps in (te, tl)]
+            out.append((replicate, key[0], int(m.sum()), *means, None))
+        return pd.DataFrame(out, columns=["replicate", "climate_region", "n_sites", "A", "B", "C", "D", "failure"])
+
+    schema = "replicate int, climate_region string, n_sites long, A double, B double, C double, D double, failure string"
+    return times.groupBy("climate_region", "part").cogroup(spread_blocks.groupBy("climate_region", "part")).applyInPandas(solve, schema)
+
+
+def replicate_components(means: DataFrame) -> DataFrame:
+    """(replicate, scope, quantity, value) by region and, weighted by sites, for the nation."""
+    n = F.sum("n_sites")
+    both = means.where("failure is null").groupingSets([["replicate", "climate_region"], ["replicate"]], "replicate", "climate_region").agg(*[(F.sum(F.col("n_sites") * F.col(c)) / n).alias(c) for c in "ABCD"], F.grouping("climate_region").alias("g"))
+    a, b, c, d = (F.col(x) for x in "ABCD")
+    wide = both.select("replicate", F.when(F.col("g") == 1, "national").otherwise(F.col("climate_region")).alias("scope"), (((b - a) + (d - c)) / 2).alias("temperature_component"), (((c - a) + (d - b)) / 2).alias("response_component"), (d - a).alias("total_change"))
+    return wide.unpivot(["replicate", "scope"], ["temperature_component", "response_component", "total_change"], "quantity", "value")

@@ -159,6 +159,41 @@ def bootstrap_first_replicates(spark, d):
     return B.first_replicates(_changes(spark, d), [10, 20, 40])
 
 
+def _replicates(spark, d):
+    rows = R.model_frame(pop._base(spark, d))
+    design = R.Design("later", ("tmax_c",))
+    means = R.refit(B.arithmetic_draws(_sites(spark, d), REPLICATES), R.site_blocks(rows, design, "ozone_mda8_ppb"), design, 0.0, 1.0)
+    return R.replicate_components(means)
+
+
+def bootstrap_decomposition(spark, d):
+    return _replicates(spark, d).withColumn("value", F.round("value", 6))
+
+
+def bootstrap_decomposition_intervals(spark, d):
+    return B.intervals(_replicates(spark, d), digits=5).drop("argmin", "relation")
+
+
+def spline_bootstrap(spark, d):
+    rows, ts, ss = R.with_splines(R.model_frame(pop._base(spark, d)))
+    design = R.Design("later", ts, ss)
+    means = R.refit(B.draws(spark, _sites(spark, d), REPLICATES, 20260715), R.site_blocks(rows, design, "ozone_mda8_ppb"), design, 0.0, 1.0)
+    return B.intervals(R.replicate_components(means))
+
+
+def fit_reproducibility(spark, d):
+    """Largest differences between two fits of the same rows in other partitions."""
+    rows = R.model_frame(pop._base(spark, d))
+    design = R.Design("later", ("tmax_c",))
+
+    def once(df):
+        with_r, xs = design.columns(df)
+        return R.site_means(df, R.fit(with_r, xs, "ozone_mda8_ppb"), design, 0.0, 1.0)
+
+    found = R.largest_difference(once(rows), once(rows.repartition(5, "date_local")), ["site_id"], list("ABCD"))
+    return found.select(*[(F.col(c) < 1e-8).alias(f"{c}_equal") for c in "ABCD"], "unmatched")
+
+
 def sensitivity_comparison(spark, d):
     return K.sensitivity(_linear(spark, d), _linear(spark, d, "later"))
 
@@ -221,6 +256,23 @@ def _linear_sql(base: str, p: str) -> str:
   round(((avg(C) - avg(A)) + (avg(D) - avg(B))) / 2, 6) AS response_component, round(avg(D) - avg(A), 6) AS total_change FROM (SELECT climate_region AS scope, * FROM {p}q UNION ALL SELECT 'national', * FROM {p}q) GROUP BY 1)"""
 
 
+#: Replicates of the linear decomposition: a site's centred products weighted by the times it was drawn.
+REFIT_SQL = f"""
+{pop.BASE_SQL}, {DRAWS_SQL}, {_linear_sql('base', 'p_')},
+w AS (SELECT f.site_id, f.climate_region, sum((a - ma) * (a - ma)) AS aa, sum((a - ma) * (b - mb)) AS ab, sum((a - ma) * (c - mc)) AS ac, sum((b - mb) * (b - mb)) AS bb, sum((b - mb) * (c - mc)) AS bc, sum((c - mc) * (c - mc)) AS cc,
+  sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS byy, sum((c - mc) * (y - my)) AS cy FROM p_f f JOIN p_m USING (site_id) GROUP BY 1, 2),
+g AS (SELECT replicate, w.climate_region, sum(times * aa) AS aa, sum(times * ab) AS ab, sum(times * ac) AS ac, sum(times * bb) AS bb, sum(times * bc) AS bc, sum(times * cc) AS cc, sum(times * ay) AS ay, sum(times * byy) AS byy, sum(times * cy) AS cy
+  FROM times t JOIN w ON w.site_id = t.source_site GROUP BY 1, 2),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM g),
+s AS (SELECT replicate, climate_region, (ay * (bb * cc - bc * bc) - ab * (byy * cc - bc * cy) + ac * (byy * bc - bb * cy)) / det AS b1, (aa * (byy * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - byy * ac)) / det AS b2,
+  (aa * (bb * cy - byy * bc) - ab * (ab * cy - byy * ac) + ay * (ab * bc - bb * ac)) / det AS b3 FROM d),
+q AS (SELECT x.replicate, x.climate_region, times, my - b1 * ma - b2 * mb - b3 * mc + te * b2 AS A, my - b1 * ma - b2 * mb - b3 * mc + tl * b2 AS B, my - b1 * ma - b2 * mb - b3 * mc + b1 + te * (b2 + b3) AS C,
+  my - b1 * ma - b2 * mb - b3 * mc + b1 + tl * (b2 + b3) AS D FROM times x JOIN p_t t ON t.site_id = x.source_site JOIN p_m m ON m.site_id = x.source_site JOIN s ON s.replicate = x.replicate AND s.climate_region = x.climate_region),
+m AS (SELECT replicate, scope, sum(times * A) / sum(times) AS A, sum(times * B) / sum(times) AS B, sum(times * C) / sum(times) AS C, sum(times * D) / sum(times) AS D
+  FROM (SELECT climate_region AS scope, * FROM q UNION ALL SELECT 'national', * FROM q) GROUP BY 1, 2),
+vals AS (SELECT replicate, scope, 'temperature_component' AS quantity, ((B - A) + (D - C)) / 2 AS value FROM m UNION ALL SELECT replicate, scope, 'response_component', ((C - A) + (D - B)) / 2 FROM m UNION ALL SELECT replicate, scope, 'total_change', D - A FROM m)"""
+
+
 def _relation_sql(a: str, b: str) -> str:
     return f"CASE WHEN least(abs({a}), abs({b})) <= 1e-10 THEN 'effectively zero' WHEN sign({a}) = sign({b}) THEN 'reinforce' ELSE 'oppose' END"
 
@@ -230,7 +282,7 @@ QUERIES = {
     for f in (
         equal_site_exceedance, site_period_burden, row_weighted_vs_equal_site, site_patterns, group_diagnostics, fitted_deciles, lag1_correlation, fe_slope_by_region, abcd_linear, leverage_linear, spline_fit, spline_abcd,
         spline_3df, s1c_endpoints, bootstrap_draws, bootstrap_draw_checksums, bootstrap_materialise, bootstrap_multiplicities, burden_bootstrap, bootstrap_intervals, bootstrap_interval_ranks, bootstrap_first_replicates,
-        sensitivity_comparison, continuous_vs_threshold,
+        bootstrap_decomposition, bootstrap_decomposition_intervals, spline_bootstrap, fit_reproducibility, sensitivity_comparison, continuous_vs_threshold,
     )
 }
 
@@ -265,6 +317,9 @@ ORACLES = {
         SELECT scope, quantity, count(*) AS n, max(point) AS point, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper FROM vals JOIN p USING (scope, quantity) GROUP BY 1, 2""",
     "bootstrap_first_replicates": f"""WITH {BOOT_SQL} SELECT scope, quantity, CAST(n AS INTEGER) AS first_n, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper
         FROM vals JOIN (VALUES (10), (20), (40)) k(n) ON replicate <= n GROUP BY 1, 2, 3""",
+    "bootstrap_decomposition": f"WITH {REFIT_SQL} SELECT replicate, scope, quantity, round(value, 6) AS value FROM vals",
+    "bootstrap_decomposition_intervals": f"""WITH {REFIT_SQL} SELECT scope, quantity, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS sd, round(min(value), 5) AS lo, round(max(value), 5) AS hi,
+        round(quantile_cont(value, 0.025), 5) AS lower, round(quantile_cont(value, 0.5), 5) AS median, round(quantile_cont(value, 0.975), 5) AS upper FROM vals GROUP BY 1, 2""",
     "sensitivity_comparison": f"""WITH {pop.BASE_SQL}, {_linear_sql('base', 'p_')}, {_linear_sql('base_l', 'v_')},
         j AS (SELECT p.scope, p.temperature_component AS p, v.temperature_component AS v, p.response_component AS q, v.response_component AS w FROM p_abcd p JOIN v_abcd v ON p.scope = v.scope),
         k AS (SELECT *, CASE WHEN sign(p) * sign(v) < 0 THEN 'reversed' WHEN abs(v) > abs(p) + 1e-9 THEN 'strengthened' WHEN abs(v) < abs(p) - 1e-9 THEN 'weakened' ELSE 'unchanged' END AS direction FROM j)
