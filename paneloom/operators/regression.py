@@ -22,8 +22,8 @@ from paneloom.functions import splines
 FIT = "climate_region string, site_id string, n long, y_mean double, x_mean array<double>, beta array<double>, alpha double, n_sites long, n_rows long, matrix_rank int, condition double, rss double"
 
 
-def moments(rows: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
-    """(climate_region, site_id, k, v): sums of products of 1, xs and y by site; k numbers the pairs."""
+def moments(rows: DataFrame, xs: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
+    """(climate_region, site_id, k, v): sums of products of 1, xs and y by site, weighted if asked; k numbers the pairs."""
     p = len(xs) + 2
     pairs = np.triu_indices(p)
 
@@ -32,22 +32,24 @@ def moments(rows: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
         for batch in batches:
             data = batch.to_pandas()
             values = np.column_stack([np.ones(len(data)), data[[*xs, y]].to_numpy(float)])
+            if weight:
+                values *= np.sqrt(data[weight].to_numpy(float))[:, None]
             for key, at in data.groupby(["climate_region", "site_id"]).indices.items():
                 some = values[at]
                 total[key] = total.get(key, 0.0) + some.T @ some
         for (region, site), m in total.items():
             yield pa.record_batch({"climate_region": [region] * len(pairs[0]), "site_id": [site] * len(pairs[0]), "k": np.arange(len(pairs[0])), "v": m[pairs]})
 
-    sums = rows.select("climate_region", "site_id", *[F.col(x).cast("double").alias(x) for x in xs], F.col(y).cast("double").alias(y))
+    sums = rows.select("climate_region", "site_id", *[F.col(x).cast("double").alias(x) for x in xs], F.col(y).cast("double").alias(y), *([weight] if weight else []))
     return sums.mapInArrow(add, "climate_region string, site_id string, k long, v double").groupBy("climate_region", "site_id", "k").agg(F.sum("v").alias("v"))
 
 
-def fit(rows: DataFrame, xs: Sequence[str], y: str, *, max_condition: float = 1e10) -> DataFrame:
+def fit(rows: DataFrame, xs: Sequence[str], y: str, *, weight: str | None = None, max_condition: float = 1e10) -> DataFrame:
     """One row for each site, with its effect alpha and its region's coefficients beta.
 
     Columns without variation within sites, and all but one of equal ones, get the
     coefficient of the least-norm solution. A condition number over max_condition is an
-    error.
+    error. With weights, n and n_rows are whole sums of weights.
     """
     p = len(xs)
 
@@ -77,7 +79,7 @@ def fit(rows: DataFrame, xs: Sequence[str], y: str, *, max_condition: float = 1e
             }
         )
 
-    return moments(rows, xs, y).groupBy("climate_region").applyInPandas(solve, FIT)
+    return moments(rows, xs, y, weight).groupBy("climate_region").applyInPandas(solve, FIT)
 
 
 def fitted(rows: DataFrame, fits: DataFrame, xs: Sequence[str]) -> DataFrame:

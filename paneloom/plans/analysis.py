@@ -8,6 +8,7 @@ from paneloom.config import SAMPLE
 from paneloom.operators import bootstrap as B
 from paneloom.operators import compare as K
 from paneloom.operators import descriptive as D
+from paneloom.operators import logistic as L
 from paneloom.operators import population as P
 from paneloom.operators import regression as R
 from paneloom.plans import population as pop
@@ -115,6 +116,15 @@ def s1c_endpoints(spark, d):
     return R.decomposition(R.site_means(rows.where("period <> 'transition'"), fits, design, float(SAMPLE.early[0] - SAMPLE.transition), float(SAMPLE.later[1] - SAMPLE.transition)))
 
 
+def logit_exceedance(spark, d):
+    """Counterfactual probabilities of an exceedance, from site effects and temperature by period."""
+    rows = R.model_frame(pop._base(spark, d)).withColumn("exceeds", (F.col("ozone_mda8_ppb") > SAMPLE.threshold).cast("double"))
+    rows = L.varying_sites(rows, "exceeds").withColumn("tmax_tens", F.col("tmax_c") / 10)
+    design = R.Design("later", ("tmax_tens",))
+    with_r, xs = design.columns(rows)
+    return R.decomposition(L.site_means(rows, L.fit(with_r, xs, "exceeds"), design, 0.0, 1.0))
+
+
 def _sites(spark, d):
     return pop.balanced_sites(spark, d).select("climate_region", "site_id")
 
@@ -281,7 +291,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         equal_site_exceedance, site_period_burden, row_weighted_vs_equal_site, site_patterns, group_diagnostics, fitted_deciles, lag1_correlation, fe_slope_by_region, abcd_linear, leverage_linear, spline_fit, spline_abcd,
-        spline_3df, s1c_endpoints, bootstrap_draws, bootstrap_draw_checksums, bootstrap_materialise, bootstrap_multiplicities, burden_bootstrap, bootstrap_intervals, bootstrap_interval_ranks, bootstrap_first_replicates,
+        spline_3df, s1c_endpoints, logit_exceedance, bootstrap_draws, bootstrap_draw_checksums, bootstrap_materialise, bootstrap_multiplicities, burden_bootstrap, bootstrap_intervals, bootstrap_interval_ranks, bootstrap_first_replicates,
         bootstrap_decomposition, bootstrap_decomposition_intervals, spline_bootstrap, fit_reproducibility, sensitivity_comparison, continuous_vs_threshold,
     )
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from paneloom.config import PanelConfig
 from paneloom.functions import columns as C
 from paneloom.functions import splines
-from paneloom.operators import bootstrap, compare, descriptive, geography, measurement, population, regression, seasons
+from paneloom.operators import bootstrap, compare, descriptive, geography, logistic, measurement, population, regression, seasons
 
 CFG = PanelConfig()
 
@@ -157,6 +157,36 @@ def test_fixed_effects_match_dense_least_squares(spark):
     assert fit["rss"][0] == pytest.approx(float(rss[0]))
 
 
+def test_logit_matches_dense_newton(spark):
+    rng = np.random.default_rng(4)
+    n = 900
+    frame = pd.DataFrame({"site_id": [f"s{i % 5}" for i in range(n)], "climate_region": "R", "x": rng.normal(size=n)})
+    frame["y"] = (rng.random(n) < 1 / (1 + np.exp(-(0.8 * frame.x + 0.3 * frame.site_id.str[1].astype(int) - 0.5)))).astype(float)
+    got = logistic.fit(spark.createDataFrame(frame).repartition(4), ["x"], "y").toPandas().sort_values("site_id")
+    dense = np.column_stack([pd.get_dummies(frame.site_id).to_numpy(float), frame.x])
+    b = np.zeros(6)
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-dense @ b))
+        b += np.linalg.solve(dense.T @ (dense * (p * (1 - p))[:, None]), dense.T @ (frame.y - p))
+    assert np.allclose(got["alpha"], b[:5], atol=1e-9) and np.allclose(got["beta"].iloc[0], b[5:], atol=1e-9)
+    separated = frame.assign(y=(frame.x > 0).astype(float))
+    with pytest.raises(ValueError):
+        logistic.fit(spark.createDataFrame(separated), ["x"], "y")
+
+
+def test_refits_equal_fits_of_copied_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame([(f"s{s}", "R", p, float(t), s + (p == "later") * 2 + 0.5 * t + rng.normal()) for s in range(4) for p in ("early", "later") for t in rng.integers(0, 20, 15)], columns=["site_id", "climate_region", "period", "tmax_c", "y"])
+    df = spark.createDataFrame(rows).withColumn("later", (F.col("period") == "later").cast("double"))
+    design = regression.Design("later", ("tmax_c",))
+    drawn = spark.createDataFrame([(1, "R", s, f"{s}-{i}", i) for i, s in enumerate(["s0", "s0", "s2", "s3"])], bootstrap.DRAWS)
+    got = regression.refit(drawn, regression.site_blocks(df, design, "y"), design, 0.0, 1.0).first()
+    copied = bootstrap.materialised(drawn, df)
+    with_r, xs = design.columns(copied)
+    expected = regression.site_means(copied, regression.fit(with_r, xs, "y"), design, 0.0, 1.0).agg(*[F.avg(c).alias(c) for c in "ABCD"]).first()
+    assert all(got[c] == pytest.approx(expected[c], abs=1e-9) for c in "ABCD") and got["n_sites"] == 4
+
+
 def test_splines_are_smooth_and_reach_their_knots():
     knots = np.array([0.0, 1.0, 2.5, 4.0])
     assert np.allclose(splines.evaluate(knots, knots, False), np.eye(4))
