@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneloom.functions import columns as C
+from paneloom.operators.tables import ranked
 
 NATIONAL = "national"
 
@@ -76,16 +77,12 @@ def group_diagnostics(rows: DataFrame, value: str, *keys: str) -> DataFrame:
 def fitted_deciles(rows: DataFrame, value: str, order: str) -> DataFrame:
     """rows with decile 1 to 10 of value's rank; order breaks ties.
 
-    Equal cuts of the rank range, as a quantile cut of first-come ranks gives them. Ranks
-    come from counts below each distinct value, so that rows are not sorted in one task.
+    Equal cuts of the rank range, as a quantile cut of first-come ranks gives them.
     """
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    below = counts.withColumn("_below", F.sum("_n").over(Window.orderBy(value)) - F.col("_n")).select(value, "_below")
-    total = rows.agg(F.count("*").alias("_total"))
-    ranked = rows.withColumn("_place", F.row_number().over(Window.partitionBy(value).orderBy(order))).join(below, value).crossJoin(total)
-    r = F.col("_below") + F.col("_place")
-    decile = F.greatest(F.lit(1), F.ceil(10 * (r - 1) / F.greatest(F.col("_total") - 1, F.lit(1)))).cast("int")
-    return ranked.withColumn("decile", decile).drop("_below", "_place", "_total")
+    ranks = ranked(rows, value, order, name="_rank")
+    total = ranks.agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("_last"))  # one row
+    decile = F.greatest(F.lit(1), F.ceil(10 * F.col("_rank") / F.col("_last"))).cast("int")
+    return ranks.crossJoin(total).withColumn("decile", decile).drop("_rank", "_last")
 
 
 def lag1(rows: DataFrame, value: str, site: str, order: str) -> DataFrame:

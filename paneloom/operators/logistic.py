@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.operators import regression as R
+from paneloom.operators.tables import kept
 
 
 def expit(x: Column) -> Column:
@@ -18,15 +17,6 @@ def expit(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df by way of a table in the shared folder, so that rounds do not build on each other's plans."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{root}/logit-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def varying_sites(rows: DataFrame, y: str) -> DataFrame:
     """Rows of sites whose outcome is not always the same: others have no finite effect."""
     sites = rows.groupBy("site_id").agg(F.min(y).alias("lo"), F.max(y).alias("hi")).where("lo < hi").select("site_id")
@@ -51,7 +41,7 @@ def fit(rows: DataFrame, xs: Sequence[str], y: str, *, rounds: int = 25, toleran
                 eta = eta + F.col("beta")[i] * F.col(x)
         p = expit(eta)
         w = F.greatest(p * (1 - p), F.lit(1e-12))
-        new = _kept(R.fit(at.withColumns({"_w": w, "_z": eta + (F.col(y) - p) / w}), xs, "_z", weight="_w"))
+        new = kept(R.fit(at.withColumns({"_w": w, "_z": eta + (F.col(y) - p) / w}), xs, "_z", weight="_w"), "logit")
         largest = new.agg(F.max(F.greatest(F.abs("alpha"), F.array_max(F.transform("beta", lambda b: F.abs(b)))))).first()[0]
         if largest is not None and largest > limit:
             raise ValueError(f"separated outcome: an effect of {largest:.3g}")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.config import PanelConfig
 from paneloom.functions import columns as C
+from paneloom.operators.tables import ranked
 
 
 def year_days(year: Column) -> Column:
@@ -164,12 +165,5 @@ def identity(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def panel_rows(panel: DataFrame) -> DataFrame:
-    """panel with panel_row, its place in order of site and date.
-
-    Rows are counted by site, and the sums before each site added to the place within it,
-    so that no task sorts the whole panel.
-    """
-    per_site = panel.groupBy("site_id").agg(F.count("*").alias("_n"))
-    before = per_site.withColumn("_before", F.sum("_n").over(Window.orderBy("site_id")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(Window.partitionBy("site_id").orderBy("date_local")) - 1
-    return panel.withColumn("_place", place).join(before, "site_id").withColumn("panel_row", F.col("_before") + F.col("_place")).drop("_before", "_place")
+    """panel with panel_row, its place in order of site and date."""
+    return ranked(panel, "site_id", "date_local", name="panel_row")
