@@ -26,7 +26,7 @@ from paneloom.llm.graph import components
 #: bound on what is collected and sent to the tasks.
 RARE = 1e-3
 #: Shingles whose samples are drawn at a time; these arrays stay in a core's cache.
-TOGETHER = 16_384
+TOGETHER = 65_536
 #: Members of a star's group in one task.
 SALT = 2_000
 
@@ -140,17 +140,32 @@ class Sampler:
         starts = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(sets)), sizes)
         samples = np.empty((len(sets), len(self.seeds)), np.uint64)
-        low16, low12 = np.uint64(0xFFFF), np.uint64(0xFFF)
+        x, bits = np.empty_like(key), np.empty(len(key), np.int64)
+        unsigned, signed = bits.view(np.uint64), x.view(np.int64)
         for k, seed in enumerate(self.seeds):
-            x = (key ^ seed) * _MIX
-            x ^= x >> np.uint64(32)
+            np.bitwise_xor(key, seed, out=x)
+            x *= _MIX
+            np.right_shift(x, np.uint64(32), out=unsigned)
+            x ^= unsigned
             x *= _STEP
-            r = self.r[(x >> np.uint64(52)) & low12]
-            ln_c = self.ln_c[(x >> np.uint64(36)) & low16]
-            beta = ((x >> np.uint64(20)) & low16).astype(np.float32) * np.float32(1 / 65536)
-            t = np.floor(ln_s / r + beta)
-            ln_a = ln_c - r * (t + np.float32(1) - beta)
-            hit = np.flatnonzero(ln_a == np.minimum.reduceat(ln_a, starts)[owner])
+            np.right_shift(x, np.uint64(52), out=unsigned)
+            r = self.r[bits]
+            np.right_shift(signed, 36, out=bits)
+            bits &= 0xFFFF
+            ln_a = self.ln_c[bits]
+            np.right_shift(signed, 20, out=bits)
+            bits &= 0xFFFF
+            beta = bits.astype(np.float32)
+            beta *= np.float32(1 / 65536)
+            t = ln_s / r
+            t += beta
+            np.floor(t, out=t)
+            # ln a = ln c - r (t - beta + 1)
+            beta -= t
+            beta -= np.float32(1)
+            beta *= r
+            ln_a += beta
+            hit = np.flatnonzero(ln_a == np.repeat(np.minimum.reduceat(ln_a, starts), sizes))
             own = owner[hit]
             hit = hit[np.concatenate(([True], own[1:] != own[:-1]))]
             samples[:, k] = (key[hit] + t[hit].astype(np.int64).view(np.uint64)) * _MIX
