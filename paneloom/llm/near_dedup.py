@@ -46,7 +46,7 @@ def document_frequencies(docs: DataFrame) -> dict[bytes, int]:
         for batch in slices(batches):
             for raw in batch.column(0).to_pylist():
                 seen.update(set(words_of(raw)))
-            if len(seen) > 500_000:
+            if len(seen) > 250_000:
                 yield pa.record_batch({"word": pa.array(seen.keys(), pa.binary()), "df": pa.array(seen.values(), pa.int64())})
                 seen.clear()
         yield pa.record_batch({"word": pa.array(seen.keys(), pa.binary()), "df": pa.array(seen.values(), pa.int64())})

@@ -21,7 +21,7 @@ PIECES = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^\x00-\x20\x
 #: ASCII without controls, and letters of the Latin blocks that have one code point each.
 PLAIN = re.compile("[\t\n\r\x20-\x7eªµºÀ-ÖØ-öø-įı-ɏ]*")
 #: Pieces that a worker remembers, and pieces that are encoded in one call.
-MEMO, CALL = 700_000, 2_000
+MEMO, CALL = 500_000, 2_000
 
 
 class Memo(dict):

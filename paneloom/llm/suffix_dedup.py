@@ -30,7 +30,7 @@ GRAM = 32
 SEGMENT, TOGETHER = 1 << 22, 1 << 18
 PLACE_BITS = 25
 #: Distinct passages that are sorted at a time; a fingerprint's passages stay together.
-COLLECTION = 20_000
+COLLECTION = 8_000
 #: Starts in a block of a passage with a very frequent fingerprint.
 BLOCK = 64
 
