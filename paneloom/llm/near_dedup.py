@@ -183,9 +183,10 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
     Members go to their star's group. A group of many members is cut by salt, each part
     with the star's text.
     """
-    sized = pairs.join(pairs.groupBy("star").agg((F.floor(F.count("*") / SALT) + 1).cast("long").alias("salts")), "star")
+    salts = written(pairs.groupBy("star").agg((F.floor(F.count("*") / SALT) + 1).cast("long").alias("salts")), "salts")
+    sized = pairs.join(salts, "star")
     members = sized.select("t", "star", F.expr("pmod(xxhash64(t), salts)").alias("salt"), F.lit(1).alias("role"))
-    stars = sized.select("star", "salts").distinct().select(F.col("star").alias("t"), "star", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("role"))
+    stars = salts.select(F.col("star").alias("t"), "star", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(0).alias("role"))
     rows = members.unionByName(stars).join(texts, "t").select("star", "salt", "role", "t", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,6 +213,7 @@ def cross_tested(state: DataFrame, texts: DataFrame, weights: Weights, threshold
     sizes = state.groupBy("home", "c").agg(F.count("*").alias("n"))
     homes = sizes.groupBy("home").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("n_all")).where("n_all > main.n")
     tiles = homes.select("home", F.col("main.c").alias("main_c"), (F.floor((F.col("n_all") - F.col("main.n")) / OUTSIDE) + 1).alias("rows"), (F.floor(F.col("n_all") / MEMBERS) + 1).alias("columns"))
+    tiles = written(tiles, "tiles")
     there = state.join(tiles, "home")
     own_row, own_column = F.expr("pmod(xxhash64(t), rows)"), F.expr("pmod(xxhash64(t, 1), columns)")
     outside = there.where("c <> main_c").select("home", own_row.alias("row"), F.explode(F.expr("sequence(0L, columns - 1)")).alias("column"), F.lit(0).alias("role"), "t", "c")
@@ -280,7 +282,7 @@ class Table:
 
 
 def links(buckets: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """All links (a, b, similarity) that decide the classes of the buckets (bucket, t), and labels (t, c).
+    """All links (a, b, similarity) that decide the classes of the buckets (bucket, t, its size n), and labels (t, c).
 
     Testing all pairs of a bucket would grow with its square. First each bucket's star is
     tested against its members: the text that meets most others, which of edited copies
@@ -289,15 +291,14 @@ def links(buckets: DataFrame, texts: DataFrame, weights: Weights, threshold: flo
     different components are tested there. So no link that joins two components is
     missed, and no bucket is capped.
     """
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-    scores = buckets.join(sizes, "bucket").groupBy("t").agg(F.sum("n").alias("score"))
+    scores = buckets.groupBy("t").agg(F.sum("n").alias("score"))
     best = F.min(F.struct(-F.col("score"), "t")).alias("s")
     stars = written(buckets.join(scores, "t").groupBy("bucket").agg(best).select("bucket", F.col("s.t").alias("star")), "stars")
-    pairs = buckets.join(stars, "bucket").where("t <> star").select("star", "t").distinct()
+    pairs = written(buckets.join(stars, "bucket").where("t <> star").select("star", "t").distinct(), "pairs")
     found = written(verified(pairs, texts, weights, threshold), "links")
     labels = components(found)
     state = buckets.join(labels, "t", "left").join(stars, "bucket").where("t <> star").select("bucket", "star", "t", F.coalesce("c", "t").alias("c"))
-    mixed = state.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    mixed = written(state.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket"), "mixed")
     state = written(state.join(mixed, "bucket").select(F.col("star").alias("home"), "t", "c").distinct(), "open")
     more = written(cross_tested(state, texts, weights, threshold), "cross-links")
     if more.limit(1).count():
@@ -345,7 +346,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
             yield pa.record_batch({"bucket": keys, "t": np.repeat(batch.column(0).to_numpy(), bands)})
 
     entries = written(known.select("t", "bands").mapInArrow(dealt, "bucket long, t long"), "buckets")
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # Joins of a hot bucket with a table, not with a sum, can be split over tasks.
+    shared = written(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     buckets = written(entries.join(shared, "bucket"), "shared-buckets")
     near = known.join(buckets.select("t").distinct(), "t").select("t", "_key", "first_id")
     source = docs.select(key, "doc_id", F.col("text").cast("binary").alias("text"))

@@ -191,7 +191,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000) ->
 
     long_enough = F.octet_length("text") >= length
     found = written(keyed.where(long_enough).select("_k1", "_k2", text.alias("text")).mapInArrow(find, "print long, k1 long, k2 long, place long"), "anchors")
-    repeated = found.groupBy("print").agg(F.count("*").alias("n")).where("n > 1")
+    # As a table it joins the anchors of a very frequent fingerprint in parts.
+    repeated = written(found.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), "repeated-anchors")
     placed = (
         found.join(repeated.select("print", (F.col("n") > hot).alias("hot")), "print")
         .groupBy("k1", "k2")
