@@ -40,18 +40,16 @@ def resolved(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", payload.alias("html"), digest_base32(payload.cast("binary")).alias("payload_digest"))
     key = ["page_id", "url", "payload_digest"]
-    headers = pages.groupBy(*key).agg(F.first(F.octet_length("html")).cast("long").alias("payload_bytes"))
-    best = headers.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("first"))
+    # One key without nulls, so that grouping and join shuffle by the same and payloads move once.
+    parts = [F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("-")), F.col("payload_digest")]
+    pages = pages.withColumn("key", F.md5(F.concat_ws("|", *parts)))
+    headers = pages.groupBy("key").agg(*[F.first(k).alias(k) for k in key], F.first(F.octet_length("html")).cast("long").alias("payload_bytes"), F.count("*").alias("n"))
+    best = headers.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url", "key")).alias("first"))
     decided = headers.join(best, "payload_digest").select(
-        *key,
-        "payload_bytes",
-        F.col("first.page_id").alias("first_id"),
-        F.col("first.url").alias("first_url"),
-        (F.col("first.page_id").eqNullSafe(F.col("page_id")) & F.col("first.url").eqNullSafe(F.col("url"))).alias("is_first"),
+        "key", *key, "payload_bytes", "n", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), (F.col("first.key") == F.col("key")).alias("is_first")
     )
-    bodies = pages.groupBy(*key).agg(F.first("html").alias("html"), F.count("*").alias("n"))
-    same = [bodies[k].eqNullSafe(decided[k]) for k in key]
-    rows = bodies.join(decided, same).select(*[bodies[k] for k in key], "html", "payload_bytes", "first_id", "first_url", "is_first", F.explode(F.expr("sequence(1L, n)")).alias("copy"))
+    bodies = pages.groupBy("key").agg(F.first("html").alias("html"))
+    rows = bodies.join(decided, "key").select(*key, "html", "payload_bytes", "first_id", "first_url", "is_first", F.explode(F.expr("sequence(1L, n)")).alias("copy"))
     whole = (F.col("payload_bytes") < min_bytes) | (F.col("is_first") & (F.col("copy") == 1))
     return rows.select(
         *key,
