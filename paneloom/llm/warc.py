@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneloom.llm.common import shared_dir
+from paneloom.llm.common import shared_dir, written
 
 CRLF = "\r\n"
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
@@ -44,7 +44,8 @@ def resolved(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     parts = [F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("-")), F.col("payload_digest")]
     pages = pages.withColumn("key", F.md5(F.concat_ws("|", *parts)))
     headers = pages.groupBy("key").agg(*[F.first(k).alias(k) for k in key], F.first(F.octet_length("html")).cast("long").alias("payload_bytes"), F.count("*").alias("n"))
-    best = headers.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url", "key")).alias("first"))
+    # As a table it joins the headers of a very frequent payload in parts.
+    best = written(headers.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url", "key")).alias("first")), "first-payloads")
     decided = headers.join(best, "payload_digest").select(
         "key", *key, "payload_bytes", "n", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), (F.col("first.key") == F.col("key")).alias("is_first")
     )
