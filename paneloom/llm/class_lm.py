@@ -28,6 +28,8 @@ CORE, GROUPS = 500, 300
 HEAD = 100_000
 #: Distinct words that a task holds at a time.
 HELD = 400_000
+#: Rounds over all words end when one adds less than this share of the symbols' likelihood.
+GAIN = 0.01
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -116,17 +118,22 @@ def symbol_bigrams(docs: DataFrame, symbols: Symbols) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def exchange(bigrams: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
+def f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the log likelihood of class bigrams that depends on the classes."""
+    return float(f(table).sum() - f(table.sum(0)).sum() - f(table.sum(1)).sum())
+
+
+def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
     """A class for each symbol; symbol 0 keeps class 0 to itself.
 
     In each pass every symbol, most frequent first, leaves its class for the one where the
     sum of n log n over class bigrams, less that over class counts on either side, is
     largest. A pass without a move is the last.
     """
-
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1.0))
-
     size = len(bigrams)
     order = np.argsort(-(bigrams.sum(0) + bigrams.sum(1)), kind="stable")
     order = order[order != 0]
@@ -135,7 +142,9 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
     member = np.zeros((size, classes))
     member[np.arange(size), of] = 1
     table = member.T @ bigrams @ member
-    for _ in range(passes):
+    least = 1e-9 + 1e-11 * float(f(bigrams.sum()))  # over the rounding of the sums, so that passes end
+    moved = 1
+    while moved:
         moved = 0
         for w in order.tolist():
             old = of[w]
@@ -144,41 +153,257 @@ def exchange(bigrams: np.ndarray, classes: int, passes: int = 12) -> np.ndarray:
             table[old] -= after
             table[:, old] -= before
             table[old, old] -= twice
-            rows, columns, same = table.sum(1), table.sum(0), np.diag(table)
+            rows, columns, same = table.sum(1) + before, table.sum(0) + after, np.diag(table)
             gain = (f(table + after) - f(table)).sum(1) - (f(same + after) - f(same))
             gain += (f(table + before[:, None]) - f(table)).sum(0) - (f(same + before) - f(same))
             gain += f(same + after + before + twice) - f(same)
             out, into = after.sum() + twice, before.sum() + twice
             gain -= f(rows + out) - f(rows) + f(columns + into) - f(columns)
             gain[0] = -np.inf
-            new = int(gain.argmax()) if gain.max() > gain[old] + 1e-9 else old
+            new = int(gain.argmax()) if gain.max() > gain[old] + least else old
             member[w, new] = 1
             of[w] = new
             table[new] += after
             table[:, new] += before
             table[new, new] += twice
             moved += new != old
-        if not moved:
-            break
     return of
 
 
+def encoded(docs: DataFrame, names: list[str], symbols: Symbols, first: np.ndarray) -> DataFrame:
+    """The columns names of docs, a number for each row, and the text as codes.
+
+    _codes has a code of 4 bytes for each token: a head word's, or -1 - i for word i of
+    _words, the text's words outside the head. _tf counts those and _first has the class
+    of each by its symbol.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for raw in batch.column(0).to_pylist():
+                words = tokens(raw)
+                codes = symbols.codes(words)
+                at = np.flatnonzero(codes < 0)
+                own: dict[bytes, int] = {}
+                places = np.fromiter((own.setdefault(words[i], len(own)) for i in at.tolist()), np.int64, len(at))
+                classes = np.zeros(len(own), np.uint8)
+                classes[places] = first[-1 - codes[at]]
+                codes[at] = -1 - places
+                rows.append((len(words), codes.astype("<i4").tobytes(), list(own), np.bincount(places, minlength=len(own)).tolist(), classes.tobytes()))
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.record_batch([*batch.columns[1:], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=[*names, "n_tokens", "_codes", "_words", "_tf", "_first"])
+
+    source = docs.select(F.col("text").cast("binary").alias("text"), *names)
+    ddl = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in docs.select(*names).schema.fields)
+    rows = source.mapInArrow(run, f"{ddl}n_tokens long, _codes binary, _words array<binary>, _tf array<long>, _first binary")
+    return written(rows.withColumn("_row", F.monotonically_increasing_id()), "encoded")
+
+
+def looked_up(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Encoded rows with _own, place and class of each known word of _words, and the sums _rare and _seen over their counts."""
+    each = rows.select("_row", F.posexplode(F.arrays_zip("_words", "_tf")).alias("i", "x")).select("_row", "i", F.col("x._words").alias("word"), F.col("x._tf").alias("tf"))
+    c = F.coalesce("c", F.lit(0))
+    own = each.join(words.select("word", "c", "class"), "word", "left").groupBy("_row").agg(
+        F.sum(F.col("tf") * F.log10(c + 0.5)).alias("_rare"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("_seen"),
+        F.collect_list(F.col("i").cast("long") * 256 + F.col("class")).alias("_own"),
+    )
+    return rows.join(own, "_row", "left")
+
+
+def sequence(codes: bytes, first: bytes, own: list[int] | None, of_head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and classes of a text's tokens."""
+    found = np.frombuffer(codes, "<i4")
+    rare = np.frombuffer(first + b"\0", np.uint8).copy()
+    if own:
+        known = np.asarray(own, np.int64)
+        rare[known >> 8] = known & 255
+    return found, np.where(found >= 0, of_head[np.maximum(found, 0)], rare[np.maximum(-1 - found, 0)]).astype(np.int64)
+
+
+def class_bigrams(rows: DataFrame, of_head: np.ndarray, classes: int) -> np.ndarray:
+    """Counts of each class after each over encoded rows with _own."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found = sequence(*row, of_head)[1]
+                total += np.bincount(np.append(0, found[:-1]) * classes + found, minlength=classes * classes)
+        some = np.flatnonzero(total)
+        yield pa.record_batch({"pair": some, "n": total[some]})
+
+    found = rows.select("_codes", "_first", "_own").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes)
+    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(classes, classes)
+
+
+def best_classes(entries: np.ndarray, old: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The best class of each word, all other words where they are.
+
+    entries are sorted rows (word, slot, n): slot k counts the word after class k, slot
+    classes + k before it. Class 0 takes no word, nor does an empty class,
+    to which words of all kinds would go at once. Bigrams of a word with itself count as
+    with its old class.
+    """
+    classes = len(table)
+    beside = np.concatenate((table, table.T))
+    word, slot, n = entries.T
+    here, m = beside[slot], n[:, None].astype(float)
+    gain = f(here + m) - f(here)
+    at = np.arange(len(entries))
+    stay = beside[slot, old[word]]
+    gain[at, old[word]] = f(stay) - f(np.maximum(stay - n, 0))
+    total = np.zeros((len(old), classes))
+    starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    total[word[starts]] = np.add.reduceat(gain, starts)
+    place = np.arange(len(old))
+    for side, sums in ((slot < classes, table.sum(0)), (slot >= classes, table.sum(1))):
+        size = np.bincount(word[side], n[side], len(old))[:, None]
+        cost = f(sums + size) - f(sums)
+        own = sums[old]
+        cost[place, old] = f(own) - f(np.maximum(own - size[:, 0], 0))
+        total -= cost
+    total[:, 0] = -np.inf
+    total[:, table.sum(0) + table.sum(1) == 0] = -np.inf
+    total[place, old] = np.maximum(total[place, old], np.finfo(float).min)
+    new = total.argmax(1)
+    return np.where(total[place, new] > total[place, old] + 1e-9, new, old)
+
+
+def moved(rows: DataFrame, symbols: Symbols, of_head: np.ndarray, table: np.ndarray) -> DataFrame:
+    """(word, c, code, class) of all words of encoded rows, each in its best class; code is -1 outside the head."""
+    classes, head = len(table), symbols.head
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(head) * 2 * classes, np.int32)
+        rare: dict[bytes, list] = {}
+
+        def told() -> pa.RecordBatch:
+            return pa.record_batch({
+                "word": pa.array(rare.keys(), pa.binary()), "code": np.full(len(rare), -1, np.int32), "old": pa.array([v[0] for v in rare.values()], pa.int32()),
+                "slots": pa.array([bytes(v[1]) for v in rare.values()], pa.binary()), "ns": pa.nulls(len(rare), pa.binary()),
+            })
+
+        held = 0
+        for batch in batches:
+            for codes, first, own, words in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                found, of = sequence(codes, first, own, of_head)
+                before, after = np.append(0, of[:-1]), of[1:] + classes
+                known = found >= 0
+                np.add.at(total, found[known].astype(np.int64) * 2 * classes + before[known], 1)
+                known = known[:-1]
+                np.add.at(total, found[:-1][known].astype(np.int64) * 2 * classes + after[known], 1)
+                at = np.flatnonzero(found < 0)
+                held += len(at)
+                after = np.append(after, 255)
+                for i, k, b, a in zip((-1 - found[at]).tolist(), of[at].tolist(), before[at].tolist(), after[at].tolist(), strict=True):
+                    if (mine := rare.get(words[i])) is None:
+                        mine = rare[words[i]] = (k, bytearray())
+                    mine[1].append(b)
+                    if a != 255:
+                        mine[1].append(a)
+            if held > HELD:
+                yield told()
+                rare.clear()
+                held = 0
+        yield told()
+        total = total.reshape(len(head), 2 * classes)
+        for at in range(0, len(head), 10_000):
+            some = [(i, np.flatnonzero(total[i])) for i in range(at, min(at + 10_000, len(head)))]
+            some = [(i, s) for i, s in some if len(s)]
+            yield pa.record_batch({
+                "word": pa.array([head[i] for i, _ in some], pa.binary()), "code": np.array([i for i, _ in some], np.int32), "old": np.array([of_head[i] for i, _ in some], np.int32),
+                "slots": pa.array([s.astype(np.uint8).tobytes() for _, s in some], pa.binary()), "ns": pa.array([total[i][s].astype("<i4").tobytes() for i, s in some], pa.binary()),
+            })
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, codes, olds, slots, sizes = [], [], [], [], []
+        held = 0
+
+        def told() -> pa.RecordBatch:
+            at = np.repeat(np.arange(len(words)), [sum(map(len, x)) for x in slots])
+            keys = at * 2 * classes + np.frombuffer(b"".join(b for x in slots for b in x), np.uint8)
+            n = np.frombuffer(b"".join(b for x in sizes for b in x), "<i4")
+            keys, inverse = np.unique(keys, return_inverse=True)
+            n = np.bincount(inverse, n, len(keys)).astype(np.int64)
+            entries = np.column_stack((keys // (2 * classes), keys % (2 * classes), n))
+            old = np.array(olds, np.int64)
+            new = best_classes(entries, old, table) if len(entries) else old
+            new[[i for i, w in enumerate(words) if w == END]] = 0
+            first = entries[:, 1] < classes
+            c = np.bincount(entries[first, 0], entries[first, 2], len(words)).astype(np.int64)
+            return pa.record_batch({"word": pa.array(words, pa.binary()), "c": c, "code": np.array(codes, np.int32), "class": new.astype(np.int32)})
+
+        for batch in batches:
+            for word, code, old, s, ns in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if not words or word != words[-1]:
+                    if held > 40_000:
+                        yield told()
+                        words, codes, olds, slots, sizes = [], [], [], [], []
+                        held = 0
+                    words.append(word)
+                    codes.append(code)
+                    olds.append(old)
+                    slots.append([])
+                    sizes.append([])
+                slots[-1].append(s)
+                sizes[-1].append(np.ones(len(s), "<i4").tobytes() if ns is None else ns)
+                held += len(s)
+        if words:
+            yield told()
+
+    found = rows.select("_codes", "_first", "_own", "_words").mapInArrow(profiles, "word binary, code int, old int, slots binary, ns binary")
+    return written(found.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, c long, code int, class int"), "word-classes")
+
+
+class Lookup:
+    """Classes of words on the driver; a word outside the training text has that of its symbol."""
+
+    def __init__(self, words: DataFrame, symbols: Symbols, first: np.ndarray):
+        self.words, self.of_symbol, self.first = words, symbols, first
+        self.found: dict[bytes, int] | None = None
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        if self.found is None:
+            some = self.words.select("word", "class").limit(HELD + 1).collect()
+            self.found = {bytes(r["word"]): r["class"] for r in some} if len(some) <= HELD else {}
+        found = self.found or {bytes(r["word"]): r["class"] for r in self.words.where(F.col("word").isin([bytearray(w) for w in words])).collect()}
+        return np.array([found.get(w, self.first[self.of_symbol.symbol(w)]) for w in words], np.int64)
+
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        return codes
+
+
 @dataclass
 class Model:
-    """Counts of all training text, classes, and the two tables of logarithms."""
+    """Words with counts and classes, and the two tables of logarithms."""
 
-    counts: DataFrame
+    words: DataFrame
     n: int
     v: int
-    symbols: Symbols
+    #: Words in the head, the classes of symbols and of head words.
+    head: Symbols
     head_counts: np.ndarray
+    first: np.ndarray
+    of_head: np.ndarray
+    symbols: Lookup
     of: np.ndarray
     transition: np.ndarray
     emission: np.ndarray
+    #: The likelihood of the class bigrams of the symbols and after each round of all words.
+    steps: list[float]
+
 
+def learn(docs: DataFrame, *, classes: int = 48, head: int = HEAD, core: int = CORE, groups: int = GROUPS, gain: float = GAIN) -> Model:
+    """A model of all rows of docs (text); a null text is empty.
 
-def learn(docs: DataFrame, *, classes: int = 48, head: int = HEAD, core: int = CORE, groups: int = GROUPS) -> Model:
-    """A model of all rows of docs (text); a null text is empty."""
+    Rounds over all words end when one adds less than gain of the likelihood that the
+    classes of symbols have over a single class; one that lowers it is not kept.
+    """
+    if not 2 <= classes <= 127:
+        raise ValueError("classes must be from 2 to 127: a slot has one byte")
     counts = written(word_counts(docs), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     best = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
@@ -186,78 +411,74 @@ def learn(docs: DataFrame, *, classes: int = 48, head: int = HEAD, core: int = C
     own = set([w for w in words if w != END][:core])
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_tokens, n_types = Counter(), Counter()
+        n_tokens = Counter()
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if word not in own and word != END:
                     key = ending(word)
                     n_tokens[key] += c
-                    n_types[key] += 1
-        yield pa.record_batch({"ending": pa.array(n_tokens.keys(), pa.binary()), "n": pa.array(n_tokens.values(), pa.int64()), "types": pa.array(n_types.values(), pa.int64())})
+        yield pa.record_batch({"ending": pa.array(n_tokens.keys(), pa.binary()), "n": pa.array(n_tokens.values(), pa.int64())})
 
-    by_ending = written(counts.mapInArrow(grouped, "ending binary, n long, types long").groupBy("ending").agg(F.sum("n").alias("n"), F.sum("types").alias("types")), "word-endings")
+    by_ending = written(counts.mapInArrow(grouped, "ending binary, n long").groupBy("ending").agg(F.sum("n").alias("n")), "word-endings")
     chosen = by_ending.orderBy(F.desc("n"), "ending").limit(groups).collect()
     symbols = Symbols(words, [bytes(r["ending"]) for r in chosen], len(own))
-    types = np.ones(symbols.size)
-    types[1 + len(own) : symbols.other] = [r["types"] for r in chosen]
-    all_types = by_ending.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0]
-    types[symbols.other] = all_types - sum(r["types"] for r in chosen)
     bigrams = symbol_bigrams(docs, symbols)
-    classes = min(classes, symbols.size)
-    of = exchange(bigrams, classes)
+    first = exchange(bigrams, min(classes, symbols.size))
     member = np.zeros((symbols.size, classes))
-    member[np.arange(symbols.size), of] = 1
+    member[np.arange(symbols.size), first] = 1
     table = member.T @ bigrams @ member
+    of_head = np.append(first[symbols.of_head], 0)  # one more, so that it is never empty
+    rows = encoded(docs, [], symbols, first).withColumn("_own", F.lit(None).cast("array<long>"))
+    all_words, steps = None, [likelihood(table)]
+    least = gain * (steps[0] - likelihood(table.sum(keepdims=True)))
+    while all_words is None or steps[-1] - steps[-2] > least:
+        new_words = moved(rows, symbols, of_head, table)
+        new_head = of_head.copy()
+        heads = new_words.where("code >= 0").select("code", "class").toArrow()
+        new_head[heads.column("code").to_numpy()] = heads.column("class").to_numpy()
+        new_rows = written(looked_up(rows.drop("_own", "_rare", "_seen"), new_words), "classed")
+        new_table = class_bigrams(new_rows, new_head, classes)
+        steps.append(likelihood(new_table))
+        if all_words is not None and steps[-1] < steps[-2]:
+            break
+        all_words, of_head, rows, table = new_words, new_head, new_rows, new_table
+    types = np.zeros(classes)
+    for r in all_words.groupBy("class").count().collect():
+        types[r["class"]] = r["count"]
     total = table.sum(0)
     share = (total + 1) / (total.sum() + classes)
     transition = np.log10((table + share) / (table.sum(1, keepdims=True) + 1))
-    emission = -np.log10(total + 0.5 * (types @ member + 1))
-    return Model(counts, n, v, symbols, head_counts, of, transition, emission)
+    emission = -np.log10(total + 0.5 * (types + 1))
+    return Model(all_words, n, v, symbols, head_counts, first, of_head, Lookup(all_words, symbols, first), np.arange(classes), transition, emission, steps)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs without text, with n_tokens, n_known, train_tokens, base_score and score.
 
     base_score is the text's log10 probability by word counts, score that of the model.
-    Counts of words outside the head come by a join on the word, each text's words added
-    up before; they enter both scores alike. A null text is empty. Columns of these names
+    Counts and classes of words outside the head come by a join on the word, each text's
+    words added up before. A null text is empty. Columns of these names
     are replaced.
     """
     added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     names = [c for c in docs.columns if c != "text" and c not in added]
-    symbols, of, transition, emission = model.symbols, model.of, model.transition, model.emission
+    of_head, transition, emission = model.of_head, model.transition, model.emission
     log_head = np.log10(model.head_counts + 0.5)
     base = float(np.log10(model.n + 0.5 * (model.v + 1)))
+    rows = looked_up(encoded(docs, names, model.head, model.first), model.words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            for raw in batch.column(0).to_pylist():
-                words = tokens(raw)
-                codes = symbols.codes(words)
-                classes = of[symbols.symbols(codes)]
+        for batch in batches:
+            out = []
+            for row, rare, seen in zip(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                codes, classes = sequence(*row, of_head)
                 head = codes[codes >= 0]
-                known = float(log_head[head].sum())
-                steps = float(transition[np.concatenate(([0], classes[:-1])), classes].sum() + emission[classes].sum())
-                rest = Counter(w for w, c in zip(words, codes.tolist(), strict=True) if c < 0)
-                rows.append((len(words), len(head), known - len(words) * base, known + steps, list(rest), list(rest.values())))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-            yield pa.record_batch([*batch.columns[1:], *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=[*names, "n_tokens", "_head", "_base", "_model", "_words", "_tf"])
-
-    source = docs.select(F.col("text").cast("binary").alias("text"), *names)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
-    rows = source.mapInArrow(run, f"{ddl}{', ' if ddl else ''}n_tokens long, _head long, _base double, _model double, _words array<binary>, _tf array<long>")
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "scores")
-    rare = rows.select("_row", F.explode(F.arrays_zip("_words", "_tf")).alias("x")).select("_row", F.col("x._words").alias("word"), F.col("x._tf").alias("tf"))
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.join(model.counts, "word", "left").groupBy("_row").agg(F.sum(F.col("tf") * F.log10(c + 0.5)).alias("_rare"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("_seen"))
-    done = rows.drop("_words", "_tf").join(rare, "_row", "left")
-    extra = F.coalesce("_rare", F.lit(0.0))
-    return done.select(
-        *names,
-        "n_tokens",
-        (F.col("_head") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("_base") + extra).alias("base_score"),
-        (F.col("_model") + extra).alias("score"),
-    )
+                known = float(log_head[head].sum()) + (rare or 0.0)
+                steps = float(transition[np.append(0, classes[:-1]), classes].sum() + emission[classes].sum())
+                out.append((len(head) + (seen or 0), known - len(codes) * base, known + steps))
+            kinds = [pa.int64(), pa.float64(), pa.float64()]
+            yield pa.record_batch([*batch.columns[5:], *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], names=[*names, "n_tokens", "n_known", "base_score", "score"])
+
+    ddl = "".join(f"`{x.name}` {x.dataType.simpleString()}, " for x in docs.select(*names).schema.fields)
+    done = rows.select("_codes", "_first", "_own", "_rare", "_seen", *names, "n_tokens").mapInArrow(run, f"{ddl}n_tokens long, n_known long, base_score double, score double")
+    return done.select(*names, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -259,6 +259,17 @@ def test_class_lm(spark, texts):
         assert (total + 0.5) * 10 ** model.emission[k] == pytest.approx(1)
 
 
+def test_rare_words_are_classed_by_their_neighbours(spark):
+    """Words of one ending, outside core and head, that stand in two kinds of places."""
+    rng = random.Random(4)
+    nouns, verbs = ([f"{k}{i}zz" for i in range(40)] for k in ("n", "v"))
+    docs = frame(spark, [" ".join(x for _ in range(30) for x in ("the", rng.choice([*nouns, *nouns[:1] * 20]), "to", rng.choice([*verbs, *verbs[:1] * 20]))) for _ in range(60)])
+    model = class_lm.learn(docs, classes=5, head=6, core=4, groups=2)
+    of = {w: int(model.of[model.symbols.symbols(model.symbols.codes([w.encode()]))[0]]) for w in nouns + verbs}
+    assert len({of[w] for w in nouns}) == 1 and len({of[w] for w in verbs}) == 1 and of[nouns[0]] != of[verbs[0]]
+    assert model.steps[1] > model.steps[0]
+
+
 def test_exchange_finds_alternation():
     big = np.zeros((7, 7))
     for a, b in [(1, 2), (3, 4), (1, 4), (3, 2), (5, 6), (1, 6), (5, 2)]:
