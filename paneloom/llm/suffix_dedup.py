@@ -221,6 +221,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000) ->
                         equal[int.from_bytes(inner, "little", signed=True), point - low, raw[low : high + length]].append((k1, k2, low))
             yield pa.record_batch(
                 {
+                    "digest": pa.array([hashlib.blake2b(k[2], digest_size=16, salt=k[0].to_bytes(8, "little", signed=True) + k[1].to_bytes(8, "little")).digest() for k in equal], pa.binary()),
                     "print": pa.array([k[0] for k in equal], pa.int64()),
                     "before": pa.array([k[1] for k in equal], pa.int64()),
                     "passage": pa.array([k[2] for k in equal], pa.binary()),
@@ -228,52 +229,55 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000) ->
                 }
             )
 
-    out = beside.mapInArrow(passages, "print long, before long, passage binary, owners binary")
+    out = written(beside.mapInArrow(passages, "digest binary, print long, before long, passage binary, owners binary"), "passages")
+    # Distinct passages are sorted without their owners, however many these are.
+    distinct = out.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("print", "before", "passage")], (F.sum(F.octet_length("owners")) > 24).alias("copied"))
     crowded = None
     if repeated.where(F.col("n") > hot).limit(1).count():
-        out = written(out, "passages")
-        many = out.groupBy("print").count().where(F.col("count") > hot).select("print")
+        distinct = written(distinct, "distinct-passages")
+        many = distinct.groupBy("print").count().where(F.col("count") > hot).select("print")
         if many.limit(1).count():
-            crowded, out = out.join(many, "print", "left_semi"), out.join(many, "print", "left_anti")
-
-    def cover(group: dict[tuple[int, int, bytes], list[bytes]], several: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-        alone = repeated_starts([(p, a) for _, a, p in several], length) if several else []
-        spans = {key: runs(s, length) for key, s in zip(several, alone, strict=True)}
-        for key, owners in group.items():
-            rows = np.frombuffer(b"".join(owners), np.int64).reshape(-1, 3)
-            for start, end in [(0, len(key[2]))] if len(rows) > 1 else spans.get(key, []):
-                yield from ((k1, k2, first + start, first + end) for k1, k2, first in rows.tolist())
+            crowded, distinct = out.join(many, "print", "left_semi"), distinct.join(many, "print", "left_anti")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(group: dict, several: list) -> pa.RecordBatch:
-            rows = np.array(list(cover(group, several)) or np.empty((0, 4)), np.int64)
-            return pa.record_batch({"k1": rows[:, 0], "k2": rows[:, 1], "start": rows[:, 2], "end": rows[:, 3]})
+        """Spans within each passage: all of one with several owners, else its strings that another has."""
+
+        def told(several: list[tuple[bytes, int, bytes, bool]]) -> pa.RecordBatch:
+            alone = repeated_starts([(p, a) for _, a, p, _ in several], length) if len(several) > 1 else [np.empty(0, np.int64)] * len(several)
+            rows = [(d, start, end) for (d, _, p, copied), s in zip(several, alone, strict=True) for start, end in ([(0, len(p))] if copied else runs(s, length))]
+            return pa.record_batch({"digest": pa.array([r[0] for r in rows], pa.binary()), "start": pa.array([r[1] for r in rows], pa.int64()), "end": pa.array([r[2] for r in rows], pa.int64())})
 
-        group, several, mine, last = {}, [], [], None
+        several, mine, last = [], [], None
         for batch in batches:
-            for p, before, passage, owners in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for p, *passage in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if p != last:
-                    several += mine if len(mine) > 1 else []
+                    several += mine if len(mine) > 1 or mine and mine[0][3] else []
                     mine = []
-                    if len(several) >= COLLECTION or len(group) >= 4 * COLLECTION:
-                        yield told(group, several)
-                        group, several = {}, []
+                    if len(several) >= COLLECTION:
+                        yield told(several)
+                        several = []
                     last = p
-                if (key := (p, before, passage)) in group:
-                    group[key].append(owners)
-                else:
-                    group[key] = [owners]
-                    mine.append(key)
-        several += mine if len(mine) > 1 else []
-        yield told(group, several)
-
-    spans = out.repartition("print").sortWithinPartitions("print").mapInArrow(sort, "k1 long, k2 long, start long, end long")
+                mine.append((passage[0], passage[1], passage[2], passage[3]))
+        several += mine if len(mine) > 1 or mine and mine[0][3] else []
+        yield told(several)
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for few in slices([batch], 64):
+                owners = few.column(0).to_pylist()
+                rows = np.frombuffer(b"".join(owners), np.int64).reshape(-1, 3)
+                each = [len(o) // 24 for o in owners]
+                start, end = (np.repeat(few.column(k).to_numpy(), each) for k in (1, 2))
+                yield pa.record_batch({"k1": rows[:, 0], "k2": rows[:, 1], "start": rows[:, 2] + start, "end": rows[:, 2] + end})
+
+    sorted_ = distinct.select("print", "digest", "before", "passage", "copied").repartition("print").sortWithinPartitions("print").mapInArrow(sort, "digest binary, start long, end long")
+    spans = out.select("digest", "owners").join(sorted_, "digest").select("owners", "start", "end").mapInArrow(owned, "k1 long, k2 long, start long, end long")
     if crowded is not None:
 
         def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 rows = []
-                for passage, owners in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for passage, owners in zip(batch.column(batch.schema.get_field_index("passage")).to_pylist(), batch.column(batch.schema.get_field_index("owners")).to_pylist(), strict=True):
                     for s in range(len(passage) - length + 1):
                         rows.append((hashlib.blake2b(passage[s : s + length], digest_size=16).digest(), s, owners))
                 yield pa.record_batch(

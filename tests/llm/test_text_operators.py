@@ -85,6 +85,15 @@ def test_suffix_dedup(spark, texts, length, hot):
         assert r["n_bytes"] - len(r["kept"]) == sum(s["end"] - s["start"] for s in r["spans"])
 
 
+def test_copies_are_sorted_once(spark, texts):
+    """Owners of a passage, as many as it has copies, stay out of the task that sorts it."""
+    copies = [texts[12]] * 2500 + texts[:30]
+    found = suffix_dedup.remove_repeats(frame(spark, copies), length=50)
+    sorts = [x for x in found._jdf.queryExecution().analyzed().toString().split("\n") if "MapInArrow sort(" in x]
+    assert sorts and not any("owners" in x for x in sorts)
+    assert ids(found.collect(), "kept") == sorted((i == 11, 0 if i == 11 else i, v) for i, v in enumerate(removed_by_hand(copies, 50)))
+
+
 def test_near_duplicates(spark, texts):
     df = frame(spark, texts).withColumn("class_id", F.lit("clash"))
     got = near_dedup.near_duplicates(df).collect()
