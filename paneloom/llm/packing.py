@@ -58,13 +58,17 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def learn(self, cut: list[list[bytes]]) -> None:
+    def learn(self, cut: list[list[bytes]], plain: bool) -> None:
         pieces, self.memo.new = self.memo.new, []
         if len(self.memo) > MEMO:
             self.memo.clear()
             pieces = list(set().union(*cut))
         for at in range(0, len(pieces), CALL):
             some = pieces[at : at + CALL]
+            if not plain:  # white space may cut none or several words, which would hide each other in a joined call
+                found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
+                self.memo.update((p, np.asarray(x.ids, "<u4").tobytes()) for p, x in zip(some, found, strict=True))
+                continue
             found = np.frombuffer(self.ids(b" ".join(some).decode("utf-8", "replace")), "<u4")
             ends = 4 * (np.flatnonzero(self.last[found]) + 1)
             if len(ends) == len(some):
@@ -74,15 +78,19 @@ class Encoder:
                 self.memo.update((p, self.ids(p.decode("utf-8", "replace"))) for p in some)
 
     def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        cut = []
-        for text in texts:
-            raw = (text or "").encode("utf-8", "replace").lower()
-            cut.append(PIECES.findall(raw) if PLAIN.fullmatch(text or "") else raw.split())
-        for pieces in cut:
-            deque(map(self.memo.__getitem__, pieces), 0)  # the new ones go to self.memo.new
-        if self.memo.new:
-            self.learn(cut)
-        return [b"".join([*map(self.memo.__getitem__, pieces), end]) for pieces in cut]
+        raws = [(text or "").encode("utf-8", "replace").lower() for text in texts]
+        is_plain = [PLAIN.fullmatch(text or "") is not None for text in texts]
+        out = [b""] * len(texts)
+        for plain in (True, False):
+            at = [i for i, p in enumerate(is_plain) if p == plain]
+            cut = [PIECES.findall(raws[i]) if plain else raws[i].split() for i in at]
+            for pieces in cut:
+                deque(map(self.memo.__getitem__, pieces), 0)  # the new ones go to self.memo.new
+            if self.memo.new:
+                self.learn(cut, plain)
+            for i, pieces in zip(at, cut, strict=True):
+                out[i] = b"".join([*map(self.memo.__getitem__, pieces), end])
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

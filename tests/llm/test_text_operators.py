@@ -185,6 +185,14 @@ def test_packing(spark, texts):
         assert k == max(places) or sum(n for _, n in parts) == 64
 
 
+def test_pieces_of_no_and_of_several_words():
+    file = tokenizer()
+    encoder = packing.Encoder(file)
+    for text in ("\u00a0 it's", "it's \u00a0 its", "\u3000 we'll"):
+        found = np.frombuffer(encoder.encode([text], b"")[0], "<u4").tolist()
+        assert found == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_decontamination(spark, texts):
     items = [(0, texts[17]), (1, texts[17]), (2, "one two three four"), (3, None), (4, ""), (None, " ".join((texts[25] or "").split()[3:30])), (2, "twice the same id")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
