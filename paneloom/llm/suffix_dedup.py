@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,7 +160,27 @@ def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(firsts.tolist(), (lasts + length).tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000) -> DataFrame:
+def united(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """Spans in order of their starts, those that meet as one."""
+    merged: list[list[int]] = []
+    for s, e in spans:
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(e, merged[-1][1])
+        else:
+            merged.append([s, e])
+    return merged
+
+
+def whole_characters(raw: bytes, start: int, end: int) -> tuple[int, int]:
+    """The span with both ends moved outward past the bytes of a UTF-8 character that they split."""
+    while 0 < start < len(raw) and raw[start] & 0xC0 == 0x80:
+        start -= 1
+    while end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end += 1
+    return start, end
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000, min_words: int = 0, characters: bool = False) -> DataFrame:
     """docs with n_bytes, spans (array of start, end) and kept (the remaining bytes).
 
     A byte goes if a string of length bytes that covers it starts anywhere else too, in
@@ -168,6 +188,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000) ->
     text is empty. Rows that repeat, ids included, are texts of their own. Texts shorter
     than length keep all bytes. Columns named n_bytes, spans or kept are replaced.
 
+    With min_words, maximal runs of fewer words, parts of words at either end included,
+    stay. With characters, a character that a run's end splits goes with the run, so that
+    what is left of UTF-8 text is UTF-8.
+
     A fingerprint with more than hot anchors does not go to one task. Its passages are cut
     into blocks of BLOCK starts, which meet by a hash of what all strings of a block have
     in common, so that only strings nearly equal still meet. If more than hot of those do,
@@ -303,12 +327,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000) ->
         for batch in slices(batches):
             raws, all_spans, kept = batch.column(len(names)).to_pylist(), [], []
             for raw, starts, ends in zip(raws, *(batch.column(len(names) + k).to_pylist() for k in (1, 2)), strict=True):
-                merged: list[list[int]] = []
-                for s, e in zip(starts or (), ends or (), strict=True):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(e, merged[-1][1])
-                    else:
-                        merged.append([s, e])
+                merged = united(zip(starts or (), ends or (), strict=True))
+                if min_words:
+                    merged = [m for m in merged if len(raw[m[0] : m[1]].split()) >= min_words]
+                if characters:
+                    merged = united(whole_characters(raw, s, e) for s, e in merged)
                 edges = [0, *(x for pair in merged for x in pair), len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 all_spans.append([{"start": s, "end": e} for s, e in merged])

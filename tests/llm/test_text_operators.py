@@ -85,6 +85,37 @@ def test_suffix_dedup(spark, texts, length, hot):
         assert r["n_bytes"] - len(r["kept"]) == sum(s["end"] - s["start"] for s in r["spans"])
 
 
+def test_short_runs_stay_and_characters_go_whole(spark):
+    """min_words and characters against runs found by hand."""
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("abcé日") for _ in range(rng.randint(1, 7))) for _ in range(500)]
+    long, short = " ".join(words(rng, 55, pool)), " ".join(words(rng, 30, pool))
+    docs = [None, "", *(f"{' '.join(words(rng, 40, pool))} é{s}é {' '.join(words(rng, 40, pool))}" for s in (long, long, short, short, "日" + long[1:]))]
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(frame(spark, docs), length=100, min_words=50, characters=True).collect()}
+    runs = {r["doc_id"]: r["spans"] for r in suffix_dedup.remove_repeats(frame(spark, docs), length=100).collect()}
+    for i, t in enumerate(docs):
+        raw = (t or "").encode()
+        expected = [suffix_dedup.whole_characters(raw, s["start"], s["end"]) for s in runs[i] if len(raw[s["start"] : s["end"]].split()) >= 50]
+        assert [(s["start"], s["end"]) for s in got[i]["spans"]] == expected
+        got[i]["kept"].decode()  # what is left is whole characters
+    assert [len(runs[i]) for i in range(len(docs))] == [0, 0, 1, 1, 1, 1, 1] and [len(got[i]["spans"]) for i in range(len(docs))] == [0, 0, 1, 1, 0, 0, 1]
+
+
+def test_repeats_in_a_very_long_text(spark):
+    """Repeats inside and across the pieces that a text over 4 MiB is worked on in."""
+    rng = np.random.default_rng(9)
+    alphabet = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz     \n", np.uint8)
+    raw = bytearray(alphabet[rng.integers(0, len(alphabet), suffix_dedup.SEGMENT + 300_000)].tobytes())
+    passage = alphabet[rng.integers(0, len(alphabet), 500)].tobytes()
+    places = [1_000, suffix_dedup.SEGMENT - 250, suffix_dedup.SEGMENT + 200_000]
+    for at in places:
+        raw[at : at + 500] = b"#" + passage[1:-1] + bytes([at % 251])  # other bytes at either end
+    text = raw.decode("latin-1").encode("ascii", "replace").decode()
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(frame(spark, [text, "x", passage[100:499].decode()]), length=400).collect()}
+    assert [(s["start"], s["end"]) for s in got[0]["spans"]] == [(at, at + 499) for at in places]
+    assert not got[1]["spans"] and not got[2]["spans"]
+
+
 def test_copies_are_sorted_once(spark, texts):
     """Owners of a passage, as many as it has copies, stay out of the task that sorts it."""
     copies = [texts[12]] * 2500 + texts[:30]
