@@ -1,14 +1,17 @@
 """Benchmark decontamination by winnowing, in DataFrame functions.
 
-Every run of size words keeps the least hash of its k-grams as its fingerprint. Two equal
-runs have the same fingerprint, so the join of distinct fingerprints finds each document
-and item that share a run; the hit is then extended: the document's runs with one of the
-item's fingerprints are compared word by word with the item's runs.
+Every run of consecutive words keeps the least hash of its k-grams as its fingerprint. Two
+equal runs have the same fingerprint, so the join of fingerprints finds each document and
+item that share a run; the hit is then extended: the document's runs with one of the item's
+fingerprints are compared word by word with the item's runs. Texts are cut into words once,
+whatever the lengths of the items.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.llm.arrays import grams, sliding_least
@@ -24,16 +27,35 @@ def with_words(df: DataFrame) -> DataFrame:
     return df.withColumn("words", F.array_remove(F.split(F.coalesce("text", F.lit("")), BETWEEN), ""))
 
 
-def with_fingerprints(df: DataFrame, size: int) -> DataFrame:
-    """prints: for each run of size words, the least hash of its k-grams, letters lower-cased."""
+def with_hashes(df: DataFrame) -> DataFrame:
+    """hashes of words, letters lower-cased."""
+    return df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
+
+
+def with_fingerprints(df: DataFrame, size: int, out: str) -> DataFrame:
+    """out: for each run of size words, the least hash of its k-grams."""
     k = 8 if size >= 13 else (size + 1) // 2
-    df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
-    df = grams(df, "hashes", k, "prints").drop("hashes")
-    return sliding_least(df, "prints", size - k + 1, "prints")
+    return sliding_least(grams(df, "hashes", k, out), out, size - k + 1, out)
+
+
+def stretches(prints: str, size: int) -> Column:
+    """(size, print, low, high): the places, from 1, of consecutive runs with one fingerprint."""
+    n = F.size(prints)
+    new = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(prints, i - 1) != F.get(prints, i - 2)))
+    each = F.transform(new, lambda low, j: F.struct(F.lit(size).alias("size"), F.get(prints, low - 1).alias("print"), low.alias("low"), (F.coalesce(F.get(new, j + 1), n + 1) - 1).alias("high")))
+    return F.when(n > 0, each).otherwise(F.array().cast("array<struct<size: int, print: bigint, low: int, high: int>>"))
+
 
+def run_text(words: str, at: Column, size: Column) -> Column:
+    return F.translate(F.array_join(F.slice(words, at, size), " "), UPPER, LOWER)
 
-def run_text(words: str, at, size: int):
-    return F.translate(F.array_join(F.slice(words, at, F.lit(size)), " "), UPPER, LOWER)
+
+def spans(starts: str, size: Column) -> Column:
+    """Maximal covered places (start, end) of runs at ascending starts."""
+    n = F.size(starts)
+    places = F.sequence(F.lit(0), n - 1)
+    first = F.filter(places, lambda j: (j == 0) | (F.get(starts, j) > F.get(starts, j - 1) + size))
+    return F.transform(first, lambda j, k: F.struct(F.get(starts, j).cast("long").alias("start"), (F.get(starts, F.coalesce(F.get(first, k + 1), n) - 1) + size).cast("long").alias("end")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: float = 0.05) -> DataFrame:
@@ -41,49 +63,49 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
 
     A window is window consecutive words of an item, or all words of an item that has
     fewer; a word of a document is hit inside any occurrence of a window. contaminated:
-    some word is hit, and at least share of all words are. Null texts have no words.
-    Items that repeat an item_id count once, a null item_id as an empty string; repeated
-    documents are judged each on its own. Columns of these names are replaced.
+    some word is hit, and at least share (as an exact ratio) of all words are. Null texts
+    have no words. Items that repeat an item_id count once, a null item_id as an empty
+    string; repeated documents are judged each on its own. Without documents the result is
+    empty, without items nothing is hit. Columns of these names are replaced, others stay.
     """
     docs = docs.drop("n_words", "n_hit", "n_items", "item_ids", "contaminated")
+    ratio = Fraction(share).limit_denominator(1_000_000)
     items = with_words(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"))
-    items = items.select("item_id", "words", F.least(F.size("words"), F.lit(window)).alias("run")).where("run > 0")
+    items = items.select("item_id", "words", F.least(F.size("words"), F.lit(window)).alias("size")).where("size > 0")
     # There are window different lengths at most.
-    lengths = sorted(r["run"] for r in items.select("run").distinct().collect())
+    lengths = sorted(r["size"] for r in items.select("size").distinct().collect())
     keyed = docs.withColumns({"_id": F.xxhash64("doc_id", "text"), "_id2": F.xxhash64("text", "doc_id", F.lit(7))})
-    texts = keyed.select("_id", "_id2", "text")
-    hits = None
-    for size in lengths:
-        of_items = with_fingerprints(items.where(F.col("run") == size), size).select(
-            "item_id",
-            F.array_distinct("prints").alias("item_prints"),
-            F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: run_text("words", i, size)).alias("runs"),
-        )
-        of_items = written(of_items, "benchmark-runs")
-        prints = with_fingerprints(with_words(texts), size).select("_id", "_id2", F.explode(F.array_distinct("prints")).alias("print"))
-        shared = prints.join(of_items.select("item_id", F.explode("item_prints").alias("print")), "print").select("_id", "_id2", "item_id").distinct()
-        shared = written(shared, "shared-runs")
-        pairs = texts.join(shared, ["_id", "_id2"])
-        pairs = with_fingerprints(with_words(pairs), size).join(of_items, "item_id")
-        near = F.filter(F.transform("prints", lambda p, i: F.when(F.array_contains("item_prints", p), i + 1)), lambda i: i.isNotNull())
-        pairs = pairs.withColumn("near", near)
-        pairs = pairs.withColumn("starts", F.filter("near", lambda i: F.array_contains("runs", run_text("words", i, size))))
-        found = pairs.where(F.size("starts") > 0).select(
-            "_id", "_id2", "item_id", F.transform("starts", lambda i: F.struct(i.cast("long").alias("start"), (i + size).cast("long").alias("end"))).alias("spans")
-        )
-        hits = found if hits is None else hits.unionByName(found)
     n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BETWEEN), "")).cast("long")
     counted = keyed.withColumn("n_words", n_words)
-    if hits is None:
+    if not lengths:
         counted = counted.withColumns({"n_hit": F.lit(0).cast("long"), "item_ids": F.array().cast("array<string>")})
     else:
+        of_items = None
+        for size in lengths:
+            runs = F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: run_text("words", i, F.lit(size)))
+            some = with_fingerprints(with_hashes(items.where(F.col("size") == size)), size, "prints")
+            some = some.select("item_id", "size", F.array_distinct("prints").alias("prints"), runs.alias("runs"))
+            of_items = some if of_items is None else of_items.unionByName(some)
+        of_items = written(of_items, "benchmark-runs")
+        texts = keyed.select("_id", "_id2", "text")
+        prints = with_hashes(with_words(texts).select("_id", "_id2", "words")).drop("words")
+        for size in lengths:
+            prints = with_fingerprints(prints, size, f"p{size}")
+        every = F.concat(*[stretches(f"p{size}", size) for size in lengths])
+        prints = prints.select("_id", "_id2", F.explode(every).alias("s")).select("_id", "_id2", "s.*")
+        shared = prints.join(of_items.select("item_id", "size", F.explode("prints").alias("print")), ["size", "print"])
+        shared = written(shared.groupBy("_id", "_id2", "item_id", "size").agg(F.collect_set(F.struct("low", "high")).alias("near")), "shared-runs")
+        pairs = with_words(texts.join(shared, ["_id", "_id2"])).join(of_items.select("item_id", "size", "runs"), ["item_id", "size"])
+        near = F.array_sort(F.flatten(F.transform("near", lambda s: F.sequence(s["low"], s["high"]))))
+        pairs = pairs.withColumn("starts", F.filter(near, lambda i: F.array_contains("runs", run_text("words", i, F.col("size")))))
+        hits = pairs.where(F.size("starts") > 0).select("_id", "_id2", "item_id", spans("starts", F.col("size")).alias("spans"))
         covered = F.aggregate(
             "spans",
             F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),
             lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], a["upto"]))).alias("n"), F.greatest(s["end"], a["upto"]).alias("upto")),
             lambda a: a["n"],
         )
-        by_doc = hits.groupBy("_id", "_id2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+        by_doc = hits.groupBy("_id", "_id2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
         by_doc = by_doc.select("_id", "_id2", covered.alias("n_hit"), "item_ids")
         counted = counted.join(by_doc, ["_id", "_id2"], "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
     return counted.select(
@@ -92,5 +114,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),
         "item_ids",
-        ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * ratio.denominator >= F.col("n_words") * ratio.numerator)).alias("contaminated"),
     )
