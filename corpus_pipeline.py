@@ -1,7 +1,12 @@
 """The corpus pipeline: language ID, near and exact dedup, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the
-columns of documents; the last returns the pieces of the packed sequences.
+columns of documents; the last returns the pieces of the packed sequences. Documents with a
+null text or one without a letter go in the first stage, so an empty text only reaches later
+stages when all of it repeats elsewhere; it is then packed as its end token. Rows that repeat
+are copies, of which one stays. Texts of any length are worked on whole, ties go to the least
+doc_id, and an empty table stays empty through all stages. Columns beside those of documents
+stay until packing, but for the names that an operator replaces.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from paneloom.llm.common import table, written
 
 #: A text this far from all languages, as a share of the largest distance, is in none of them.
 FARTHEST = 0.8
+#: Repeated passages that go: 50 words are in 200 bytes or more but for the shortest words.
+REPEAT_BYTES, REPEAT_WORDS = 200, 50
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,15 +36,14 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes strings of 400 bytes that start elsewhere too; a character that a cut splits goes too.
+    """Removes passages of REPEAT_WORDS words or more made of strings of REPEAT_BYTES bytes that start elsewhere too.
 
-    Documents stay, even if nothing is left of their text. n_chars follows the text.
+    A character that a cut splits goes too. Documents stay, even if nothing is left of
+    their text. n_chars follows the text.
     """
-    found = suffix_dedup.remove_repeats(docs, length=400)
-    raw = F.col("kept").cast("string")
-    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit("")))
+    found = suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES, min_words=REPEAT_WORDS, characters=True)
     changed = F.size("spans") > 0
-    found = found.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
+    found = found.withColumn("text", F.when(changed, F.col("kept").cast("string")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)
