@@ -18,25 +18,31 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else a local one.
+
+    A local folder serves a local session only; a cluster without the setting is an error.
+    """
     global _local_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="spark-shared-")
     return f"file://{_local_dir}"
 
 
-#: Rows in an Arrow batch. Texts are long, and a task holds a batch on either side of its pipe.
-BATCH_ROWS = 1_000
+#: Rows and bytes in an Arrow batch. Texts are long, and a task holds a batch on either side of its pipe.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to at most BATCH_ROWS rows."""
+    """Sets the session's Arrow batches to at most BATCH_ROWS rows and, but for a longer row, BATCH_BYTES bytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +67,22 @@ def fold(doc_id: str = "doc_id", folds: int = 5):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(folds), F.lit(-1))
 
 
+def least_hashed(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most most rows, those of the least hash of keys.
+
+    A bound on the hash leaves little more than most rows before any are ordered, so the
+    task that takes the least ones does not get most rows of every partition. A bound that
+    leaves too few, as where many rows have one key, is doubled.
+    """
+    h = F.xxhash64(*keys)
+    total = rows.count()
+    share = min(1.0, 1.2 * most / max(total, 1))
+    while share < 1.0 and rows.where(h <= F.lit(int(share * 2.0**64) - 2**63)).count() < most:
+        share = min(1.0, 2 * share)
+    some = rows if share >= 1.0 else rows.where(h <= F.lit(int(share * 2.0**64) - 2**63))
+    return some.orderBy(h, *keys).limit(most)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into short ones, so that a task holds few texts as Python objects."""
     for batch in batches:

@@ -19,14 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneloom.llm.common import slices, written
+from paneloom.llm.common import least_hashed, slices, written
 
 #: Labelled rows that rules and weights are fitted on at most: those of the least id hash.
 SAMPLE = 20_000
-STATISTICS = ["n_bytes", "n_words", "word_length", "upper_share", "digit_share", "symbol_share", "pipe_share", "bang_share", "punct_share", "high_share", "line_share", "distinct_share", "top_share", "pair_share", "dup_line_share"]
+STATISTICS = ["n_bytes", "n_words", "word_length", "upper_share", "digit_share", "symbol_share", "emphasis_share", "punct_share", "high_share", "line_share", "distinct_share", "top_share", "pair_share", "dup_line_share"]
 
-#: The symbols that mark up prose least often.
-SYMBOLS = b"#$%&*<>"
+#: Marks that prose hardly uses, and those that end emphatic sentences.
+SYMBOLS, EMPHASIS = b"#$%&*+<=>@[\\]^_`{|}~", b"!?"
 
 
 def statistics_of(raw: bytes) -> list[float]:
@@ -48,8 +48,7 @@ def statistics_of(raw: bytes) -> list[float]:
         upper / size,
         digit / size,
         n[list(SYMBOLS)].sum() / size,
-        n[124] / size,
-        n[33] / size,
+        n[list(EMPHASIS)].sum() / size,
         (n[33:127].sum() - letters - digit) / size,
         high / size,
         n[10] / size,
@@ -126,7 +125,8 @@ def fit(rows: DataFrame, *, sample: int = SAMPLE, trees: int = 12, depth: int =
 
     Rows of one label, or none, give an ensemble without rules.
     """
-    some = rows.where("label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("label").cast("double").alias("label"), *STATISTICS).cache()
+    known = rows.where("label in (0, 1)")
+    some = least_hashed(known, sample, "doc_id", *STATISTICS).select(F.col("label").cast("double").alias("label"), *STATISTICS).cache()
     n, ones = some.agg(F.count("*"), F.sum("label")).first()
     if not n or not 0 < ones < n:
         share = min(max((ones or 0) / (n or 1), 1e-3), 1 - 1e-3)
@@ -146,7 +146,11 @@ def scored(docs: DataFrame, labels: DataFrame, teaches: Column, *, cut: float =
     """doc_id, score and predicted for each row of docs (doc_id, text).
 
     labels (doc_id, quality) of rows where teaches holds are learned from; a null or
-    other label teaches nothing. Repeated rows are scored each.
+    other label teaches nothing. Repeated rows are scored each, and alike; a null text as
+    an empty one. Empty docs give an empty result; without labels of both kinds every
+    score is the mean label, from 0.001 (also for no label) to 0.999. Of rows with one
+    hash the sample takes those of least id and statistics. Other columns of docs,
+    whatever their names, are neither read nor returned.
     """
     rows = written(with_statistics(docs.select("doc_id", "text")), "text-statistics")
     known = labels.select("doc_id", F.col("quality").alias("label"))
