@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.llm.common import written
+from paneloom.llm.common import least_hashed, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["url_length", "host_length", "path_length", "depth", "host_labels", "digit_share", "entropy", "n_params", "n_hyphens", "has_fragment", "is_https", "has_www", "first_segment_length", "suffix_share", "domain_share"]
 #: Labelled URLs that trees are fitted on at most; those of the least hash, from all rows.
 SAMPLE = 20_000
+#: Folds of hosts; a labelled row's shares come from the other folds.
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -87,34 +89,79 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def with_shares(df: DataFrame, labelled: DataFrame) -> DataFrame:
-    """suffix_share and domain_share: blocked share of labelled rows, smoothed by two rows of a half."""
+def with_shares(df: DataFrame, labelled: DataFrame, *, out_of_fold: bool = False) -> DataFrame:
+    """suffix_share and domain_share: blocked share of labelled rows, smoothed by two rows of a half.
+
+    Folds are of hosts. A labelled row must not see its own label, so out_of_fold leaves
+    the rows of its host's fold out of its shares.
+    """
     for key in ("suffix", "domain"):
-        known = labelled.groupBy(key).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(f"{key}_share"))
-        df = df.join(known, key, "left").withColumn(f"{key}_share", F.coalesce(f"{key}_share", F.lit(0.5)))
+        folds = labelled.groupBy(key, "fold").agg(F.sum("label").alias("b"), F.count("*").alias("n"))
+        known = folds.groupBy(key).agg(F.sum("b").alias("_b"), F.sum("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("b", "n")))).alias("_own"))
+        df = df.join(known, key, "left")
+        own = F.try_element_at("_own", F.col("fold")) if out_of_fold else F.lit(None).cast("struct<b: double, n: bigint>")
+        b, n = F.coalesce("_b", F.lit(0.0)) - F.coalesce(own["b"], F.lit(0.0)), F.coalesce("_n", F.lit(0)) - F.coalesce(own["n"], F.lit(0))
+        df = df.withColumn(f"{key}_share", (b + 1) / (n + 2)).drop("_b", "_n", "_own")
     return df
 
 
-def judged(pages: DataFrame, rules: list[Rule], *, sample: int = SAMPLE, trees: int = 15, depth: int = 4, seed: int = 7) -> DataFrame:
+@dataclass
+class Trees:
+    """Boosted trees, or one score for all rows where the labels are of one kind."""
+
+    model: GBTClassificationModel | None
+    share: float
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows (FEATURES) with score, that of being blocked."""
+        if self.model is None:
+            return rows.withColumn("score", F.lit(self.share))
+        assembled = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(rows)
+        return self.model.transform(assembled).withColumn("score", vector_to_array("probability")[1])
+
+
+def fit(labelled: DataFrame, *, sample: int = SAMPLE, trees: int = 15, depth: int = 4, seed: int = 7) -> Trees:
+    """Trees from lexical rows with label (1: blocked) and fold, at most sample of them; shares count all.
+
+    Rows that repeat count as often as they are there; which rows the sample has does not
+    depend on their order.
+    """
+    n, blocked = labelled.agg(F.count("*"), F.sum("label")).first()
+    if not n or not 0 < blocked < n:
+        return Trees(None, float(blocked or 0) / (n or 1))
+    some = with_shares(least_hashed(labelled, sample, "url", "_row"), labelled, out_of_fold=True).select("label", *FEATURES)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(some)
+    return Trees(GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed).fit(rows), float(blocked) / n)
+
+
+def prepared(pages: DataFrame, rules: list[Rule], names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Lexical rows of all pages, and those that a rule fits, with label."""
+    fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+    rows = lexical(ruled(with_parts(pages.select(F.struct(*names).alias("_row"), "url")), rules)).withColumn("fold", fold)
+    rows = written(rows, "urls")
+    return rows, rows.where("verdict is not null").withColumn("label", (F.col("verdict") == "block").cast("double"))
+
+
+def judged(pages: DataFrame, rules: list[Rule], **options) -> DataFrame:
     """pages with host, path, rule, verdict and score (of being blocked).
 
     URLs that a rule fits have its verdict and are the labelled rows. Trees are fitted on
     at most sample of them; statistics of suffixes count all. URLs without a rule are
     blocked at a score of one half or more. Without labelled rows of both verdicts the
-    score is the share of blocked ones, or 0 if there are none. Columns of these names
+    score is the share of blocked ones, or 0 if there are none. Of rules of one length
+    the first wins. Rows that repeat are judged each, and alike. Columns of these names
     are replaced.
     """
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "score")]
-    rows = written(lexical(ruled(with_parts(pages.select(F.struct(*names).alias("_row"), "url")), rules)), "urls")
-    labelled = rows.where("verdict is not null").withColumn("label", (F.col("verdict") == "block").cast("double"))
-    rows = with_shares(rows, labelled)
-    n, blocked = labelled.agg(F.count("*"), F.sum("label")).first()
-    if n and 0 < blocked < n:
-        some = with_shares(labelled, labelled).orderBy(F.xxhash64("url"), "url").limit(sample).select("label", *FEATURES)
-        assembler = VectorAssembler(inputCols=FEATURES, outputCol="_features")
-        model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed).fit(assembler.transform(some))
-        rows = model.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1])
-    else:
-        rows = rows.withColumn("score", F.lit(float(blocked or 0) / (n or 1)))
+    rows, labelled = prepared(pages, rules, names)
+    found = fit(labelled, **options).scored(with_shares(rows, labelled))
     verdict = F.coalesce("verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return rows.withColumn("verdict", verdict).select(*[F.col("_row").getField(n).alias(n) for n in names], "host", "path", "rule", "verdict", "score")
+    return found.withColumn("verdict", verdict).select(*[F.col("_row").getField(n).alias(n) for n in names], "host", "path", "rule", "verdict", "score")
+
+
+def held_out(pages: DataFrame, rules: list[Rule], *, fold: int = 0, **options) -> DataFrame:
+    """label and score of the labelled rows of one fold of hosts, with shares and trees from the other folds."""
+    _, labelled = prepared(pages, rules, pages.columns)
+    taught = labelled.where(F.col("fold") != fold)
+    rows = with_shares(labelled.where(F.col("fold") == fold), taught)
+    return fit(taught, **options).scored(rows).select("url", "host", "label", "score")
