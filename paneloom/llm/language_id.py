@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +21,8 @@ from paneloom.llm.common import fold, slices
 #: What stands for everything that is not a letter; no letter has this code point.
 GAP = 1
 UNDETERMINED = "und"
+#: Counted n-grams that a task holds before it adds them up, and sums before it passes them on.
+HELD = 1_000_000
 
 
 @cache
@@ -51,6 +52,19 @@ def ngram_codes(text: str | None, longest: int) -> np.ndarray:
     return np.concatenate(found)
 
 
+def parts(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """text in parts of about most characters, cut at spaces, so that no n-gram is cut."""
+    start = 0
+    while len(text) - start > most:
+        end = text.rfind(" ", start + 1, start + most)
+        end = text.find(" ", start + most) if end < 0 else end
+        if end < 0:
+            break
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes in ascending order and their counts."""
     codes = np.sort(codes)
@@ -58,31 +72,66 @@ def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[starts], np.diff(np.append(starts, len(codes)))
 
 
-def ranked(codes: np.ndarray, size: int) -> np.ndarray:
-    """The most frequent codes, most frequent first; the smaller code wins a tie."""
-    distinct, counts = counted(codes)
-    return distinct[np.argsort(-counts, kind="stable")[:size]]
+def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in ascending order and the sums of their counts."""
+    if not codes:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(codes) == 1:
+        return codes[0], counts[0]
+    distinct, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
+
+
+def text_counts(text: str | None, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a whole text, however long, and their counts."""
+    found = [counted(codes) for part in parts(text or "") if len(codes := ngram_codes(part, longest))]
+    return summed([c for c, _ in found], [n for _, n in found])
+
+
+def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """The most frequent of distinct codes, most frequent first; the smaller code wins a tie."""
+    return codes[np.argsort(-counts, kind="stable")[:size]]
 
 
 def learn_profiles(docs: DataFrame, *, size: int = 300, longest: int = 3) -> dict[str, list[int]]:
     """Profiles by language, counted over all rows of docs (text, lang).
 
     Each partition adds its counts before the shuffle. The driver gets size codes for
-    each language. Rows with a null text or lang teach nothing.
+    each language. Rows with a null text or lang teach nothing; rows that repeat teach each.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, pd.Series] = {}
+        held: dict[str, tuple[list, list]] = {}
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, (codes, n) in total.items():
+                yield pa.record_batch({"lang": [lang] * len(codes), "code": codes, "n": n})
+            total.clear()
+
+        def fold_in() -> None:
+            for lang, (codes, n) in held.items():
+                if lang in total:
+                    codes, n = [total[lang][0], *codes], [total[lang][1], *n]
+                total[lang] = summed(codes, n)
+            held.clear()
+
+        size = 0
         for batch in slices(batches):
-            by: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(ngram_codes(text, longest))
-            for lang, parts in by.items():
-                if len(codes := np.concatenate(parts)):
-                    found = pd.Series(*counted(codes)[::-1])
-                    total[lang] = found.add(total[lang], fill_value=0) if lang in total else found
-        for lang, found in total.items():
-            yield pa.record_batch({"lang": [lang] * len(found), "code": found.index.to_numpy(np.int64), "n": found.to_numpy(np.int64)})
+                codes, n = text_counts(text, longest)
+                if len(codes):
+                    mine = held.setdefault(lang, ([], []))
+                    mine[0].append(codes)
+                    mine[1].append(n)
+                size += len(codes)
+                if size > HELD:
+                    fold_in()
+                    size = 0
+                    if sum(len(codes) for codes, _ in total.values()) > HELD:
+                        yield from told()
+        fold_in()
+        yield from told()
 
     known = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = known.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -111,10 +160,10 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], *, size: int = 300
         ranks[i, np.searchsorted(codes, profiles[lang])] = np.arange(len(profiles[lang]))
 
     def judge(text: str | None) -> tuple[str, float, float]:
-        found = ngram_codes(text, longest)
+        found, counts = text_counts(text, longest)
         if not len(found) or not langs:
             return UNDETERMINED, 0.0, 1.0
-        own = ranked(found, size)
+        own = ranked(found, counts, size)
         at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
         there = (codes[at] == own) & (ranks[:, at] < size)
         far = np.where(there, np.abs(ranks[:, at] - np.arange(len(own))), size).sum(axis=1)
