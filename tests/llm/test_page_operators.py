@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,43 @@ def test_trees_judge_the_rest(spark):
     assert url_filters.judged(pages(spark, []), URL_RULES).count() == 0
 
 
+def test_shares_leave_their_own_fold_out(spark):
+    """Against sums by hand: a labelled row's shares come from hosts of other folds, an unlabelled one's from all."""
+    urls = [f"http://h{i % 9}.{'a' if i % 2 else 'b'}.{'com' if i % 3 else 'net'}/{'es' if i % 4 == 0 else 'de'}/{i}" for i in range(80)] + ["http://x.org/"]
+    rows, labelled = url_filters.prepared(pages(spark, urls), URL_RULES, ["page_id", "url"])
+    every = [r.asDict() for r in labelled.collect()]
+    for out in (True, False):
+        for r in url_filters.with_shares(labelled if out else rows, labelled, out_of_fold=out).collect():
+            for key in ("suffix", "domain"):
+                there = [x for x in every if x[key] == r[key] and not (out and x["fold"] == r["fold"])]
+                assert r[f"{key}_share"] == pytest.approx((sum(x["label"] for x in there) + 1) / (len(there) + 2))
+    again = url_filters.held_out(pages(spark, urls), URL_RULES, trees=2).collect()
+    assert {r["url"] for r in again} == {x["url"] for x in every if x["fold"] == 0}
+
+
+def lexical_by_hand(url):
+    import math
+    from collections import Counter
+
+    host, path = (re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url).groups() if "://" in url else ("", ""))
+    host = "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in host)
+    n = max(len(url), 1)
+    query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+    first = re.match(r"/([^/]*)", path)
+    return {
+        "url_length": len(url), "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "host_labels": len(host.split(".")), "digit_share": sum(c in "0123456789" for c in url) / n,
+        "entropy": -sum(c / n * math.log2(c / n) for c in Counter(url).values()), "n_params": len(query.split("&")) if query else 0, "n_hyphens": host.count("-"), "has_fragment": "#" in url,
+        "is_https": url.startswith("https://"), "has_www": host.startswith("www."), "first_segment_length": len(first[1]) if first else 0, "suffix": host.split(".")[-1], "domain": ".".join(host.split(".")[-2:]),
+    }
+
+
+def test_lexical_features(spark):
+    urls = ["", "no scheme", "HTTP://A-b.Example.com", "https://www.x.co/a//b?p=1&q=2#f", "http://é.ü/ñ?", "ftp://h?x#y?z", "a://b://c/d#", "http://h1.net/" + "z" * 5000, "://", "http:///p?a&b&c"]
+    for r in url_filters.lexical(url_filters.with_parts(pages(spark, urls))).collect():
+        for k, v in lexical_by_hand(r["url"]).items():
+            assert r[k] == (v if isinstance(v, str) else pytest.approx(float(v))), (r["url"], k)
+
+
 def test_entropy_and_counts(spark):
     r = url_filters.lexical(url_filters.with_parts(pages(spark, ["http://aa.bb.co/x/y?p=1&q=2"]))).first()
     text = "http://aa.bb.co/x/y?p=1&q=2"
@@ -77,11 +115,46 @@ def test_round_trip(spark, min_bytes):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def archives(path):
+    return [p.read_bytes() for p in sorted(path.rglob("part-*")) if p.is_file()]
+
+
 def test_archive_bytes(spark, tmp_path):
     warc.write_archives(spark.createDataFrame(HTML[:3], PAGES).coalesce(1), f"file://{tmp_path}/w", date="2024-01-01T00:00:00Z")
-    data = b"".join(gzip.open(p).read() for p in sorted((tmp_path / "w").glob("*.gz")))
-    records = list(warc.parsed(data))
-    assert len(records) == 3 and all(f["WARC-Date"] == "2024-01-01T00:00:00Z" for f, _ in records)
+    each = [list(warc.parsed(m)) for data in archives(tmp_path / "w") for m in warc.members(data)]
+    assert [len(found) for found in each] == [1, 1, 1]  # a member for each record
+    records = [r for found in each for r in found]
+    assert b"".join(gzip.decompress(data) for data in archives(tmp_path / "w")).count(b"WARC-Record-ID") == 3
+    assert all(f["WARC-Date"] == "2024-01-01T00:00:00Z" for f, _ in records)
     ids = {f["WARC-Record-ID"] for f, _ in records}
     assert len(ids) == 3 and all(f["WARC-Refers-To"] in ids for f, _ in records if f["WARC-Type"] == "revisit")
     assert all(len(b) == int(f["Content-Length"]) for f, b in records)
+
+
+def test_files_are_cut_by_bytes(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    rows = [(i, f"u{i}", "".join(rng.choice("abcdefghij") for _ in range(1000 if i else 30_000))) for i in range(60)]
+    pages_ = spark.createDataFrame(rows, PAGES)
+    warc.write_archives(pages_, f"file://{tmp_path}/w", file_bytes=8_000)
+    files = archives(tmp_path / "w")
+    assert sum(len(f) > 8_000 for f in files) == 1 and len(files) > 5  # the record over the bound has its own file
+    got = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert {(r["page_id"], r["url"], r["payload"].decode()) for r in got} == set(rows)
+
+
+def test_several_records_in_a_member():
+    one = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    found = list(warc.members(gzip.compress(one + one) + gzip.compress(b"") + gzip.compress(one)))
+    assert [len(list(warc.parsed(m))) for m in found] == [2, 1]
+    with pytest.raises(ValueError):
+        list(warc.members(gzip.compress(one)[:-3]))
+
+
+def test_a_null_id_is_no_dash(spark):
+    """Ids and urls that look like the marks for nulls, or that hold separators, are records of their own."""
+    rows = [("-", "u", "x"), (None, "u", "x"), ("v-", "u", "x"), ("a|b", "c", "x"), ("a", "b|c", "x"), ("-", None, "x"), ("-", "-", "x")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert sorted((r["page_id"] or "", r["url"] or "") for r in got) == sorted((p or "", u or "") for p, u, _ in rows)
+    assert sum(r["record_type"] == "response" for r in got) == 1

@@ -181,9 +181,49 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(test, {}).collect()} == {"und"}
 
 
+def profile_by_hand(texts, size=300):
+    """The most frequent n-grams of padded words; ties go to the smaller code."""
+    seen = Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            if w.isalpha():
+                points = [1, *map(ord, w), 1]
+                seen.update(points[1:-1])
+                seen.update((a << 21) | b for a, b in zip(points, points[1:], strict=False))
+                seen.update((a << 42) | (b << 21) | c for a, b, c in zip(points, points[1:], points[2:], strict=False))
+    return [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]]
+
+
+def test_language_id_by_hand(spark):
+    rng = random.Random(6)
+    pools = {k: ["".join(rng.choice(v) for _ in range(rng.randint(1, 8))) for _ in range(90)] for k, v in (("aa", "abcdeé"), ("bb", "cdefgß"), ("cc", "efghαβ"))}
+    known = [(i, " ".join(words(rng, rng.randint(1, 60), pools[k])) + rng.choice(["", " 12!", "\n"]), k, None, 0) for i, k in enumerate(["aa", "bb", "cc", None] * 12) if k]
+    known += [(99, None, "aa", None, 0), (98, "3 4", "bb", None, 0), *known[:3]]
+    profiles = language_id.learn_profiles(spark.createDataFrame(known, DOCS).repartition(4))
+    expected = {k: profile_by_hand([t for _, t, lang, _, _ in known if lang == k]) for k in pools}
+    assert profiles == expected
+    mixed = [" ".join(words(rng, 40, pools[a]) + words(rng, n, pools[b])) for a in pools for b in pools for n in (5, 30, 40)] + [None, "", "7", "ab"]
+    for r in language_id.identify(frame(spark, mixed).drop("lang"), profiles).collect():
+        own = profile_by_hand([mixed[11 if r["doc_id"] is None else r["doc_id"]]])
+        far = {k: sum(abs(p.index(c) - i) if c in p else 300 for i, c in enumerate(own)) for k, p in expected.items()}
+        if not own:
+            assert (r["lang_pred"], r["score"], r["distance"]) == ("und", 0.0, 1.0)
+            continue
+        best, second = sorted(far.values())[:2]
+        assert r["lang_pred"] == min(k for k in far if far[k] == best)
+        assert r["score"] == pytest.approx(1 - best / (best + second)) and r["distance"] == pytest.approx(best / (300 * len(own)))
+
+
+def test_long_texts_are_counted_in_parts():
+    rng = random.Random(2)
+    text = " ".join(words(rng, 400, ["ab", "é", "cde", "x1y", "."])) + "q" * 300 + " end"
+    whole, some = language_id.text_counts(text, 3), [language_id.counted(language_id.ngram_codes(p, 3)) for p in language_id.parts(text, 50) if p.strip(" .1")]
+    cut = language_id.summed([c for c, _ in some], [n for _, n in some])
+    assert len(some) > 10 and all((a == b).all() for a, b in zip(whole, cut, strict=True))
+
+
 def test_rank_order_profile():
-    codes = language_id.ngram_codes("aab", 1)
-    assert language_id.ranked(codes, 10).tolist() == [ord("a"), ord("b")]
+    assert language_id.ranked(*language_id.text_counts("aab", 1), 10).tolist() == [ord("a"), ord("b")]
     assert len(language_id.ngram_codes("a b", 3)) == 2 + 4 + 2  # letters, pairs with a gap, triples around a letter
 
 
@@ -341,6 +381,61 @@ def test_quality_classifier(spark):
     assert constant["predicted"] == 1
 
 
+def statistics_by_hand(text):
+    raw = (text or "").encode()
+    w, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+    size, n = max(len(raw), 1), max(len(w), 1)
+
+    def share(these):
+        return sum(c in these for c in raw) / size
+
+    letters, digits = bytes([*range(65, 91), *range(97, 123)]), b"0123456789"
+    return {
+        "n_bytes": len(raw), "n_words": len(w), "word_length": sum(map(len, w)) / n, "upper_share": share(range(65, 91)), "digit_share": share(digits), "symbol_share": share(b"#$%&*+<=>@[\\]^_`{|}~"),
+        "emphasis_share": share(b"!?"), "punct_share": share(bytes(c for c in range(33, 127) if c not in letters + digits)), "high_share": share(range(128, 256)), "line_share": share(b"\n"),
+        "distinct_share": len(set(w)) / n, "top_share": max(Counter(w).values(), default=0) / n, "pair_share": len(set(zip(w, w[1:], strict=False))) / max(len(w) - 1, 1),
+        "dup_line_share": (len(lines) - len(set(lines))) / max(len(lines), 1),
+    }
+
+
+def test_text_statistics(spark, texts):
+    """Each statistic, and the score from the ensemble's rules, against plain Python."""
+    docs = frame(spark, texts).withColumn("n_words", F.lit("clash"))
+    rows = quality_classifier.with_statistics(docs.select("doc_id", "text", "n_words"))
+    labelled = rows.withColumn("label", F.when(F.col("doc_id") % 7 == 0, None).otherwise((F.col("distinct_share") > 0.7).cast("int")))
+    ensemble = quality_classifier.fit(labelled, trees=4)
+    assert ensemble.weights
+    for r in rows.withColumn("score", ensemble.score()).collect():
+        expected = statistics_by_hand(texts[11 if r["doc_id"] is None else r["doc_id"]])
+        for k, v in expected.items():
+            assert r[k] == pytest.approx(float(v)), k
+        total = ensemble.bias + sum(weight for rule, weight in ensemble.weights.items() if all((r[k] <= t) == at_most for k, at_most, t in rule.parts))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_samples_of_least_hash(spark):
+    from paneloom.llm.common import least_hashed
+
+    rows = spark.range(5000).withColumn("k", F.when(F.col("id") < 2000, 1).otherwise(F.col("id")))  # a third of all rows has one key
+    for most in (1, 50, 4999, 9000):
+        got = [r["k"] for r in least_hashed(rows, most, "k").collect()]
+        assert sorted(got) == sorted(r["k"] for r in rows.orderBy(F.xxhash64("k"), "k").limit(most).collect())
+    assert least_hashed(rows.limit(0), 5, "k").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from paneloom.llm.common import shared_dir
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    assert shared_dir(Session(spark_checkpoint_dir="hdfs:/x", spark_master="yarn")) == "hdfs:/x"
+    assert shared_dir(Session(spark_master="local[2]")).startswith("file:")
+    with pytest.raises(ValueError):
+        shared_dir(Session(spark_master="spark://host:7077"))
+
+
 @pytest.mark.parametrize("operator", [suffix_dedup.remove_repeats, near_dedup.near_duplicates, quality_rules.judged, lambda d: language_id.identify(d, language_id.learn_profiles(d)), lambda d: packing.pack(d, tokenizer()), lambda d: class_lm.scored(d, class_lm.learn(d))])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], DOCS)).count() == 0
