@@ -86,8 +86,18 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located(table(spark, sf_dir, "customer"), "c_custkey", "station")
 
 
+def site_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site and day of every report; days repeat."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("site"), F.to_date("l_shipdate").alias("date_local"))
+
+
 def site_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("site"), F.to_date("l_shipdate").alias("date_local")).distinct()
+    return site_reports(spark, sf_dir).distinct()
+
+
+def station_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Station and day of every report; days repeat."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("station"), F.to_date("o_orderdate").alias("date_local"))
 
 
 def station_days(spark: SparkSession, sf_dir: str) -> DataFrame:
