@@ -1,8 +1,9 @@
 """Fixed-effects least squares from per-site sums, and counterfactual decomposition.
 
 Site effects never become columns: a region's normal equations are its sites' centred
-cross products added up. Those come from one pass over the rows, each partition adding
-before the shuffle; a region's equations are solved where its sites' sums meet.
+cross products added up. Those come from one pass over the rows, each task adding before
+the shuffle. Sums by site are centred where a site's sums meet, then added by region within
+each task, so a region's sites never meet in one.
 """
 
 from __future__ import annotations
@@ -11,37 +12,90 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneloom.functions import columns as C
 from paneloom.functions import splines
-
-FIT = "climate_region string, site_id string, n long, y_mean double, x_mean array<double>, beta array<double>, alpha double, n_sites long, n_rows long, matrix_rank int, condition double, rss double"
-
+from paneloom.operators import vectors
+from paneloom.operators.tables import kept
 
 def moments(rows: DataFrame, xs: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
-    """(climate_region, site_id, k, v): sums of products of 1, xs and y by site, weighted if asked; k numbers the pairs."""
+    """(climate_region, site_id, v): each task's sums of products of 1, xs and y by site, weighted if asked.
+
+    v is the upper triangle row by row. A task passes its sums on when it holds many.
+    """
     p = len(xs) + 2
-    pairs = np.triu_indices(p)
+    pairs, names = np.triu_indices(p), ["climate_region", "site_id"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, str], np.ndarray] = {}
+        held = vectors.Held()
         for batch in batches:
             data = batch.to_pandas()
             values = np.column_stack([np.ones(len(data)), data[[*xs, y]].to_numpy(float)])
             if weight:
                 values *= np.sqrt(data[weight].to_numpy(float))[:, None]
-            for key, at in data.groupby(["climate_region", "site_id"]).indices.items():
-                some = values[at]
-                total[key] = total.get(key, 0.0) + some.T @ some
-        for (region, site), m in total.items():
-            yield pa.record_batch({"climate_region": [region] * len(pairs[0]), "site_id": [site] * len(pairs[0]), "k": np.arange(len(pairs[0])), "v": m[pairs]})
+            groups = data.groupby(names).indices
+            if groups:
+                held.add(list(groups), np.array([(some.T @ some)[pairs] for some in (values[at] for at in groups.values())]))
+            if held.full:
+                yield from held.told(names, [pa.string(), pa.string()])
+        yield from held.told(names, [pa.string(), pa.string()])
+
+    sums = rows.select(*names, *[F.col(x).cast("double").alias(x) for x in xs], F.col(y).cast("double").alias(y), *([weight] if weight else []))
+    return sums.mapInArrow(add, "climate_region string, site_id string, v array<double>")
+
+
+SITE_SUMS = "n double, mean array<double>, within array<double>"
+
+
+def site_sums(rows: DataFrame, xs: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
+    """One row for each site: n, the means of xs and y, and their centred products, the upper triangle row by row."""
+    p = len(xs) + 1
+    i, j = np.triu_indices(p)
+
+    def centred(_: list, v: np.ndarray) -> dict[str, pa.Array]:
+        n, mean = v[:, 0], v[:, 1 : p + 1] / v[:, :1]
+        return {"n": pa.array(n), "mean": vectors.lists(mean), "within": vectors.lists(v[:, p + 1 :] - n[:, None] * mean[:, i] * mean[:, j])}
+
+    return vectors.met(moments(rows, xs, y, weight), ["climate_region", "site_id"], centred, SITE_SUMS)
+
+
+def solved(p: int, within: np.ndarray) -> tuple[np.ndarray, int, float, float]:
+    """Coefficients, rank, condition number and residual sum of squares of centred products of p columns and the outcome."""
+    full = np.zeros((p + 1, p + 1))
+    full[np.triu_indices(p + 1)] = within
+    full = np.triu(full) + np.triu(full, 1).T
+    gram, cross = full[:p, :p], full[:p, p]
+    if not p:
+        return np.zeros(0), 0, 1.0, float(full[0, 0])
+    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    eigen = np.linalg.eigvalsh(gram / np.outer(scale, scale))
+    good = eigen > eigen[-1] * p * 1e-13
+    rank = int(good.sum())
+    beta = np.linalg.solve(gram, cross) if rank == p else np.linalg.lstsq(gram, cross, rcond=1e-13)[0]
+    return beta, rank, float(eigen[-1] / eigen[good][0]) if rank else float("inf"), float(full[p, p] - beta @ cross)
+
+
+REGION_FIT = "beta array<double>, n_sites long, n_rows long, matrix_rank int, condition double, rss double"
+
+
+def region_fits(sites: DataFrame, p: int, *, max_condition: float = 1e10) -> DataFrame:
+    """One row for each region, from the sums of its sites' centred products; only those sums meet in a task."""
 
-    sums = rows.select("climate_region", "site_id", *[F.col(x).cast("double").alias(x) for x in xs], F.col(y).cast("double").alias(y), *([weight] if weight else []))
-    return sums.mapInArrow(add, "climate_region string, site_id string, k long, v double").groupBy("climate_region", "site_id", "k").agg(F.sum("v").alias("v"))
+    def solve(keys: list, v: np.ndarray) -> dict[str, pa.Array]:
+        found = [solved(p, row[2:]) for row in v]
+        for (region,), (_, _, condition, _) in zip(keys, found, strict=True):
+            if condition > max_condition:
+                raise ValueError(f"condition number {condition:.3g} in {region}")
+        return {
+            "beta": pa.array([f[0].tolist() for f in found], pa.list_(pa.float64())), "n_sites": pa.array(np.rint(v[:, 0]).astype(np.int64)), "n_rows": pa.array(np.rint(v[:, 1]).astype(np.int64)),
+            "matrix_rank": pa.array([f[1] for f in found], pa.int32()), "condition": pa.array([f[2] for f in found]), "rss": pa.array([f[3] for f in found]),
+        }
+
+    each = sites.select("climate_region", F.concat(F.array(F.lit(1.0), "n"), "within").alias("v"))
+    return vectors.met(vectors.partly_summed(each, ["climate_region"]), ["climate_region"], solve, REGION_FIT)
 
 
 def fit(rows: DataFrame, xs: Sequence[str], y: str, *, weight: str | None = None, max_condition: float = 1e10) -> DataFrame:
@@ -52,34 +106,13 @@ def fit(rows: DataFrame, xs: Sequence[str], y: str, *, weight: str | None = None
     error. With weights, n and n_rows are whole sums of weights.
     """
     p = len(xs)
-
-    def solve(data: pd.DataFrame) -> pd.DataFrame:
-        data = data.sort_values(["site_id", "k"])
-        sites = data["site_id"].unique()
-        full = np.zeros((len(sites), p + 2, p + 2))
-        i, j = np.triu_indices(p + 2)
-        flat = data["v"].to_numpy().reshape(len(sites), -1)
-        full[:, i, j] = full[:, j, i] = flat
-        n = full[:, 0, 0]
-        means = full[:, 0, 1:] / n[:, None]
-        within = (full[:, 1:, 1:] - n[:, None, None] * means[:, :, None] * means[:, None, :]).sum(0)
-        gram, cross = within[:p, :p], within[:p, p]
-        scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
-        eigen = np.linalg.eigvalsh(gram / np.outer(scale, scale))
-        rank = int((eigen > eigen[-1] * p * 1e-13).sum())
-        condition = float(eigen[-1] / eigen[eigen > eigen[-1] * p * 1e-13][0])
-        if condition > max_condition:
-            raise ValueError(f"condition number {condition:.3g} in {data['climate_region'].iloc[0]}")
-        beta = (np.linalg.solve(gram, cross) if rank == p else np.linalg.lstsq(gram, cross, rcond=1e-13)[0]) if p else np.zeros(0)
-        rss = float(within[p, p] - beta @ cross)
-        return pd.DataFrame(
-            {
-                "climate_region": data["climate_region"].iloc[0], "site_id": sites, "n": n.astype(np.int64), "y_mean": means[:, p], "x_mean": list(means[:, :p]),
-                "beta": [beta] * len(sites), "alpha": means[:, p] - means[:, :p] @ beta, "n_sites": len(sites), "n_rows": int(n.sum()), "matrix_rank": rank, "condition": condition, "rss": rss,
-            }
-        )
-
-    return moments(rows, xs, y, weight).groupBy("climate_region").applyInPandas(solve, FIT)
+    sites = kept(site_sums(rows, xs, y, weight), "site-sums")
+    x_mean = F.slice("mean", 1, p) if p else F.array().cast("array<double>")
+    effect = F.aggregate(F.zip_with(x_mean, "beta", lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v)
+    return sites.join(region_fits(sites, p, max_condition=max_condition), "climate_region").select(
+        "climate_region", "site_id", F.floor("n").cast("long").alias("n"), F.get("mean", F.lit(p)).alias("y_mean"), x_mean.alias("x_mean"), "beta",
+        (F.get("mean", F.lit(p)) - effect).alias("alpha"), "n_sites", "n_rows", "matrix_rank", "condition", "rss",
+    )
 
 
 def fitted(rows: DataFrame, fits: DataFrame, xs: Sequence[str]) -> DataFrame:
@@ -153,38 +186,66 @@ def decomposition(sites: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def value_counts(rows: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and counts. For values of bounded precision, such as tenths of a degree."""
-    got = rows.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(column).toPandas()
-    return got[column].to_numpy(float), got["count"].to_numpy(float)
-
+def quantiles(rows: DataFrame, column: str, ranks: Sequence[float]) -> list[float]:
+    """Quantiles of all values by linear interpolation between order statistics.
 
-def quantiles(values: np.ndarray, counts: np.ndarray, ranks: Sequence[float]) -> np.ndarray:
-    """Quantiles by linear interpolation of values that each occur counts times."""
-    ends = np.cumsum(counts)
-    at = np.asarray(ranks) * (ends[-1] - 1)
-    lower, upper = values[np.searchsorted(ends, np.floor(at), "right")], values[np.searchsorted(ends, np.ceil(at), "right")]
-    return lower + (upper - lower) * (at - np.floor(at))
-
-
-def with_splines(rows: DataFrame, frame: DataFrame | None = None, *, ranks: Sequence[float] = (0.25, 0.5, 0.75), season_columns: int = 6) -> tuple[DataFrame, tuple[str, ...], tuple[str, ...]]:
-    """rows with basis columns of tmax_c (t0, ...) and the day of the year (s0, ...), by joins with tables of their distinct values.
-
-    Knots, bounds and centring come from frame, the rows themselves unless given.
+    Equal values are counted first. Distinct ones are dealt by ranges, and those at the
+    asked places come to the driver, so no task or driver holds them all.
+    """
+    counts = kept(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n")).repartitionByRange("x").withColumn("_range", F.spark_partition_id()), "value-counts")
+    sizes = sorted((r["_range"], r["n"]) for r in counts.groupBy("_range").agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    if not total:
+        raise ValueError(f"no value of {column}")
+    places = [r * (total - 1) for r in ranks]
+    wanted = sorted({int(f(p)) for p in places for f in (np.floor, np.ceil)})
+    before, offsets = 0, []
+    for k, n in sizes:
+        offsets.append((k, before))
+        before += n
+    upto = F.sum("n").over(Window.partitionBy("_range").orderBy("x")) + F.col("_before")
+    placed = counts.join(rows.sparkSession.createDataFrame(offsets, "_range int, _before long"), "_range").withColumn("upto", upto)
+    held = placed.select("x", F.explode(F.filter(F.lit(wanted).cast("array<long>"), lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n")))).alias("place"))
+    at = {r["place"]: r["x"] for r in held.collect()}
+    return [at[int(np.floor(p))] + (at[int(np.ceil(p))] - at[int(np.floor(p))]) * (p - np.floor(p)) for p in places]
+
+
+def piecewise(x: Column, knots: np.ndarray, pieces: np.ndarray) -> list[Column]:
+    """One column for each column of a spline basis; pieces[i, k] are the coefficients of (x - knots[i]) ** k."""
+    i = F.lit(0)
+    for k in knots[1:-1]:
+        i = i + (x >= float(k)).cast("int")
+    u = x - F.get(F.lit([float(k) for k in knots[:-1]]), i)
+    c = [[F.get(F.lit(pieces[:, k, j].tolist()), i) for k in range(4)] for j in range(pieces.shape[2])]
+    return [((c3 * u + c2) * u + c1) * u + c0 for c0, c1, c2, c3 in c]
+
+
+def with_splines(rows: DataFrame, frame: DataFrame | None = None, *, ranks: Sequence[float] = (0.25, 0.5, 0.75), season_columns: int = 6, extrapolate: bool = False) -> tuple[DataFrame, tuple[str, ...], tuple[str, ...]]:
+    """rows with basis columns of tmax_c (t0, ...) and the day of the year (s0, ...), as expressions.
+
+    Knots, bounds and centring come from frame, the rows themselves unless given. A
+    temperature outside frame's is an error; with extrapolate it counts as the nearest
+    bound. The driver gets knots, means and the counts of at most 365 days.
     """
     frame = rows if frame is None else frame
-    spark = rows.sparkSession
-    v, n = value_counts(frame, "tmax_c")
-    t_basis = splines.centred(np.concatenate(([v[0]], quantiles(v, n, ranks), [v[-1]])), False, v, n)
-    days, counts = value_counts(frame, "day_of_year")
-    inner = np.quantile(days, np.linspace(0, 1, season_columns + 2)[1:-1])
-    s_basis = splines.centred(np.concatenate(([1.0], inner, [365.0])), True, days, counts)
-    all_v, all_days = value_counts(rows, "tmax_c")[0], np.arange(1, 366)
-    t, s = t_basis(np.clip(all_v, v[0], v[-1])), s_basis(all_days)
-    ts, ss = tuple(f"t{i}" for i in range(t.shape[1])), tuple(f"s{i}" for i in range(s.shape[1]))
-    t_rows = spark.createDataFrame(pd.DataFrame(np.column_stack([all_v, t]), columns=["tmax_c", *ts]))
-    s_rows = spark.createDataFrame(pd.DataFrame(np.column_stack([all_days, s]), columns=["day_of_year", *ss])).withColumn("day_of_year", F.col("day_of_year").cast("int"))
-    return rows.join(t_rows, "tmax_c").join(s_rows, "day_of_year"), ts, ss
+    knots = np.array(quantiles(frame, "tmax_c", [0.0, *ranks, 1.0]))
+    days = sorted((r["day_of_year"], r["count"]) for r in frame.where("day_of_year is not null").groupBy("day_of_year").count().collect())
+    values, counts = np.array([d for d, _ in days], float), np.array([n for _, n in days], float)
+    inner = np.quantile(values, np.linspace(0, 1, season_columns + 2)[1:-1])
+    season = splines.centred(np.concatenate(([1.0], inner, [365.0])), True, values, counts)
+    raw = piecewise(F.col("tmax_c").cast("double"), knots, splines.pieces(knots, False))
+    mean = frame.where("tmax_c is not null").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(raw)]).first()
+    temperature = splines.without_mean(knots, False, np.array(mean, float))
+    t, day = F.col("tmax_c").cast("double"), F.col("day_of_year").cast("double")
+    outside = (t < float(knots[0]) - 1e-12) | (t > float(knots[-1]) + 1e-12)
+    if not extrapolate:
+        rows = rows.withColumn("tmax_c", F.when(outside, F.raise_error(F.lit("temperature outside the fitted range"))).otherwise(F.col("tmax_c")))
+    t = F.least(F.greatest(t, F.lit(float(knots[0]))), F.lit(float(knots[-1])))
+    basis = {f"t{i}": c for i, c in enumerate(piecewise(t, knots, splines.pieces(knots, False) @ temperature.keep))}
+    cycle = season.knots
+    around = cycle[0] + F.pmod(day - float(cycle[0]), F.lit(float(cycle[-1] - cycle[0])))
+    basis |= {f"s{i}": c for i, c in enumerate(piecewise(around, cycle, splines.pieces(cycle, True) @ season.keep))}
+    return rows.withColumns(basis), tuple(k for k in basis if k[0] == "t"), tuple(k for k in basis if k[0] == "s")
 
 
 def model_frame(rows: DataFrame) -> DataFrame:
@@ -199,72 +260,73 @@ def largest_difference(left: DataFrame, right: DataFrame, keys: Sequence[str], c
     return a.join(b, on, "full").agg(*[F.max(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))).alias(c) for c in columns], F.count_if(F.col(f"a.{columns[0]}").isNull() | F.col(f"b.{columns[0]}").isNull()).alias("unmatched"))
 
 
-BLOCK = "climate_region string, site_id string, gram array<double>, cross array<double>, x_mean array<double>, y_mean double"
+def site_vectors(rows: DataFrame, design: Design, y: str) -> DataFrame:
+    """(source_site, climate_region, v): what a site adds to any fit with this design, and to its counterfactual means.
 
-
-def site_blocks(rows: DataFrame, design: Design, y: str) -> DataFrame:
-    """What a site adds to any fit with this design, and the means that its counterfactuals need.
-
-    A site that is drawn several times adds its block as often, so a bootstrap never reads
-    the rows again.
+    v is 1, the centred products, the means of the columns and the outcome, and the means
+    of early and later temperatures and of the calendar. All that a replicate needs is a
+    weighted sum of these, so a bootstrap never reads the rows again.
     """
     with_r, xs = design.columns(rows)
-    p = len(xs)
-
-    def block(data: pd.DataFrame) -> pd.DataFrame:
-        data = data.sort_values("k")
-        full = np.zeros((p + 2, p + 2))
-        full[np.triu_indices(p + 2)] = data["v"].to_numpy()
-        full = np.triu(full) + np.triu(full, 1).T
-        n, mean = full[0, 0], full[0, 1:] / full[0, 0]
-        within = full[1:, 1:] - n * np.outer(mean, mean)
-        return pd.DataFrame(
-            {"climate_region": data["climate_region"].iloc[:1], "site_id": data["site_id"].iloc[:1], "gram": [within[:p, :p].ravel()], "cross": [within[:p, p]], "x_mean": [mean[:p]], "y_mean": [mean[p]]}
-        )
-
-    blocks = moments(with_r, xs, y).groupBy("climate_region", "site_id").applyInPandas(block, BLOCK)
-    temps = rows.groupBy("site_id").agg(*[F.array(*[F.avg(F.when(F.col("period") == p_, F.col(t))) for t in design.ts]).alias(f"{p_}_t") for p_ in ("early", "later")])
+    sites = site_sums(with_r, xs, y)
+    temps = rows.groupBy("site_id").agg(F.array(*[F.avg(F.when(F.col("period") == p, F.col(t))) for p in ("early", "later") for t in design.ts]).alias("t"))
     if design.ss:
         days = rows.select("site_id", "day_of_year", *design.ss).dropDuplicates(["site_id", "day_of_year"]).groupBy("site_id").agg(F.array(*[F.avg(s) for s in design.ss]).alias("s"))
         temps = temps.join(days, "site_id")
     else:
         temps = temps.withColumn("s", F.array().cast("array<double>"))
-    return blocks.join(temps, "site_id")
+    return sites.join(temps, "site_id").select(F.col("site_id").alias("source_site"), "climate_region", F.concat(F.array(F.lit(1.0)), "within", "mean", "t", "s").alias("v"))
 
 
-def refit(drawn: DataFrame, blocks: DataFrame, design: Design, r0: float, r1: float, *, spread: int = 32) -> DataFrame:
-    """A, B, C and D of each replicate and region, from draws (replicate, climate_region, source_site).
+REPLICATE = "n_sites long, A double, B double, C double, D double, failure string"
 
-    Draws are summed to multiplicities and meet the blocks of their region, replicates
-    dealt over spread groups of each region. A singular replicate has nulls and its reason
-    in failure.
+
+def refit(drawn: DataFrame, sites: DataFrame, design: Design, r0: float, r1: float) -> DataFrame:
+    """A, B, C and D of each replicate and region, from draws (replicate, climate_region, source_site) and site_vectors.
+
+    A site drawn k times counts k times. Its row meets the list of the replicates that drew
+    it; each task sums vectors by replicate and region, and only sums are shuffled. A
+    singular replicate has nulls and its reason in failure, a class before a colon.
     """
-    times = drawn.groupBy("replicate", "climate_region", "source_site").agg(F.count("*").alias("times")).withColumn("part", F.pmod(F.xxhash64("replicate"), F.lit(spread)))
-    spread_blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")))
+    times = drawn.groupBy("source_site", "replicate").agg(F.count("*").alias("times"))
+    # A site has at most one entry for each replicate.
+    lists = times.groupBy("source_site").agg(F.sort_array(F.collect_list(F.struct(F.col("replicate").cast("int").alias("replicate"), F.col("times").cast("double").alias("times")))).alias("drawn"))
     e, nt, ns = len(design.extra), len(design.ts), len(design.ss)
     p = 1 + e + 2 * nt + 2 * ns
+    names, kinds = ["replicate", "climate_region"], [pa.int32(), pa.string()]
 
-    def solve(key: tuple, draws: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("site_id").reset_index(drop=True)
-        at = pd.Series(own.index, index=own["site_id"])
-        gram, cross, x = (np.array(own[c].tolist(), float).reshape(len(own), *shape) for c, shape in (("gram", (p, p)), ("cross", (p,)), ("x_mean", (p,))))
-        y, te, tl, s = own["y_mean"].to_numpy(float), *(np.array(own[c].tolist(), float).reshape(len(own), n) for c, n in (("early_t", nt), ("later_t", nt), ("s", ns)))
-        out = []
-        for replicate, some in draws.groupby("replicate"):
-            i, m = at[some["source_site"]].to_numpy(), some["times"].to_numpy(float)
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = vectors.Held()
+        for batch in batches:
+            for region, v, replicates, counts in zip(batch.column(0).to_pylist(), vectors.matrix(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                held.add([(r, region) for r in replicates], np.outer(counts, v))
+                if held.full:
+                    yield from held.told(names, kinds)
+        yield from held.told(names, kinds)
+
+    def solve(keys: list, sums: np.ndarray) -> dict[str, pa.Array]:
+        rows = []
+        for v in sums:
+            m = v[0]
+            within, mean, te, tl, s = np.split(v[1:], np.cumsum([(p + 1) * (p + 2) // 2, p + 1, nt, nt]))
+            gram = np.zeros((p + 1, p + 1))
+            gram[np.triu_indices(p + 1)] = within
+            gram = np.triu(gram) + np.triu(gram, 1).T
             try:
-                beta = np.linalg.solve(np.tensordot(m, gram[i], 1), m @ cross[i])
+                beta = np.linalg.solve(gram[:p, :p], gram[:p, p])
             except np.linalg.LinAlgError as error:
-                out.append((replicate, key[0], int(m.sum()), None, None, None, None, str(error)))
+                rows.append((int(round(m)), None, None, None, None, f"rank deficient: {error}"))
                 continue
-            alpha = y[i] - x[i] @ beta
+            alpha = mean[p] - mean[:p] @ beta
             t, ti, c, ci = np.split(beta[1 + e :], [nt, 2 * nt, 2 * nt + ns])
-            means = [float(m @ (alpha + r * beta[0] + temps[i] @ (t + r * ti) + s[i] @ (c + r * ci)) / m.sum()) for r in (r0, r1) for temps in (te, tl)]
-            out.append((replicate, key[0], int(m.sum()), *means, None))
-        return pd.DataFrame(out, columns=["replicate", "climate_region", "n_sites", "A", "B", "C", "D", "failure"])
-
-    schema = "replicate int, climate_region string, n_sites long, A double, B double, C double, D double, failure string"
-    return times.groupBy("climate_region", "part").cogroup(spread_blocks.groupBy("climate_region", "part")).applyInPandas(solve, schema)
+            means = [float((alpha + r * beta[0] * m + temps @ (t + r * ti) + s @ (c + r * ci)) / m) for r in (r0, r1) for temps in (te, tl)]
+            bad = not np.isfinite(means).all()
+            rows.append((int(round(m)), *([None] * 4 if bad else means), "not finite: a site without one of the periods" if bad else None))
+        kinds_ = [pa.int64(), *[pa.float64()] * 4, pa.string()]
+        return {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(["n_sites", "A", "B", "C", "D", "failure"], kinds_, strict=True))}
+
+    joined = sites.join(lists, "source_site").select("climate_region", "v", "drawn.replicate", "drawn.times")
+    return vectors.met(joined.mapInArrow(weigh, "replicate int, climate_region string, v array<double>"), names, solve, REPLICATE)
 
 
 def replicate_components(means: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def s1c_endpoints(spark, d):
     panel = A.panel(spark, d).where("period is not null").join(sites.select("site_id"), "site_id", "left_semi")
     rows = R.model_frame(panel.withColumn("year_centred", (F.col("calendar_year") - SAMPLE.transition).cast("double")).withColumn("interruption", (F.col("calendar_year") == SAMPLE.transition).cast("double")))
     primary = rows.where("period <> 'transition'")
-    rows, ts, ss = R.with_splines(rows, primary)
+    rows, ts, ss = R.with_splines(rows, primary, extrapolate=True)
     design = R.Design("year_centred", ts, ss, ("interruption",))
     with_r, xs = design.columns(rows)
     fits = R.fit(with_r, xs, "ozone_mda8_ppb")
@@ -172,7 +172,7 @@ def bootstrap_first_replicates(spark, d):
 def _replicates(spark, d):
     rows = R.model_frame(pop._base(spark, d))
     design = R.Design("later", ("tmax_c",))
-    means = R.refit(B.arithmetic_draws(_sites(spark, d), REPLICATES), R.site_blocks(rows, design, "ozone_mda8_ppb"), design, 0.0, 1.0)
+    means = R.refit(B.arithmetic_draws(_sites(spark, d), REPLICATES), R.site_vectors(rows, design, "ozone_mda8_ppb"), design, 0.0, 1.0)
     return R.replicate_components(means)
 
 
@@ -187,7 +187,7 @@ def bootstrap_decomposition_intervals(spark, d):
 def spline_bootstrap(spark, d):
     rows, ts, ss = R.with_splines(R.model_frame(pop._base(spark, d)))
     design = R.Design("later", ts, ss)
-    means = R.refit(B.draws(spark, _sites(spark, d), REPLICATES, 20260715), R.site_blocks(rows, design, "ozone_mda8_ppb"), design, 0.0, 1.0)
+    means = R.refit(B.draws(spark, _sites(spark, d), REPLICATES, 20260715), R.site_vectors(rows, design, "ozone_mda8_ppb"), design, 0.0, 1.0)
     return B.intervals(R.replicate_components(means))
 
 

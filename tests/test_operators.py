@@ -180,7 +180,7 @@ def test_refits_equal_fits_of_copied_rows(spark):
     df = spark.createDataFrame(rows).withColumn("later", (F.col("period") == "later").cast("double"))
     design = regression.Design("later", ("tmax_c",))
     drawn = spark.createDataFrame([(1, "R", s, f"{s}-{i}", i) for i, s in enumerate(["s0", "s0", "s2", "s3"])], bootstrap.DRAWS)
-    got = regression.refit(drawn, regression.site_blocks(df, design, "y"), design, 0.0, 1.0).first()
+    got = regression.refit(drawn, regression.site_vectors(df, design, "y"), design, 0.0, 1.0).first()
     copied = bootstrap.materialised(drawn, df)
     with_r, xs = design.columns(copied)
     expected = regression.site_means(copied, regression.fit(with_r, xs, "y"), design, 0.0, 1.0).agg(*[F.avg(c).alias(c) for c in "ABCD"]).first()
@@ -194,6 +194,10 @@ def test_splines_are_smooth_and_reach_their_knots():
     assert np.allclose(splines.evaluate(x, knots, False) @ (3 * knots + 1), 3 * x + 1)  # a line stays a line
     cyclic = splines.evaluate(np.array([0.0, 4.0]), knots, True)
     assert np.allclose(cyclic[0], cyclic[1])
+    for k, around in ((knots, False), (knots, True)):
+        p = splines.pieces(k, around)
+        at = np.clip(np.searchsorted(k, x, "right") - 1, 0, len(k) - 2)
+        assert np.allclose(sum(p[at, i] * ((x - k[at]) ** i)[:, None] for i in range(4)), splines.evaluate(x, k, around))
     basis = splines.centred(knots, False, x, np.ones(9))
     assert basis(x).shape == (9, 3) and np.allclose(basis(x).sum(0), 0)
     with pytest.raises(ValueError):
