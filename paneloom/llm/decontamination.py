@@ -38,24 +38,27 @@ def with_fingerprints(df: DataFrame, size: int, out: str) -> DataFrame:
     return sliding_least(grams(df, "hashes", k, out), out, size - k + 1, out)
 
 
-def stretches(prints: str, size: int) -> Column:
-    """(size, print, low, high): the places, from 1, of consecutive runs with one fingerprint."""
+def with_stretches(df: DataFrame, prints: str, size: int, out: str) -> DataFrame:
+    """out: (size, print, low, high) of consecutive runs with one fingerprint, low and high their places from 1."""
     n = F.size(prints)
-    new = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(prints, i - 1) != F.get(prints, i - 2)))
-    each = F.transform(new, lambda low, j: F.struct(F.lit(size).alias("size"), F.get(prints, low - 1).alias("print"), low.alias("low"), (F.coalesce(F.get(new, j + 1), n + 1) - 1).alias("high")))
-    return F.when(n > 0, each).otherwise(F.array().cast("array<struct<size: int, print: bigint, low: int, high: int>>"))
+    # Arrays that a lambda looks into are columns, else they are made anew for each element.
+    df = df.withColumn("_low", F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & ((i == 1) | (F.get(prints, i - 1) != F.get(prints, i - 2)))))
+    high = F.concat(F.transform(F.slice("_low", F.lit(2), F.greatest(F.size("_low") - 1, F.lit(0))), lambda i: i - 1), F.array(n))
+    each = F.zip_with("_low", F.when(n > 0, high).otherwise(F.array().cast("array<int>")), lambda low, high: F.struct(F.lit(size).alias("size"), F.get(prints, low - 1).alias("print"), low.alias("low"), high.alias("high")))
+    return df.withColumn(out, each).drop("_low")
 
 
 def run_text(words: str, at: Column, size: Column) -> Column:
     return F.translate(F.array_join(F.slice(words, at, size), " "), UPPER, LOWER)
 
 
-def spans(starts: str, size: Column) -> Column:
-    """Maximal covered places (start, end) of runs at ascending starts."""
+def with_spans(df: DataFrame, starts: str, size: str, out: str) -> DataFrame:
+    """out: maximal covered places (start, end) of runs of size words at ascending starts."""
     n = F.size(starts)
-    places = F.sequence(F.lit(0), n - 1)
-    first = F.filter(places, lambda j: (j == 0) | (F.get(starts, j) > F.get(starts, j - 1) + size))
-    return F.transform(first, lambda j, k: F.struct(F.get(starts, j).cast("long").alias("start"), (F.get(starts, F.coalesce(F.get(first, k + 1), n) - 1) + size).cast("long").alias("end")))
+    df = df.withColumn("_first", F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j == 0) | (F.get(starts, j) > F.get(starts, j - 1) + F.col(size))))
+    last = F.concat(F.transform(F.slice("_first", F.lit(2), F.size("_first") - 1), lambda j: j - 1), F.array(n - 1))
+    each = F.zip_with("_first", last, lambda a, b: F.struct(F.get(starts, a).cast("long").alias("start"), (F.get(starts, b) + F.col(size)).cast("long").alias("end")))
+    return df.withColumn(out, each).drop("_first")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: float = 0.05) -> DataFrame:
@@ -90,15 +93,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
         texts = keyed.select("_id", "_id2", "text")
         prints = with_hashes(with_words(texts).select("_id", "_id2", "words")).drop("words")
         for size in lengths:
-            prints = with_fingerprints(prints, size, f"p{size}")
-        every = F.concat(*[stretches(f"p{size}", size) for size in lengths])
+            prints = with_stretches(with_fingerprints(prints, size, f"p{size}"), f"p{size}", size, f"s{size}").drop(f"p{size}")
+        every = F.concat(*[F.col(f"s{size}") for size in lengths])
         prints = prints.select("_id", "_id2", F.explode(every).alias("s")).select("_id", "_id2", "s.*")
         shared = prints.join(of_items.select("item_id", "size", F.explode("prints").alias("print")), ["size", "print"])
         shared = written(shared.groupBy("_id", "_id2", "item_id", "size").agg(F.collect_set(F.struct("low", "high")).alias("near")), "shared-runs")
         pairs = with_words(texts.join(shared, ["_id", "_id2"])).join(of_items.select("item_id", "size", "runs"), ["item_id", "size"])
         near = F.array_sort(F.flatten(F.transform("near", lambda s: F.sequence(s["low"], s["high"]))))
         pairs = pairs.withColumn("starts", F.filter(near, lambda i: F.array_contains("runs", run_text("words", i, F.col("size")))))
-        hits = pairs.where(F.size("starts") > 0).select("_id", "_id2", "item_id", spans("starts", F.col("size")).alias("spans"))
+        hits = with_spans(pairs.where(F.size("starts") > 0), "starts", "size", "spans").select("_id", "_id2", "item_id", "spans")
         covered = F.aggregate(
             "spans",
             F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),
