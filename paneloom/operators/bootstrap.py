@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneloom.functions import columns as C
+from paneloom.operators.tables import kept, ranked
 
 DRAWS = "replicate int, climate_region string, source_site string, bootstrap_site string, draw_index int"
 
@@ -18,48 +19,54 @@ def replicate_seed(base: int, replicate: int) -> int:
     return int(np.random.SeedSequence([base, replicate]).generate_state(1)[0])
 
 
-def draw_sites(sites: dict[str, list[str]], seed: int) -> Iterator[tuple[str, str, str, int]]:
-    """(region, source, label, index): as many sites of each region as it has, with replacement, from one generator."""
+def numbered(sites: DataFrame) -> DataFrame:
+    """Distinct sites with their place in the region's order of names, from 0, and n, the region's sites."""
+    ranks = ranked(sites.select("climate_region", "site_id").distinct(), "climate_region", "site_id", name="_rank")
+    regions = ranks.groupBy("climate_region").agg(F.min("_rank").alias("_first"), F.count("*").alias("n"))
+    return kept(ranks.join(regions, "climate_region").select("climate_region", "site_id", (F.col("_rank") - F.col("_first")).alias("place"), "n"), "numbered-sites")
+
+
+def _drawn(each: DataFrame, own: DataFrame) -> DataFrame:
+    """Draws (replicate, climate_region, draw_index, place) with the names of the sites at those places."""
+    named = each.join(own.select("climate_region", "place", F.col("site_id").alias("source_site")), ["climate_region", "place"])
+    label = F.format_string("%s::draw-%04d::%s", "climate_region", "draw_index", "source_site")
+    return named.select("replicate", "climate_region", "source_site", label.alias("bootstrap_site"), "draw_index")
+
+
+def draw_places(sizes: dict[str, int], seed: int) -> Iterator[tuple[str, np.ndarray]]:
+    """(region, places): as many sites of each region as it has, with replacement, from one generator."""
     rng = np.random.default_rng(seed)
-    for region in sorted(sites):
-        names = sorted(sites[region])
-        for i, name in enumerate(rng.choice(names, size=len(names), replace=True).tolist()):
-            yield region, name, f"{region}::draw-{i:04d}::{name}", i
+    for region in sorted(sizes):
+        yield region, rng.integers(0, sizes[region], size=sizes[region])
 
 
 def draws(spark: SparkSession, sites: DataFrame, replicates: int, base_seed: int) -> DataFrame:
     """Draws of all replicates, made by replicate in parallel.
 
-    Every task gets the list of sites, one row for each monitoring site; its length is
-    checked, as replicates repeat it.
+    Tasks know how many sites each region has; the names come by a join on their places.
     """
-    rows = sites.select("climate_region", "site_id").distinct().limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("too many sites for one list; draw by region")
-    by_region: dict[str, list[str]] = {}
-    for r in rows:
-        by_region.setdefault(r["climate_region"], []).append(r["site_id"])
+    own = numbered(sites)
+    sizes = {r["climate_region"]: r["n"] for r in own.select("climate_region", "n").distinct().collect()}
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for replicate in batch.column(0).to_pylist():
-                found = list(draw_sites(by_region, replicate_seed(base_seed, replicate)))
-                yield pa.record_batch(
-                    [pa.array([replicate] * len(found), pa.int32()), *(pa.array([f[k] for f in found], pa.string()) for k in range(3)), pa.array([f[3] for f in found], pa.int32())],
-                    names=["replicate", "climate_region", "source_site", "bootstrap_site", "draw_index"],
-                )
+                for region, places in draw_places(sizes, replicate_seed(base_seed, replicate)):
+                    for at in range(0, len(places), 100_000):
+                        some = places[at : at + 100_000]
+                        yield pa.record_batch({"replicate": np.full(len(some), replicate, np.int32), "climate_region": pa.array([region] * len(some)), "draw_index": np.arange(at, at + len(some), dtype=np.int32), "place": some})
 
-    return spark.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate")).repartition(min(replicates, 64)).mapInArrow(make, DRAWS)
+    each = spark.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate")).repartition(min(replicates, 64))
+    return _drawn(each.mapInArrow(make, "replicate int, climate_region string, draw_index int, place long"), own)
 
 
 def arithmetic_draws(sites: DataFrame, replicates: int) -> DataFrame:
     """Draws from a formula that any engine can follow; for comparing engines."""
-    ordered = sites.groupBy("climate_region").agg(F.array_sort(F.collect_set("site_id")).alias("names"))
-    each = ordered.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    each = each.select("*", F.posexplode("names").alias("draw_index", "_own"))
-    source = F.get("names", ((F.col("draw_index").cast("long") * F.col("draw_index") * 7919 + F.col("draw_index") * F.col("replicate") * 31 + F.col("replicate") * 104729) % F.size("names")).cast("int"))
-    label = F.format_string("%s::draw-%04d::%s", "climate_region", "draw_index", source)
-    return each.select("replicate", "climate_region", source.alias("source_site"), label.alias("bootstrap_site"), "draw_index")
+    own = numbered(sites)
+    i, r = F.col("place"), F.col("replicate")
+    each = own.select("climate_region", "place", "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    each = each.select("replicate", "climate_region", i.cast("int").alias("draw_index"), ((i * i * 7919 + i * r * 31 + r * 104729) % F.col("n")).alias("place"))
+    return _drawn(each, own)
 
 
 def multiplicities(drawn: DataFrame) -> DataFrame:

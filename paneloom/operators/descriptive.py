@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneloom.functions import columns as C
-from paneloom.operators.tables import ranked
+from paneloom.operators.tables import quantiles, ranked
 
 NATIONAL = "national"
 
@@ -66,12 +66,11 @@ QUANTILES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
 def group_diagnostics(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Moments and exact quantiles of value by group."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in QUANTILES]))
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("sd"), F.round(F.var_samp(value), 6).alias("variance"),
-        F.round(F.sqrt(F.avg(F.col(value) * F.col(value))), 6).alias("rms"), q.alias("q"),
+        F.round(F.sqrt(F.avg(F.col(value) * F.col(value))), 6).alias("rms"),
     )
-    return out.select(*keys, "n", "mean", "sd", "variance", "rms", *[F.round(F.col("q")[i], 6).alias(f"q{round(100 * p):02d}") for i, p in enumerate(QUANTILES)])
+    return out.join(quantiles(rows, value, QUANTILES, *keys), list(keys), "left").select(*keys, "n", "mean", "sd", "variance", "rms", *[F.round(F.col("q")[i], 6).alias(f"q{round(100 * p):02d}") for i, p in enumerate(QUANTILES)])
 
 
 def fitted_deciles(rows: DataFrame, value: str, order: str) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneloom.config import PanelConfig
 from paneloom.functions import columns as C
-from paneloom.operators.tables import ranked
+from paneloom.operators.tables import kept, ranked
 
 
 def year_days(year: Column) -> Column:
@@ -151,6 +152,72 @@ def without_affected(rows: DataFrame, affected: DataFrame, keys: list[str]) -> D
     return rows.join(affected.select(*keys).distinct(), keys, "left_anti")
 
 
+@dataclass(frozen=True)
+class Candidate:
+    """Another population: rows where remove holds go, or all rows of keys that have such a row.
+
+    With before, they go from the whole panel, and years and sites qualify anew.
+    """
+
+    name: str
+    remove: Column
+    keys: tuple[str, ...] = ()
+    before: bool = False
+
+
+#: What goes with a removed row: the row, its site's year, its site.
+SCOPES = {(): 0, ("site_id", "calendar_year"): 1, ("site_id",): 2}
+
+
+def candidate_audit(panel: DataFrame, flags: dict[str, Column], candidates: Sequence[Candidate], cfg: PanelConfig) -> DataFrame:
+    """One row for each candidate: what its filter and then common support leave, beside the first candidate's sites.
+
+    Candidates decide by flags, so rows are counted by site, year, period, bin and flags
+    once, and only these counts are taken as often as there are candidates. site_years are
+    those of the rows before support.
+    """
+    period = F.when(F.col("period").isin("early", "later") & F.col("tmax_c").isNotNull(), F.col("period"))
+    cells = panel.withColumns(flags | {"period": period, "bin": C.temperature_bin(F.col("tmax_c"), cfg.bin_width)}).groupBy("site_id", "climate_region", "calendar_year", "period", "bin", *flags).agg(F.count("*").alias("n"))
+    cells = kept(cells, "cells")
+
+    def qualified(some: DataFrame, *extra: str) -> DataFrame:
+        years = some.groupBy(*extra, "site_id", "calendar_year").agg(F.sum("n").alias("n")).where(F.col("n") / year_days(F.col("calendar_year")) >= cfg.min_coverage)
+        count = {p: F.count_if(F.col("calendar_year").between(*ends)) for p, ends in (("early", cfg.early), ("later", cfg.later))}
+        return years.groupBy(*extra, "site_id").agg(*[c.alias(p) for p, c in count.items()]).where((F.col("early") >= cfg.min_years) & (F.col("later") >= cfg.min_years)).select(*extra, "site_id")
+
+    base = cells.join(qualified(cells).withColumn("_base", F.lit(True)), "site_id", "left").withColumn("_base", F.col("_base").isNotNull() & F.col("period").isNotNull())
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(c.remove, F.lit(False)).alias("remove"), F.lit(SCOPES[c.keys]).alias("scope"), F.lit(c.before).alias("before")) for i, c in enumerate(candidates)]))
+    source = base.select("*", each.alias("c")).select("site_id", "climate_region", "calendar_year", "period", "bin", "n", "_base", "c.*").where("before or _base")
+    hits = {k: F.max("remove").over(Window.partitionBy("i", *k)) for k in SCOPES if k}
+    gone = F.when(F.col("scope") == 1, hits["site_id", "calendar_year"]).when(F.col("scope") == 2, hits[("site_id",)]).otherwise(F.col("remove"))
+    source = kept(source.withColumn("gone", gone), "candidate-cells")
+    anew = qualified(source.where("before and not gone"), "i").withColumn("_anew", F.lit(True))
+    pre = source.where("not gone and period is not null").join(anew, ["i", "site_id"], "left").where("_anew or not before")
+    early, later = (F.when(F.col("period") == p, F.col("n")).otherwise(0) for p in ("early", "later"))
+    bins = pre.groupBy("i", "climate_region", "bin").agg(F.sum(early).alias("e"), F.sum(later).alias("l"))
+    flagged = pre.join(bins.select("i", "climate_region", "bin", ((F.col("e") >= cfg.min_days) & (F.col("l") >= cfg.min_days)).alias("supported")), ["i", "climate_region", "bin"])
+    flagged = kept(flagged, "candidate-rows")
+    s = F.col("supported")
+    regions = flagged.groupBy("i", "climate_region").agg(
+        F.sum(early).alias("e"), F.sum(later).alias("l"), F.sum(F.when(s, early)).alias("ek"), F.sum(F.when(s, later)).alias("lk"), F.count_distinct("site_id").alias("sites"), F.count_if(s).alias("cells"),
+    )
+    poor = (F.col("cells") == 0) | (F.col("sites") < cfg.min_sites) | (F.col("ek") < cfg.min_retention * F.col("e")) | (F.col("lk") < cfg.min_retention * F.col("l"))
+    regions = regions.groupBy("i").agg(F.count_if(F.coalesce(poor, F.lit(True))).alias("regions_not_estimable"))
+    sites = flagged.where(s).groupBy("i", "site_id").agg(F.count_distinct("period").alias("p"))
+    first = sites.where("i = 0").select("site_id", F.lit(True).alias("_first"))
+    n_first = first.agg(F.count("*").alias("n_first"))
+    sites = sites.join(first, "site_id", "left").groupBy("i").agg(F.count("*").alias("final_sites"), F.count_if(F.col("p") == 2).alias("sites_in_both"), F.count("_first").alias("_shared"))
+    rows = flagged.groupBy("i").agg(
+        F.sum("n").alias("pre_rows"), F.count_distinct("site_id", "calendar_year").alias("site_years"), F.sum(F.when(s, F.col("n")).otherwise(0)).alias("final_rows"), F.sum(F.when(s, early).otherwise(0)).alias("early_rows"),
+        F.sum(F.when(s, later).otherwise(0)).alias("later_rows"), F.sum(F.when(s & (F.col("calendar_year") == cfg.quality_year), F.col("n")).otherwise(0)).alias("quality_rows"),
+    )
+    names = panel.sparkSession.createDataFrame([(i, c.name) for i, c in enumerate(candidates)], "i int, candidate string")
+    input_ = source.groupBy("i").agg(F.sum("n").alias("input_rows"), F.sum(F.when(F.col("gone"), F.col("n")).otherwise(0)).alias("removed_rows"))
+    counts = ["input_rows", "removed_rows", "pre_rows", "final_rows", "early_rows", "later_rows", "quality_rows", "site_years", "final_sites", "sites_in_both", "_shared", "regions_not_estimable"]
+    out = names.join(input_, "i", "left").join(rows, "i", "left").join(sites, "i", "left").join(regions, "i", "left").fillna(0, counts).crossJoin(n_first)  # one row
+    return out.select("candidate", *[c for c in counts if c != "_shared"], (F.col("n_first") - F.col("_shared")).alias("sites_lost"), (F.col("final_sites") - F.col("_shared")).alias("sites_added"))
+
+
 def set_difference(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
     """Keys of one side only, with the side's name."""
     return left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti").withColumn("side", F.lit(names[0])).unionByName(

@@ -13,21 +13,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.functions import columns as C
 from paneloom.functions import splines
 from paneloom.operators import vectors
-from paneloom.operators.tables import kept
+from paneloom.operators.tables import kept, quantiles
 
-def moments(rows: DataFrame, xs: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
-    """(climate_region, site_id, v): each task's sums of products of 1, xs and y by site, weighted if asked.
+def moments(rows: DataFrame, xs: Sequence[str], y: str, weight: str | None = None, keys: Sequence[str] = ("climate_region", "site_id")) -> DataFrame:
+    """(keys, v): each task's sums of products of 1, xs and y by site or other keys, weighted if asked.
 
     v is the upper triangle row by row. A task passes its sums on when it holds many.
     """
     p = len(xs) + 2
-    pairs, names = np.triu_indices(p), ["climate_region", "site_id"]
+    pairs, names, kinds = np.triu_indices(p), list(keys), vectors.kinds_of(rows, keys)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = vectors.Held()
@@ -40,11 +40,11 @@ def moments(rows: DataFrame, xs: Sequence[str], y: str, weight: str | None = Non
             if groups:
                 held.add(list(groups), np.array([(some.T @ some)[pairs] for some in (values[at] for at in groups.values())]))
             if held.full:
-                yield from held.told(names, [pa.string(), pa.string()])
-        yield from held.told(names, [pa.string(), pa.string()])
+                yield from held.told(names, kinds)
+        yield from held.told(names, kinds)
 
     sums = rows.select(*names, *[F.col(x).cast("double").alias(x) for x in xs], F.col(y).cast("double").alias(y), *([weight] if weight else []))
-    return sums.mapInArrow(add, "climate_region string, site_id string, v array<double>")
+    return sums.mapInArrow(add, f"{vectors.ddl_of(rows, keys)}, v array<double>")
 
 
 SITE_SUMS = "n double, mean array<double>, within array<double>"
@@ -186,30 +186,6 @@ def decomposition(sites: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def quantiles(rows: DataFrame, column: str, ranks: Sequence[float]) -> list[float]:
-    """Quantiles of all values by linear interpolation between order statistics.
-
-    Equal values are counted first. Distinct ones are dealt by ranges, and those at the
-    asked places come to the driver, so no task or driver holds them all.
-    """
-    counts = kept(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n")).repartitionByRange("x").withColumn("_range", F.spark_partition_id()), "value-counts")
-    sizes = sorted((r["_range"], r["n"]) for r in counts.groupBy("_range").agg(F.sum("n").alias("n")).collect())
-    total = sum(n for _, n in sizes)
-    if not total:
-        raise ValueError(f"no value of {column}")
-    places = [r * (total - 1) for r in ranks]
-    wanted = sorted({int(f(p)) for p in places for f in (np.floor, np.ceil)})
-    before, offsets = 0, []
-    for k, n in sizes:
-        offsets.append((k, before))
-        before += n
-    upto = F.sum("n").over(Window.partitionBy("_range").orderBy("x")) + F.col("_before")
-    placed = counts.join(rows.sparkSession.createDataFrame(offsets, "_range int, _before long"), "_range").withColumn("upto", upto)
-    held = placed.select("x", F.explode(F.filter(F.lit(wanted).cast("array<long>"), lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n")))).alias("place"))
-    at = {r["place"]: r["x"] for r in held.collect()}
-    return [at[int(np.floor(p))] + (at[int(np.ceil(p))] - at[int(np.floor(p))]) * (p - np.floor(p)) for p in places]
-
-
 def piecewise(x: Column, knots: np.ndarray, pieces: np.ndarray) -> list[Column]:
     """One column for each column of a spline basis; pieces[i, k] are the coefficients of (x - knots[i]) ** k."""
     i = F.lit(0)
@@ -228,7 +204,10 @@ def with_splines(rows: DataFrame, frame: DataFrame | None = None, *, ranks: Sequ
     bound. The driver gets knots, means and the counts of at most 365 days.
     """
     frame = rows if frame is None else frame
-    knots = np.array(quantiles(frame, "tmax_c", [0.0, *ranks, 1.0]))
+    found = quantiles(frame, "tmax_c", [0.0, *ranks, 1.0]).first()
+    if found is None:
+        raise ValueError("no temperature")
+    knots = np.array(found["q"])
     days = sorted((r["day_of_year"], r["count"]) for r in frame.where("day_of_year is not null").groupBy("day_of_year").count().collect())
     values, counts = np.array([d for d, _ in days], float), np.array([n for _, n in days], float)
     inner = np.quantile(values, np.linspace(0, 1, season_columns + 2)[1:-1])
@@ -291,8 +270,6 @@ def refit(drawn: DataFrame, sites: DataFrame, design: Design, r0: float, r1: flo
     times = drawn.groupBy("source_site", "replicate").agg(F.count("*").alias("times"))
     # A site has at most one entry for each replicate.
     lists = times.groupBy("source_site").agg(F.sort_array(F.collect_list(F.struct(F.col("replicate").cast("int").alias("replicate"), F.col("times").cast("double").alias("times")))).alias("drawn"))
-    e, nt, ns = len(design.extra), len(design.ts), len(design.ss)
-    p = 1 + e + 2 * nt + 2 * ns
     names, kinds = ["replicate", "climate_region"], [pa.int32(), pa.string()]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,10 +281,86 @@ def refit(drawn: DataFrame, sites: DataFrame, design: Design, r0: float, r1: flo
                     yield from held.told(names, kinds)
         yield from held.told(names, kinds)
 
+    joined = sites.join(lists, "source_site").select("climate_region", "v", "drawn.replicate", "drawn.times")
+    return vectors.met(joined.mapInArrow(weigh, "replicate int, climate_region string, v array<double>"), names, _replicate_solver(design, r0, r1), REPLICATE)
+
+
+def refit_supported(drawn: DataFrame, rows: DataFrame, y: str, min_days: int, r0: float, r1: float) -> DataFrame:
+    """Like refit, for the design of a temperature slope by period, with support counted anew by each replicate.
+
+    rows have bin. A bin of a region is supported in a replicate if its drawn rows have at
+    least min_days days in both periods, copies of a site counted each. Sums by site and
+    bin are made once; a site adds those of its supported bins, is centred and counts as
+    often as it was drawn. A replicate without a bin, or with a drawn site that lacks a
+    period, fails in its region, and its failure says so.
+    """
+    design = Design("later", ("tmax_c",))
+    with_r, xs = design.columns(rows)
+    p = len(xs)
+    keys = ["climate_region", "site_id", "bin"]
+    cells = kept(vectors.met(moments(with_r, xs, y, keys=keys), keys), "site-bins")
+    times = kept(drawn.groupBy(F.col("source_site").alias("site_id"), "replicate").agg(F.count("*").cast("double").alias("times")), "times")
+    # Places in the triangle of 1, later, tmax_c, ...: counts of all and of later rows.
+    later = F.get("v", F.lit(1))
+    bins = cells.join(times, "site_id").groupBy("replicate", "climate_region", "bin").agg(F.sum(F.col("times") * (F.get("v", F.lit(0)) - later)).alias("e"), F.sum(F.col("times") * later).alias("l"))
+    bins = bins.where((F.col("e") >= min_days) & (F.col("l") >= min_days))
+    # A region has one entry for each replicate and bin, a site one for each bin and one for each replicate.
+    supported = bins.groupBy("climate_region").agg(F.collect_list(F.struct(F.col("replicate").cast("int").alias("replicate"), F.col("bin").cast("double").alias("bin"))).alias("s"))
+    of_site = cells.groupBy("climate_region", "site_id").agg(F.collect_list(F.struct(F.col("bin").cast("double").alias("bin"), "v")).alias("c"))
+    lists = times.groupBy("site_id").agg(F.collect_list(F.struct(F.col("replicate").cast("int").alias("replicate"), "times")).alias("t"))
+    joined = of_site.join(lists, "site_id").join(supported, "climate_region", "left").select("climate_region", "c.bin", "c.v", "t.replicate", "t.times", F.col("s.replicate").alias("s_replicate"), F.col("s.bin").alias("s_bin"))
+    i, j = np.triu_indices(p + 1)
+    names, kinds = ["replicate", "climate_region"], [pa.int32(), pa.string()]
+    width = 1 + (p + 1) * (p + 2) // 2 + p + 1 + 2 + 2
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = vectors.Held()
+        for batch in batches:
+            for region, own, v, replicates, counts, s_replicate, s_bin in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                at = {r: k for k, r in enumerate(replicates)}
+                place = {b: k for k, b in enumerate(own)}
+                takes = np.zeros((len(replicates), len(own)))
+                has_bin = np.zeros(len(replicates))
+                for r, b in zip(s_replicate or (), s_bin or (), strict=True):
+                    if r in at:
+                        has_bin[at[r]] = 1
+                        if b in place:
+                            takes[at[r], place[b]] = 1
+                m = np.array(counts)
+                total = takes @ np.array(v)
+                n, n_later = total[:, 0], total[:, 1]
+                good = (n_later > 0) & (n_later < n)
+                out = np.zeros((len(replicates), width))
+                out[:, 0], out[:, -2], out[:, -1] = 1, ~good, has_bin == 0
+                total = total[good]
+                mean = total[:, 1 : p + 2] / total[:, :1]
+                within = total[:, p + 2 :] - total[:, :1] * mean[:, i] * mean[:, j]
+                all_t, later_t = total[:, 2], total[:, 3]
+                temps = np.column_stack([(all_t - later_t) / (n - n_later)[good], later_t / n_later[good]])
+                out[good, 1:-2] = np.hstack([within, mean, temps])
+                held.add([(r, region) for r in replicates], out * m[:, None])
+                if held.full:
+                    yield from held.told(names, kinds)
+        yield from held.told(names, kinds)
+
+    return vectors.met(joined.mapInArrow(weigh, "replicate int, climate_region string, v array<double>"), names, _replicate_solver(design, r0, r1, judged=True), REPLICATE)
+
+
+def _replicate_solver(design: Design, r0: float, r1: float, *, judged: bool = False):
+    """Solves weighted sums of site vectors; with judged, the last two numbers count draws without a period and without a bin."""
+    e, nt, ns = len(design.extra), len(design.ts), len(design.ss)
+    p = 1 + e + 2 * nt + 2 * ns
+
     def solve(keys: list, sums: np.ndarray) -> dict[str, pa.Array]:
         rows = []
         for v in sums:
             m = v[0]
+            if judged:
+                *_, lacking, binless = v
+                v = v[:-2]
+                if binless or lacking:
+                    rows.append((int(round(m)), None, None, None, None, "support: no bin" if binless else "support: a drawn site lacks a period"))
+                    continue
             within, mean, te, tl, s = np.split(v[1:], np.cumsum([(p + 1) * (p + 2) // 2, p + 1, nt, nt]))
             gram = np.zeros((p + 1, p + 1))
             gram[np.triu_indices(p + 1)] = within
@@ -325,8 +378,7 @@ def refit(drawn: DataFrame, sites: DataFrame, design: Design, r0: float, r1: flo
         kinds_ = [pa.int64(), *[pa.float64()] * 4, pa.string()]
         return {name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(["n_sites", "A", "B", "C", "D", "failure"], kinds_, strict=True))}
 
-    joined = sites.join(lists, "source_site").select("climate_region", "v", "drawn.replicate", "drawn.times")
-    return vectors.met(joined.mapInArrow(weigh, "replicate int, climate_region string, v array<double>"), names, solve, REPLICATE)
+    return solve
 
 
 def replicate_components(means: DataFrame) -> DataFrame:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
-    """df by way of Parquet in spark.checkpoint.dir, or in a local folder where that is unset."""
+    """df by way of Parquet in spark.checkpoint.dir, or in a local folder where that is unset in a local session."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or f"file://{tempfile.gettempdir()}"
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -34,3 +38,31 @@ def ranked(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
     offsets = df.sparkSession.createDataFrame(before, "_range int, _before long")
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return dealt.withColumn("_place", place - 1).join(offsets, "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
+def quantiles(rows: DataFrame, column: str, ranks: Sequence[float], *keys: str, weight: str | None = None) -> DataFrame:
+    """keys and q, the quantiles of column by linear interpolation between order statistics; nulls don't count.
+
+    Equal values are counted first (as weight whole rows, if given). Distinct ones are
+    dealt by ranges, counts of the ranges before added, and the values at the asked places
+    taken, so no task holds a group.
+    """
+    n = F.sum(weight) if weight else F.count("*")
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("_x")).agg(n.cast("long").alias("_n")).where("_n > 0")
+    counts = kept(counts.repartitionByRange(*keys, "_x").withColumn("_range", F.spark_partition_id()), "value-counts")
+    group = Window.partitionBy(*keys)
+    sums = counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
+    sums = sums.withColumns({"_total": F.sum("_sum").over(group), "_before": F.sum("_sum").over(group.orderBy("_range")) - F.col("_sum")}).drop("_sum")
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*keys, "_range")]
+    joined = counts.alias("c").join(sums.alias("s"), on).select("c.*", "_total", "_before")
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_x")) + F.col("_before")
+    placed = joined.withColumn("_upto", upto)
+
+    def at(place):
+        return F.max(F.when((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n")), F.col("_x")))
+
+    places = [F.lit(float(r)) * (F.col("_total") - 1) for r in ranks]
+    ends = [e for i, place in enumerate(places) for e in (at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"))]
+    found = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *ends)
+    q = F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (place - F.floor(place)) for i, place in enumerate(places)])
+    return found.where("_total is not null").select(*keys, q.alias("q"))

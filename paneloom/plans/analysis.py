@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paneloom.config import SAMPLE
+from paneloom.functions import columns as C
 from paneloom.operators import bootstrap as B
 from paneloom.operators import compare as K
 from paneloom.operators import descriptive as D
@@ -184,6 +185,17 @@ def bootstrap_decomposition_intervals(spark, d):
     return B.intervals(_replicates(spark, d), digits=5).drop("argmin", "relation")
 
 
+#: Days of either period that a bin needs in a replicate.
+REPLICATE_DAYS = 60
+
+
+def _supported_replicates(spark, d):
+    """Components, and the outcome by region, of replicates that count their own supported bins."""
+    rows = R.model_frame(pop._base(spark, d)).withColumn("bin", C.temperature_bin(F.col("tmax_c"), SAMPLE.bin_width))
+    means = R.refit_supported(B.arithmetic_draws(_sites(spark, d), REPLICATES), rows, "ozone_mda8_ppb", REPLICATE_DAYS, 0.0, 1.0)
+    return R.replicate_components(means), means
+
+
 def spline_bootstrap(spark, d):
     rows, ts, ss = R.with_splines(R.model_frame(pop._base(spark, d)))
     design = R.Design("later", ts, ss)

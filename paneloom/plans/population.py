@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paneloom.config import SAMPLE
 from paneloom.functions import columns as C
 from paneloom.operators import population as P
+from paneloom.operators.tables import quantiles
 from paneloom.sources import adapters as A
 
 
@@ -149,9 +150,8 @@ def population_set_differences(spark, d):
 
 
 def knot_quantiles(spark, d):
-    q = F.percentile("tmax_c", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 1 / 3, 2 / 3)]))
-    rows = _base(spark, d).groupBy("climate_region").agg(q.alias("q"), F.min("tmax_c").alias("lo"), F.max("tmax_c").alias("hi"))
-    return rows.select("climate_region", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(5)], "lo", "hi")
+    rows = quantiles(_base(spark, d), "tmax_c", (0.25, 0.5, 0.75, 1 / 3, 2 / 3, 0.0, 1.0), "climate_region")
+    return rows.select("climate_region", *[F.round(F.col("q")[i], 6).alias(f"q{i}") for i in range(5)], F.col("q")[5].alias("lo"), F.col("q")[6].alias("hi"))
 
 
 def site_temperature_histogram(spark, d):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from paneloom.plans import analysis, geography, measurement, population
+from paneloom.plans import analysis, audits, geography, measurement, population
 
 
 def _modules() -> list:
-    return [measurement, geography, population, analysis]
+    return [measurement, geography, population, analysis, audits]
 
 
 def queries() -> dict:
