@@ -42,8 +42,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = class_lm.learn(docs.where(fold() != 1))
-    found = class_lm.scored(docs, model)
+    found = class_lm.learned_and_scored(docs, fold() != 1)
     return found.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -324,27 +324,129 @@ def test_fences_follow_the_group(spark):
     assert not got.pop(100) and all(got.values())
 
 
-def test_class_lm(spark, texts):
+def lm_by_hand(model, counts, n, v, classes):
+    """A function that scores a text by the model's own word classes, with all else counted anew."""
+    seen = [*counts]
+    of = dict(zip(seen, model.classes_of(seen).tolist(), strict=True))
+
+    def class_of(word):
+        return of[word] if word in of else int(model.of[model.symbols.symbol(word)])
+
+    def tables(train):
+        table, mass, types = np.zeros((classes, classes)), np.zeros(classes), np.zeros(classes)
+        for w in train:
+            found = [0, *map(class_of, w)]
+            for a, b in zip(found, found[1:], strict=False):
+                table[a, b] += 1
+        for word, c in counts.items():
+            mass[of[word]] += c
+            types[of[word]] += 1
+        return table, mass, types
+
+    def score(train, w):
+        table, mass, types = tables(train)
+        share = (mass + 1) / (n + classes)
+        found = [0, *map(class_of, w)]
+        steps = sum(math.log10((table[a, b] + share[b]) / (table[a].sum() + 1)) for a, b in zip(found, found[1:], strict=False))
+        return steps + sum(math.log10((counts[x] + 0.5) / (mass[class_of(x)] + 0.5 * (types[class_of(x)] + 1))) for x in w)
+
+    return score
+
+
+@pytest.mark.parametrize(("head", "core"), [(40, 20), (1000, 30), (5, 1000)])
+def test_class_lm(spark, texts, head, core):
+    options = {"classes": 8, "head": head, "core": core, "groups": 10}
     docs = frame(spark, texts)
-    model = class_lm.learn(docs.where("doc_id % 5 <> 1 or doc_id is null"), classes=8, head=40, core=20, groups=10)
+    teaches = (F.col("doc_id") % 5 != 1) | F.col("doc_id").isNull()
+    model = class_lm.learn(docs.where(teaches), **options)
     got = class_lm.scored(docs.select("doc_id", "text").withColumn("score", F.lit("clash")), model).collect()
-    counts = Counter()
+    again = {r["doc_id"]: r for r in class_lm.learned_and_scored(docs.select("doc_id", "text"), teaches, **options).collect()}
+    counts, train = Counter(), []
     for i, t in enumerate(texts):
         if i == 11 or i % 5 != 1:
-            counts.update(class_lm.tokens((t or "").encode()))
+            train.append(class_lm.tokens((t or "").encode()))
+            counts.update(train[-1])
     n, v = sum(counts.values()), len(counts)
-    for r in got:
+    score = lm_by_hand(model, counts, n, v, 8)
+    assert len(got) == len(texts)
+    for k, r in enumerate(got):
         w = class_lm.tokens((texts[11 if r["doc_id"] is None else r["doc_id"]] or "").encode())
         base = sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         assert r["base_score"] == pytest.approx(base) and r["train_tokens"] == n
         assert (r["n_tokens"], r["n_known"]) == (len(w), sum(x in counts for x in w)) and r["score"] < 0
+        if k % 6 == 0:
+            assert r["score"] == pytest.approx(score(train, w))
+        for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score"):
+            assert r[c] == pytest.approx(again[r["doc_id"]][c])
     assert np.allclose((10**model.transition).sum(1), 1)
     # What follows any class adds up to one over all known words and one unknown of each class.
     mass = Counter()
-    for word_, c in counts.items():
-        mass[int(model.of[model.symbols.symbols(model.symbols.codes([word_]))[0]])] += c + 0.5
+    for word_, k in zip(counts, model.classes_of([*counts]).tolist(), strict=True):
+        mass[k] += counts[word_] + 0.5
     for k, total in mass.items():
         assert (total + 0.5) * 10 ** model.emission[k] == pytest.approx(1)
+    assert model.steps == sorted(model.steps) or model.steps[-1] >= model.steps[0]
+
+
+def test_neighbours_and_moves_by_hand(spark, texts):
+    """Counted neighbours of symbols, and each word's best class, against plain sums."""
+    docs = frame(spark, texts)
+    n, v, symbols, head_counts = class_lm.counted(docs, 60, 30, 5)
+    rows = class_lm.encoded(docs, [], symbols)
+    expected = Counter()
+    sequences = [[0, *map(symbols.symbol, class_lm.tokens((t or "").encode()))] for t in texts]
+    for s in sequences:
+        expected.update(zip(s, s[1:], strict=False))
+    found = Counter()
+    beside = class_lm.neighbours(rows, symbols)
+    for r in beside.collect():
+        for slot, k in zip(r["slots"], r["ns"], strict=True):
+            if slot < symbols.size:
+                found[r["symbol"], slot] = k
+            else:
+                assert expected[slot - symbols.size, r["symbol"]] == k
+    assert found == expected
+    of = np.append(0, 1 + np.arange(symbols.size - 1) % 5)
+    table = class_lm.square(beside, of, 6)
+    new = class_lm.moved(beside, of, table)
+    flat = np.zeros((6, 6))
+    for (a, b), k in expected.items():
+        flat[of[a], of[b]] += k
+    assert (table == flat).all()
+    words_ = class_lm.other_words(rows, symbols, of, table).collect()
+    counts = Counter(w for t in texts for w in class_lm.tokens((t or "").encode()))
+    assert {bytes(r["word"]): r["c"] for r in words_} == {w: c for w, c in counts.items() if symbols.symbol(w) > symbols.n_own}
+
+    def gains(after, before, old):
+        """The likelihood with a word in each class, its neighbours where they are."""
+        out = []
+        for k in range(6):
+            t = table.copy()
+            for c, m in before.items():
+                t[c, old] -= m
+            for c, m in after.items():
+                t[old, c] -= m
+            t = np.maximum(t, 0)
+            sums = t.sum(0), t.sum(1)
+            del sums
+            gain = sum(class_lm.f(np.array([t[c, k] + m]))[0] - class_lm.f(np.array([t[c, k]]))[0] for c, m in before.items()) + sum(class_lm.f(np.array([t[k, c] + m]))[0] - class_lm.f(np.array([t[k, c]]))[0] for c, m in after.items())
+            for side, size in ((0, sum(before.values())), (1, sum(after.values()))):
+                rest = table.sum(side)[k] - (size if k == old else 0)
+                gain -= class_lm.f(np.array([rest + size]))[0] - class_lm.f(np.array([rest]))[0]
+            out.append(gain if k else -np.inf)
+        return np.array(out)
+
+    for r in words_[:200]:
+        word, after, before = bytes(r["word"]), Counter(), Counter()
+        for t, s in zip(texts, sequences, strict=True):
+            for i, w in enumerate(class_lm.tokens((t or "").encode())):
+                if w == word:
+                    before[int(of[s[i]])] += 1
+                    if i + 2 < len(s):
+                        after[int(of[s[i + 2]])] += 1
+        g = gains(after, before, int(of[symbols.symbol(word)]))
+        assert g[r["class"]] == pytest.approx(g.max())
+    assert new[0] == 0 and (new > 0)[1:].all()
 
 
 def test_rare_words_are_classed_by_their_neighbours(spark):
@@ -353,9 +455,9 @@ def test_rare_words_are_classed_by_their_neighbours(spark):
     nouns, verbs = ([f"{k}{i}zz" for i in range(40)] for k in ("n", "v"))
     docs = frame(spark, [" ".join(x for _ in range(30) for x in ("the", rng.choice([*nouns, *nouns[:1] * 20]), "to", rng.choice([*verbs, *verbs[:1] * 20]))) for _ in range(60)])
     model = class_lm.learn(docs, classes=5, head=6, core=4, groups=2)
-    of = {w: int(model.of[model.symbols.symbols(model.symbols.codes([w.encode()]))[0]]) for w in nouns + verbs}
+    of = dict(zip(nouns + verbs, model.classes_of([w.encode() for w in nouns + verbs]).tolist(), strict=True))
     assert len({of[w] for w in nouns}) == 1 and len({of[w] for w in verbs}) == 1 and of[nouns[0]] != of[verbs[0]]
-    assert model.steps[1] > model.steps[0]
+    assert model.steps[-1] > model.steps[0]
 
 
 def test_exchange_finds_alternation():
