@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from paneloom.config import PanelConfig
 from paneloom.functions import columns as C
 from paneloom.functions import splines
-from paneloom.operators import bootstrap, compare, descriptive, geography, logistic, measurement, population, regression, seasons
+from paneloom.operators import audits, bootstrap, compare, descriptive, geography, logistic, measurement, population, regression, seasons, tables, vectors
 
 CFG = PanelConfig()
 
@@ -248,3 +248,95 @@ def test_sensitivity_directions(spark):
     b = spark.createDataFrame([("x", -0.2, 1.0), ("y", 1.2, 1.0), ("z", 1.0, 1.0)], schema)
     got = {r["scope"]: (r["direction"], r["is_major"], r["primary_relation"]) for r in compare.sensitivity(a, b).collect()}
     assert got == {"x": ("reversed", True, "reinforce"), "y": ("strengthened", False, "oppose"), "z": ("unchanged", False, "effectively zero")}
+
+
+def test_a_fit_refuses_rows_it_must_not_have(spark):
+    good = [(s, "R", p, float(t), 1 + t, 5.0) for s in "ab" for p in ("early", "later") for t in range(3)]
+    schema = "site_id string, climate_region string, period string, tmax_c double, day_of_year int, y double"
+    audits.required(audits.model_frame_checks(spark.createDataFrame(good, schema), "y"))
+    for change, said in (([("a", "Q", "early", 1.0, 1, 5.0)], "several regions"), ([("c", "R", "early", 1.0, 1, 5.0)], "without a period"), ([("a", "R", "early", float("nan"), 1, 5.0)], "not finite"), ([("a", "R", "early", 1.0, 1, None)], "missing"), ([("a", "R", "x", 1.0, 1, 5.0)], "other periods")):
+        with pytest.raises(ValueError, match=said):
+            audits.required(audits.model_frame_checks(spark.createDataFrame(good + change, schema), "y"))
+    with pytest.raises(ValueError, match="no rows"):
+        audits.required(audits.model_frame_checks(spark.createDataFrame([], schema), "y"))
+
+
+def test_no_extrapolation(spark):
+    rows = spark.createDataFrame([("s", float(t), 1 + 40 * t) for t in range(9)], "site_id string, tmax_c double, day_of_year int")
+    wide = rows.unionByName(rows.limit(1).withColumn("tmax_c", F.lit(99.0)))
+    with pytest.raises(Exception, match="outside the fitted range"):
+        regression.with_splines(wide, rows)[0].collect()
+    clipped, ts, ss = regression.with_splines(wide, rows, extrapolate=True)
+    values = {r["tmax_c"]: [r[t] for t in ts] for r in clipped.collect()}
+    assert values[99.0] == pytest.approx(values[8.0]) and len(ss) == 6
+
+
+def test_bases_as_columns_equal_the_functions(spark):
+    rng = np.random.default_rng(3)
+    t, d = np.round(rng.uniform(-5, 40, 300), 1), rng.integers(1, 366, 300)
+    rows = spark.createDataFrame(pd.DataFrame({"tmax_c": t, "day_of_year": d.astype("int32")}))
+    got, ts, ss = regression.with_splines(rows)
+    got = got.toPandas()
+    basis = splines.centred(np.quantile(t, [0, 0.25, 0.5, 0.75, 1]), False, t, np.ones(300))
+    assert np.allclose(got[list(ts)], basis(got["tmax_c"].to_numpy()), atol=1e-9)
+    days, n = np.unique(d, return_counts=True)
+    cycle = splines.centred(np.concatenate(([1.0], np.quantile(days, np.linspace(0, 1, 8)[1:-1]), [365.0])), True, days, n)
+    assert np.allclose(got[list(ss)], cycle(got["day_of_year"].to_numpy()), atol=1e-9)
+
+
+def test_quantiles_by_group(spark):
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"g": rng.choice(["a", "b", None], 500), "v": np.round(rng.normal(size=500), 1)})
+    frame.loc[::7, "v"] = np.nan
+    rows = spark.createDataFrame(frame).withColumn("v", F.nanvl("v", F.lit(None)))
+    got = {r["g"]: r["q"] for r in tables.quantiles(rows, "v", (0.0, 0.1, 0.5, 1.0), "g").collect()}
+    for g in ("a", "b", None):
+        own = frame.v[frame.g.isna() if g is None else frame.g == g].dropna()
+        assert got[g] == pytest.approx(list(own.quantile([0, 0.1, 0.5, 1])))
+    assert tables.quantiles(rows.limit(0), "v", (0.5,)).count() == 0
+
+
+def test_vectors_add_up(spark):
+    rng = np.random.default_rng(1)
+    frame = pd.DataFrame({"a": rng.choice(["x", "y", None], 400), "b": rng.integers(0, 30, 400), "v": list(rng.normal(size=(400, 3)))})
+    rows = spark.createDataFrame(frame[["a", "b"]].assign(v=[v.tolist() for v in frame.v])).repartition(7)
+    got = {(r["a"], r["b"]): r["v"] for r in vectors.met(vectors.partly_summed(rows, ["a", "b"]), ["a", "b"]).collect()}
+    expected = {(None if a != a or a is None else a, b): np.sum(np.stack(list(g)), 0) for (a, b), g in frame.groupby(["a", "b"], dropna=False).v}
+    assert set(got) == set(expected) and all(np.allclose(got[k], expected[k]) for k in got)
+
+
+def test_quantile_error_and_contribution(spark):
+    v = np.random.default_rng(5).normal(size=200)
+    got = audits.quantile_error(spark.createDataFrame(pd.DataFrame({"k": "a", "value": v})), (0.025, 0.5), "k").first()
+    for i, p in enumerate((0.025, 0.5)):
+        far = min(0.1, 1.96 * np.sqrt(200 * p * (1 - p)) / 200)
+        low, high = np.quantile(v, [max(0, p - far), min(1, p + far)])
+        assert got[f"error_{i}"] == pytest.approx((high - low) / 2, abs=1e-6)
+    rows = spark.createDataFrame([(1.0, 4.0, 0.5, 2.0, 3.0, 5.0), (-1.0, 4.0, -2.0, -0.5, 3.0, 5.0), (1.0, 4.0, 0.5, 2.0, -1.0, 5.0), (1.0, 4.0, -0.5, 2.0, 3.0, 5.0)], "c double, t double, cl double, ch double, tl double, th double")
+    args = (F.col("c"), F.col("t"), (F.col("cl"), F.col("ch")), (F.col("tl"), F.col("th")))
+    share, reason = audits.contribution(*args, least_total=1.0)
+    assert [tuple(r) for r in rows.select(share, reason).collect()] == [(25.0, None), (None, "components oppose"), (None, "total interval includes zero"), (None, "component interval includes zero")]
+    assert rows.select(audits.contribution(*args)[1]).first()[0] == "no least total is set"
+
+
+def test_separation_by_a_column(spark):
+    rows = [("A", "a", x, int(x > 2)) for x in range(5)] + [("A", "b", x, int(x > 0)) for x in range(3)] + [("A", "c", 1, 0)]  # complete, with a site that never varies
+    rows += [("B", "d", x, y) for x, y in ((0, 0), (1, 0), (1, 1), (2, 1))]  # quasi
+    rows += [("C", "e", 0, 0), ("C", "e", 1, 1), ("C", "f", 0, 1), ("C", "f", 1, 0)]  # two directions
+    rows += [("D", "g", 0, 1)]
+    got = {r["climate_region"]: r["separation"] for r in audits.separation(spark.createDataFrame(rows, "climate_region string, site_id string, x int, y int"), "x", "y").collect()}
+    assert got == {"A": "complete", "B": "quasi", "C": "none", "D": "no site varies"}
+
+
+def test_tables_need_a_shared_folder_on_a_cluster():
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    class Frame:
+        sparkSession = Session()
+
+    with pytest.raises(ValueError, match="share"):
+        tables.kept(Frame())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paneloom.config import PanelConfig
 from paneloom.operators import measurement
-from paneloom.sources import files, sinks
+from paneloom.sources import files, rules, sinks
 from paneloom.streaming import windows
 
 
@@ -40,6 +40,69 @@ def test_daily_weather(spark, tmp_path):
     assert [r["reason"] for r in rows.collect()] == [None, "missing", "quality", "source", "other", "other", "other"]
 
 
+DAILY = {"State Code": "01", "Parameter Code": "44201", "Sample Duration": "8-HR RUN AVG BEGIN HOUR", "Pollutant Standard": "Ozone 8-hour 2015", "Units of Measure": "Parts per million", "Event Type": "None", "Observation Count": "17", "1st Max Value": "0.0719"}
+HOURLY = {"State Code": "56", "Parameter Code": "44201", "Parameter Name": "Ozone", "Units of Measure": "Parts per million", "Method Type": "FEM", "Method Code": "047", "Sample Measurement": "0.031", "code_reason": None}
+WEATHER = {"station": "USW00012345", "date": "20200229", "element": "TMAX", "value": "-12", "m_flag": None, "q_flag": "", "s_flag": "S", "obs_time": "0700"}
+
+
+def reasons(spark, base, changes, reason):
+    rows = [(i, *(base | change).values()) for i, (change, _) in enumerate(changes)]
+    ddl = ", ".join(["i int", *[f"`{c}` string" for c in base]])
+    got = {r["i"]: r["reason"] for r in spark.createDataFrame(rows, ddl).withColumn("reason", reason).collect()}
+    assert [got[i] for i in range(len(changes))] == [expected for _, expected in changes]
+
+
+def test_daily_rows(spark):
+    reasons(spark, DAILY, [
+        ({}, None), ({"Pollutant Standard": None}, "not the target"), ({"State Code": "02"}, "out of scope"), ({"State Code": "72"}, "out of scope"), ({"State Code": "1"}, "out of scope"), ({"Event Type": "Excluded"}, "events excluded"),
+        ({"Observation Count": "x"}, "no count"), ({"1st Max Value": "inf"}, "no value"), ({"1st Max Value": "NaN"}, "no value"), ({"Observation Count": "12"}, "incomplete day"),
+    ], rules.daily_reason())
+    row = spark.createDataFrame([tuple(DAILY.values())], ", ".join(f"`{c}` string" for c in DAILY)).select(rules.daily_ppb()).first()
+    assert row[0] == 71
+
+
+def test_hourly_rows(spark):
+    reasons(spark, HOURLY, [
+        ({}, None), ({"Units of Measure": "ppb"}, "not the target"), ({"State Code": "15"}, "out of scope"), ({"Method Code": "47"}, "method"), ({"Method Type": "other"}, "method"), ({"code_reason": "unknown code"}, "unknown code"),
+        ({"Sample Measurement": ""}, "no value"),
+    ], rules.hourly_reason(F.col("code_reason")))
+
+
+def test_weather_forms(spark):
+    reasons(spark, WEATHER, [
+        ({}, None), ({"station": "US1"}, "station"), ({"date": "20210229"}, "date"), ({"date": "2021-01-1"}, "date"), ({"value": "1.5"}, "value"), ({"value": None}, "value"), ({"q_flag": "A"}, "quality flag"), ({"m_flag": "BB"}, "measurement flag"),
+        ({"s_flag": "?"}, "source flag"), ({"obs_time": "700"}, "time"), ({"obs_time": ""}, None),
+    ], rules.weather_form_reason())
+
+
+def test_file_report(spark, tmp_path):
+    for name, lines in {"a": "01,2020-01-01\n01,2020-02-01\n", "b": "01,2019-12-31\n", "c": "xx,2020-05-05\n", "d": "\n"}.items():
+        (tmp_path / f"{name}.csv").write_text(lines)
+    rows = spark.read.schema("state string, day date").csv(f"file://{tmp_path}/*.csv").withColumn("file", F.input_file_name())
+    got = {r["name"]: r for r in rules.file_report(rows, files.file_summary(spark, f"file://{tmp_path}/*.csv"), F.col("day"), 2020, F.when(F.col("state") == "xx", "state")).collect()}
+    assert {n: r["verdict"] for n, r in got.items()} == {"a.csv": "valid", "b.csv": "out of year", "c.csv": "rejected rows", "d.csv": "empty"}
+    assert got["a.csv"]["n_rows"] == 2 and got["a.csv"]["sha256"] == hashlib.sha256((tmp_path / "a.csv").read_bytes()).hexdigest()
+
+
+def test_identifiers(spark):
+    base = {"State Code": "01", "County Code": "003", "Site Num": "0010", "Parameter Code": "44201", "POC": "1"}
+    reasons(spark, base, [({}, None), ({"County Code": "3"}, "County Code"), ({"POC": "123"}, "POC"), ({"Site Num": None}, "Site Num")], rules.identifier_reason())
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a|b", 1200, 0.5, True, None), ("<c>", 3, -0.25, False, "x")], "name string, n int, v double, ok boolean, note string")
+    text = sinks.markdown(rows, title="T", note="N", labels={"<c>": "see"})
+    assert text.splitlines()[0] == "## T" and "| a\\|b | 1,200 | 0.5 | yes |  |" in text and "| see |" in text and text.endswith("*Note:* N\n")
+    assert "<td>&lt;c&gt;</td>" in sinks.html(rows, caption="A & B") and "<caption>A &amp; B</caption>" in sinks.html(rows, caption="A & B")
+    entry = sinks.write_report(rows, tmp_path / "r.csv", ["name", "n"])
+    assert entry["rows"] == 2 and entry["sha256"] == hashlib.sha256((tmp_path / "r.csv").read_bytes()).hexdigest()
+    with pytest.raises(ValueError):
+        sinks.html(rows, caption="x", most=1)
+    shown = rows.select(sinks.interval_text(F.col("v"), F.lit(-1.0), F.lit(2.0)).alias("i"), sinks.signed_text(F.col("v")).alias("d"), sinks.signed_text(F.col("v") / 1000, 2).alias("s")).collect()
+    assert [tuple(r) for r in shown] == [("+0.50 [-1.00, 2.00]", "+0.500", "+0.001"), ("-0.25 [-1.00, 2.00]", "\u22120.250", "\u22120.000")]
+    assert sinks.selected(rows, name="a|b", ok=True).count() == 1
+
+
 def test_stations(spark, tmp_path):
     (tmp_path / "s.txt").write_text("US000000001  40.5000 -100.2500 -999.9 NE NAME\nCA000000002  50.0000 -100.0000  100.0\nUS000000003  41.0000  -99.0000  250.5\n")
     got = {r["station"]: (r["latitude"], r["longitude"], r["elevation"]) for r in files.stations(spark, f"file://{tmp_path}/s.txt").collect()}
