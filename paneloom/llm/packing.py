@@ -42,14 +42,16 @@ class Encoder:
 
     The tokenizer never joins across white space nor across its first cut, so a text's
     ids are those of its pieces. New pieces go to the tokenizer many at a time, with a
-    space between; the mark of a word's last token shows where each ends.
+    space between; the mark of a word's last token shows where each ends. A text that holds
+    the literal of one of the tokenizer's added tokens is encoded whole.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer, self.as_loaded = Tokenizer.from_file(file), Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
+        self.literals = [t.content.lower().encode() for t in self.as_loaded.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(names.values()) + 1, bool)
         self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
@@ -81,8 +83,11 @@ class Encoder:
         raws = [(text or "").encode("utf-8", "replace").lower() for text in texts]
         is_plain = [PLAIN.fullmatch(text or "") is not None for text in texts]
         out = [b""] * len(texts)
+        whole = {i for i, raw in enumerate(raws) if any(t in raw for t in self.literals)}
+        for i in whole:
+            out[i] = np.asarray(self.as_loaded.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes() + end
         for plain in (True, False):
-            at = [i for i, p in enumerate(is_plain) if p == plain]
+            at = [i for i, p in enumerate(is_plain) if p == plain and i not in whole]
             cut = [PIECES.findall(raws[i]) if plain else raws[i].split() for i in at]
             for pieces in cut:
                 deque(map(self.memo.__getitem__, pieces), 0)  # the new ones go to self.memo.new
@@ -131,7 +136,8 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 1
     that crosses a cut has a piece on each side. All windows but the last are full.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
-    Repeated rows are packed each on its own; an empty table gives no rows.
+    Repeated rows are packed each on its own; an empty table gives no rows. Other columns
+    of docs, whatever their names, are left out.
     """
     tokens = written(tokenize(docs, tokenizer, end_id=end_id), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n")).orderBy("part").collect()
