@@ -157,6 +157,41 @@ def test_near_duplicates(spark, texts):
     assert kept.where("length(text) > 20").count() == len({r["class_key"] for r in got if r["text"] and len(r["text"]) > 20 and r["class_key"] is not None})
 
 
+def weighted_by_hand(texts):
+    """Shingle weights and weighted Jaccard similarity with words and tuples: 1 to 2, by the mean rarity of a shingle's words, times the count."""
+    cut = [(t or "").encode().lower().split() for t in texts]
+    df = Counter(w for ws in cut for w in set(ws))
+
+    def rarity(word):
+        return min(max(1 + math.log(len(texts) / df[word]) / math.log(1000), 1.0), 2.0)
+
+    def weights(ws):
+        n = min(5, len(ws))
+        counts = Counter(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)) if ws else Counter()
+        return {s: c * sum(map(rarity, s)) / len(s) for s, c in counts.items()}
+
+    def alike(a, b):
+        common = sum(min(v, b[s]) for s, v in a.items() if s in b)
+        return common / (sum(a.values()) + sum(b.values()) - common)
+
+    return [weights(ws) for ws in cut], alike
+
+
+def test_similarity_by_hand(spark, texts):
+    sets, alike = weighted_by_hand(texts)
+    found = near_dedup.Weights(near_dedup.document_frequencies(frame(spark, texts)))
+    own = [found.shingles((t or "").encode()) for t in texts]
+    assert [len(s) for s in sets] == [len(k) for k, _ in own]
+    compared = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j]:
+                s = alike(sets[i], sets[j])
+                compared += 0 < s < 1
+                assert near_dedup.similarity(own[i], own[j]) == pytest.approx(s, abs=1e-5)
+    assert compared > 100
+
+
 def test_samples_agree_as_often_as_sets_are_alike():
     rng = np.random.default_rng(0)
     keys = rng.integers(1, 1 << 62, 1000, dtype=np.uint64)
@@ -237,15 +272,15 @@ def test_packing(spark, texts):
 
     file = tokenizer()
     plain = Tokenizer.from_file(file)
-    plain.encode_special_tokens = True
-    docs = frame(spark, [*texts, "it's WE'LL 4,5!! naïve ΣΑΣ <|endoftext|> ½ 日本"])
+    texts = [*texts, "it's WE'LL 4,5!! naïve ΣΑΣ <|endoftext|> ½ 日本", "a <|endoftext|> b", "<|ENDOFTEXT|>x <|startoftext|>", "<|end of text|>"]
+    docs = frame(spark, texts).withColumn("offset", F.lit("clash"))
     rows = packing.pack(docs, file, length=64).collect()
     by_doc, places = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
         places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
         assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
-    for i, text in enumerate([*texts, "it's WE'LL 4,5!! naïve ΣΑΣ <|endoftext|> ½ 日本"]):
+    for i, text in enumerate(texts):
         found = sorted(by_doc[None if i == 11 else i], key=lambda r: r["start"])
         ids_ = np.frombuffer(b"".join(r["ids"] for r in found), "<u4").tolist()
         assert ids_ == [*plain.encode(text or "", add_special_tokens=False).ids, 1]
