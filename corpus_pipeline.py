@@ -6,11 +6,14 @@ null text or one without a letter go in the first stage, so an empty text only r
 stages when all of it repeats elsewhere; it is then packed as its end token. Rows that repeat
 are copies, of which one stays. Texts of any length are worked on whole, ties go to the least
 doc_id, and an empty table stays empty through all stages. Columns beside those of documents
-stay until packing, but for the names that an operator replaces.
+stay as they are until packing, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,23 @@ FARTHEST = 0.8
 REPEAT_BYTES, REPEAT_WORDS = 200, 50
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def beside_other_columns(stage: Stage) -> Stage:
+    """The stage with other columns than those of documents under names that no operator replaces."""
+
+    @wraps(stage)
+    def renamed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        aside = {c: f"_aside_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+        found = stage(spark, docs.withColumnsRenamed(aside), sf_dir)
+        return found.withColumnsRenamed({new: old for old, new in aside.items()})
+
+    return renamed
+
+
+@beside_other_columns
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter and those far from every language that docs has."""
     profiles = language_id.learn_profiles(docs.select("text", "lang"))
@@ -30,11 +50,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("distance") <= FARTHEST)).select(*docs.columns)
 
 
+@beside_other_columns
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each class of near copies."""
     return near_dedup.kept_documents(docs)
 
 
+@beside_other_columns
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of REPEAT_WORDS words or more made of strings of REPEAT_BYTES bytes that start elsewhere too.
 
@@ -49,6 +71,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.select(*docs.columns)
 
 
+@beside_other_columns
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), window=13, share=0.05)
