@@ -26,11 +26,13 @@ def varying_sites(rows: DataFrame, y: str) -> DataFrame:
 def fit(rows: DataFrame, xs: Sequence[str], y: str, *, rounds: int = 25, tolerance: float = 1e-8, limit: float = 30.0) -> DataFrame:
     """Fits like those of regression.fit, of the log odds that y is 1.
 
-    Each round is one pass over the rows: weights and working responses from the last
+    The rows are written once, a site's together, so rounds neither make them anew nor sum
+    a site in many tasks. Each round is one pass over the rows: weights and working responses from the last
     fit, then weighted least squares. Effects beyond limit mean that the outcome is
     separated, which is an error, as is a fit that has not settled after all rounds.
     """
-    rows = rows.select("climate_region", "site_id", *xs, F.col(y).cast("double").alias(y))
+    rows = rows.select("climate_region", "site_id", *[F.col(x).cast("double").alias(x) for x in xs], F.col(y).cast("double").alias(y))
+    rows = kept(rows.repartitionByRange("site_id").sortWithinPartitions("site_id"), "logit-rows")
     fits = None
     for _ in range(rounds):
         eta, at = F.lit(0.0), rows
