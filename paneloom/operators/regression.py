@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneloom.functions import columns as C
@@ -346,6 +346,87 @@ def refit_supported(drawn: DataFrame, rows: DataFrame, y: str, min_days: int, r0
     return vectors.met(joined.mapInArrow(weigh, "replicate int, climate_region string, v array<double>"), names, _replicate_solver(design, r0, r1, judged=True), REPLICATE)
 
 
+def refit_rebuilt(drawn: DataFrame, rows: DataFrame, y: str, min_days: int, r0: float, r1: float, *, ranks: Sequence[float] = (0.25, 0.5, 0.75), season_columns: int = 6) -> DataFrame:
+    """Like refit, for splines by period, with support, knots and bases of each replicate's own.
+
+    rows have bin. Unlike a refit from sums, each replicate reads its rows again, copies
+    of a site as a weight. The driver gets the knots and column means of each replicate.
+    Failures are told as by refit_supported, and knots that coincide.
+    """
+    keys = ["replicate", "climate_region"]
+    times = kept(drawn.groupBy(F.col("source_site").alias("site_id"), F.col("replicate").cast("int").alias("replicate")).agg(F.count("*").alias("times")), "times")
+    both = rows.select("site_id", "climate_region", "period", F.col("later").cast("double").alias("later"), F.col("tmax_c").cast("double").alias("tmax_c"), "day_of_year", F.col("bin").cast("double").alias("bin"), F.col(y).cast("double").alias("y")).join(times, "site_id")
+    days = [F.sum(F.when(F.col("later") == r, F.col("times")).otherwise(0)) >= min_days for r in (0.0, 1.0)]
+    bins = both.groupBy(*keys, "bin").agg((days[0] & days[1]).alias("good")).where("good").drop("good")
+    own = kept(both.join(bins, [*keys, "bin"]), "replicate-rows")
+    t_knots = {r["replicate"]: np.array(r["q"]) for r in quantiles(own, "tmax_c", [0.0, *ranks, 1.0], "replicate", weight="times").collect()}
+    inner = np.linspace(0, 1, season_columns + 2)[1:-1].tolist()
+    s_knots = {r["replicate"]: np.array([1.0, *r["q"], 365.0]) for r in quantiles(own.select("replicate", "day_of_year").distinct(), "day_of_year", inner, "replicate").collect()}
+    good = [r for r in t_knots if (np.diff(t_knots[r]) > 0).all() and (np.diff(s_knots[r]) > 0).all()]
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = vectors.Held()
+        for batch in batches:
+            data = batch.to_pandas()
+            for r, at in data.groupby("replicate").indices.items():
+                if r in good:
+                    some = data.iloc[at]
+                    w = some["times"].to_numpy(float)
+                    held.add([(int(r),)], np.concatenate(([w.sum()], w @ splines.evaluate(some["tmax_c"], t_knots[r], False), w @ splines.evaluate(some["day_of_year"], s_knots[r], True)))[None])
+        yield from held.told(["replicate"], [pa.int32()])
+
+    sums = vectors.met(own.select("replicate", "times", "tmax_c", "day_of_year").mapInArrow(means, "replicate int, v array<double>"), ["replicate"]).collect()
+    bases = {}
+    for row in sums:
+        r, v = row["replicate"], np.array(row["v"][1:]) / row["v"][0]
+        nt = len(t_knots[r])
+        bases[r] = splines.without_mean(t_knots[r], False, v[:nt]), splines.without_mean(s_knots[r], True, v[nt:])
+    nt, ns = 1 + len(ranks), season_columns
+    design = Design("later", tuple(f"t{i}" for i in range(nt)), tuple(f"s{i}" for i in range(ns)))
+    p = 1 + 2 * nt + 2 * ns
+    pairs = np.triu_indices(p + 2)
+    i, j = np.triu_indices(p + 1)
+    names = [*keys, "site_id", "times"]
+    kinds = vectors.kinds_of(own, names)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = vectors.Held()
+        for batch in batches:
+            data = batch.to_pandas()
+            for key, at in data.groupby(names).indices.items():
+                if key[0] not in bases:
+                    continue
+                some = data.iloc[at]
+                t, s = (b(some[c].to_numpy(float)) for b, c in zip(bases[key[0]], ("tmax_c", "day_of_year"), strict=True))
+                later = some["later"].to_numpy(float)[:, None]
+                x = np.column_stack([np.ones(len(some)), later, t, t * later, s, s * later, some["y"]])
+                first = some["first_of_day"].to_numpy(float)
+                tail = [(1 - later).sum(), *((1 - later) * t).sum(0), later.sum(), *(later * t).sum(0), first.sum(), *(first @ s)]
+                held.add([tuple(x.item() if hasattr(x, "item") else x for x in key)], np.concatenate([(x.T @ x)[pairs], tail])[None])
+            if held.full:
+                yield from held.told(names, kinds)
+        yield from held.told(names, kinds)
+
+    def site(found: list, v: np.ndarray) -> dict[str, pa.Array]:
+        tri, early, te, later, tl, n_days, s = np.split(v, np.cumsum([len(pairs[0]), 1, nt, 1, nt, 1]), axis=1)
+        n, mean = tri[:, :1], tri[:, 1 : p + 2] / tri[:, :1]
+        within = tri[:, p + 2 :] - n * mean[:, i] * mean[:, j]
+        lacking = ((early == 0) | (later == 0)).astype(float)
+        out = np.hstack([np.ones_like(n), within, mean, te / np.maximum(early, 1), tl / np.maximum(later, 1), s / n_days, lacking, np.zeros_like(n)])
+        return {"v": vectors.lists(out * np.array([[k[3]] for k in found], float))}
+
+    once = F.row_number().over(Window.partitionBy("replicate", "site_id", "day_of_year").orderBy("period", "tmax_c", "y")) == 1
+    each = own.withColumn("first_of_day", once.cast("int")).select(*names, "later", "tmax_c", "day_of_year", "y", "first_of_day")
+    sites = vectors.met(each.mapInArrow(products, f"{vectors.ddl_of(own, names)}, v array<double>"), names, site)
+    found = vectors.met(vectors.partly_summed(sites, keys), keys, _replicate_solver(design, r0, r1, judged=True), REPLICATE)
+    wanted = times.join(rows.select("site_id", "climate_region").distinct(), "site_id").groupBy(*keys).agg(F.sum("times").alias("n_drawn"))
+    wanted = wanted.join(bins.groupBy(*keys).agg(F.count("*").alias("n_bins")), keys, "left")
+    joined = wanted.join(found, keys, "left")
+    coincide = F.col("n_bins").isNotNull() & ~F.col("replicate").isin(good)
+    failure = F.when(F.col("n_bins").isNull(), "support: no bin").when(coincide, "rank deficient: knots coincide").when(F.coalesce("n_sites", F.lit(0)) < F.col("n_drawn"), "support: a drawn site lacks a period").otherwise(F.col("failure"))
+    return joined.withColumn("failure", failure).select(*keys, F.col("n_drawn").alias("n_sites"), *[F.when(F.col("failure").isNull(), F.col(c)).alias(c) for c in "ABCD"], "failure")
+
+
 def _replicate_solver(design: Design, r0: float, r1: float, *, judged: bool = False):
     """Solves weighted sums of site vectors; with judged, the last two numbers count draws without a period and without a bin."""
     e, nt, ns = len(design.extra), len(design.ts), len(design.ss)

@@ -203,6 +203,13 @@ def spline_bootstrap(spark, d):
     return B.intervals(R.replicate_components(means))
 
 
+def spline_bootstrap_rebuilt(spark, d):
+    """Replicates with support, knots and bases of their own."""
+    rows = R.model_frame(pop._base(spark, d)).withColumn("bin", C.temperature_bin(F.col("tmax_c"), SAMPLE.bin_width))
+    means = R.refit_rebuilt(B.draws(spark, _sites(spark, d), 10, 20260715), rows, "ozone_mda8_ppb", REPLICATE_DAYS, 0.0, 1.0)
+    return B.intervals(R.replicate_components(means))
+
+
 def fit_reproducibility(spark, d):
     """Largest differences between two fits of the same rows in other partitions."""
     rows = R.model_frame(pop._base(spark, d))
@@ -304,7 +311,7 @@ QUERIES = {
     for f in (
         equal_site_exceedance, site_period_burden, row_weighted_vs_equal_site, site_patterns, group_diagnostics, fitted_deciles, lag1_correlation, fe_slope_by_region, abcd_linear, leverage_linear, spline_fit, spline_abcd,
         spline_3df, s1c_endpoints, logit_exceedance, bootstrap_draws, bootstrap_draw_checksums, bootstrap_materialise, bootstrap_multiplicities, burden_bootstrap, bootstrap_intervals, bootstrap_interval_ranks, bootstrap_first_replicates,
-        bootstrap_decomposition, bootstrap_decomposition_intervals, spline_bootstrap, fit_reproducibility, sensitivity_comparison, continuous_vs_threshold,
+        bootstrap_decomposition, bootstrap_decomposition_intervals, spline_bootstrap, spline_bootstrap_rebuilt, fit_reproducibility, sensitivity_comparison, continuous_vs_threshold,
     )
 }
 

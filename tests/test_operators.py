@@ -187,6 +187,35 @@ def test_refits_equal_fits_of_copied_rows(spark):
     assert all(got[c] == pytest.approx(expected[c], abs=1e-9) for c in "ABCD") and got["n_sites"] == 4
 
 
+def test_rebuilt_replicates_equal_fits_of_copied_rows(spark):
+    """Support, knots, bases and fit of a replicate against those of rows that are copied."""
+    rng = np.random.default_rng(6)
+    rows = pd.DataFrame(
+        [(f"s{s}", "RQ"[s > 4], p, float(t), int(d), s + (p == "later") * 2 + 0.3 * t + np.sin(d / 60) + rng.normal()) for s in range(9) for p in ("early", "later") for t, d in zip(rng.integers(0, 30, 60), rng.integers(1, 366, 60), strict=True)],
+        columns=["site_id", "climate_region", "period", "tmax_c", "day_of_year", "y"],
+    )
+    rows["day_of_year"] = rows["day_of_year"].astype("int32")
+    df = spark.createDataFrame(rows).withColumns({"later": (F.col("period") == "later").cast("double"), "bin": C.temperature_bin(F.col("tmax_c"), 5.0)})
+    drawn = spark.createDataFrame([(k, "RQ"[i > 4], f"s{s}", f"{k}-{i}", i) for k, names in ((1, [0, 0, 2, 3, 4, 5, 5, 8, 7]), (2, [1, 1, 1, 2, 0, 6, 7, 8, 5])) for i, s in enumerate(names)], bootstrap.DRAWS)
+    got = {(r["replicate"], r["climate_region"]): r for r in regression.refit_rebuilt(drawn, df, "y", 40, 0.0, 1.0).collect()}
+    dropped = 0
+    for k in (1, 2):
+        copied = bootstrap.materialised(drawn.where(F.col("replicate") == k), df.drop("climate_region").withColumn("climate_region", F.lit("x")))
+        counts = copied.groupBy("climate_region", "bin").agg(F.count_if(F.col("later") == 0).alias("e"), F.count_if(F.col("later") == 1).alias("l")).where("e >= 40 and l >= 40")
+        own = copied.join(counts.select("climate_region", "bin"), ["climate_region", "bin"])
+        dropped += copied.count() - own.count()
+        with_b, ts, ss = regression.with_splines(own)
+        design = regression.Design("later", ts, ss)
+        with_r, xs = design.columns(with_b)
+        means = regression.site_means(with_b, regression.fit(with_r, xs, "y"), design, 0.0, 1.0).groupBy("climate_region").agg(*[F.avg(c).alias(c) for c in "ABCD"], F.count("*").alias("n")).collect()
+        for m in means:
+            r = got[k, m["climate_region"]]
+            assert r["failure"] is None and r["n_sites"] == m["n"] and all(r[c] == pytest.approx(m[c], abs=1e-7) for c in "ABCD")
+    assert dropped and len(got) == 4
+    none = regression.refit_rebuilt(drawn, df, "y", 10_000, 0.0, 1.0).collect()
+    assert {r["failure"] for r in none} == {"support: no bin"}
+
+
 def test_splines_are_smooth_and_reach_their_knots():
     knots = np.array([0.0, 1.0, 2.5, 4.0])
     assert np.allclose(splines.evaluate(knots, knots, False), np.eye(4))
