@@ -394,28 +394,18 @@ def other_words(rows: DataFrame, symbols: Symbols, of: np.ndarray, table: np.nda
     moves, head, of_head, n_own = Moves(table), symbols.head, symbols.of_head, symbols.n_own
     wide = 2 * moves.classes
 
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-        """The columns of batches with about PAIRS tokens, so that most words of a task go out once."""
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.column(0).nbytes // 4
-            if size > PAIRS:
-                yield [pa.concat_arrays([b.column(k) for b in held]) for k in range(3)]
-                held, size = [], 0
-        if sum(b.num_rows for b in held):
-            yield [pa.concat_arrays([b.column(k) for b in held]) for k in range(3)]
-
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(head, pa.binary())
-        for codes, of_words, own_words in several(batches):
-            some = Batch.of(codes, of_words)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            some = Batch.of(batch.column(0), batch.column(1))
             symbol = some.symbols(of_head)
             at = np.flatnonzero(symbol > n_own)
             if not len(at):
                 continue
             cls = of[symbol]
-            known = pc.dictionary_encode(own_words.flatten())
+            known = pc.dictionary_encode(batch.column(2).flatten())
             word = some.codes.copy()
             word[some.rare] = len(head) + known.indices.to_numpy()[some.places]
             before, after = some.before(cls), np.append(cls[1:], 0) + moves.classes
