@@ -350,6 +350,34 @@ def test_quality_statistics(spark, texts):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r["kept"] and r["base_failed"])
 
 
+@pytest.mark.parametrize("min_rows", [5, 1000])
+def test_fences_by_hand(spark, texts, min_rows):
+    """Fences of small groups, whose sketches hold every value, and verdicts, from the counts of the rows."""
+    import unicodedata
+
+    docs = frame(spark, [t and (t + " " + "filler words " * 40) if i % 5 == 0 else t for i, t in enumerate(texts)])
+    text_of = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = [r.asDict() for r in quality_rules.judged(docs, min_rows=min_rows, min_words=20).collect()]
+    for r in rows:
+        chars, n = max(r["word_chars"], 1), max(r["n_words"], 1)
+        upper = sum(unicodedata.category(c) == "Lu" for c in text_of[r["doc_id"]] or "")
+        r["by_hand"] = {"symbol_share": r["n_symbols"] / chars, "upper_share": upper / chars, "dup_line_share": r["n_dup_lines"] / n, "repeat_share": r["n_repeat_words"] / n, "word_length": r["word_chars"] / n}
+    passing = [r for r in rows if not r["base_failed"]]
+    own_used = 0
+    for r in rows:
+        own = [x for x in passing if (x["lang"], x["source"]) == (r["lang"], r["source"])]
+        own_used += len(own) >= min_rows
+        group = own if len(own) >= min_rows else [x for x in passing if x["lang"] == r["lang"]]
+        beyond = False
+        for name, floor in quality_rules.FLOORS.items():
+            values = sorted(x["by_hand"][name] for x in group)
+            low, high = (values[max(math.ceil(q * len(values)) - 1, 0)] for q in (0.25, 0.75))
+            assert r[f"max_{name}"] == pytest.approx(high + 3 * max(high - low, floor))
+            beyond |= r["by_hand"][name] > r[f"max_{name}"]
+        assert r["kept"] == (not r["base_failed"] and not beyond)
+    assert (own_used > 0) == (min_rows == 5)
+
+
 def test_fences_follow_the_group(spark):
     rng = random.Random(1)
     pool = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(3000)]
