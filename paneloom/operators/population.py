@@ -234,3 +234,9 @@ def identity(rows: DataFrame, *columns: str) -> DataFrame:
 def panel_rows(panel: DataFrame) -> DataFrame:
     """panel with panel_row, its place in order of site and date."""
     return ranked(panel, "site_id", "date_local", name="panel_row")
+
+
+def named_identity(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """name and one SHA-256 of the rows' fingerprint under it."""
+    found = identity(rows, *columns)
+    return found.select(F.lit(name).alias("population"), "n_rows", F.sha2(F.concat_ws("|", F.lit(name), *[F.col(c).cast("string") for c in ("n_rows", "hash_sum", "hash_xor")]), 256).alias("sha256"))

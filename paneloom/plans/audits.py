@@ -174,6 +174,24 @@ def bootstrap_failures(spark, d):
     return U.failure_rates(an._supported_replicates(spark, d)[1].select("climate_region", F.col("failure").isNull().alias("success"), F.col("failure").alias("message")), "climate_region")
 
 
+def population_audit(spark, d):
+    """Rows and sites of the population with events and quality applied, by region and period, nation, year and status."""
+    rows = P.whole_quality_years(pop._quality(spark, d), SAMPLE, F.col("certified") | (F.day("date_local") > 3))
+    rows = P.common_sites(rows.where(F.coalesce(F.col("event_status") == "retained", F.lit(False))))
+    sets = [["climate_region", "period"], ["nation"], ["calendar_year"], ["event_status"], []]
+    keys = ["climate_region", "period", "nation", "calendar_year", "event_status"]
+    return rows.groupingSets(sets, *keys).agg(F.grouping_id(*keys).cast("long").alias("level"), F.count("*").alias("n_rows"), F.count_distinct("site_id").alias("n_sites"))
+
+
+def decomposition_descriptors(spark, d):
+    """What a decomposition was made from, by region and for the nation."""
+    rows = pop._base(spark, d).groupingSets([["climate_region"], []], "climate_region").agg(
+        F.grouping("climate_region").alias("g"), F.count_distinct("site_id").alias("n_sites"), F.count_if(F.col("period") == "early").alias("early_rows"), F.count_if(F.col("period") == "later").alias("later_rows"),
+        F.min("tmax_c").alias("tmax_lo"), F.max("tmax_c").alias("tmax_hi"),
+    )
+    return rows.withColumn("scope", F.when(F.col("g") == 1, "national").otherwise(F.col("climate_region"))).drop("g", "climate_region")
+
+
 CODES_SQL = "codes(code, description, kind) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in QUALIFIERS) + ")"
 CODED_SQL = f"""
 {pop.BASE_SQL}, {CODES_SQL},
@@ -250,7 +268,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         qualifier_rules, candidate_populations, field_inventory, completeness, model_frame_checks, site_period_checks, draw_checks, interval_checks, design_size, separation, failure_rates, quantile_error,
-        percentage_contributions, fit_classes, region_diagnostics, bootstrap_supported, bootstrap_failures,
+        percentage_contributions, fit_classes, region_diagnostics, bootstrap_supported, bootstrap_failures, population_audit, decomposition_descriptors,
     )
 }
 
@@ -339,6 +357,11 @@ ORACLES = {
           WHEN 'conditioning' THEN 'acceptable' ELSE CASE WHEN value > 0 THEN 'caution' ELSE 'acceptable' END END AS verdict FROM d""",
     "region_diagnostics": f"""WITH {SIMPLE_SQL} SELECT climate_region, round(sqrt(avg((ozone_mda8_ppb - fitted) * (ozone_mda8_ppb - fitted))), 6) AS rmse, count(*) FILTER (fitted < 0) AS n_negative, count(*) FILTER (fitted > 45) AS n_above,
         min(tmax_c) AS tmax_lo, max(tmax_c) AS tmax_hi, count(DISTINCT site_id) AS n_sites, count(*) AS n_rows, 1 AS matrix_rank FROM fit GROUP BY 1""",
+    "population_audit": f"""WITH {pop.BASE_SQL}, r AS (SELECT * FROM quality_years WHERE event_status = 'retained'), c AS (SELECT * FROM r WHERE site_id IN (SELECT site_id FROM r GROUP BY 1 HAVING count(DISTINCT period) = 2))
+        SELECT climate_region, period, nation, calendar_year, event_status, CAST(grouping(climate_region, period, nation, calendar_year, event_status) AS BIGINT) AS level, count(*) AS n_rows, count(DISTINCT site_id) AS n_sites FROM c
+        GROUP BY GROUPING SETS ((climate_region, period), (nation), (calendar_year), (event_status), ())""",
+    "decomposition_descriptors": f"""WITH {pop.BASE_SQL} SELECT scope, count(DISTINCT site_id) AS n_sites, count(*) FILTER (period = 'early') AS early_rows, count(*) FILTER (period = 'later') AS later_rows, min(tmax_c) AS tmax_lo, max(tmax_c) AS tmax_hi
+        FROM (SELECT climate_region AS scope, * FROM base UNION ALL SELECT 'national', * FROM base) GROUP BY 1""",
     "bootstrap_supported": f"WITH {SUPPORTED_SQL} SELECT replicate, scope, quantity, round(value, 6) AS value FROM vals",
     "bootstrap_failures": f"WITH {SUPPORTED_SQL}, attempts AS (SELECT climate_region, failure IS NULL AS success, failure AS message FROM outcomes), {_rates_sql('attempts', 'climate_region')}",
 }

@@ -124,3 +124,9 @@ def request_plan(spark: SparkSession, years: Sequence[int], states: Sequence[str
     """One request for each year and state, with {year} and {state} in url filled in."""
     rows = [(y, s, url.format(year=y, state=s)) for y in years for s in states]
     return spark.createDataFrame(rows, "year int, state string, url string")
+
+
+def bulk_plan(spark: SparkSession, years: Sequence[int], kinds: dict[str, str], once: Sequence[str] = ()) -> DataFrame:
+    """(kind, year, file) of the archives to fetch: each kind's name with {year} filled in, and files that belong to no year."""
+    rows = [(k, y, name.format(year=y)) for k, name in kinds.items() for y in years] + [("table", None, name) for name in once]
+    return spark.createDataFrame(rows, "kind string, year int, file string")

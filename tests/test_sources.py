@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paneloom.config import PanelConfig
 from paneloom.operators import measurement
-from paneloom.sources import files, rules, sinks
+from paneloom.sources import files, measurements, rules, sinks
 from paneloom.streaming import windows
 
 
@@ -75,6 +75,30 @@ def test_weather_forms(spark):
     ], rules.weather_form_reason())
 
 
+def rows_of(columns, base, changes):
+    lines = [",".join(columns)]
+    for change in changes:
+        lines.append(",".join((base | change).get(c, "") for c in columns))
+    return "\n".join(lines) + "\n"
+
+
+def test_measurement_archives(spark, tmp_path):
+    place = {"County Code": "003", "Site Num": "0010", "POC": "1", "Date Local": "2020-07-01"}
+    hours = HOURLY | place | {"Time Local": "07:00", "Qualifier": ""}
+    archive(tmp_path / "h.zip", rows_of(measurements.HOURLY, hours, [{}, {"Time Local": "07:30"}, {"Qualifier": "AN"}, {"Qualifier": "IT"}, {"Qualifier": "??"}, {"Site Num": "10"}, {"Sample Measurement": "x"}]) + "a,b\n")
+    codes = spark.createDataFrame([("AN", "Malfunction", "Null Data Qualifier"), ("IT", "Wildfire", "Informational Only")], "code string, description string, kind string")
+    got = measurements.hourly(spark, f"file://{tmp_path}/h.zip", codes).collect()
+    assert [r["reason"] for r in got] == [None, "time", "rejected code", None, "unknown code", "identifier", "no value", "fields"]
+    assert (got[0]["site_id"], got[0]["local_hour"], got[0]["ppb"]) == ("56-003-0010", 7, 31.0) and got[2]["ppb"] is None
+    days = DAILY | place | {"Date of Last Change": "2021-02-03"}
+    archive(tmp_path / "d.zip", rows_of(measurements.DAILY, days, [{}, {}, {"Observation Count": "3"}, {"Date Local": "2020-13-01"}, {"Date Local": "2020-07-02"}]))
+    rows = measurements.daily(spark, f"file://{tmp_path}/d.zip")
+    assert [(r["reason"], r["value"]) for r in rows.collect()] == [(None, 71.0), (None, 71.0), ("incomplete day", None), ("time", None), (None, 71.0)]
+    assert measurements.available_days(rows).count() == 2
+    plan = files.bulk_plan(spark, [2020, 2021], {"hourly": "h_{year}.zip", "daily": "d_{year}.zip"}, ["codes.csv"])
+    assert {r["file"] for r in plan.collect()} == {"h_2020.zip", "h_2021.zip", "d_2020.zip", "d_2021.zip", "codes.csv"}
+
+
 def test_file_report(spark, tmp_path):
     for name, lines in {"a": "01,2020-01-01\n01,2020-02-01\n", "b": "01,2019-12-31\n", "c": "xx,2020-05-05\n", "d": "\n"}.items():
         (tmp_path / f"{name}.csv").write_text(lines)
