@@ -236,6 +236,14 @@ def panel_rows(panel: DataFrame) -> DataFrame:
     return ranked(panel, "site_id", "date_local", name="panel_row")
 
 
+def gathered(numbered: DataFrame, places: DataFrame, *columns: str) -> DataFrame:
+    """columns of the rows of a numbered panel (panel_row) at given places; a place that the panel has not is an error."""
+    there = F.lit(True).alias("_there")
+    found = places.select("panel_row").join(numbered.select("panel_row", *columns, there), "panel_row", "left")
+    checked = F.when(F.col("_there").isNull(), F.raise_error(F.lit("a place outside the panel"))).otherwise(F.col("panel_row"))
+    return found.withColumn("panel_row", checked).drop("_there")
+
+
 def named_identity(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     """name and one SHA-256 of the rows' fingerprint under it."""
     found = identity(rows, *columns)

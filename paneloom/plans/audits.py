@@ -183,6 +183,15 @@ def population_audit(spark, d):
     return rows.groupingSets(sets, *keys).agg(F.grouping_id(*keys).cast("long").alias("level"), F.count("*").alias("n_rows"), F.count_distinct("site_id").alias("n_sites"))
 
 
+def gathered_rows(spark, d):
+    """Elevated days of the base population, found again in the panel by their places."""
+    numbered = P.panel_rows(A.panel(spark, d))
+    keys = ["site_id", "date_local"]
+    places = numbered.join(pop._base(spark, d).where(F.col("ozone_mda8_ppb") > SAMPLE.threshold).select(*keys), keys, "left_semi")
+    found = P.gathered(numbered, places, "climate_region", "calendar_year", "ozone_mda8_ppb")
+    return found.groupBy("climate_region", "calendar_year").agg(F.count("*").alias("n_rows"), F.sum("panel_row").alias("places"), F.sum("ozone_mda8_ppb").alias("total"))
+
+
 def decomposition_descriptors(spark, d):
     """What a decomposition was made from, by region and for the nation."""
     rows = pop._base(spark, d).groupingSets([["climate_region"], []], "climate_region").agg(
@@ -268,7 +277,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         qualifier_rules, candidate_populations, field_inventory, completeness, model_frame_checks, site_period_checks, draw_checks, interval_checks, design_size, separation, failure_rates, quantile_error,
-        percentage_contributions, fit_classes, region_diagnostics, bootstrap_supported, bootstrap_failures, population_audit, decomposition_descriptors,
+        percentage_contributions, fit_classes, region_diagnostics, bootstrap_supported, bootstrap_failures, population_audit, decomposition_descriptors, gathered_rows,
     )
 }
 
@@ -360,6 +369,9 @@ ORACLES = {
     "population_audit": f"""WITH {pop.BASE_SQL}, r AS (SELECT * FROM quality_years WHERE event_status = 'retained'), c AS (SELECT * FROM r WHERE site_id IN (SELECT site_id FROM r GROUP BY 1 HAVING count(DISTINCT period) = 2))
         SELECT climate_region, period, nation, calendar_year, event_status, CAST(grouping(climate_region, period, nation, calendar_year, event_status) AS BIGINT) AS level, count(*) AS n_rows, count(DISTINCT site_id) AS n_sites FROM c
         GROUP BY GROUPING SETS ((climate_region, period), (nation), (calendar_year), (event_status), ())""",
+    "gathered_rows": f"""WITH {pop.BASE_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY site_id, date_local) - 1 AS panel_row FROM panel)
+        SELECT climate_region, calendar_year, count(*) AS n_rows, CAST(sum(panel_row) AS BIGINT) AS places, sum(ozone_mda8_ppb) AS total FROM n
+        WHERE ozone_mda8_ppb > 70 AND period IN ('early', 'later') AND site_id IN (SELECT site_id FROM balanced) GROUP BY 1, 2""",
     "decomposition_descriptors": f"""WITH {pop.BASE_SQL} SELECT scope, count(DISTINCT site_id) AS n_sites, count(*) FILTER (period = 'early') AS early_rows, count(*) FILTER (period = 'later') AS later_rows, min(tmax_c) AS tmax_lo, max(tmax_c) AS tmax_hi
         FROM (SELECT climate_region AS scope, * FROM base UNION ALL SELECT 'national', * FROM base) GROUP BY 1""",
     "bootstrap_supported": f"WITH {SUPPORTED_SQL} SELECT replicate, scope, quantity, round(value, 6) AS value FROM vals",

@@ -130,6 +130,16 @@ def test_identity_ignores_order(spark):
     assert a == b
 
 
+def test_places_and_names(spark):
+    numbered = spark.createDataFrame([(i, f"s{i % 3}", float(i)) for i in range(9)], "panel_row long, site_id string, y double")
+    places = spark.createDataFrame([(7,), (2,), (2,)], "panel_row long")
+    assert sorted(tuple(r) for r in population.gathered(numbered, places, "y").collect()) == [(2, 2.0), (2, 2.0), (7, 7.0)]
+    with pytest.raises(Exception, match="outside the panel"):
+        population.gathered(numbered, spark.createDataFrame([(99,)], "panel_row long"), "y").collect()
+    a, b, c = (population.named_identity(rows, name, "site_id", "y").first() for rows, name in ((numbered, "x"), (numbered.repartition(5, "y"), "x"), (numbered, "z")))
+    assert a == b and a["sha256"] != c["sha256"] and a["n_rows"] == 9
+
+
 def test_equal_site_and_pooled_shares(spark):
     rows = [("a", "NE", "early", 71.0)] + [("a", "NE", "early", 60.0)] + [("b", "NE", "early", 60.0)] * 4 + [(s, "NE", "later", 60.0) for s in "ab"]
     frame = spark.createDataFrame(rows, "site_id string, climate_region string, period string, ozone_mda8_ppb double")
