@@ -16,21 +16,34 @@ def shifted(df: DataFrame, name: str, by: int, combine: Callable[[Column, Column
 
 def grams(df: DataFrame, hashes: str, size: int, out: str) -> DataFrame:
     """out: a hash of each size consecutive elements, by doubling."""
+    return several_grams(df, hashes, {out: size})
+
+
+def several_grams(df: DataFrame, hashes: str, sizes: dict[str, int]) -> DataFrame:
+    """For each name of sizes a hash of each so many consecutive elements; what sizes have in common is made once."""
     columns = df.columns
-    have, length = hashes, 1
     made = {1: hashes}
-    while 2 * length <= size:
-        df = shifted(df, have, length, lambda x, y: F.xxhash64(x, y), f"_g{2 * length}")
-        length *= 2
-        have = made[length] = f"_g{length}"
-    rest = size - length
-    while rest:
-        part = max(n for n in made if n <= rest)
-        count = F.greatest(F.size(hashes) - (length + part - 1), F.lit(0))
-        df = df.withColumn(f"_g{length + part}", F.zip_with(F.slice(have, F.lit(1), count), F.slice(made[part], F.lit(length + 1), count), lambda x, y: F.xxhash64(x, y)))
-        length, rest = length + part, rest - part
-        have = f"_g{length}"
-    return df.withColumn(out, F.col(have)).select(*[c for c in columns if c != out], out)
+
+    def joined(df: DataFrame, first: int, second: int) -> DataFrame:
+        """Hashes of first and then second elements, both of which are there."""
+        if first + second in made:
+            return df
+        made[first + second] = f"_g{first + second}"
+        count = F.greatest(F.size(hashes) - (first + second - 1), F.lit(0))
+        both = F.zip_with(F.slice(made[first], F.lit(1), count), F.slice(made[second], F.lit(first + 1), count), lambda x, y: F.xxhash64(x, y))
+        return df.withColumn(made[first + second], both)
+
+    for size in sizes.values():
+        length = 1
+        while 2 * length <= size:
+            df = joined(df, length, length)
+            length *= 2
+        powers = [1 << i for i in range(length.bit_length())]
+        while length < size:
+            part = max(n for n in powers if n <= size - length)
+            df = joined(df, length, part)
+            length += part
+    return df.select(*[c for c in columns if c not in sizes], *[F.col(made[size]).alias(out) for out, size in sizes.items()])
 
 
 def sliding_least(df: DataFrame, values: str, width: int, out: str) -> DataFrame:

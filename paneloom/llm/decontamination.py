@@ -2,9 +2,11 @@
 
 Every run of consecutive words keeps the least hash of its k-grams as its fingerprint. Two
 equal runs have the same fingerprint, so the join of fingerprints finds each document and
-item that share a run; the hit is then extended: the document's runs with one of the item's
-fingerprints are compared word by word with the item's runs. Texts are cut into words once,
-whatever the lengths of the items.
+item that share a run; the hit is then extended: of the document's runs with one of the
+item's fingerprints, those that equal one of the item's runs are hits. Runs are compared by
+64-bit hashes of all their words: they meet only where they have a fingerprint in common, so
+a false hit needs two equal hashes in the few runs that do. Texts are cut into words once,
+whatever the lengths of the items, and are never shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.llm.arrays import grams, sliding_least
+from paneloom.llm.arrays import several_grams, sliding_least
 from paneloom.llm.common import written
 
 #: What is between words once A-Z are lower-cased. As letters of either case part words alike, a text can be cut before.
@@ -28,30 +30,30 @@ def with_words(df: DataFrame) -> DataFrame:
 
 
 def with_hashes(df: DataFrame) -> DataFrame:
-    """hashes of words, letters lower-cased."""
-    return df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
+    """hashes of words, A-Z lower-cased."""
 
+    def lowered(w: Column) -> Column:
+        return F.when(F.length(w) == F.octet_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
 
-def with_fingerprints(df: DataFrame, size: int, out: str) -> DataFrame:
-    """out: for each run of size words, the least hash of its k-grams."""
+    return df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(lowered(w))))
+
+
+def with_fingerprints(df: DataFrame, size: int, prints: str, runs: str) -> DataFrame:
+    """runs: a hash of each size words; prints: for each of them the least hash of its k-grams."""
     k = 8 if size >= 13 else (size + 1) // 2
-    return sliding_least(grams(df, "hashes", k, out), out, size - k + 1, out)
+    return sliding_least(several_grams(df, "hashes", {prints: k, runs: size}), prints, size - k + 1, prints)
 
 
-def with_stretches(df: DataFrame, prints: str, size: int, out: str) -> DataFrame:
-    """out: (size, print, low, high) of consecutive runs with one fingerprint, low and high their places from 1."""
+def with_stretches(df: DataFrame, prints: str, runs: str, size: int, out: str) -> DataFrame:
+    """out: (size, print, low, runs) of consecutive runs with one fingerprint; low is the place of the first, from 1."""
     n = F.size(prints)
     # Arrays that a lambda looks into are columns, else they are made anew for each element.
     df = df.withColumn("_low", F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (n > 0) & ((i == 1) | (F.get(prints, i - 1) != F.get(prints, i - 2)))))
-    high = F.concat(F.transform(F.slice("_low", F.lit(2), F.greatest(F.size("_low") - 1, F.lit(0))), lambda i: i - 1), F.array(n))
-    each = F.zip_with("_low", F.when(n > 0, high).otherwise(F.array().cast("array<int>")), lambda low, high: F.struct(F.lit(size).alias("size"), F.get(prints, low - 1).alias("print"), low.alias("low"), high.alias("high")))
+    end = F.concat(F.slice("_low", F.lit(2), F.greatest(F.size("_low") - 1, F.lit(0))), F.array(n + 1))
+    each = F.zip_with("_low", F.when(n > 0, end).otherwise(F.array().cast("array<int>")), lambda low, end: F.struct(F.lit(size).alias("size"), F.get(prints, low - 1).alias("print"), low.alias("low"), F.slice(runs, low, end - low).alias("runs")))
     return df.withColumn(out, each).drop("_low")
 
 
-def run_text(words: str, at: Column, size: Column) -> Column:
-    return F.translate(F.array_join(F.slice(words, at, size), " "), UPPER, LOWER)
-
-
 def with_spans(df: DataFrame, starts: str, size: str, out: str) -> DataFrame:
     """out: maximal covered places (start, end) of runs of size words at ascending starts."""
     n = F.size(starts)
@@ -85,23 +87,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
     else:
         of_items = None
         for size in lengths:
-            runs = F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: run_text("words", i, F.lit(size)))
-            some = with_fingerprints(with_hashes(items.where(F.col("size") == size)), size, "prints")
-            some = some.select("item_id", "size", F.array_distinct("prints").alias("prints"), runs.alias("runs"))
+            some = with_fingerprints(with_hashes(items.where(F.col("size") == size)), size, "prints", "item_runs")
+            some = some.select("item_id", "size", F.array_distinct("prints").alias("prints"), F.array_distinct("item_runs").alias("item_runs"))
             of_items = some if of_items is None else of_items.unionByName(some)
         of_items = written(of_items, "benchmark-runs")
-        texts = keyed.select("_id", "_id2", "text")
-        prints = with_hashes(with_words(texts).select("_id", "_id2", "words")).drop("words")
+        found = with_hashes(with_words(keyed.select("_id", "_id2", "text")).select("_id", "_id2", "words")).drop("words")
         for size in lengths:
-            prints = with_stretches(with_fingerprints(prints, size, f"p{size}"), f"p{size}", size, f"s{size}").drop(f"p{size}")
+            found = with_stretches(with_fingerprints(found, size, f"p{size}", f"r{size}"), f"p{size}", f"r{size}", size, f"s{size}").drop(f"p{size}", f"r{size}")
         every = F.concat(*[F.col(f"s{size}") for size in lengths])
-        prints = prints.select("_id", "_id2", F.explode(every).alias("s")).select("_id", "_id2", "s.*")
-        shared = prints.join(of_items.select("item_id", "size", F.explode("prints").alias("print")), ["size", "print"])
-        shared = written(shared.groupBy("_id", "_id2", "item_id", "size").agg(F.collect_set(F.struct("low", "high")).alias("near")), "shared-runs")
-        pairs = with_words(texts.join(shared, ["_id", "_id2"])).join(of_items.select("item_id", "size", "runs"), ["item_id", "size"])
-        near = F.array_sort(F.flatten(F.transform("near", lambda s: F.sequence(s["low"], s["high"]))))
-        pairs = pairs.withColumn("starts", F.filter(near, lambda i: F.array_contains("runs", run_text("words", i, F.col("size")))))
-        hits = with_spans(pairs.where(F.size("starts") > 0), "starts", "size", "spans").select("_id", "_id2", "item_id", "spans")
+        found = found.select("_id", "_id2", F.explode(every).alias("s")).select("_id", "_id2", "s.*")
+        shared = found.join(of_items.select("item_id", "size", F.explode("prints").alias("print")), ["size", "print"]).join(of_items.select("item_id", "size", "item_runs"), ["item_id", "size"])
+        equal = F.filter(F.transform("runs", lambda r, i: F.when(F.array_contains("item_runs", r), F.col("low") + i)), lambda i: i.isNotNull())
+        shared = shared.select("_id", "_id2", "item_id", "size", equal.alias("starts")).where(F.size("starts") > 0)
+        pairs = written(shared.groupBy("_id", "_id2", "item_id", "size").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("starts")))).alias("starts")), "hits")
+        hits = with_spans(pairs, "starts", "size", "spans").select("_id", "_id2", "item_id", "spans")
         covered = F.aggregate(
             "spans",
             F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),

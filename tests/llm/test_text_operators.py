@@ -300,9 +300,9 @@ def test_pieces_of_no_and_of_several_words():
 
 
 def test_decontamination(spark, texts):
-    items = [(0, texts[17]), (1, texts[17]), (2, "one two three four"), (3, None), (4, ""), (None, " ".join((texts[25] or "").split()[3:30])), (2, "twice the same id")]
+    items = [(0, texts[17]), (1, texts[17]), (2, "one two three four"), (3, None), (4, ""), (None, " ".join((texts[25] or "").split()[3:30])), (2, "twice the same id"), (5, "école deux trois quatre")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    docs = [*texts, "ONE Two, three-FOUR", "one two three five"]
+    docs = [*texts, "ONE Two, three-FOUR", "one two three five", "École DEUX trois quatre", "l'école deux TROIS quatre"]
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
     def cut(t):
@@ -328,6 +328,11 @@ def test_decontamination(spark, texts):
     assert any(r["contaminated"] for r in got) and all(r["contaminated"] == (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"]) for r in got)
 
 
+def test_no_documents(spark, texts):
+    benchmark = spark.createDataFrame([(1, texts[17])], "item_id long, text string")
+    assert decontamination.contamination(frame(spark, []), benchmark).count() == 0
+
+
 def test_no_benchmark(spark, texts):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not decontamination.contamination(frame(spark, texts), none).where("contaminated or n_hit > 0").count()
