@@ -606,6 +606,58 @@ def test_a_cluster_needs_a_shared_folder():
         shared_dir(Session(spark_master="spark://host:7077"))
 
 
+def test_texts_of_a_megabyte(spark):
+    """Every text operator on texts of about 1 MB: a text, an edited copy of it, one line many times, and a short one."""
+    rng = random.Random(12)
+    pool = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    long = " ".join(words(rng, 170_000, pool))
+    at = long.index(" ", 500_000)
+    docs = [long, long[:at] + " changed Here " + long[at + 1 :], "one line of six words here\n" * 40_000, " ".join(words(rng, 60, pool))]
+    df = frame(spark, docs)
+    cut = [d.split() for d in docs]
+    assert all(len(d.encode()) > 1_000_000 for d in docs[:3])
+
+    r = {r["doc_id"]: r for r in quality_rules.judged(df).collect()}
+    assert [(r[i]["n_words"], r[i]["word_chars"]) for i in range(4)] == [(len(w), sum(map(len, w))) for w in cut]
+    twice = Counter(zip(cut[0], cut[0][1:], cut[0][2:], strict=False))
+    covered = {i + j for i, w in enumerate(zip(cut[0], cut[0][1:], cut[0][2:], strict=False)) if twice[w] > 1 for j in range(3)}
+    assert r[2]["n_dup_lines"] == 39_999 and r[2]["n_repeat_words"] == len(cut[2]) and r[0]["n_repeat_words"] == len(covered)
+
+    found = {r["doc_id"]: r for r in language_id.identify(df, language_id.learn_profiles(df)).collect()}
+    assert all(found[i]["lang_pred"] != "und" for i in range(4))
+
+    scores = {r["doc_id"]: r for r in class_lm.learned_and_scored(df.select("doc_id", "text"), F.lit(True), classes=6).collect()}
+    counts = Counter(w for d in docs for w in class_lm.tokens(d.encode()))
+    n, v = sum(counts.values()), len(counts)
+    for i, d in enumerate(docs):
+        w = class_lm.tokens(d.encode())
+        assert scores[i]["n_tokens"] == scores[i]["n_known"] == len(w)
+        assert scores[i]["base_score"] == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
+
+    kept = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df, length=400).collect()}
+    assert kept[3]["spans"] == [] and kept[2]["kept"] == b"" and kept[0]["kept"] == b""
+    middle = len(docs[1][:at].encode())
+    assert len(kept[1]["spans"]) == 2 and kept[1]["kept"].strip() in b"changed Here" and len(kept[1]["kept"]) > 8 and kept[1]["spans"][0]["end"] in (middle, middle + 1)
+
+    classes = {r["doc_id"]: r["class_key"] for r in near_dedup.near_duplicates(df).collect()}
+    assert classes[0] == classes[1] and len({classes[0], classes[2], classes[3]}) == 3
+
+    benchmark = spark.createDataFrame([(1, " ".join(re.findall("[^ ]+", long)[90_000:90_040])), (2, "six words here one")], "item_id long, text string")
+    hit = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontamination.contamination(df, benchmark).collect()}
+    assert hit[0] == (170_000, 40, ["1"]) and hit[2] == (240_000, 4 * 39_999, ["2"]) and hit[3] == (60, 0, [])
+
+    from tokenizers import Tokenizer
+
+    file = tokenizer()
+    plain = Tokenizer.from_file(file)
+    pieces = {}
+    for r in packing.pack(df, file).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+    for i, d in enumerate(docs):
+        ids_ = np.frombuffer(b"".join(x for _, x in sorted(pieces[i])), "<u4").tolist()
+        assert ids_ == [*plain.encode(d, add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("operator", [suffix_dedup.remove_repeats, near_dedup.near_duplicates, quality_rules.judged, lambda d: language_id.identify(d, language_id.learn_profiles(d)), lambda d: packing.pack(d, tokenizer()), lambda d: class_lm.scored(d, class_lm.learn(d))])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], DOCS)).count() == 0
