@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paneloom.operators.tables import quantiles
+
 #: Fixed thresholds of the fit's diagnostics: caution over the first, serious concern over the second.
 VARIANCE_RATIO, LAG1, CONDITION = (2.0, 4.0), (0.1, 0.3), (1e4, 1e6)
 #: The share of failed attempts over which a bootstrap is unstable.
@@ -196,13 +198,13 @@ def completeness(fractions: DataFrame, monitors: DataFrame, year: int) -> DataFr
     fractions (site_id, fraction) has one row for each site with a complete day, monitors
     (certification, changed) one for each monitor record.
     """
-    half = F.percentile("fraction", F.lit(0.5))  # one number for each site
-    sites = fractions.agg(F.count("*").alias("n_sites"), F.count_if(F.col("fraction") >= 0.75).alias("n_sites_75"), F.count_if(F.col("fraction") >= 0.9).alias("n_sites_90"), F.round(half, 6).alias("median_fraction"), F.round(F.min("fraction"), 6).alias("least_fraction"))
+    sites = fractions.agg(F.count("*").alias("n_sites"), F.count_if(F.col("fraction") >= 0.75).alias("n_sites_75"), F.count_if(F.col("fraction") >= 0.9).alias("n_sites_90"))
+    ends = quantiles(fractions, "fraction", (0.5, 0.0)).agg(F.round(F.max(F.col("q")[0]), 6).alias("median_fraction"), F.round(F.max(F.col("q")[1]), 6).alias("least_fraction"))
     codes = monitors.groupBy(F.coalesce(F.nullif("certification", F.lit("")), F.lit("blank")).alias("code")).agg(F.count("*").alias("n"), F.max("changed").alias("changed"))
     listed = codes.agg(
         F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "code", F.col("n").cast("string")))), ",").alias("certification"), F.max("changed").alias("last_change"),
     )
-    return sites.crossJoin(listed).withColumn("lag_days", lag_days(F.col("last_change"), year))  # one row each
+    return sites.crossJoin(ends).crossJoin(listed).withColumn("lag_days", lag_days(F.col("last_change"), year))  # one row each
 
 
 def separation(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -257,7 +259,7 @@ def lag_days(date: Column, year: int) -> Column:
 def fitted_classes(fitted: DataFrame, deciles: DataFrame, lags: DataFrame, condition: DataFrame, outcome: str) -> DataFrame:
     """(diagnostic, value, verdict) of a fit: fitted rows, rows with resid by decile, lag-1 correlations and condition numbers."""
     spread = deciles.groupBy("decile").agg(F.var_samp("resid").alias("v")).agg((F.max("v") / F.min("v")).alias("ratio"))
-    middle = lags.agg(F.percentile("lag1", F.lit(0.5)).alias("lag1"))  # one number for each site
+    middle = quantiles(lags, "lag1", (0.5,)).agg(F.max(F.col("q")[0]).alias("lag1"))
     largest = condition.agg(F.max("condition").alias("condition"))
     ends = fitted.agg(F.min(outcome).alias("_lo"), F.max(outcome).alias("_hi"))
     outside = fitted.crossJoin(ends).agg(F.count_if((F.col("fitted") < F.col("_lo")) | (F.col("fitted") > F.col("_hi"))).alias("n_outside"))
