@@ -71,6 +71,33 @@ def site_period_checks(burden: DataFrame) -> DataFrame:
     return by_row.unionByName(counted(sites, {"site periods that repeat": F.col("n") > 1, "sites without a period": F.col("periods") < 2}))
 
 
+def descriptive_checks(rows: DataFrame, outcome: str, threshold: float, flag: str | None = None) -> DataFrame:
+    """What rows of a descriptive summary must not have: missing or infinite values, other periods, a flag that is not the outcome over the threshold."""
+    value = F.col(outcome).cast("double")
+    checks = {
+        "missing values": any_of([F.col(c).isNull() for c in ("site_id", "climate_region", "period")]) | value.isNull(),
+        "other periods": ~F.col("period").isin("early", "later"),
+        "values not finite": F.isnan(value) | (F.abs(value) == float("inf")),
+    }
+    if flag:
+        if rows.schema[flag].dataType.typeName() != "boolean":
+            raise ValueError(f"{flag} is no boolean")
+        checks["flag is not the comparison"] = F.col(flag).isNull() | (F.col(flag) != (value > threshold))
+    return counted(rows, checks)
+
+
+def file_stamps(names: DataFrame, listing: DataFrame, manifest: DataFrame, year: int) -> DataFrame:
+    """Each file (file) with its day in the listing (file, created), the manifest's stamps (file, retrieved, modified) and the listing's lag after the year.
+
+    A file that either does not have, or has twice, is an error.
+    """
+    once = {"listing": listing.groupBy("file").agg(F.max("created").alias("created"), F.count("*").alias("_listed")), "manifest": manifest.groupBy("file").agg(F.max("retrieved").alias("retrieved"), F.max("modified").alias("modified"), F.count("*").alias("_recorded"))}
+    joined = names.select("file").join(once["listing"], "file", "left").join(once["manifest"], "file", "left")
+    bad = F.when(F.coalesce("_listed", F.lit(0)) != 1, "listing").when(F.coalesce("_recorded", F.lit(0)) != 1, "manifest")
+    checked = F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("not once in the "), bad, F.lit(": "), "file"))).otherwise(F.col("file"))
+    return joined.select(checked.alias("file"), "created", "retrieved", "modified", lag_days(F.col("created"), year).alias("lag_days"))
+
+
 def interval_checks(intervals: DataFrame, scopes: DataFrame, quantities: Sequence[str]) -> DataFrame:
     """Interval rows that are out of order, not finite, repeated or missing for a scope (scope) and quantity."""
     ends = [F.col(c) for c in ("lower", "median", "upper")]

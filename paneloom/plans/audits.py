@@ -103,6 +103,12 @@ def site_period_checks(spark, d):
     return U.site_period_checks(D.site_periods(A.panel(spark, d).where("period is not null"), SAMPLE.threshold))
 
 
+def descriptive_checks(spark, d):
+    """Of the panel's rows, of which some have no period or the transition's."""
+    rows = A.panel(spark, d).withColumn("is_elevated", (F.col("ozone_mda8_ppb") > SAMPLE.threshold) & (F.col("n_rows") < 3))
+    return U.descriptive_checks(rows, "ozone_mda8_ppb", SAMPLE.threshold, "is_elevated")
+
+
 def draw_checks(spark, d):
     sites = an._sites(spark, d)
     return U.draw_checks(B.arithmetic_draws(sites, 10), sites)
@@ -277,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         qualifier_rules, candidate_populations, field_inventory, completeness, model_frame_checks, site_period_checks, draw_checks, interval_checks, design_size, separation, failure_rates, quantile_error,
-        percentage_contributions, fit_classes, region_diagnostics, bootstrap_supported, bootstrap_failures, population_audit, decomposition_descriptors, gathered_rows,
+        percentage_contributions, fit_classes, region_diagnostics, bootstrap_supported, bootstrap_failures, population_audit, decomposition_descriptors, gathered_rows, descriptive_checks,
     )
 }
 
@@ -333,6 +339,8 @@ ORACLES = {
     "site_period_checks": f"""WITH {A.PANEL_SQL}, b AS (SELECT site_id, period, count(ozone_mda8_ppb) AS v FROM panel WHERE period IS NOT NULL GROUP BY 1, 2 HAVING count(ozone_mda8_ppb) > 0)
         SELECT 'no valid day' AS "check", 0 AS n_bad UNION ALL SELECT 'more elevated than valid days', 0 UNION ALL SELECT 'share is not the ratio', 0 UNION ALL SELECT 'other periods', count(*) FILTER (period = 'transition') FROM b
         UNION ALL SELECT 'site periods that repeat', 0 UNION ALL SELECT 'sites without a period', count(*) FROM (SELECT site_id FROM b GROUP BY 1 HAVING count(*) < 2)""",
+    "descriptive_checks": f"""WITH {A.PANEL_SQL} SELECT 'missing values' AS "check", count(*) FILTER (period IS NULL OR ozone_mda8_ppb IS NULL) AS n_bad FROM panel UNION ALL SELECT 'other periods', count(*) FILTER (period = 'transition') FROM panel
+        UNION ALL SELECT 'values not finite', 0 UNION ALL SELECT 'flag is not the comparison', count(*) FILTER (ozone_mda8_ppb > 70 AND n_rows >= 3) FROM panel""",
     "draw_checks": f"""WITH {pop.BASE_SQL}, {an.DRAWS_SQL}, c AS (SELECT unnest(['draws too many or too few', 'labels that repeat', 'places that repeat', 'labels of another form', 'unknown sources']) AS "check")
         SELECT DISTINCT replicate, climate_region, "check", 0 AS n_bad FROM draws, c WHERE replicate <= 10""",
     "interval_checks": f"""WITH {an.BOOT_SQL}, q AS (SELECT scope, quantity, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.5) AS mid, quantile_cont(value, 0.975) AS hi FROM vals GROUP BY 1, 2),

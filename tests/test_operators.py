@@ -300,6 +300,17 @@ def test_a_fit_refuses_rows_it_must_not_have(spark):
         audits.required(audits.model_frame_checks(spark.createDataFrame([], schema), "y"))
 
 
+def test_file_stamps(spark):
+    names = spark.createDataFrame([("a",), ("b",)], "file string")
+    listing = spark.createDataFrame([("a", date(2026, 1, 10)), ("b", date(2025, 12, 30)), ("c", None)], "file string, created date")
+    manifest = spark.createDataFrame([("a", "r1", "m1"), ("b", "r2", None)], "file string, retrieved string, modified string")
+    got = {r["file"]: (r["lag_days"], r["retrieved"], r["modified"]) for r in audits.file_stamps(names, listing, manifest, 2025).collect()}
+    assert got == {"a": (10, "r1", "m1"), "b": (-1, "r2", None)}
+    for bad_listing, bad_manifest, said in ((listing.where("file <> 'a'"), manifest, "listing: a"), (listing, manifest.unionByName(manifest.limit(1)), "manifest: a")):
+        with pytest.raises(Exception, match=said):
+            audits.file_stamps(names, bad_listing, bad_manifest, 2025).collect()
+
+
 def test_no_extrapolation(spark):
     rows = spark.createDataFrame([("s", float(t), 1 + 40 * t) for t in range(9)], "site_id string, tmax_c double, day_of_year int")
     wide = rows.unionByName(rows.limit(1).withColumn("tmax_c", F.lit(99.0)))
