@@ -28,7 +28,7 @@ RARE = 1e-3
 #: Shingles whose samples are drawn at a time; these arrays stay in a core's cache.
 TOGETHER = 65_536
 #: Members of a star's group in one task.
-SALT = 500
+SALT = 2_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
