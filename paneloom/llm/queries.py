@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneloom.llm import class_lm, decontamination, language_id, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, url_filters, warc
+from paneloom.llm import class_lm, decontamination, hard_negatives, language_id, mixing, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, suffix_dedup, url_filters, warc
 from paneloom.llm.common import fold, table
 
 
@@ -87,6 +87,21 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), block=100, heads=6)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0, scale=256.0, positives=5, negatives=3, window=(50, 95))
+
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (
@@ -135,10 +150,55 @@ FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+#: CRC-32 bit by bit: a byte of the id is mixed in (256 and over), then eight shifts (0).
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, count(*) AS n,
+         xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[256 + ascii(x), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] FOR x IN string_split(CAST(c AS VARCHAR), '')])),
+             lambda a, x: CASE WHEN x > 0 THEN xor(a, x - 256) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+  FROM turns GROUP BY c),
+sized AS (SELECT a.c, a.h, a.c - a.c % 100 AS base, least(a.h, coalesce(b.n, 0)) AS b, least(a.h, coalesce(b.n, 0)) + greatest(a.n - a.h, 0) AS len FROM convs a LEFT JOIN convs b ON b.c = a.c - a.c % 100),
+seq AS (
+  SELECT t.c, s.b + t.pos - s.h AS d, role, text FROM turns t JOIN sized s USING (c) WHERE pos > h
+  UNION ALL SELECT s.c, t.pos, role, text FROM sized s JOIN turns t ON t.c = s.base AND t.pos <= s.b),
+keyed AS (SELECT c, d, sha256(strlen(role) || ':' || role || text) AS k, length(text) AS chars FROM seq),
+named AS (
+  SELECT c, d, string_agg(k, ',') OVER (PARTITION BY c ORDER BY d) AS p, chars FROM keyed
+  UNION ALL SELECT c, 0, '', 0 FROM sized),
+linked AS (SELECT *, lag(p) OVER (PARTITION BY c ORDER BY d) AS parent FROM named),
+nodes AS (SELECT p, d, min(c) AS first, count(*) AS n, any_value(parent) AS parent, max(chars) AS chars FROM linked GROUP BY p, d),
+kids AS (SELECT parent AS p, count(*) AS k FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+full_nodes AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (p)),
+totals AS (
+  SELECT a.p, count(*) FILTER (k = 0) AS n_leaves, sum((n - 1) * f.chars) AS saved FROM full_nodes f JOIN named a ON a.c = f.first AND a.d <= f.d GROUP BY 1),
+ends AS (SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM named JOIN sized USING (c) WHERE d = len GROUP BY 1)
+SELECT f.first AS conv_id, CAST(f.d AS BIGINT) AS depth, q.first AS parent_conv_id, f.n AS n_convs, f.k AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes f LEFT JOIN full_nodes q ON q.p = f.parent JOIN totals t ON t.p = f.p LEFT JOIN ends e ON e.p = f.p
+"""
+
+
+OP13_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, a.label AS l, r.vec_id AS b, r.label, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score FROM r a, r WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS n FROM s WHERE l = label AND a <> b),
+g AS (
+  SELECT p.a, p.b AS positive, p.score AS positive_score, s.b AS negative, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS n
+  FROM p JOIN s ON s.a = p.a AND s.label <> s.l AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.n <= 5)
+SELECT a AS anchor_id, positive AS positive_id, CAST(n AS INTEGER) AS rank, negative AS negative_id, positive_score, negative_score FROM g WHERE n <= 3
+"""
+
+
 def queries() -> dict:
-    found = (op1_quality_rules, op2_packing, op3_language_id, op4_quality_classifier, op5_class_lm, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_decontamination, op10_warc_revisits)
+    found = (op1_quality_rules, op2_packing, op3_language_id, op4_quality_classifier, op5_class_lm, op6_url_filters, op7_suffix_array_dedup, op8_minhash_near_dedup, op9_decontamination, op10_warc_revisits, op11_mixing, op12_prefix_trie, op13_hard_negatives)
     return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9_SQL, "op10_warc_revisits": OP10_SQL}
+    return {"op9_decontamination": OP9_SQL, "op10_warc_revisits": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_hard_negatives": OP13_SQL}
