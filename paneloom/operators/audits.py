@@ -291,7 +291,7 @@ def fitted_classes(fitted: DataFrame, deciles: DataFrame, lags: DataFrame, condi
     ends = fitted.agg(F.min(outcome).alias("_lo"), F.max(outcome).alias("_hi"))
     outside = fitted.crossJoin(ends).agg(F.count_if((F.col("fitted") < F.col("_lo")) | (F.col("fitted") > F.col("_hi"))).alias("n_outside"))
     one = spread.crossJoin(middle).crossJoin(largest).crossJoin(outside)  # one row each
-    rows = one.select(F.explode(diagnostic_classes(F.round("ratio", 6), F.round("lag1", 6), F.round("condition", 3), F.col("n_outside"))).alias("d"))
+    rows = one.select(F.explode(diagnostic_classes(F.round("ratio", 6), F.round("lag1", 4), F.round("condition", 3), F.col("n_outside"))).alias("d"))
     return rows.select("d.diagnostic", "d.value", "d.verdict")
 
 

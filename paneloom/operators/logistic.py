@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.operators import regression as R
+from paneloom.operators import replicates as N
 from paneloom.operators.tables import kept
 
 
@@ -59,26 +62,31 @@ def fit(rows: DataFrame, xs: Sequence[str], y: str, *, rounds: int = 25, toleran
 def site_means(rows: DataFrame, fits: DataFrame, design: R.Design, r0: float, r1: float) -> DataFrame:
     """A, B, C and D of each site as probabilities.
 
-    The link is not linear, so temperatures, counted once each, meet the days of their
-    own site in an equi-join.
+    The link is not linear, so each temperature meets each day. A site's distinct
+    temperatures and days are two lists of its one row, and their pairs a matrix within a
+    task. A site that lacks a period has nulls there.
     """
-    temps = rows.groupBy("climate_region", "site_id", "period", *design.ts).agg(F.count("*").alias("n"))
+    temps = rows.groupBy("climate_region", "site_id", "period", F.array(*[F.col(t).cast("double") for t in design.ts]).alias("t")).agg(F.count("*").cast("double").alias("n"))
+    sites = temps.groupBy("climate_region", "site_id").agg(F.collect_list(F.struct("period", "n", "t")).alias("c"))
     if design.ss:
-        temps = temps.join(rows.select("site_id", "day_of_year", *design.ss).dropDuplicates(["site_id", "day_of_year"]), "site_id")
-    joined = temps.join(fits.select("site_id", "alpha", "beta"), "site_id")
-    t0, beta = 1 + len(design.extra), F.col("beta")
-    s0 = t0 + 2 * len(design.ts)
-
-    def p(r: float) -> Column:
-        value = F.col("alpha") + r * beta[0]
-        for i, t in enumerate(design.ts):
-            value = value + F.col(t) * (beta[t0 + i] + r * beta[t0 + len(design.ts) + i])
-        for i, s in enumerate(design.ss):
-            value = value + F.col(s) * (beta[s0 + i] + r * beta[s0 + len(design.ss) + i])
-        return expit(value)
-
-    def mean(period: str, r: float) -> Column:
-        here = F.col("period") == period
-        return F.sum(F.when(here, F.col("n") * p(r))) / F.sum(F.when(here, F.col("n")))
-
-    return joined.groupBy("climate_region", "site_id").agg(mean("early", r0).alias("A"), mean("later", r0).alias("B"), mean("early", r1).alias("C"), mean("later", r1).alias("D"))
+        days = rows.select("site_id", "day_of_year", F.array(*[F.col(s).cast("double") for s in design.ss]).alias("s")).dropDuplicates(["site_id", "day_of_year"])
+        sites = sites.join(days.groupBy("site_id").agg(F.collect_list("s").alias("days")), "site_id")
+    else:
+        sites = sites.withColumn("days", F.array(F.array().cast("array<double>")))
+    joined = sites.join(fits.select("site_id", "alpha", "beta"), "site_id").select("climate_region", "site_id", "alpha", "beta", "c.period", "c.n", "c.t", "days")
+    skipped = len(design.extra)
+
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                alpha, beta, period, n, t, days = (batch.column(k)[i].as_py() for k in range(2, 8))
+                own = np.array(period, object)
+                b = np.delete(np.array(beta), range(1, 1 + skipped))
+                with np.errstate(invalid="ignore"):
+                    found.append(N.probabilities(alpha, b, np.array(t), np.array(n), [own == "early", own == "later"], np.array(days), r0, r1))
+            columns = {c: pa.array([None if np.isnan(f[k]) else f[k] for f in found], pa.float64()) for k, c in enumerate("ABCD")}
+            # probabilities gives early and later under r0, then under r1.
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns.values()], names=["climate_region", "site_id", *columns])
+
+    return joined.mapInArrow(evaluate, "climate_region string, site_id string, A double, B double, C double, D double")

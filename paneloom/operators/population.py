@@ -63,6 +63,20 @@ def support_flags(rows: DataFrame, cfg: PanelConfig) -> DataFrame:
     return binned.join(support_counts(rows, cfg).select("climate_region", "bin", "supported"), ["climate_region", "bin"])
 
 
+def judged_additions(rows: DataFrame, primary: DataFrame, cfg: PanelConfig) -> DataFrame:
+    """rows that are to join a fit on primary, with bin and verdict; only kept ones may.
+
+    A row goes if no primary row of its region is in its bin, if its temperature is outside
+    all of primary's, or if it is of a leap day, in this order. primary has bin.
+    """
+    bins = primary.select("climate_region", "bin").distinct().withColumn("_there", F.lit(True))
+    ends = primary.agg(F.min("tmax_c").alias("_lo"), F.max("tmax_c").alias("_hi"))
+    binned = rows.withColumn("bin", C.temperature_bin(F.col("tmax_c"), cfg.bin_width)).join(bins, ["climate_region", "bin"], "left").crossJoin(ends)  # one row
+    leap = (F.month("date_local") == 2) & (F.dayofmonth("date_local") == 29)
+    verdict = F.when(F.col("_there").isNull(), "outside support").when(~F.col("tmax_c").between(F.col("_lo"), F.col("_hi")), "outside bounds").when(leap, "leap day").otherwise("kept")
+    return binned.withColumn("verdict", verdict).drop("_there", "_lo", "_hi")
+
+
 def drop_leap_days(rows: DataFrame) -> DataFrame:
     return rows.where(~((F.month("date_local") == 2) & (F.dayofmonth("date_local") == 29)))
 

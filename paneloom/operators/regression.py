@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.functions import columns as C
@@ -123,13 +123,53 @@ def fitted(rows: DataFrame, fits: DataFrame, xs: Sequence[str]) -> DataFrame:
     return rows.join(fits.select("site_id", "alpha", "beta"), "site_id").withColumn("fitted", value).drop("alpha", "beta")
 
 
-def leverage(rows: DataFrame, x: str) -> DataFrame:
-    """rows with leverage in the regression on one column with site effects."""
-    sites = rows.groupBy("climate_region", "site_id").agg(F.count("*").alias("_n"), F.avg(x).alias("_mean"), F.var_pop(x).alias("_var"))
-    regions = sites.groupBy("climate_region").agg(F.sum(F.col("_n") * F.col("_var")).alias("_sxx"))
-    joined = rows.join(sites.select("site_id", "_n", "_mean"), "site_id").join(regions, "climate_region")
-    h = 1 / F.col("_n") + F.pow(F.col(x) - F.col("_mean"), 2) / F.col("_sxx")
-    return joined.withColumn("leverage", h).drop("_n", "_mean", "_sxx")
+def leverage(rows: DataFrame, xs: Sequence[str]) -> DataFrame:
+    """rows with leverage in the regression on xs with site effects, and n_columns, their region's sites and rank.
+
+    With site effects a row's leverage is 1/n of its site and the quadratic form of its
+    distance from the site's means with the inverse of the region's centred products. The
+    driver gets a factor of that inverse for each region; rows get their site's means.
+    Leverages of a region add up to n_columns. Columns without variation add nothing.
+    """
+    p = len(xs)
+    sites = kept(site_sums(rows.withColumn("_none", F.lit(0.0)), xs, "_none"), "site-sums")
+    i, j = np.triu_indices(p + 1)
+    factors, columns = {}, {}
+    sums = vectors.met(vectors.partly_summed(sites.select("climate_region", F.concat(F.array(F.lit(1.0)), "within", F.transform("mean", lambda m: F.col("n") * m * m)).alias("v")), ["climate_region"]), ["climate_region"])
+    for region, v in ((r["climate_region"], np.array(r["v"])) for r in sums.collect()):
+        gram = np.zeros((p + 1, p + 1))
+        gram[i, j] = gram[j, i] = v[1 : 1 + len(i)]
+        between, own = v[1 + len(i) :][:p], np.diag(gram)[:p]
+        varies = np.flatnonzero(own > 1e-13 * between)
+        scale = np.sqrt(own[varies])
+        values, directions = np.linalg.eigh(gram[np.ix_(varies, varies)] / np.outer(scale, scale))
+        good = values > values.max(initial=0.0) * p * 1e-13
+        factors[region] = np.zeros((p, good.sum()))
+        factors[region][varies] = directions[:, good] / np.sqrt(values[good]) / scale[:, None]
+        columns[region] = int(round(v[0])) + int(good.sum())
+    kept_columns = rows.columns
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, means, x = batch.column("_n").to_numpy(), vectors.matrix(batch.column("_mean")), vectors.matrix(batch.column("_x"))
+            out, regions = 1 / n, np.array(batch.column("climate_region").to_pylist(), object)
+            away = x - means[:, :p] if len(x) else x
+            for region in set(regions):
+                at = regions == region
+                out[at] += ((away[at] @ factors[region]) ** 2).sum(1)
+            yield pa.record_batch([*[batch.column(c) for c in kept_columns], pa.array(out), pa.array([columns[r] for r in regions], pa.int64())], names=[*kept_columns, "leverage", "n_columns"])
+
+    joined = rows.withColumn("_x", F.array(*[F.col(x).cast("double") for x in xs])).join(sites.select("site_id", F.col("n").alias("_n"), F.col("mean").alias("_mean")), "site_id")
+    return joined.mapInArrow(judge, f"{vectors.ddl_of(rows, kept_columns)}, leverage double, n_columns long")
+
+
+def leverage_by_region(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """Rows with leverage by region: their sum beside the columns, and how many are over two and three times the mean."""
+    mean = F.col("n_columns") / F.col("n_rows")
+    counted = rows.join(rows.groupBy("climate_region").agg(F.count("*").alias("n_rows")), "climate_region")
+    return counted.groupBy("climate_region", "n_rows", "n_columns").agg(
+        F.round(F.sum("leverage"), digits).alias("total"), F.round(F.max("leverage"), digits).alias("largest"), F.count_if(F.col("leverage") > 2 * mean).alias("over_2_means"), F.count_if(F.col("leverage") > 3 * mean).alias("over_3_means"),
+    )
 
 
 @dataclass(frozen=True)
@@ -201,12 +241,14 @@ def with_splines(rows: DataFrame, frame: DataFrame | None = None, *, ranks: Sequ
 
     Knots, bounds and centring come from frame, the rows themselves unless given. A
     temperature outside frame's is an error; with extrapolate it counts as the nearest
-    bound. The driver gets knots, means and the counts of at most 365 days.
+    bound. The driver gets knots, means and the counts of at most 365 days. Without a row
+    in frame all columns are null.
     """
     frame = rows if frame is None else frame
     found = quantiles(frame, "tmax_c", [0.0, *ranks, 1.0]).first()
     if found is None:
-        raise ValueError("no temperature")
+        names = tuple(f"t{i}" for i in range(len(ranks) + 1)), tuple(f"s{i}" for i in range(season_columns))
+        return rows.withColumns({c: F.lit(None).cast("double") for c in (*names[0], *names[1])}), *names
     knots = np.array(found["q"])
     days = sorted((r["day_of_year"], r["count"]) for r in frame.where("day_of_year is not null").groupBy("day_of_year").count().collect())
     values, counts = np.array([d for d, _ in days], float), np.array([n for _, n in days], float)
@@ -282,152 +324,10 @@ def refit(drawn: DataFrame, sites: DataFrame, design: Design, r0: float, r1: flo
         yield from held.told(names, kinds)
 
     joined = sites.join(lists, "source_site").select("climate_region", "v", "drawn.replicate", "drawn.times")
-    return vectors.met(joined.mapInArrow(weigh, "replicate int, climate_region string, v array<double>"), names, _replicate_solver(design, r0, r1), REPLICATE)
-
-
-def refit_supported(drawn: DataFrame, rows: DataFrame, y: str, min_days: int, r0: float, r1: float) -> DataFrame:
-    """Like refit, for the design of a temperature slope by period, with support counted anew by each replicate.
+    return vectors.met(joined.mapInArrow(weigh, "replicate int, climate_region string, v array<double>"), names, replicate_solver(design, r0, r1), REPLICATE)
 
-    rows have bin. A bin of a region is supported in a replicate if its drawn rows have at
-    least min_days days in both periods, copies of a site counted each. Sums by site and
-    bin are made once; a site adds those of its supported bins, is centred and counts as
-    often as it was drawn. A replicate without a bin, or with a drawn site that lacks a
-    period, fails in its region, and its failure says so.
-    """
-    design = Design("later", ("tmax_c",))
-    with_r, xs = design.columns(rows)
-    p = len(xs)
-    keys = ["climate_region", "site_id", "bin"]
-    cells = kept(vectors.met(moments(with_r, xs, y, keys=keys), keys), "site-bins")
-    times = kept(drawn.groupBy(F.col("source_site").alias("site_id"), "replicate").agg(F.count("*").cast("double").alias("times")), "times")
-    # Places in the triangle of 1, later, tmax_c, ...: counts of all and of later rows.
-    later = F.get("v", F.lit(1))
-    bins = cells.join(times, "site_id").groupBy("replicate", "climate_region", "bin").agg(F.sum(F.col("times") * (F.get("v", F.lit(0)) - later)).alias("e"), F.sum(F.col("times") * later).alias("l"))
-    bins = bins.where((F.col("e") >= min_days) & (F.col("l") >= min_days))
-    # A region has one entry for each replicate and bin, a site one for each bin and one for each replicate.
-    supported = bins.groupBy("climate_region").agg(F.collect_list(F.struct(F.col("replicate").cast("int").alias("replicate"), F.col("bin").cast("double").alias("bin"))).alias("s"))
-    of_site = cells.groupBy("climate_region", "site_id").agg(F.collect_list(F.struct(F.col("bin").cast("double").alias("bin"), "v")).alias("c"))
-    lists = times.groupBy("site_id").agg(F.collect_list(F.struct(F.col("replicate").cast("int").alias("replicate"), "times")).alias("t"))
-    joined = of_site.join(lists, "site_id").join(supported, "climate_region", "left").select("climate_region", "c.bin", "c.v", "t.replicate", "t.times", F.col("s.replicate").alias("s_replicate"), F.col("s.bin").alias("s_bin"))
-    i, j = np.triu_indices(p + 1)
-    names, kinds = ["replicate", "climate_region"], [pa.int32(), pa.string()]
-    width = 1 + (p + 1) * (p + 2) // 2 + p + 1 + 2 + 2
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = vectors.Held()
-        for batch in batches:
-            for region, own, v, replicates, counts, s_replicate, s_bin in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                at = {r: k for k, r in enumerate(replicates)}
-                place = {b: k for k, b in enumerate(own)}
-                takes = np.zeros((len(replicates), len(own)))
-                has_bin = np.zeros(len(replicates))
-                for r, b in zip(s_replicate or (), s_bin or (), strict=True):
-                    if r in at:
-                        has_bin[at[r]] = 1
-                        if b in place:
-                            takes[at[r], place[b]] = 1
-                m = np.array(counts)
-                total = takes @ np.array(v)
-                n, n_later = total[:, 0], total[:, 1]
-                good = (n_later > 0) & (n_later < n)
-                out = np.zeros((len(replicates), width))
-                out[:, 0], out[:, -2], out[:, -1] = 1, ~good, has_bin == 0
-                total = total[good]
-                mean = total[:, 1 : p + 2] / total[:, :1]
-                within = total[:, p + 2 :] - total[:, :1] * mean[:, i] * mean[:, j]
-                all_t, later_t = total[:, 2], total[:, 3]
-                temps = np.column_stack([(all_t - later_t) / (n - n_later)[good], later_t / n_later[good]])
-                out[good, 1:-2] = np.hstack([within, mean, temps])
-                held.add([(r, region) for r in replicates], out * m[:, None])
-                if held.full:
-                    yield from held.told(names, kinds)
-        yield from held.told(names, kinds)
-
-    return vectors.met(joined.mapInArrow(weigh, "replicate int, climate_region string, v array<double>"), names, _replicate_solver(design, r0, r1, judged=True), REPLICATE)
-
-
-def refit_rebuilt(drawn: DataFrame, rows: DataFrame, y: str, min_days: int, r0: float, r1: float, *, ranks: Sequence[float] = (0.25, 0.5, 0.75), season_columns: int = 6) -> DataFrame:
-    """Like refit, for splines by period, with support, knots and bases of each replicate's own.
-
-    rows have bin. Unlike a refit from sums, each replicate reads its rows again, copies
-    of a site as a weight. The driver gets the knots and column means of each replicate.
-    Failures are told as by refit_supported, and knots that coincide.
-    """
-    keys = ["replicate", "climate_region"]
-    times = kept(drawn.groupBy(F.col("source_site").alias("site_id"), F.col("replicate").cast("int").alias("replicate")).agg(F.count("*").alias("times")), "times")
-    both = rows.select("site_id", "climate_region", "period", F.col("later").cast("double").alias("later"), F.col("tmax_c").cast("double").alias("tmax_c"), "day_of_year", F.col("bin").cast("double").alias("bin"), F.col(y).cast("double").alias("y")).join(times, "site_id")
-    days = [F.sum(F.when(F.col("later") == r, F.col("times")).otherwise(0)) >= min_days for r in (0.0, 1.0)]
-    bins = both.groupBy(*keys, "bin").agg((days[0] & days[1]).alias("good")).where("good").drop("good")
-    own = kept(both.join(bins, [*keys, "bin"]), "replicate-rows")
-    t_knots = {r["replicate"]: np.array(r["q"]) for r in quantiles(own, "tmax_c", [0.0, *ranks, 1.0], "replicate", weight="times").collect()}
-    inner = np.linspace(0, 1, season_columns + 2)[1:-1].tolist()
-    s_knots = {r["replicate"]: np.array([1.0, *r["q"], 365.0]) for r in quantiles(own.select("replicate", "day_of_year").distinct(), "day_of_year", inner, "replicate").collect()}
-    good = [r for r in t_knots if (np.diff(t_knots[r]) > 0).all() and (np.diff(s_knots[r]) > 0).all()]
-
-    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = vectors.Held()
-        for batch in batches:
-            data = batch.to_pandas()
-            for r, at in data.groupby("replicate").indices.items():
-                if r in good:
-                    some = data.iloc[at]
-                    w = some["times"].to_numpy(float)
-                    held.add([(int(r),)], np.concatenate(([w.sum()], w @ splines.evaluate(some["tmax_c"], t_knots[r], False), w @ splines.evaluate(some["day_of_year"], s_knots[r], True)))[None])
-        yield from held.told(["replicate"], [pa.int32()])
-
-    sums = vectors.met(own.select("replicate", "times", "tmax_c", "day_of_year").mapInArrow(means, "replicate int, v array<double>"), ["replicate"]).collect()
-    bases = {}
-    for row in sums:
-        r, v = row["replicate"], np.array(row["v"][1:]) / row["v"][0]
-        nt = len(t_knots[r])
-        bases[r] = splines.without_mean(t_knots[r], False, v[:nt]), splines.without_mean(s_knots[r], True, v[nt:])
-    nt, ns = 1 + len(ranks), season_columns
-    design = Design("later", tuple(f"t{i}" for i in range(nt)), tuple(f"s{i}" for i in range(ns)))
-    p = 1 + 2 * nt + 2 * ns
-    pairs = np.triu_indices(p + 2)
-    i, j = np.triu_indices(p + 1)
-    names = [*keys, "site_id", "times"]
-    kinds = vectors.kinds_of(own, names)
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = vectors.Held()
-        for batch in batches:
-            data = batch.to_pandas()
-            for key, at in data.groupby(names).indices.items():
-                if key[0] not in bases:
-                    continue
-                some = data.iloc[at]
-                t, s = (b(some[c].to_numpy(float)) for b, c in zip(bases[key[0]], ("tmax_c", "day_of_year"), strict=True))
-                later = some["later"].to_numpy(float)[:, None]
-                x = np.column_stack([np.ones(len(some)), later, t, t * later, s, s * later, some["y"]])
-                first = some["first_of_day"].to_numpy(float)
-                tail = [(1 - later).sum(), *((1 - later) * t).sum(0), later.sum(), *(later * t).sum(0), first.sum(), *(first @ s)]
-                held.add([tuple(x.item() if hasattr(x, "item") else x for x in key)], np.concatenate([(x.T @ x)[pairs], tail])[None])
-            if held.full:
-                yield from held.told(names, kinds)
-        yield from held.told(names, kinds)
 
-    def site(found: list, v: np.ndarray) -> dict[str, pa.Array]:
-        tri, early, te, later, tl, n_days, s = np.split(v, np.cumsum([len(pairs[0]), 1, nt, 1, nt, 1]), axis=1)
-        n, mean = tri[:, :1], tri[:, 1 : p + 2] / tri[:, :1]
-        within = tri[:, p + 2 :] - n * mean[:, i] * mean[:, j]
-        lacking = ((early == 0) | (later == 0)).astype(float)
-        out = np.hstack([np.ones_like(n), within, mean, te / np.maximum(early, 1), tl / np.maximum(later, 1), s / n_days, lacking, np.zeros_like(n)])
-        return {"v": vectors.lists(out * np.array([[k[3]] for k in found], float))}
-
-    once = F.row_number().over(Window.partitionBy("replicate", "site_id", "day_of_year").orderBy("period", "tmax_c", "y")) == 1
-    each = own.withColumn("first_of_day", once.cast("int")).select(*names, "later", "tmax_c", "day_of_year", "y", "first_of_day")
-    sites = vectors.met(each.mapInArrow(products, f"{vectors.ddl_of(own, names)}, v array<double>"), names, site)
-    found = vectors.met(vectors.partly_summed(sites, keys), keys, _replicate_solver(design, r0, r1, judged=True), REPLICATE)
-    wanted = times.join(rows.select("site_id", "climate_region").distinct(), "site_id").groupBy(*keys).agg(F.sum("times").alias("n_drawn"))
-    wanted = wanted.join(bins.groupBy(*keys).agg(F.count("*").alias("n_bins")), keys, "left")
-    joined = wanted.join(found, keys, "left")
-    coincide = F.col("n_bins").isNotNull() & ~F.col("replicate").isin(good)
-    failure = F.when(F.col("n_bins").isNull(), "support: no bin").when(coincide, "rank deficient: knots coincide").when(F.coalesce("n_sites", F.lit(0)) < F.col("n_drawn"), "support: a drawn site lacks a period").otherwise(F.col("failure"))
-    return joined.withColumn("failure", failure).select(*keys, F.col("n_drawn").alias("n_sites"), *[F.when(F.col("failure").isNull(), F.col(c)).alias(c) for c in "ABCD"], "failure")
-
-
-def _replicate_solver(design: Design, r0: float, r1: float, *, judged: bool = False):
+def replicate_solver(design: Design, r0: float, r1: float, *, judged: bool = False):
     """Solves weighted sums of site vectors; with judged, the last two numbers count draws without a period and without a bin."""
     e, nt, ns = len(design.extra), len(design.ts), len(design.ss)
     p = 1 + e + 2 * nt + 2 * ns

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paneloom.config import SAMPLE
-from paneloom.functions import columns as C
 from paneloom.operators import bootstrap as B
 from paneloom.operators import compare as K
 from paneloom.operators import descriptive as D
 from paneloom.operators import logistic as L
 from paneloom.operators import population as P
 from paneloom.operators import regression as R
+from paneloom.operators import replicates as N
+from paneloom.operators.tables import kept
 from paneloom.plans import population as pop
 from paneloom.sources import adapters as A
 
 REPLICATES = 40
+#: Replicates that rebuild their bases: as many as published.
+REBUILT = 1_000
 
 
 def _burden(spark, d):
@@ -39,7 +42,7 @@ def site_patterns(spark, d):
 
 
 def _residuals(spark, d):
-    rows = pop._base(spark, d)
+    rows = pop._fit_rows(spark, d)
     means = rows.groupBy("site_id").agg(F.round(F.avg("ozone_mda8_ppb"), 6).alias("site_mean"))
     return rows.join(means, "site_id").withColumn("resid", F.round(F.col("ozone_mda8_ppb") - F.col("site_mean"), 6))
 
@@ -59,12 +62,12 @@ def lag1_correlation(spark, d):
 
 
 def fe_slope_by_region(spark, d):
-    fits = R.fit(pop._base(spark, d), ["tmax_c"], "ozone_mda8_ppb")
+    fits = R.fit(pop._fit_rows(spark, d), ["tmax_c"], "ozone_mda8_ppb")
     return fits.select("climate_region", F.round(F.col("beta")[0], 8).alias("slope"), "n_sites", "n_rows").distinct()
 
 
 def _linear(spark, d, assign=None):
-    rows = R.model_frame(pop._base(spark, d, assign))
+    rows = R.model_frame(pop._fit_rows(spark, d, assign))
     design = R.Design("later", ("tmax_c",))
     with_r, xs = design.columns(rows)
     fits = R.fit(with_r, xs, "ozone_mda8_ppb")
@@ -75,14 +78,31 @@ def abcd_linear(spark, d):
     return _linear(spark, d)
 
 
+def _leverage(spark, d):
+    """Leverage in the design of abcd_linear."""
+    with_r, xs = R.Design("later", ("tmax_c",)).columns(R.model_frame(pop._fit_rows(spark, d)))
+    return kept(R.leverage(with_r, xs).select("climate_region", "site_id", "leverage", "n_columns"), "leverages")
+
+
 def leverage_linear(spark, d):
-    rows = R.leverage(pop._base(spark, d), "tmax_c")
-    sites = rows.groupBy("climate_region", "site_id").agg(F.count("*").alias("n_rows"), F.round(F.sum("leverage"), 6).alias("total"), F.round(F.max("leverage"), 8).alias("largest"))
+    """The twenty sites of most leverage."""
+    sites = _leverage(spark, d).groupBy("climate_region", "site_id").agg(F.count("*").alias("n_rows"), F.round(F.sum("leverage"), 6).alias("total"), F.round(F.max("leverage"), 8).alias("largest"))
     return sites.orderBy(F.desc("total"), "site_id").limit(20)
 
 
+def leverage_regions(spark, d):
+    return R.leverage_by_region(_leverage(spark, d))
+
+
+def spline_leverage(spark, d):
+    """Leverage in the design of spline_fit."""
+    rows, ts, ss = R.with_splines(R.model_frame(pop._fit_rows(spark, d)))
+    with_r, xs = R.Design("later", ts, ss).columns(rows)
+    return R.leverage_by_region(kept(R.leverage(with_r, xs).select("climate_region", "site_id", "leverage", "n_columns"), "leverages"))
+
+
 def _spline(spark, d, ranks=(0.25, 0.5, 0.75)):
-    rows = R.model_frame(pop._base(spark, d))
+    rows = R.model_frame(pop._fit_rows(spark, d))
     rows, ts, ss = R.with_splines(rows, ranks=ranks)
     design = R.Design("later", ts, ss)
     with_r, xs = design.columns(rows)
@@ -104,22 +124,63 @@ def spline_3df(spark, d):
     return R.decomposition(R.site_means(rows, fits, design, 0.0, 1.0))
 
 
+def _s1c_judged(spark, d):
+    """The primary fit's rows, written, and the transition year's rows of its sites with a verdict."""
+    primary = kept(pop._fit_rows(spark, d), "primary-rows")
+    years = pop._years(spark, d).where("qualifies").select("site_id", "calendar_year")
+    rows = A.panel(spark, d).where("period = 'transition' and tmax_c is not null and climate_region is not null").join(years, ["site_id", "calendar_year"], "left_semi").join(primary.select("site_id").distinct(), "site_id", "left_semi")
+    return primary, P.judged_additions(rows, primary, SAMPLE)
+
+
+def s1c_population(spark, d):
+    """What becomes of the transition year's rows, by region."""
+    return _s1c_judged(spark, d)[1].groupBy("climate_region", "verdict").agg(F.count("*").alias("n_rows"), F.count_distinct("site_id").alias("n_sites"))
+
+
+def _s1c_rows(spark, d):
+    """(primary rows, primary and kept transition rows), with the year centred on the transition and its interruption."""
+    primary, judged = _s1c_judged(spark, d)
+    with_year = {"year_centred": (F.col("calendar_year") - SAMPLE.transition).cast("double"), "interruption": (F.col("calendar_year") == SAMPLE.transition).cast("double")}
+    primary = R.model_frame(primary).withColumns(with_year)
+    added = R.model_frame(judged.where("verdict = 'kept'")).withColumns(with_year)
+    return primary, primary.unionByName(added.select(*primary.columns))
+
+
+#: The years whose responses are compared, from the transition.
+ENDS = float(SAMPLE.early[0] - SAMPLE.transition), float(SAMPLE.later[1] - SAMPLE.transition)
+
+
+def s1c_linear(spark, d):
+    """A year trend with an interruption; the trend's two ends over temperatures of the two periods. Temperature is a slope."""
+    primary, rows = _s1c_rows(spark, d)
+    design = R.Design("year_centred", ("tmax_c",), (), ("interruption",))
+    with_r, xs = design.columns(rows)
+    return R.decomposition(R.site_means(primary, R.fit(with_r, xs, "ozone_mda8_ppb"), design, *ENDS))
+
+
 def s1c_endpoints(spark, d):
-    """A year trend with an interruption in the transition year; means at the first and last year, over rows of the two periods."""
-    sites = P.balanced(pop._balance(spark, d), SAMPLE.min_years)
-    panel = A.panel(spark, d).where("period is not null").join(sites.select("site_id"), "site_id", "left_semi")
-    rows = R.model_frame(panel.withColumn("year_centred", (F.col("calendar_year") - SAMPLE.transition).cast("double")).withColumn("interruption", (F.col("calendar_year") == SAMPLE.transition).cast("double")))
-    primary = rows.where("period <> 'transition'")
-    rows, ts, ss = R.with_splines(rows, primary, extrapolate=True)
+    """Like s1c_linear, with splines of temperature and season, whose bases are the primary rows'."""
+    primary, rows = _s1c_rows(spark, d)
+    both, ts, ss = R.with_splines(rows, primary)
     design = R.Design("year_centred", ts, ss, ("interruption",))
-    with_r, xs = design.columns(rows)
-    fits = R.fit(with_r, xs, "ozone_mda8_ppb")
-    return R.decomposition(R.site_means(rows.where("period <> 'transition'"), fits, design, float(SAMPLE.early[0] - SAMPLE.transition), float(SAMPLE.later[1] - SAMPLE.transition)))
+    with_r, xs = design.columns(both)
+    return R.decomposition(R.site_means(both.where("interruption = 0"), R.fit(with_r, xs, "ozone_mda8_ppb"), design, *ENDS))
+
+
+def _s1c_replicates(spark, d, drawn, *, spline):
+    _, rows = _s1c_rows(spark, d)
+    return N.refit(drawn, rows, "ozone_mda8_ppb", REPLICATE_DAYS, *ENDS, r="year_centred", spline=spline, extra=True)
+
+
+def s1c_bootstrap(spark, d):
+    """Replicates of s1c_linear, each with the support and the temperature bounds of its own rows."""
+    means = _s1c_replicates(spark, d, B.arithmetic_draws(_fit_sites(spark, d), REPLICATES), spline=False)
+    return R.replicate_components(means).withColumn("value", F.round("value", 6))
 
 
 def logit_exceedance(spark, d):
     """Counterfactual probabilities of an exceedance, from site effects and temperature by period."""
-    rows = R.model_frame(pop._base(spark, d)).withColumn("exceeds", (F.col("ozone_mda8_ppb") > SAMPLE.threshold).cast("double"))
+    rows = R.model_frame(pop._fit_rows(spark, d)).withColumn("exceeds", (F.col("ozone_mda8_ppb") > SAMPLE.threshold).cast("double"))
     rows = L.varying_sites(rows, "exceeds").withColumn("tmax_tens", F.col("tmax_c") / 10)
     design = R.Design("later", ("tmax_tens",))
     with_r, xs = design.columns(rows)
@@ -130,6 +191,10 @@ def _sites(spark, d):
     return pop.balanced_sites(spark, d).select("climate_region", "site_id")
 
 
+def _fit_sites(spark, d):
+    return pop._fit_rows(spark, d).select("climate_region", "site_id").distinct()
+
+
 def bootstrap_draws(spark, d):
     return B.draws(spark, _sites(spark, d), 20, 20260715)
 
@@ -171,9 +236,9 @@ def bootstrap_first_replicates(spark, d):
 
 
 def _replicates(spark, d):
-    rows = R.model_frame(pop._base(spark, d))
+    rows = R.model_frame(pop._fit_rows(spark, d))
     design = R.Design("later", ("tmax_c",))
-    means = R.refit(B.arithmetic_draws(_sites(spark, d), REPLICATES), R.site_vectors(rows, design, "ozone_mda8_ppb"), design, 0.0, 1.0)
+    means = R.refit(B.arithmetic_draws(_fit_sites(spark, d), REPLICATES), R.site_vectors(rows, design, "ozone_mda8_ppb"), design, 0.0, 1.0)
     return R.replicate_components(means)
 
 
@@ -191,28 +256,35 @@ REPLICATE_DAYS = 60
 
 def _supported_replicates(spark, d):
     """Components, and the outcome by region, of replicates that count their own supported bins."""
-    rows = R.model_frame(pop._base(spark, d)).withColumn("bin", C.temperature_bin(F.col("tmax_c"), SAMPLE.bin_width))
-    means = R.refit_supported(B.arithmetic_draws(_sites(spark, d), REPLICATES), rows, "ozone_mda8_ppb", REPLICATE_DAYS, 0.0, 1.0)
+    rows = R.model_frame(pop._fit_rows(spark, d))
+    means = N.refit(B.arithmetic_draws(_fit_sites(spark, d), REPLICATES), rows, "ozone_mda8_ppb", REPLICATE_DAYS, 0.0, 1.0, spline=False)
     return R.replicate_components(means), means
 
 
 def spline_bootstrap(spark, d):
-    rows, ts, ss = R.with_splines(R.model_frame(pop._base(spark, d)))
+    rows, ts, ss = R.with_splines(R.model_frame(pop._fit_rows(spark, d)))
     design = R.Design("later", ts, ss)
-    means = R.refit(B.draws(spark, _sites(spark, d), REPLICATES, 20260715), R.site_vectors(rows, design, "ozone_mda8_ppb"), design, 0.0, 1.0)
+    means = R.refit(B.draws(spark, _fit_sites(spark, d), REPLICATES, 20260715), R.site_vectors(rows, design, "ozone_mda8_ppb"), design, 0.0, 1.0)
     return B.intervals(R.replicate_components(means))
 
 
 def spline_bootstrap_rebuilt(spark, d):
     """Replicates with support, knots and bases of their own."""
-    rows = R.model_frame(pop._base(spark, d)).withColumn("bin", C.temperature_bin(F.col("tmax_c"), SAMPLE.bin_width))
-    means = R.refit_rebuilt(B.draws(spark, _sites(spark, d), 10, 20260715), rows, "ozone_mda8_ppb", REPLICATE_DAYS, 0.0, 1.0)
+    rows = R.model_frame(pop._fit_rows(spark, d))
+    means = N.refit(B.draws(spark, _fit_sites(spark, d), REBUILT, 20260715), rows, "ozone_mda8_ppb", REPLICATE_DAYS, 0.0, 1.0)
+    return B.intervals(R.replicate_components(means))
+
+
+def logit_bootstrap(spark, d):
+    """Replicates of the probabilities of an exceedance, on temperature by period, each on its own support."""
+    rows = R.model_frame(pop._fit_rows(spark, d)).withColumns({"exceeds": (F.col("ozone_mda8_ppb") > SAMPLE.threshold).cast("double"), "tmax_c": F.col("tmax_c").cast("double")})
+    means = N.refit_logit(B.draws(spark, _fit_sites(spark, d), 200, 20260715), rows, "exceeds", REPLICATE_DAYS, 0.0, 1.0, spline=False)
     return B.intervals(R.replicate_components(means))
 
 
 def fit_reproducibility(spark, d):
     """Largest differences between two fits of the same rows in other partitions."""
-    rows = R.model_frame(pop._base(spark, d))
+    rows = R.model_frame(pop._fit_rows(spark, d))
     design = R.Design("later", ("tmax_c",))
 
     def once(df):
@@ -250,14 +322,18 @@ point_changes AS (SELECT l.scope, round(100 * (round(l.equal_site_share, 9) - ro
 
 RESID_SQL = f"""
 {pop.BASE_SQL},
-resid AS (SELECT b.*, site_mean, round(ozone_mda8_ppb - site_mean, 6) AS resid FROM base b JOIN (SELECT site_id, round(avg(ozone_mda8_ppb), 6) AS site_mean FROM base GROUP BY 1) USING (site_id))"""
+resid AS (SELECT b.*, site_mean, round(ozone_mda8_ppb - site_mean, 6) AS resid FROM fitrows b JOIN (SELECT site_id, round(avg(ozone_mda8_ppb), 6) AS site_mean FROM fitrows GROUP BY 1) USING (site_id))"""
 
-DRAWS_SQL = """
-ordered AS (SELECT climate_region, list(site_id ORDER BY site_id) AS names FROM balanced GROUP BY 1),
+def _draws_sql(sites: str) -> str:
+    return f"""
+ordered AS (SELECT climate_region, list(site_id ORDER BY site_id) AS names FROM {sites} GROUP BY 1),
 draws AS (SELECT CAST(r AS INTEGER) AS replicate, climate_region, CAST(i AS INTEGER) AS draw_index, names[(i * i * 7919 + i * r * 31 + r * 104729) % len(names) + 1] AS source_site
   FROM (SELECT climate_region, names, r, unnest(range(0, len(names))) AS i FROM ordered, (SELECT unnest(range(1, 41)) AS r))),
 times AS (SELECT replicate, climate_region, source_site, count(*) AS times FROM draws GROUP BY 1, 2, 3)"""
 
+
+DRAWS_SQL, FIT_DRAWS_SQL = _draws_sql("balanced"), _draws_sql("(SELECT DISTINCT climate_region, site_id FROM fitrows)")
+
 BOOT_SQL = f"""
 {BURDEN_SQL}, {DRAWS_SQL},
 weighted AS (SELECT t.replicate, t.times, b.climate_region, b.period, n_elevated, n_valid, share FROM times t JOIN burden b ON b.site_id = t.source_site),
@@ -287,7 +363,7 @@ def _linear_sql(base: str, p: str) -> str:
 
 #: Replicates of the linear decomposition: a site's centred products weighted by the times it was drawn.
 REFIT_SQL = f"""
-{pop.BASE_SQL}, {DRAWS_SQL}, {_linear_sql('base', 'p_')},
+{pop.BASE_SQL}, {FIT_DRAWS_SQL}, {_linear_sql('fitrows', 'p_')},
 w AS (SELECT f.site_id, f.climate_region, sum((a - ma) * (a - ma)) AS aa, sum((a - ma) * (b - mb)) AS ab, sum((a - ma) * (c - mc)) AS ac, sum((b - mb) * (b - mb)) AS bb, sum((b - mb) * (c - mc)) AS bc, sum((c - mc) * (c - mc)) AS cc,
   sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS byy, sum((c - mc) * (y - my)) AS cy FROM p_f f JOIN p_m USING (site_id) GROUP BY 1, 2),
 g AS (SELECT replicate, w.climate_region, sum(times * aa) AS aa, sum(times * ab) AS ab, sum(times * ac) AS ac, sum(times * bb) AS bb, sum(times * bc) AS bc, sum(times * cc) AS cc, sum(times * ay) AS ay, sum(times * byy) AS byy, sum(times * cy) AS cy
@@ -302,6 +378,65 @@ m AS (SELECT replicate, scope, sum(times * A) / sum(times) AS A, sum(times * B)
 vals AS (SELECT replicate, scope, 'temperature_component' AS quantity, ((B - A) + (D - C)) / 2 AS value FROM m UNION ALL SELECT replicate, scope, 'response_component', ((C - A) + (D - B)) / 2 FROM m UNION ALL SELECT replicate, scope, 'total_change', D - A FROM m)"""
 
 
+def _four_sql(x: str, p: str, keys: str, r0: float, r1: float) -> str:
+    """CTEs that end in {p}q, the means of each site: columns a (trend), e (interruption), b and c = a b, rows weighted by times.
+
+    e is eliminated first, the rest solved by Cramer's rule; a region without e has no coefficient of it.
+    """
+    columns = "aebc"
+    pairs = [(u, v) for i, u in enumerate(columns) for v in columns[i:]]
+    sums = ", ".join(f"sum({x}.times * ({u} - m{u}) * ({v} - m{v})) AS {u}{v}" for u, v in [*pairs, *(("y", u) for u in columns)])
+
+    def s(u: str, v: str) -> str:
+        return f"{u}{v}" if (u, v) in pairs or u == "y" else f"{v}{u}"
+
+    less = ", ".join(f"{s(u, v)} - coalesce({s(u, 'e')} * {s(v, 'e')} / nullif(ee, 0), 0) AS {u}{v}" for u, v in [*(q for q in pairs if "e" not in q), ("y", "a"), ("y", "b"), ("y", "c")])
+    on = " AND ".join(f"{{0}}.{k} = {{1}}.{k}" for k in keys.split(", "))
+    alpha = "my - b1 * ma - be * me - b2 * mb - b3 * mc"
+    means = ", ".join(f"{alpha} + {r} * b1 + {t} * (b2 + {r} * b3) AS {n}" for n, r, t in (("A", r0, "te"), ("B", r0, "tl"), ("C", r1, "te"), ("D", r1, "tl")))
+    return f"""
+{p}m AS (SELECT {keys}, site_id, max(times) AS times, avg(y) AS my, avg(a) AS ma, avg(e) AS me, avg(b) AS mb, avg(c) AS mc, avg(b) FILTER (period = 'early') AS te, avg(b) FILTER (period = 'later') AS tl FROM {x} GROUP BY {keys}, site_id),
+{p}g AS (SELECT {", ".join(f"{x}.{k}" for k in keys.split(", "))}, {sums} FROM {x} JOIN {p}m ON {on.format(x, p + "m")} AND {x}.site_id = {p}m.site_id GROUP BY ALL),
+{p}h AS (SELECT {keys}, {less}, ee, ae AS a_e, eb AS b_e, ec AS c_e, ye AS y_e FROM {p}g),
+{p}d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM {p}h),
+{p}s AS (SELECT *, (ya * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc)) / det AS b1, (aa * (yb * cc - bc * yc) - ya * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac)) / det AS b2,
+  (aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ya * (ab * bc - bb * ac)) / det AS b3 FROM {p}d),
+{p}f AS (SELECT *, coalesce((y_e - b1 * a_e - b2 * b_e - b3 * c_e) / nullif(ee, 0), 0) AS be FROM {p}s),
+{p}q AS (SELECT {", ".join(f"{p}m.{k}" for k in keys.split(", "))}, {p}m.site_id, times, {means} FROM {p}m JOIN {p}f ON {on.format(p + "m", p + "f")})"""
+
+
+S1C_SQL = f"""
+{pop.BASE_SQL},
+ends AS (SELECT min(tmax_c) AS lo, max(tmax_c) AS hi FROM fitrows),
+seen AS (SELECT p.*, floor(p.tmax_c / 2.0) * 2.0 AS bin FROM panel p JOIN years y ON y.site_id = p.site_id AND y.calendar_year = p.calendar_year
+  WHERE p.period = 'transition' AND qualifies AND p.tmax_c IS NOT NULL AND p.climate_region IS NOT NULL AND p.site_id IN (SELECT site_id FROM fitrows)),
+judged AS (SELECT s.*, CASE WHEN b.bin IS NULL THEN 'outside support' WHEN tmax_c < lo OR tmax_c > hi THEN 'outside bounds' WHEN month(date_local) = 2 AND day(date_local) = 29 THEN 'leap day' ELSE 'kept' END AS verdict
+  FROM seen s LEFT JOIN (SELECT DISTINCT climate_region, bin FROM fitrows) b ON b.climate_region = s.climate_region AND b.bin = s.bin CROSS JOIN ends),
+both_kinds AS (SELECT climate_region, site_id, period, bin, calendar_year - {SAMPLE.transition} AS a, CAST(0 AS DOUBLE) AS e, tmax_c AS b, ozone_mda8_ppb AS y FROM fitrows
+  UNION ALL SELECT climate_region, site_id, period, bin, 0, 1, tmax_c, ozone_mda8_ppb FROM judged WHERE verdict = 'kept')"""
+
+S1C_BOOT_SQL = f"""
+{S1C_SQL}, {FIT_DRAWS_SQL},
+cells AS (SELECT t.replicate, t.times, k.*, a * b AS c FROM times t JOIN both_kinds k ON k.site_id = t.source_site),
+own AS (SELECT replicate, climate_region, bin FROM cells WHERE e = 0 GROUP BY 1, 2, 3 HAVING sum(times) FILTER (period = 'early') >= 60 AND sum(times) FILTER (period = 'later') >= 60),
+inside AS (SELECT c.* FROM cells c JOIN own USING (replicate, climate_region, bin)),
+own_ends AS (SELECT replicate, min(b) AS own_lo, max(b) AS own_hi FROM inside WHERE e = 0 GROUP BY 1),
+used AS (SELECT i.* FROM inside i JOIN own_ends USING (replicate) WHERE e = 0 OR b BETWEEN own_lo AND own_hi),
+{_four_sql('used', 'r_', 'replicate, climate_region', *ENDS)},
+poor AS (SELECT t.replicate, t.climate_region, count(*) FILTER (m.site_id IS NULL OR te IS NULL OR tl IS NULL) AS bad FROM times t LEFT JOIN r_m m ON m.replicate = t.replicate AND m.site_id = t.source_site GROUP BY 1, 2),
+good AS (SELECT q.* FROM r_q q JOIN poor p ON p.replicate = q.replicate AND p.climate_region = q.climate_region JOIN r_f f ON f.replicate = q.replicate AND f.climate_region = q.climate_region WHERE bad = 0 AND ee > 0),
+w AS (SELECT replicate, scope, sum(times * A) / sum(times) AS A, sum(times * B) / sum(times) AS B, sum(times * C) / sum(times) AS C, sum(times * D) / sum(times) AS D FROM (SELECT climate_region AS scope, * FROM good UNION ALL SELECT 'national', * FROM good) GROUP BY 1, 2),
+vals AS (SELECT replicate, scope, 'temperature_component' AS quantity, ((B - A) + (D - C)) / 2 AS value FROM w UNION ALL SELECT replicate, scope, 'response_component', ((C - A) + (D - B)) / 2 FROM w UNION ALL SELECT replicate, scope, 'total_change', D - A FROM w)"""
+
+
+#: The quadratic form of a row's distance from its site's means with the inverse of three columns, by cofactors.
+LEVERAGE_SQL = f"""
+{pop.BASE_SQL}, {_linear_sql('fitrows', 'p_')},
+away AS (SELECT f.climate_region, f.site_id, count(*) OVER (PARTITION BY f.site_id) AS n, a - ma AS u, b - mb AS v, c - mc AS w FROM p_f f JOIN p_m USING (site_id)),
+h AS (SELECT x.climate_region, site_id, 1 / n + (u * u * (bb * cc - bc * bc) + v * v * (aa * cc - ac * ac) + w * w * (aa * bb - ab * ab) + 2 * u * v * (bc * ac - ab * cc) + 2 * u * w * (ab * bc - bb * ac) + 2 * v * w * (ab * ac - aa * bc)) / det AS h
+  FROM away x JOIN p_d ON p_d.climate_region = x.climate_region)"""
+
+
 def _relation_sql(a: str, b: str) -> str:
     return f"CASE WHEN least(abs({a}), abs({b})) <= 1e-10 THEN 'effectively zero' WHEN sign({a}) = sign({b}) THEN 'reinforce' ELSE 'oppose' END"
 
@@ -309,9 +444,9 @@ def _relation_sql(a: str, b: str) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        equal_site_exceedance, site_period_burden, row_weighted_vs_equal_site, site_patterns, group_diagnostics, fitted_deciles, lag1_correlation, fe_slope_by_region, abcd_linear, leverage_linear, spline_fit, spline_abcd,
-        spline_3df, s1c_endpoints, logit_exceedance, bootstrap_draws, bootstrap_draw_checksums, bootstrap_materialise, bootstrap_multiplicities, burden_bootstrap, bootstrap_intervals, bootstrap_interval_ranks, bootstrap_first_replicates,
-        bootstrap_decomposition, bootstrap_decomposition_intervals, spline_bootstrap, spline_bootstrap_rebuilt, fit_reproducibility, sensitivity_comparison, continuous_vs_threshold,
+        equal_site_exceedance, site_period_burden, row_weighted_vs_equal_site, site_patterns, group_diagnostics, fitted_deciles, lag1_correlation, fe_slope_by_region, abcd_linear, leverage_linear, leverage_regions, spline_leverage, spline_fit, spline_abcd,
+        spline_3df, s1c_population, s1c_linear, s1c_endpoints, s1c_bootstrap, logit_exceedance, bootstrap_draws, bootstrap_draw_checksums, bootstrap_materialise, bootstrap_multiplicities, burden_bootstrap, bootstrap_intervals, bootstrap_interval_ranks, bootstrap_first_replicates,
+        bootstrap_decomposition, bootstrap_decomposition_intervals, spline_bootstrap, spline_bootstrap_rebuilt, logit_bootstrap, fit_reproducibility, sensitivity_comparison, continuous_vs_threshold,
     )
 }
 
@@ -329,12 +464,18 @@ ORACLES = {
         SELECT CAST(greatest(1, ceil(10 * (r - 1) / (n - 1))) AS INTEGER) AS decile, count(*) AS n_rows, min(site_mean) AS lo, max(site_mean) AS hi, round(avg(resid), 5) AS mean_resid FROM r GROUP BY 1""",
     "lag1_correlation": f"""WITH {RESID_SQL}, p AS (SELECT site_id, resid, lag(resid) OVER (PARTITION BY site_id ORDER BY date_local) AS b FROM resid)
         SELECT site_id, count(*) AS n, round(corr(resid, b), 6) AS lag1 FROM p WHERE b IS NOT NULL GROUP BY 1 HAVING count(*) > 2 AND stddev_samp(resid) > 0 AND stddev_samp(b) > 0""",
-    "fe_slope_by_region": f"""WITH {pop.BASE_SQL}, c AS (SELECT climate_region, site_id, ozone_mda8_ppb - avg(ozone_mda8_ppb) OVER (PARTITION BY site_id) AS y, tmax_c - avg(tmax_c) OVER (PARTITION BY site_id) AS x FROM base)
+    "fe_slope_by_region": f"""WITH {pop.BASE_SQL}, c AS (SELECT climate_region, site_id, ozone_mda8_ppb - avg(ozone_mda8_ppb) OVER (PARTITION BY site_id) AS y, tmax_c - avg(tmax_c) OVER (PARTITION BY site_id) AS x FROM fitrows)
         SELECT climate_region, round(regr_slope(y, x), 8) AS slope, count(DISTINCT site_id) AS n_sites, count(*) AS n_rows FROM c GROUP BY 1""",
-    "abcd_linear": f"WITH {pop.BASE_SQL}, {_linear_sql('base', 'p_')} SELECT * FROM p_abcd",
-    "leverage_linear": f"""WITH {pop.BASE_SQL}, c AS (SELECT climate_region, site_id, count(*) OVER (PARTITION BY site_id) AS n, tmax_c - avg(tmax_c) OVER (PARTITION BY site_id) AS x FROM base),
-        h AS (SELECT climate_region, site_id, 1 / n + x * x / sum(x * x) OVER (PARTITION BY climate_region) AS h FROM c)
-        SELECT climate_region, site_id, count(*) AS n_rows, round(sum(h), 6) AS total, round(max(h), 8) AS largest FROM h GROUP BY 1, 2 ORDER BY total DESC, site_id LIMIT 20""",
+    "abcd_linear": f"WITH {pop.BASE_SQL}, {_linear_sql('fitrows', 'p_')} SELECT * FROM p_abcd",
+    "s1c_population": f"WITH {S1C_SQL} SELECT climate_region, verdict, count(*) AS n_rows, count(DISTINCT site_id) AS n_sites FROM judged GROUP BY 1, 2",
+    "s1c_linear": f"""WITH {S1C_SQL}, x AS (SELECT *, a * b AS c, 1 AS times FROM both_kinds), {_four_sql('x', 'p_', 'climate_region', *ENDS)}
+        SELECT scope, count(*) AS n_sites, round(avg(A), 6) AS A, round(avg(B), 6) AS B, round(avg(C), 6) AS C, round(avg(D), 6) AS D, round(((avg(B) - avg(A)) + (avg(D) - avg(C))) / 2, 6) AS temperature_component,
+          round(((avg(C) - avg(A)) + (avg(D) - avg(B))) / 2, 6) AS response_component, round(avg(D) - avg(A), 6) AS total_change FROM (SELECT climate_region AS scope, * FROM p_q UNION ALL SELECT 'national', * FROM p_q) GROUP BY 1""",
+    "s1c_bootstrap": f"WITH {S1C_BOOT_SQL} SELECT replicate, scope, quantity, round(value, 6) AS value FROM vals",
+    "leverage_linear": f"WITH {LEVERAGE_SQL} SELECT climate_region, site_id, count(*) AS n_rows, round(sum(h), 6) AS total, round(max(h), 8) AS largest FROM h GROUP BY 1, 2 ORDER BY total DESC, site_id LIMIT 20",
+    "leverage_regions": f"""WITH {LEVERAGE_SQL}, s AS (SELECT *, count(*) OVER (PARTITION BY climate_region) AS n_rows FROM h)
+        SELECT climate_region, n_rows, CAST(count(DISTINCT site_id) + 3 AS BIGINT) AS n_columns, round(sum(h), 6) AS total, round(max(h), 6) AS largest, count(*) FILTER (h > 2 * k / n_rows) AS over_2_means, count(*) FILTER (h > 3 * k / n_rows) AS over_3_means
+        FROM s JOIN (SELECT climate_region, count(DISTINCT site_id) + 3 AS k FROM h GROUP BY 1) USING (climate_region) GROUP BY 1, 2""",
     "bootstrap_materialise": f"""WITH {pop.BASE_SQL}, {DRAWS_SQL} SELECT replicate, d.climate_region, format('{{}}::draw-{{:04d}}::{{}}', d.climate_region, draw_index, source_site) AS site_id, count(*) AS n_rows, sum(ozone_mda8_ppb) AS total_outcome
         FROM draws d JOIN base b ON b.site_id = d.source_site WHERE replicate <= 3 GROUP BY 1, 2, 3""",
     "bootstrap_multiplicities": f"WITH {pop.BASE_SQL}, {DRAWS_SQL} SELECT * FROM times WHERE times > 1",
@@ -349,7 +490,7 @@ ORACLES = {
     "bootstrap_decomposition": f"WITH {REFIT_SQL} SELECT replicate, scope, quantity, round(value, 6) AS value FROM vals",
     "bootstrap_decomposition_intervals": f"""WITH {REFIT_SQL} SELECT scope, quantity, count(*) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS sd, round(min(value), 5) AS lo, round(max(value), 5) AS hi,
         round(quantile_cont(value, 0.025), 5) AS lower, round(quantile_cont(value, 0.5), 5) AS median, round(quantile_cont(value, 0.975), 5) AS upper FROM vals GROUP BY 1, 2""",
-    "sensitivity_comparison": f"""WITH {pop.BASE_SQL}, {_linear_sql('base', 'p_')}, {_linear_sql('base_l', 'v_')},
+    "sensitivity_comparison": f"""WITH {pop.BASE_SQL}, {_linear_sql('fitrows', 'p_')}, {_linear_sql('fitrows_l', 'v_')},
         j AS (SELECT p.scope, p.temperature_component AS p, v.temperature_component AS v, p.response_component AS q, v.response_component AS w FROM p_abcd p JOIN v_abcd v ON p.scope = v.scope),
         k AS (SELECT *, CASE WHEN sign(p) * sign(v) < 0 THEN 'reversed' WHEN abs(v) > abs(p) + 1e-9 THEN 'strengthened' WHEN abs(v) < abs(p) - 1e-9 THEN 'weakened' ELSE 'unchanged' END AS direction FROM j)
         SELECT scope, p AS "primary", v AS variant, round(v - p, 6) AS difference, direction, direction = 'reversed' OR abs(v - p) >= 0.5 AS is_major, {_relation_sql('p', 'q')} AS primary_relation, {_relation_sql('v', 'w')} AS variant_relation FROM k""",

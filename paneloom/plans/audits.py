@@ -120,11 +120,11 @@ def interval_checks(spark, d):
 
 
 def design_size(spark, d):
-    return U.design_size(pop._base(spark, d))
+    return U.design_size(pop._fit_rows(spark, d))
 
 
 def separation(spark, d):
-    rows = pop._base(spark, d).withColumn("exceeds", (F.col("ozone_mda8_ppb") > 95).cast("int"))
+    rows = pop._fit_rows(spark, d).withColumn("exceeds", (F.col("ozone_mda8_ppb") > 95).cast("int"))
     return U.separation(rows, "tmax_c", "exceeds")
 
 
@@ -154,7 +154,7 @@ def percentage_contributions(spark, d):
 
 
 def _simple_fit(spark, d):
-    rows = pop._base(spark, d)
+    rows = pop._fit_rows(spark, d)
     fits = R.fit(rows, ["tmax_c"], "ozone_mda8_ppb")
     return R.fitted(rows, fits, ["tmax_c"]).withColumn("fitted", F.round("fitted", 6)).withColumn("resid", F.round(F.col("ozone_mda8_ppb") - F.col("fitted"), 6)), fits
 
@@ -200,7 +200,7 @@ def gathered_rows(spark, d):
 
 def decomposition_descriptors(spark, d):
     """What a decomposition was made from, by region and for the nation."""
-    rows = pop._base(spark, d).groupingSets([["climate_region"], []], "climate_region").agg(
+    rows = pop._fit_rows(spark, d).groupingSets([["climate_region"], []], "climate_region").agg(
         F.grouping("climate_region").alias("g"), F.count_distinct("site_id").alias("n_sites"), F.count_if(F.col("period") == "early").alias("early_rows"), F.count_if(F.col("period") == "later").alias("later_rows"),
         F.min("tmax_c").alias("tmax_lo"), F.max("tmax_c").alias("tmax_hi"),
     )
@@ -274,9 +274,9 @@ INVENTORY_SQL = f"WITH {CODED_SQL}, v AS (" + " UNION ALL ".join(
 
 SIMPLE_SQL = f"""
 {pop.BASE_SQL},
-m AS (SELECT site_id, climate_region, avg(ozone_mda8_ppb) AS my, avg(tmax_c) AS mx FROM base GROUP BY 1, 2),
-b AS (SELECT base.climate_region, sum((tmax_c - mx) * (ozone_mda8_ppb - my)) / sum((tmax_c - mx) * (tmax_c - mx)) AS slope FROM base JOIN m USING (site_id) GROUP BY 1),
-fit AS (SELECT base.*, round(my + slope * (tmax_c - mx), 6) AS fitted FROM base JOIN m USING (site_id) JOIN b ON b.climate_region = base.climate_region),
+m AS (SELECT site_id, climate_region, avg(ozone_mda8_ppb) AS my, avg(tmax_c) AS mx FROM fitrows GROUP BY 1, 2),
+b AS (SELECT fitrows.climate_region, sum((tmax_c - mx) * (ozone_mda8_ppb - my)) / sum((tmax_c - mx) * (tmax_c - mx)) AS slope FROM fitrows JOIN m USING (site_id) GROUP BY 1),
+fit AS (SELECT fitrows.*, round(my + slope * (tmax_c - mx), 6) AS fitted FROM fitrows JOIN m USING (site_id) JOIN b ON b.climate_region = fitrows.climate_region),
 res AS (SELECT *, round(ozone_mda8_ppb - fitted, 6) AS resid FROM fit)"""
 
 QUERIES = {
@@ -304,8 +304,8 @@ def _at(place: str) -> str:
 
 #: Replicates that count their own supported bins; those with a drawn site that lacks a period there fail.
 SUPPORTED_SQL = f"""
-{pop.BASE_SQL}, {an.DRAWS_SQL},
-cells AS (SELECT t.replicate, t.times, b.* FROM times t JOIN binned b ON b.site_id = t.source_site WHERE NOT (month(date_local) = 2 AND day(date_local) = 29)),
+{pop.BASE_SQL}, {an.FIT_DRAWS_SQL},
+cells AS (SELECT t.replicate, t.times, b.* FROM times t JOIN fitrows b ON b.site_id = t.source_site),
 own AS (SELECT replicate, climate_region, bin FROM cells GROUP BY 1, 2, 3 HAVING sum(times) FILTER (period = 'early') >= {an.REPLICATE_DAYS} AND sum(times) FILTER (period = 'later') >= {an.REPLICATE_DAYS}),
 kept AS (SELECT c.replicate, c.climate_region, c.site_id, times, ozone_mda8_ppb AS y, CAST(period = 'later' AS DOUBLE) AS a, tmax_c AS b, tmax_c * CAST(period = 'later' AS DOUBLE) AS c FROM cells c JOIN own USING (replicate, climate_region, bin)),
 sm AS (SELECT replicate, climate_region, site_id, max(times) AS times, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(b) FILTER (a = 0) AS te, avg(b) FILTER (a = 1) AS tl FROM kept GROUP BY 1, 2, 3),
@@ -347,10 +347,10 @@ ORACLES = {
         w AS (SELECT DISTINCT climate_region AS scope, quantity FROM suppliers, (SELECT unnest(['equal_site', 'row_weighted', 'pooled']) AS quantity)), j AS (SELECT q.lo FROM w LEFT JOIN q USING (scope, quantity))
         SELECT 'not finite' AS "check", count(*) FILTER (lo IS NULL) AS n_bad FROM q UNION ALL SELECT 'lower over upper', count(*) FILTER (lo > hi) FROM q UNION ALL SELECT 'median outside', count(*) FILTER (mid < lo OR mid > hi) FROM q
         UNION ALL SELECT 'missing', count(*) FILTER (lo IS NULL) FROM j UNION ALL SELECT 'repeated', 0""",
-    "design_size": f"""WITH {pop.BASE_SQL}, c AS (SELECT count(*) AS n, count(DISTINCT site_id) AS s, count(DISTINCT climate_region) AS r FROM base)
+    "design_size": f"""WITH {pop.BASE_SQL}, c AS (SELECT count(*) AS n, count(DISTINCT site_id) AS s, count(DISTINCT climate_region) AS r FROM fitrows)
         SELECT n AS n_rows, s AS n_sites, r AS n_regions, s + 21 * r AS n_columns, n * (s + 21 * r) * 8 AS dense_bytes, 13 * n AS sparse_entries, 13 * n * 12 + (n + 1) * 4 AS sparse_bytes FROM c""",
     "separation": f"""WITH {pop.BASE_SQL}, s AS (SELECT climate_region, site_id, min(tmax_c) FILTER (NOT e) AS lo0, max(tmax_c) FILTER (NOT e) AS hi0, min(tmax_c) FILTER (e) AS lo1, max(tmax_c) FILTER (e) AS hi1
-          FROM (SELECT *, ozone_mda8_ppb > 95 AS e FROM base) GROUP BY 1, 2),
+          FROM (SELECT *, ozone_mda8_ppb > 95 AS e FROM fitrows) GROUP BY 1, 2),
         r AS (SELECT climate_region, count(*) FILTER (lo1 IS NULL) AS all_zero_sites, count(*) FILTER (lo0 IS NULL) AS all_one_sites, count(hi0 + hi1) AS varying_sites,
           bool_and(hi0 < lo1) OR bool_and(hi1 < lo0) AS c, bool_and(hi0 <= lo1) OR bool_and(hi1 <= lo0) AS q FROM s GROUP BY 1)
         SELECT climate_region, all_zero_sites, all_one_sites, varying_sites, CASE WHEN varying_sites = 0 THEN 'no site varies' WHEN c THEN 'complete' WHEN q THEN 'quasi' ELSE 'none' END AS separation FROM r""",
@@ -366,8 +366,8 @@ ORACLES = {
         dec AS (SELECT var_samp(resid) AS v FROM r GROUP BY greatest(1, ceil(10 * (r - 1) / (n - 1)))),
         p AS (SELECT site_id, resid, lag(resid) OVER (PARTITION BY site_id ORDER BY date_local) AS q FROM res),
         l AS (SELECT round(corr(resid, q), 6) AS lag1 FROM p WHERE q IS NOT NULL GROUP BY site_id HAVING count(*) > 2 AND stddev_samp(resid) > 0 AND stddev_samp(q) > 0),
-        o AS (SELECT count(*) FILTER (fitted < (SELECT min(ozone_mda8_ppb) FROM base) OR fitted > (SELECT max(ozone_mda8_ppb) FROM base)) AS n FROM fit),
-        d AS (SELECT 'residual variance by fitted decile' AS diagnostic, (SELECT round(max(v) / min(v), 6) FROM dec) AS value UNION ALL SELECT 'lag-1 residual correlation of sites', (SELECT round(quantile_cont(lag1, 0.5), 6) FROM l)
+        o AS (SELECT count(*) FILTER (fitted < (SELECT min(ozone_mda8_ppb) FROM fitrows) OR fitted > (SELECT max(ozone_mda8_ppb) FROM fitrows)) AS n FROM fit),
+        d AS (SELECT 'residual variance by fitted decile' AS diagnostic, (SELECT round(max(v) / min(v), 6) FROM dec) AS value UNION ALL SELECT 'lag-1 residual correlation of sites', (SELECT round(quantile_cont(lag1, 0.5), 4) FROM l)
           UNION ALL SELECT 'conditioning', 1.0 UNION ALL SELECT 'fitted values outside the observed range', n FROM o)
         SELECT diagnostic, value, CASE diagnostic WHEN 'residual variance by fitted decile' THEN CASE WHEN value > 4 THEN 'serious concern' WHEN value > 2 THEN 'caution' ELSE 'acceptable' END
           WHEN 'lag-1 residual correlation of sites' THEN CASE WHEN abs(value) > 0.3 THEN 'serious concern' WHEN abs(value) > 0.1 THEN 'caution' ELSE 'acceptable' END
@@ -381,7 +381,7 @@ ORACLES = {
         SELECT climate_region, calendar_year, count(*) AS n_rows, CAST(sum(panel_row) AS BIGINT) AS places, sum(ozone_mda8_ppb) AS total FROM n
         WHERE ozone_mda8_ppb > 70 AND period IN ('early', 'later') AND site_id IN (SELECT site_id FROM balanced) GROUP BY 1, 2""",
     "decomposition_descriptors": f"""WITH {pop.BASE_SQL} SELECT scope, count(DISTINCT site_id) AS n_sites, count(*) FILTER (period = 'early') AS early_rows, count(*) FILTER (period = 'later') AS later_rows, min(tmax_c) AS tmax_lo, max(tmax_c) AS tmax_hi
-        FROM (SELECT climate_region AS scope, * FROM base UNION ALL SELECT 'national', * FROM base) GROUP BY 1""",
+        FROM (SELECT climate_region AS scope, * FROM fitrows UNION ALL SELECT 'national', * FROM fitrows) GROUP BY 1""",
     "bootstrap_supported": f"WITH {SUPPORTED_SQL} SELECT replicate, scope, quantity, round(value, 6) AS value FROM vals",
     "bootstrap_failures": f"WITH {SUPPORTED_SQL}, attempts AS (SELECT climate_region, failure IS NULL AS success, failure AS message FROM outcomes), {_rates_sql('attempts', 'climate_region')}",
 }

@@ -24,6 +24,11 @@ def _base(spark, d, assign=None):
     return P.base_rows(A.panel(spark, d), sites, assign)
 
 
+def _fit_rows(spark, d, assign=None):
+    """What fits read: base rows in bins with common support, without leap days."""
+    return P.drop_leap_days(P.supported_rows(_base(spark, d, assign), SAMPLE))
+
+
 def site_year_coverage(spark, d):
     return _years(spark, d).withColumn("coverage", F.round("coverage", 9))
 
@@ -189,6 +194,11 @@ binned AS (SELECT *, floor(tmax_c / 2.0) * 2.0 AS bin FROM base),
 bins AS (SELECT climate_region, bin, count(*) FILTER (period = 'early') AS n_early, count(*) FILTER (period = 'later') AS n_later,
          count(*) FILTER (period = 'early') >= 75 AND count(*) FILTER (period = 'later') >= 75 AS supported FROM binned GROUP BY 1, 2),
 flags AS (SELECT b.*, supported, month(date_local) = 2 AND day(date_local) = 29 AS leap FROM binned b JOIN bins USING (climate_region, bin)),
+fitrows AS (SELECT * FROM flags WHERE supported AND NOT leap),
+binned_l AS (SELECT *, floor(tmax_c / 2.0) * 2.0 AS bin FROM base_l),
+fitrows_l AS (
+  SELECT * FROM binned_l JOIN (SELECT climate_region, bin FROM binned_l GROUP BY 1, 2 HAVING count(*) FILTER (period = 'early') >= 75 AND count(*) FILTER (period = 'later') >= 75) USING (climate_region, bin)
+  WHERE NOT (month(date_local) = 2 AND day(date_local) = 29)),
 quality AS (SELECT *, CASE status_code WHEN 'A' THEN 'identified' WHEN 'N' THEN 'retained' END AS event_status, cert_code = 'F' OR day(date_local) > 3 AS passes FROM base),
 quality_years AS (SELECT * FROM quality q WHERE NOT EXISTS (SELECT 1 FROM quality b WHERE b.calendar_year = 2001 AND NOT b.passes AND b.site_id = q.site_id AND b.calendar_year = q.calendar_year))"""
 

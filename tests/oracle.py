@@ -12,10 +12,10 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def connection() -> duckdb.DuckDBPyConnection:
+def connection(sf: str = SF) -> duckdb.DuckDBPyConnection:
     c = duckdb.connect()
     for t in TABLES:
-        path = f"{SF}/{t}.parquet"
+        path = f"{sf}/{t}.parquet"
         if os.path.exists(path):
             c.execute(f"create view {t} as select * from read_parquet('{path}')")
     return c

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from paneloom.config import PanelConfig
 from paneloom.functions import columns as C
 from paneloom.functions import splines
-from paneloom.operators import audits, bootstrap, compare, descriptive, geography, logistic, measurement, population, regression, seasons, tables, vectors
+from paneloom.operators import audits, bootstrap, compare, descriptive, geography, logistic, measurement, population, regression, replicates, seasons, tables, vectors
 
 CFG = PanelConfig()
 
@@ -207,7 +207,7 @@ def test_rebuilt_replicates_equal_fits_of_copied_rows(spark):
     rows["day_of_year"] = rows["day_of_year"].astype("int32")
     df = spark.createDataFrame(rows).withColumns({"later": (F.col("period") == "later").cast("double"), "bin": C.temperature_bin(F.col("tmax_c"), 5.0)})
     drawn = spark.createDataFrame([(k, "RQ"[i > 4], f"s{s}", f"{k}-{i}", i) for k, names in ((1, [0, 0, 2, 3, 4, 5, 5, 8, 7]), (2, [1, 1, 1, 2, 0, 6, 7, 8, 5])) for i, s in enumerate(names)], bootstrap.DRAWS)
-    got = {(r["replicate"], r["climate_region"]): r for r in regression.refit_rebuilt(drawn, df, "y", 40, 0.0, 1.0).collect()}
+    got = {(r["replicate"], r["climate_region"]): r for r in replicates.refit(drawn, df, "y", 40, 0.0, 1.0).collect()}
     dropped = 0
     for k in (1, 2):
         copied = bootstrap.materialised(drawn.where(F.col("replicate") == k), df.drop("climate_region").withColumn("climate_region", F.lit("x")))
@@ -222,7 +222,7 @@ def test_rebuilt_replicates_equal_fits_of_copied_rows(spark):
             r = got[k, m["climate_region"]]
             assert r["failure"] is None and r["n_sites"] == m["n"] and all(r[c] == pytest.approx(m[c], abs=1e-7) for c in "ABCD")
     assert dropped and len(got) == 4
-    none = regression.refit_rebuilt(drawn, df, "y", 10_000, 0.0, 1.0).collect()
+    none = replicates.refit(drawn, df, "y", 10_000, 0.0, 1.0).collect()
     assert {r["failure"] for r in none} == {"support: no bin"}
 
 
