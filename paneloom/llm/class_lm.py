@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.llm.common import slices, written
+from paneloom.llm.common import slices, waiting, written
 
 #: The end of a text as a word; no word is empty.
 END = b""
@@ -634,9 +634,6 @@ def learn(docs: DataFrame, *, classes: int = 48, head: int = HEAD, core: int = C
     return with_tables(model, classed(rows, [], model), classes)
 
 
-ADDED = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-
 def _scores(rows: DataFrame, names: list[str], model: Model) -> DataFrame:
     transition, emission = model.transition, model.emission
     log_all = float(np.log10(model.n + 0.5 * (model.v + 1)))
@@ -661,17 +658,20 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     null text is empty; rows that repeat are scored each. Columns of these names are
     replaced, others stay.
     """
-    names = [c for c in docs.columns if c != "text" and c not in ADDED]
-    return _scores(classed(encoded(docs, names, model.symbols), names, model), names, model)
+    docs, named = waiting(docs, "text")
+    names = [c for c in docs.columns if c != "text"]
+    return named(_scores(classed(encoded(docs, names, model.symbols), names, model), names, model))
 
 
 def learned_and_scored(docs: DataFrame, teaches: Column, *, classes: int = 48, head: int = HEAD, core: int = CORE, groups: int = GROUPS, gain: float = GAIN) -> DataFrame:
-    """scored(docs, learn(docs.where(teaches))), with texts encoded and words joined once for both."""
+    """scored(docs, learn(docs.where(teaches))), with texts encoded and words joined once for both; a column _teaches is left out."""
     _checked(classes)
-    names = [c for c in docs.columns if c != "text" and c not in ADDED]
-    n, v, symbols, head_counts = counted(docs.where(teaches), head, core, groups)
+    flag = F.coalesce(teaches, F.lit(False)).alias("_teaches")
+    docs, named = waiting(docs.select(flag, *[F.col(f"`{c}`") for c in docs.columns if c != "_teaches"]), "text", "_teaches")
+    names = [c for c in docs.columns if c not in ("text", "_teaches")]
+    n, v, symbols, head_counts = counted(docs.where("_teaches").select("text"), head, core, groups)
     both = [*names, "_teaches"]
-    rows = encoded(docs.withColumn("_teaches", F.coalesce(teaches, F.lit(False))), both, symbols)
+    rows = encoded(docs, both, symbols)
     model = clustered(rows.where("_teaches"), n, v, symbols, head_counts, classes, gain)
     known = classed(rows, both, model)
-    return _scores(known, names, with_tables(model, known.where("_teaches"), classes))
+    return named(_scores(known, names, with_tables(model, known.where("_teaches"), classes)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +62,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def waiting(docs: DataFrame, *reads: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the columns that an operator doesn't read under names that nothing uses, and what names them back.
+
+    So no name of a caller's column meets one that the operator works with. A column that
+    the operator adds takes the place of a caller's of that name.
+    """
+    mark = f"_{uuid.uuid4().hex}_"
+    back = {f"{mark}{i}": c for i, c in enumerate(docs.columns) if c.lower() not in reads}
+    away = {c: n for n, c in back.items()}
+
+    def named(found: DataFrame) -> DataFrame:
+        added = {c.lower() for c in found.columns if c not in back}
+        return found.select(*[F.col(c).alias(back.get(c, c)) for c in found.columns if c not in back or back[c].lower() not in added])
+
+    return docs.toDF(*[away.get(c, c) for c in docs.columns]), named
+
+
 def fold(doc_id: str = "doc_id", folds: int = 5):
     """crc32 of the id's text, modulo the number of folds; -1, no fold, for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(folds), F.lit(-1))

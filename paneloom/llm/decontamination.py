@@ -6,7 +6,8 @@ item that share a run; the hit is then extended: of the document's runs with one
 item's fingerprints, those that equal one of the item's runs are hits. Runs are compared by
 64-bit hashes of all their words: they meet only where they have a fingerprint in common, so
 a false hit needs two equal hashes in the few runs that do. Texts are cut into words once,
-whatever the lengths of the items, and are never shuffled.
+whatever the lengths of the items; of what comes of them, only hashes are shuffled until the last
+join, which takes what columns the caller keeps to the documents with hits, or brings those to them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.llm.arrays import several_grams, sliding_least
-from paneloom.llm.common import written
+from paneloom.llm.common import waiting, written
 
 #: What is between words once A-Z are lower-cased. As letters of either case part words alike, a text can be cut before.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -73,7 +74,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
     string; repeated documents are judged each on its own. Without documents the result is
     empty, without items nothing is hit. Columns of these names are replaced, others stay.
     """
-    docs = docs.drop("n_words", "n_hit", "n_items", "item_ids", "contaminated")
+    docs, named = waiting(docs, "doc_id", "text")
     ratio = Fraction(share).limit_denominator(1_000_000)
     items = with_words(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text"))
     items = items.select("item_id", "words", F.least(F.size("words"), F.lit(window)).alias("size")).where("size > 0")
@@ -110,11 +111,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, sh
         by_doc = hits.groupBy("_id", "_id2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
         by_doc = by_doc.select("_id", "_id2", covered.alias("n_hit"), "item_ids")
         counted = counted.join(by_doc, ["_id", "_id2"], "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
-    return counted.select(
+    return named(counted.select(
         *docs.columns,
         "n_words",
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),
         "item_ids",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * ratio.denominator >= F.col("n_words") * ratio.numerator)).alias("contaminated"),
-    )
+    ))

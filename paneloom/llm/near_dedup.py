@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.llm.common import slices, written
+from paneloom.llm.common import slices, waiting, written
 from paneloom.llm.graph import components
 
 #: Document frequencies below this share of all documents count as this share. So at most
@@ -318,8 +318,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
     a word are alike to none, and each such row is first in a class of its own with a
     null class_key. Columns of these names are replaced; an empty table gives no rows.
     """
-    added = ["class_id", "class_key", "is_first", "class_size", "n_copies", "n_links"]
-    docs = docs.drop(*added)
+    docs, named = waiting(docs, "doc_id", "text")
     weights = Weights(document_frequencies(docs), words)
     sampler = Sampler(bands, rows)
     key = F.unhex(F.md5(F.col("text").cast("binary"))).alias("_key")
@@ -368,7 +367,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
     )
     joined = docs.withColumn("_key", key).join(members, "_key", "left")
     alone = F.col("class_key").isNull()
-    return joined.select(
+    return named(joined.select(
         *docs.columns,
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         "class_key",
@@ -376,7 +375,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+    ))
 
 
 def has_repeats(known: DataFrame, docs: DataFrame) -> bool:
@@ -387,8 +386,9 @@ def has_repeats(known: DataFrame, docs: DataFrame) -> bool:
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, with the columns of docs."""
+    docs, named = waiting(docs, "doc_id", "text")
     found = near_duplicates(docs, **options).where("is_first")
     if has_repeats(None, docs):
         lone = found.where("class_key is null")
         found = lone.unionByName(found.where("class_key is not null").dropDuplicates(["class_key"]))
-    return found.select(*docs.columns)
+    return named(found.select(*docs.columns))

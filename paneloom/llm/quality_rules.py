@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.llm.arrays import grams
-from paneloom.llm.common import SPACES, written
+from paneloom.llm.common import SPACES, waiting, written
 
 #: Statistic and the least quartile range that its fence counts with.
 FLOORS = {"symbol_share": 0.02, "upper_share": 0.05, "dup_line_share": 0.005, "repeat_share": 0.08, "word_length": 1.0}
@@ -77,8 +77,10 @@ def judged(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50
     Fences are learned from the rows that pass the base rules. A group (lang, source) of
     fewer than min_rows of them takes the fences of its lang; null is a lang and a source
     like others. A group whose lang has no such row has no fences, and base_failed alone
-    decides. Ties with a fence are kept.
+    decides. Ties with a fence are kept. Rows that repeat count and are judged each; an
+    empty table gives no rows. Columns of the names that are added are replaced, others stay.
     """
+    docs, named = waiting(docs, "doc_id", "text", "lang", "source")
     rows = written(statistics(docs).drop("text").withColumns(shares()).withColumn("base_failed", base_failed(min_words, max_repeat_percent)), "statistics")
     names = list(FLOORS)
     sketches = rows.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(n, sketch_k).alias(n) for n in names])
@@ -101,4 +103,4 @@ def judged(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50
     beyond = F.lit(False)
     for n in names:
         beyond = beyond | F.coalesce(F.col(n) > F.col(f"max_{n}"), F.lit(False))
-    return df.withColumn("kept", ~F.col("base_failed") & ~beyond).select(*rows.columns, *[f"max_{n}" for n in names], "kept")
+    return named(df.withColumn("kept", ~F.col("base_failed") & ~beyond).select(*rows.columns, *[f"max_{n}" for n in names], "kept"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneloom.llm.common import slices, written
+from paneloom.llm.common import slices, waiting, written
 
 GRAM = 32
 #: Texts are worked on in pieces of at most so many bytes, several short ones at a time.
@@ -201,7 +201,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000, mi
         raise ValueError(f"length must be over {GRAM}")
     if length > 1000:
         raise ValueError("length must be at most 1000: a place in a passage has ten bits")
-    docs = docs.drop("n_bytes", "spans", "kept")
+    docs, named = waiting(docs, "doc_id", "text")
     names = docs.columns
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", "doc_id", F.lit(7)).alias("_k2"))
@@ -339,4 +339,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000, mi
             columns += [pa.array([len(r) for r in raws], pa.int64()), pa.array(all_spans, spans_arrow), pa.array(kept, pa.binary())]
             yield pa.record_batch(columns, names=[*names, "n_bytes", "spans", "kept"])
 
-    return keyed.join(spans, ["_k1", "_k2"], "left").select(*names, text.alias("_raw"), "starts", "ends").mapInArrow(merge, schema)
+    return named(keyed.join(spans, ["_k1", "_k2"], "left").select(*names, text.alias("_raw"), "starts", "ends").mapInArrow(merge, schema))
