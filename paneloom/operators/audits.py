@@ -14,7 +14,7 @@ from paneloom.operators.tables import quantiles
 VARIANCE_RATIO, LAG1, CONDITION = (2.0, 4.0), (0.1, 0.3), (1e4, 1e6)
 #: The share of failed attempts over which a bootstrap is unstable.
 UNSTABLE = 0.05
-#: Failure classes and the words that tell them, in order of precedence.
+#: Failure classes and the words that tell them, in order of precedence.
 FAILURES = (
     ("support_failure", ("support",)),
     ("rank_failure", ("rank",)),

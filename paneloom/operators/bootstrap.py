@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from paneloom.operators.tables import kept, ranked
 DRAWS = "replicate int, climate_region string, source_site string, bootstrap_site string, draw_index int"
 
 
-def replicate_seed(base: int, replicate: int) -> int:
-    return int(np.random.SeedSequence([base, replicate]).generate_state(1)[0])
+def replicate_seed(base: int, replicate: int, stream: str = "") -> int:
+    return int(np.random.SeedSequence([base, replicate, *([zlib.crc32(stream.encode())] if stream else [])]).generate_state(1)[0])
 
 
 def numbered(sites: DataFrame) -> DataFrame:
@@ -40,23 +41,25 @@ def draw_places(sizes: dict[str, int], seed: int) -> Iterator[tuple[str, np.ndar
         yield region, rng.integers(0, sizes[region], size=sizes[region])
 
 
-def draws(spark: SparkSession, sites: DataFrame, replicates: int, base_seed: int) -> DataFrame:
-    """Draws of all replicates, made by replicate in parallel.
+def draws(spark: SparkSession, sites: DataFrame, replicates: int | Sequence[int], base_seed: int, stream: str = "") -> DataFrame:
+    """Draws of the replicates (their number, or which), made by replicate in parallel.
 
-    Tasks know how many sites each region has; the names come by a join on their places.
+    Each has a generator of its own, by the seed, the stream and its number. Tasks know how
+    many sites each region has; the names come by a join on their places.
     """
     own = numbered(sites)
     sizes = {r["climate_region"]: r["n"] for r in own.select("climate_region", "n").distinct().collect()}
+    which = range(1, replicates + 1) if isinstance(replicates, int) else replicates
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for replicate in batch.column(0).to_pylist():
-                for region, places in draw_places(sizes, replicate_seed(base_seed, replicate)):
+                for region, places in draw_places(sizes, replicate_seed(base_seed, replicate, stream)):
                     for at in range(0, len(places), 100_000):
                         some = places[at : at + 100_000]
                         yield pa.record_batch({"replicate": np.full(len(some), replicate, np.int32), "climate_region": pa.array([region] * len(some)), "draw_index": np.arange(at, at + len(some), dtype=np.int32), "place": some})
 
-    each = spark.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate")).repartition(min(replicates, 64))
+    each = spark.createDataFrame([(int(r),) for r in which], "replicate int").repartition(max(1, min(len(which), 64)))
     return _drawn(each.mapInArrow(make, "replicate int, climate_region string, draw_index int, place long"), own)
 
 
@@ -74,10 +77,12 @@ def multiplicities(drawn: DataFrame) -> DataFrame:
 
 
 def draw_checksums(drawn: DataFrame) -> DataFrame:
-    """A digest of each replicate's draws in order."""
+    """A digest of each replicate's draws in order: of its regions' digests, so that no list is longer than a region's sites."""
     line = F.concat_ws("\0", "climate_region", "source_site", "bootstrap_site", F.col("draw_index").cast("string"))
-    ordered = F.array_sort(F.collect_list(F.struct("climate_region", "draw_index", line.alias("line"))))
-    return drawn.groupBy("replicate").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), 256).alias("sha256"), F.count("*").alias("n_draws"))
+    ordered = F.array_sort(F.collect_list(F.struct("draw_index", line.alias("line"))))
+    regions = drawn.groupBy("replicate", "climate_region").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), 256).alias("of_region"), F.count("*").alias("n"))
+    both = F.array_sort(F.collect_list(F.struct("climate_region", "of_region")))
+    return regions.groupBy("replicate").agg(F.sha2(F.array_join(F.transform(both, lambda x: x["of_region"]), "\n"), 256).alias("sha256"), F.sum("n").alias("n_draws"))
 
 
 def materialised(drawn: DataFrame, rows: DataFrame) -> DataFrame:

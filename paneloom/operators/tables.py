@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame, name: str = "table") -> DataFrame:
-    """df by way of Parquet in spark.checkpoint.dir, or in a local folder where that is unset in a local session."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a local folder where that is unset in a session of one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.conf.get("spark.master", "").startswith("local"):
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = root or f"file://{tempfile.gettempdir()}"
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    return root or f"file://{tempfile.gettempdir()}"
+
+
+def kept(df: DataFrame, name: str = "table") -> DataFrame:
+    """df by way of Parquet in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

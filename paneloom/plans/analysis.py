@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paneloom.config import SAMPLE
+from paneloom.operators import attempts as T
 from paneloom.operators import bootstrap as B
 from paneloom.operators import compare as K
 from paneloom.operators import descriptive as D
@@ -12,7 +15,7 @@ from paneloom.operators import logistic as L
 from paneloom.operators import population as P
 from paneloom.operators import regression as R
 from paneloom.operators import replicates as N
-from paneloom.operators.tables import kept
+from paneloom.operators.tables import kept, shared_root
 from paneloom.plans import population as pop
 from paneloom.sources import adapters as A
 
@@ -282,6 +285,72 @@ def logit_bootstrap(spark, d):
     return B.intervals(R.replicate_components(means))
 
 
+def _folder(spark):
+    return f"{shared_root(spark)}/run-{uuid.uuid4().hex}"
+
+
+def _arithmetic(sites, which):
+    return B.arithmetic_draws(sites, max(which)).where(F.col("replicate").isin(list(which)))
+
+
+def resumed_bootstrap(spark, d):
+    """Twenty successful replicates of bootstrap_supported in batches of eight; the run stops after the first batch and goes on."""
+    rows = kept(R.model_frame(pop._fit_rows(spark, d)), "fit-rows")
+    sites = rows.select("climate_region", "site_id").distinct()
+    run = T.Run(_folder(spark), target=20, batch=8, most_attempts=40)
+
+    def body(drawn):
+        return N.refit(drawn, rows, "ozone_mda8_ppb", REPLICATE_DAYS, 0.0, 1.0, spline=False)
+
+    T.resumed(sites, run, _arithmetic, body, most_batches=1)
+    attempts = T.resumed(sites, run, _arithmetic, body)
+    done = attempts.where("success").count()
+    means = T.successes(spark, run) if done == run.target else body(_arithmetic(sites, [1]).limit(0))
+    return R.replicate_components(means).withColumn("value", F.round("value", 6))
+
+
+def _stored(spark, d, sites, replicates, make):
+    """A path with the primary stream's draws."""
+    path = _folder(spark)
+    T.store_draws(make(sites, range(1, replicates + 1)), path)
+    return path
+
+
+def paired_bootstrap(spark, d):
+    """Replicates of the primary fit and of the interrupted trend on the same stored draws, and how much they differ."""
+    primary, rows = _s1c_rows(spark, d)
+    sites = primary.select("climate_region", "site_id").distinct()
+    path = _stored(spark, d, sites, REPLICATES, _arithmetic)
+    first = N.refit(T.stored_draws(spark, path, sites), primary, "ozone_mda8_ppb", REPLICATE_DAYS, 0.0, 1.0, spline=False)
+    second = N.refit(T.paired_draws(path, "s1c", 20260715)(sites, range(1, REPLICATES + 1)), rows, "ozone_mda8_ppb", REPLICATE_DAYS, *ENDS, r="year_centred", spline=False, extra=True)
+    both = R.replicate_components(first).withColumnRenamed("value", "primary").join(R.replicate_components(second).withColumnRenamed("value", "interrupted"), ["replicate", "scope", "quantity"])
+    return both.select("replicate", "scope", "quantity", F.round("primary", 6).alias("primary"), F.round("interrupted", 6).alias("interrupted"), F.round(F.col("interrupted") - F.col("primary"), 5).alias("difference"))
+
+
+#: Replicates of each specification in paired_specifications.
+PAIRED = 200
+
+
+def paired_specifications(spark, d):
+    """Intervals of the spline fit, of fewer temperature columns, of the interrupted trend and of days without events, on the primary's stored draws."""
+    primary, rows = (kept(df, "specification-rows") for df in _s1c_rows(spark, d))
+    sites = primary.select("climate_region", "site_id").distinct()
+    path = _stored(spark, d, sites, PAIRED, T.own_draws(20260715))
+    drawn = T.stored_draws(spark, path, sites)
+    quiet = primary.where(F.coalesce(F.col("status_code") != "A", F.lit(True)))
+    fits = {
+        "primary": N.refit(drawn, primary, "ozone_mda8_ppb", REPLICATE_DAYS, 0.0, 1.0),
+        "three columns": N.refit(drawn, primary, "ozone_mda8_ppb", REPLICATE_DAYS, 0.0, 1.0, ranks=(1 / 3, 2 / 3)),
+        "interrupted": N.refit(drawn, rows, "ozone_mda8_ppb", REPLICATE_DAYS, *ENDS, r="year_centred", extra=True),
+        "without events": N.refit(drawn, quiet, "ozone_mda8_ppb", REPLICATE_DAYS, 0.0, 1.0),
+    }
+    out = None
+    for name, means in fits.items():
+        one = B.intervals(R.replicate_components(means)).drop("argmin").withColumn("specification", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def fit_reproducibility(spark, d):
     """Largest differences between two fits of the same rows in other partitions."""
     rows = R.model_frame(pop._fit_rows(spark, d))
@@ -446,7 +515,7 @@ QUERIES = {
     for f in (
         equal_site_exceedance, site_period_burden, row_weighted_vs_equal_site, site_patterns, group_diagnostics, fitted_deciles, lag1_correlation, fe_slope_by_region, abcd_linear, leverage_linear, leverage_regions, spline_leverage, spline_fit, spline_abcd,
         spline_3df, s1c_population, s1c_linear, s1c_endpoints, s1c_bootstrap, logit_exceedance, bootstrap_draws, bootstrap_draw_checksums, bootstrap_materialise, bootstrap_multiplicities, burden_bootstrap, bootstrap_intervals, bootstrap_interval_ranks, bootstrap_first_replicates,
-        bootstrap_decomposition, bootstrap_decomposition_intervals, spline_bootstrap, spline_bootstrap_rebuilt, logit_bootstrap, fit_reproducibility, sensitivity_comparison, continuous_vs_threshold,
+        bootstrap_decomposition, bootstrap_decomposition_intervals, spline_bootstrap, spline_bootstrap_rebuilt, logit_bootstrap, resumed_bootstrap, paired_bootstrap, paired_specifications, fit_reproducibility, sensitivity_comparison, continuous_vs_threshold,
     )
 }
 

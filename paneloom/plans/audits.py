@@ -324,6 +324,10 @@ vals AS (SELECT replicate, scope, 'temperature_component' AS quantity, ((B - A)
 
 
 ORACLES = {
+    "paired_bootstrap": f"""WITH p AS (WITH {SUPPORTED_SQL} SELECT * FROM vals), i AS (WITH {an.S1C_BOOT_SQL} SELECT * FROM vals)
+        SELECT replicate, scope, quantity, round(p.value, 6) AS "primary", round(i.value, 6) AS interrupted, round(i.value - p.value, 5) AS difference FROM p JOIN i USING (replicate, scope, quantity)""",
+    "resumed_bootstrap": f"""WITH {SUPPORTED_SQL}, good AS (SELECT replicate, row_number() OVER (ORDER BY replicate) AS k, count(*) OVER () AS n FROM outcomes GROUP BY 1 HAVING count(failure) = 0)
+        SELECT replicate, scope, quantity, round(value, 6) AS value FROM vals JOIN good USING (replicate) WHERE k <= 20 AND n >= 20""",
     "qualifier_rules": f"WITH {CODED_SQL} SELECT coalesce(reason, 'kept') AS reason, is_request, is_related, count(*) AS n_rows FROM coded GROUP BY 1, 2, 3",
     "candidate_populations": CANDIDATE_SQL,
     "field_inventory": INVENTORY_SQL,
