@@ -7,11 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paneloom.functions import columns as C
-from paneloom.operators.tables import kept, ranked
+from paneloom.operators.tables import kept
 
 DRAWS = "replicate int, climate_region string, source_site string, bootstrap_site string, draw_index int"
 
@@ -21,10 +21,14 @@ def replicate_seed(base: int, replicate: int, stream: str = "") -> int:
 
 
 def numbered(sites: DataFrame) -> DataFrame:
-    """Distinct sites with their place in the region's order of names, from 0, and n, the region's sites."""
-    ranks = ranked(sites.select("climate_region", "site_id").distinct(), "climate_region", "site_id", name="_rank")
-    regions = ranks.groupBy("climate_region").agg(F.min("_rank").alias("_first"), F.count("*").alias("n"))
-    return kept(ranks.join(regions, "climate_region").select("climate_region", "site_id", (F.col("_rank") - F.col("_first")).alias("place"), "n"), "numbered-sites")
+    """Distinct sites with their place in the region's order of names, from 0, and n, the region's sites.
+
+    A region's names pass one task in order; stations of a region are thousands, not rows.
+    """
+    distinct = sites.select("climate_region", "site_id").distinct()
+    region = Window.partitionBy("climate_region")
+    place = F.row_number().over(region.orderBy("site_id")).cast("long") - 1
+    return kept(distinct.select("climate_region", "site_id", place.alias("place"), F.count("*").over(region).alias("n")), "numbered-sites")
 
 
 def _drawn(each: DataFrame, own: DataFrame) -> DataFrame:

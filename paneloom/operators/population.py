@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from paneloom.config import PanelConfig
@@ -258,6 +258,27 @@ def gathered(numbered: DataFrame, places: DataFrame, *columns: str) -> DataFrame
     return found.withColumn("panel_row", checked).drop("_there")
 
 
+def fingerprint(*columns: str) -> list[Column]:
+    """Metrics of rows that neither their order nor their partitions change: how many, and two sums of their hashes."""
+    h = F.xxhash64(*columns)
+    return [F.count("*").alias("n_rows"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("hash_sum"), F.bit_xor(h).alias("hash_xor")]
+
+
+def watched(rows: DataFrame, *columns: str) -> tuple[DataFrame, Callable[[], dict]]:
+    """rows whose fingerprint is taken by the first job that reads them all, and a function that tells it then.
+
+    The fingerprint costs no pass of its own; the function waits for a job, so it comes after one.
+    """
+    seen = Observation()
+    return rows.observe(seen, *fingerprint(*columns)), lambda: dict(seen.get)
+
+
+def verified(facts: dict, stored: dict) -> None:
+    """An error if rows are not those whose facts were stored."""
+    if changed := sorted(k for k in {*facts, *stored} if facts.get(k) != stored.get(k)):
+        raise ValueError(f"the population is not the stored one: {', '.join(f'{k} is {facts.get(k)}, was {stored.get(k)}' for k in changed)}")
+
+
 def named_identity(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     """name and one SHA-256 of the rows' fingerprint under it."""
     found = identity(rows, *columns)

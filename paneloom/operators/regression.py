@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from paneloom.functions import columns as C
 from paneloom.functions import splines
-from paneloom.operators import vectors
+from paneloom.operators import population, vectors
 from paneloom.operators.tables import kept, quantiles
 
 def moments(rows: DataFrame, xs: Sequence[str], y: str, weight: str | None = None, keys: Sequence[str] = ("climate_region", "site_id")) -> DataFrame:
@@ -98,6 +98,14 @@ def region_fits(sites: DataFrame, p: int, *, max_condition: float = 1e10) -> Dat
     return vectors.met(vectors.partly_summed(each, ["climate_region"]), ["climate_region"], solve, REGION_FIT)
 
 
+def fit_verified(rows: DataFrame, xs: Sequence[str], y: str, columns: Sequence[str], stored: dict, **options) -> DataFrame:
+    """fit, which refuses rows whose fingerprint over columns (population.fingerprint) is not the stored one; both read the rows once."""
+    seen, facts = population.watched(rows, *columns)
+    found = fit(seen, xs, y, **options)
+    population.verified(facts(), stored)
+    return found
+
+
 def fit(rows: DataFrame, xs: Sequence[str], y: str, *, weight: str | None = None, max_condition: float = 1e10) -> DataFrame:
     """One row for each site, with its effect alpha and its region's coefficients beta.
 

@@ -81,6 +81,14 @@ def abcd_linear(spark, d):
     return _linear(spark, d)
 
 
+def verified_fit(spark, d):
+    """fe_slope_by_region, by a fit that takes the fingerprint of its rows as it reads them, against the one of a run before."""
+    columns = ["site_id", "date_local", "tmax_c", "ozone_mda8_ppb"]
+    stored = pop._fit_rows(spark, d).agg(*P.fingerprint(*columns)).first().asDict()
+    fits = R.fit_verified(pop._fit_rows(spark, d).repartition("date_local"), ["tmax_c"], "ozone_mda8_ppb", columns, stored)
+    return fits.select("climate_region", F.round(F.col("beta")[0], 8).alias("slope"), "n_sites", "n_rows").distinct()
+
+
 def _leverage(spark, d):
     """Leverage in the design of abcd_linear."""
     with_r, xs = R.Design("later", ("tmax_c",)).columns(R.model_frame(pop._fit_rows(spark, d)))
@@ -506,6 +514,10 @@ h AS (SELECT x.climate_region, site_id, 1 / n + (u * u * (bb * cc - bc * bc) + v
   FROM away x JOIN p_d ON p_d.climate_region = x.climate_region)"""
 
 
+SLOPE_SQL = f"""WITH {pop.BASE_SQL}, c AS (SELECT climate_region, site_id, ozone_mda8_ppb - avg(ozone_mda8_ppb) OVER (PARTITION BY site_id) AS y, tmax_c - avg(tmax_c) OVER (PARTITION BY site_id) AS x FROM fitrows)
+SELECT climate_region, round(regr_slope(y, x), 8) AS slope, count(DISTINCT site_id) AS n_sites, count(*) AS n_rows FROM c GROUP BY 1"""
+
+
 def _relation_sql(a: str, b: str) -> str:
     return f"CASE WHEN least(abs({a}), abs({b})) <= 1e-10 THEN 'effectively zero' WHEN sign({a}) = sign({b}) THEN 'reinforce' ELSE 'oppose' END"
 
@@ -513,7 +525,7 @@ def _relation_sql(a: str, b: str) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        equal_site_exceedance, site_period_burden, row_weighted_vs_equal_site, site_patterns, group_diagnostics, fitted_deciles, lag1_correlation, fe_slope_by_region, abcd_linear, leverage_linear, leverage_regions, spline_leverage, spline_fit, spline_abcd,
+        equal_site_exceedance, site_period_burden, row_weighted_vs_equal_site, site_patterns, group_diagnostics, fitted_deciles, lag1_correlation, fe_slope_by_region, verified_fit, abcd_linear, leverage_linear, leverage_regions, spline_leverage, spline_fit, spline_abcd,
         spline_3df, s1c_population, s1c_linear, s1c_endpoints, s1c_bootstrap, logit_exceedance, bootstrap_draws, bootstrap_draw_checksums, bootstrap_materialise, bootstrap_multiplicities, burden_bootstrap, bootstrap_intervals, bootstrap_interval_ranks, bootstrap_first_replicates,
         bootstrap_decomposition, bootstrap_decomposition_intervals, spline_bootstrap, spline_bootstrap_rebuilt, logit_bootstrap, resumed_bootstrap, paired_bootstrap, paired_specifications, fit_reproducibility, sensitivity_comparison, continuous_vs_threshold,
     )
@@ -533,8 +545,8 @@ ORACLES = {
         SELECT CAST(greatest(1, ceil(10 * (r - 1) / (n - 1))) AS INTEGER) AS decile, count(*) AS n_rows, min(site_mean) AS lo, max(site_mean) AS hi, round(avg(resid), 5) AS mean_resid FROM r GROUP BY 1""",
     "lag1_correlation": f"""WITH {RESID_SQL}, p AS (SELECT site_id, resid, lag(resid) OVER (PARTITION BY site_id ORDER BY date_local) AS b FROM resid)
         SELECT site_id, count(*) AS n, round(corr(resid, b), 6) AS lag1 FROM p WHERE b IS NOT NULL GROUP BY 1 HAVING count(*) > 2 AND stddev_samp(resid) > 0 AND stddev_samp(b) > 0""",
-    "fe_slope_by_region": f"""WITH {pop.BASE_SQL}, c AS (SELECT climate_region, site_id, ozone_mda8_ppb - avg(ozone_mda8_ppb) OVER (PARTITION BY site_id) AS y, tmax_c - avg(tmax_c) OVER (PARTITION BY site_id) AS x FROM fitrows)
-        SELECT climate_region, round(regr_slope(y, x), 8) AS slope, count(DISTINCT site_id) AS n_sites, count(*) AS n_rows FROM c GROUP BY 1""",
+    "fe_slope_by_region": SLOPE_SQL,
+    "verified_fit": SLOPE_SQL,
     "abcd_linear": f"WITH {pop.BASE_SQL}, {_linear_sql('fitrows', 'p_')} SELECT * FROM p_abcd",
     "s1c_population": f"WITH {S1C_SQL} SELECT climate_region, verdict, count(*) AS n_rows, count(DISTINCT site_id) AS n_sites FROM judged GROUP BY 1, 2",
     "s1c_linear": f"""WITH {S1C_SQL}, x AS (SELECT *, a * b AS c, 1 AS times FROM both_kinds), {_four_sql('x', 'p_', 'climate_region', *ENDS)}

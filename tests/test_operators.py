@@ -390,3 +390,20 @@ def test_tables_need_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="share"):
         tables.kept(Frame())
+
+
+def test_a_fit_refuses_another_population(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    frame = pd.DataFrame({"site_id": [f"s{i % 4}" for i in range(80)], "climate_region": "R", "x": rng.normal(size=80), "y": rng.normal(size=80)})
+    spark.createDataFrame(frame).write.parquet(f"{tmp_path}/p")
+    rows = spark.read.parquet(f"{tmp_path}/p")
+    stored = rows.agg(*population.fingerprint("site_id", "x", "y")).first().asDict()
+    assert stored["n_rows"] == 80
+    found = regression.fit_verified(rows.repartition(7), ["x"], "y", ["site_id", "x", "y"], stored)
+    assert found.first()["beta"] == pytest.approx(regression.fit(rows, ["x"], "y").first()["beta"])
+    for changed in (rows.withColumn("y", F.when((F.col("site_id") == "s1") & (F.col("x") > 1), 0.0).otherwise(F.col("y"))), rows.limit(79), rows.unionByName(rows.limit(1))):
+        with pytest.raises(ValueError, match="not the stored one"):
+            regression.fit_verified(changed, ["x"], "y", ["site_id", "x", "y"], stored)
+    seen, _ = population.watched(rows, "x")
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "CollectMetrics" in plan
