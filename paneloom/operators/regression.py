@@ -131,6 +131,25 @@ def fitted(rows: DataFrame, fits: DataFrame, xs: Sequence[str]) -> DataFrame:
     return rows.join(fits.select("site_id", "alpha", "beta"), "site_id").withColumn("fitted", value).drop("alpha", "beta")
 
 
+def region_factors(sites: DataFrame, p: int) -> dict[str, tuple[np.ndarray, int, int]]:
+    """For each region f with f f' the inverse of its centred products of p columns (site_sums), as far as they vary, its sites and rows."""
+    i, j = np.triu_indices(p + 1)
+    out = {}
+    each = sites.select("climate_region", F.concat(F.array(F.lit(1.0), F.col("n")), "within", F.transform("mean", lambda m: F.col("n") * m * m)).alias("v"))
+    for region, v in ((r["climate_region"], np.array(r["v"])) for r in vectors.met(vectors.partly_summed(each, ["climate_region"]), ["climate_region"]).collect()):
+        gram = np.zeros((p + 1, p + 1))
+        gram[i, j] = gram[j, i] = v[2 : 2 + len(i)]
+        between, own = v[2 + len(i) :][:p], np.diag(gram)[:p]
+        varies = np.flatnonzero(own > 1e-13 * between)
+        scale = np.sqrt(own[varies])
+        values, directions = np.linalg.eigh(gram[np.ix_(varies, varies)] / np.outer(scale, scale))
+        good = values > values.max(initial=0.0) * p * 1e-13
+        factor = np.zeros((p, good.sum()))
+        factor[varies] = directions[:, good] / np.sqrt(values[good]) / scale[:, None]
+        out[region] = factor, int(round(v[0])), int(round(v[1]))
+    return out
+
+
 def leverage(rows: DataFrame, xs: Sequence[str]) -> DataFrame:
     """rows with leverage in the regression on xs with site effects, and n_columns, their region's sites and rank.
 
@@ -141,20 +160,9 @@ def leverage(rows: DataFrame, xs: Sequence[str]) -> DataFrame:
     """
     p = len(xs)
     sites = kept(site_sums(rows.withColumn("_none", F.lit(0.0)), xs, "_none"), "site-sums")
-    i, j = np.triu_indices(p + 1)
-    factors, columns = {}, {}
-    sums = vectors.met(vectors.partly_summed(sites.select("climate_region", F.concat(F.array(F.lit(1.0)), "within", F.transform("mean", lambda m: F.col("n") * m * m)).alias("v")), ["climate_region"]), ["climate_region"])
-    for region, v in ((r["climate_region"], np.array(r["v"])) for r in sums.collect()):
-        gram = np.zeros((p + 1, p + 1))
-        gram[i, j] = gram[j, i] = v[1 : 1 + len(i)]
-        between, own = v[1 + len(i) :][:p], np.diag(gram)[:p]
-        varies = np.flatnonzero(own > 1e-13 * between)
-        scale = np.sqrt(own[varies])
-        values, directions = np.linalg.eigh(gram[np.ix_(varies, varies)] / np.outer(scale, scale))
-        good = values > values.max(initial=0.0) * p * 1e-13
-        factors[region] = np.zeros((p, good.sum()))
-        factors[region][varies] = directions[:, good] / np.sqrt(values[good]) / scale[:, None]
-        columns[region] = int(round(v[0])) + int(good.sum())
+    found = region_factors(sites, p)
+    factors = {region: f for region, (f, _, _) in found.items()}
+    columns = {region: n + f.shape[1] for region, (f, n, _) in found.items()}
     kept_columns = rows.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from paneloom.operators import bootstrap as B
 from paneloom.operators import descriptive as D
 from paneloom.operators import population as P
 from paneloom.operators import regression as R
+from paneloom.operators import separation as S
 from paneloom.plans import analysis as an
 from paneloom.plans import geography as geo
 from paneloom.plans import population as pop
@@ -128,6 +129,13 @@ def separation(spark, d):
     return U.separation(rows, "tmax_c", "exceeds")
 
 
+def separation_of_design(spark, d):
+    """Separation along any direction of the columns of abcd_linear."""
+    rows = R.model_frame(pop._fit_rows(spark, d)).withColumn("exceeds", (F.col("ozone_mda8_ppb") > 95).cast("int"))
+    with_r, xs = R.Design("later", ("tmax_c",)).columns(rows)
+    return S.separation(with_r, xs, "exceeds")
+
+
 def failure_rates(spark, d):
     """Orders as attempts: the priority tells what went wrong."""
     orders = A.table(spark, d, "orders")
@@ -282,7 +290,7 @@ res AS (SELECT *, round(ozone_mda8_ppb - fitted, 6) AS resid FROM fit)"""
 QUERIES = {
     f.__name__: f
     for f in (
-        qualifier_rules, candidate_populations, field_inventory, completeness, model_frame_checks, site_period_checks, draw_checks, interval_checks, design_size, separation, failure_rates, quantile_error,
+        qualifier_rules, candidate_populations, field_inventory, completeness, model_frame_checks, site_period_checks, draw_checks, interval_checks, design_size, separation, separation_of_design, failure_rates, quantile_error,
         percentage_contributions, fit_classes, region_diagnostics, bootstrap_supported, bootstrap_failures, population_audit, decomposition_descriptors, gathered_rows, descriptive_checks,
     )
 }
