@@ -120,9 +120,12 @@ class Trees:
         return self.model.transform(assembled).withColumn("score", vector_to_array("probability")[1])
 
 
-def fit(labelled: DataFrame, *, sample: int = SAMPLE, trees: int = 15, depth: int = 4, seed: int = 7) -> Trees:
+def fit(labelled: DataFrame, *, sample: int = SAMPLE, trees: int = 30, depth: int = 2, least: int = 20, step: float = 0.1, seed: int = 7) -> Trees:
     """Trees from lexical rows with label (1: blocked) and fold, at most sample of them; shares count all.
 
+    The trees are small, slow (step) and split no fewer than least rows off: a few rules
+    teach little about other hosts, and larger trees do worse there than no trees at all.
+
     Rows that repeat count as often as they are there; which rows the sample has does not
     depend on their order.
     """
@@ -131,7 +134,7 @@ def fit(labelled: DataFrame, *, sample: int = SAMPLE, trees: int = 15, depth: in
         return Trees(None, float(blocked or 0) / (n or 1))
     some = with_shares(least_hashed(labelled, sample, "url", "_row"), labelled, out_of_fold=True).select("label", *FEATURES)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="_features").transform(some)
-    return Trees(GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed).fit(rows), float(blocked) / n)
+    return Trees(GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, minInstancesPerNode=least, stepSize=step, seed=seed).fit(rows), float(blocked) / n)
 
 
 def prepared(pages: DataFrame, rules: list[Rule], names: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -159,9 +162,29 @@ def judged(pages: DataFrame, rules: list[Rule], **options) -> DataFrame:
     return found.withColumn("verdict", verdict).select(*[F.col("_row").getField(n).alias(n) for n in names], "host", "path", "rule", "verdict", "score")
 
 
-def held_out(pages: DataFrame, rules: list[Rule], *, fold: int = 0, **options) -> DataFrame:
-    """label and score of the labelled rows of one fold of hosts, with shares and trees from the other folds."""
+def held_out(pages: DataFrame, rules: list[Rule], **options) -> DataFrame:
+    """label, score and constant of all labelled rows, those of a fold of hosts with shares and trees from the other folds.
+
+    constant is the blocked share of the other folds, which a verdict without a method would go by.
+    """
     _, labelled = prepared(pages, rules, pages.columns)
-    taught = labelled.where(F.col("fold") != fold)
-    rows = with_shares(labelled.where(F.col("fold") == fold), taught)
-    return fit(taught, **options).scored(rows).select("url", "host", "label", "score")
+    out = None
+    for fold in range(FOLDS):
+        taught = labelled.where(F.col("fold") != fold)
+        trees = fit(taught, **options)
+        one = trees.scored(with_shares(labelled.where(F.col("fold") == fold), taught)).select("url", "host", "label", "score", F.lit(trees.share).alias("constant"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def judged_by_folds(found: DataFrame) -> DataFrame:
+    """One row: how often score and the constant are right at one half, and their mean logarithmic losses."""
+
+    def right(p: str) -> Column:
+        return F.avg(((F.col(p) >= 0.5) == (F.col("label") == 1)).cast("double"))
+
+    def loss(p: str) -> Column:
+        q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+        return F.avg(-F.when(F.col("label") == 1, F.log(q)).otherwise(F.log(1 - q)))
+
+    return found.agg(F.count("*").alias("n"), *[f(p).alias(f"{p}_{n}") for p in ("score", "constant") for n, f in (("accuracy", right), ("loss", loss))])

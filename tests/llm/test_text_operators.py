@@ -661,3 +661,52 @@ def test_texts_of_a_megabyte(spark):
 @pytest.mark.parametrize("operator", [suffix_dedup.remove_repeats, near_dedup.near_duplicates, quality_rules.judged, lambda d: language_id.identify(d, language_id.learn_profiles(d)), lambda d: packing.pack(d, tokenizer()), lambda d: class_lm.scored(d, class_lm.learn(d))])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_rules_are_the_paths_of_a_forest(spark):
+    """Rules against paths walked in the forest's printed form: which nodes a row passes is which rules it fires."""
+    import re
+
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = np.random.default_rng(4)
+    names = quality_classifier.STATISTICS
+    frame = rng.normal(size=(120, len(names))).round(1)
+    rows = spark.createDataFrame([(float(r[0] + r[1] > 0), *map(float, r)) for r in frame], ", ".join(["label double", *[f"`{n}` double" for n in names]]))
+    features = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=3, maxDepth=3, seed=1).fit(features)
+    rules = quality_classifier.rules_of(forest)
+    paths = set()
+    for text in re.split(r"Tree \d+ \(weight \S+\):\n", forest.toDebugString)[1:]:
+        stack: list[tuple[int, tuple]] = []
+        for line in text.splitlines():
+            depth = len(line) - len(line.lstrip())
+            stack = [s for s in stack if s[0] < depth]
+            if m := re.match(r"\s*(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", line):
+                stack.append((depth, (int(m[1]), m[2], float(m[3]))))
+                paths.add(tuple(s[1] for s in stack))
+    assert paths
+    fired = rows.select(*[r.column().alias(f"r{i}") for i, r in enumerate(rules)]).toPandas().to_numpy()
+
+    def passes(x, path):
+        return all(x[f] <= t if sign == "<=" else x[f] > t for f, sign, t in path)
+
+    by_hand = {tuple(float(passes(x, p)) for x in frame) for p in paths}
+    assert {tuple(c) for c in fired.T} == by_hand and len(rules) <= len(paths)
+
+
+def test_weights_meet_the_conditions_of_the_lasso(spark):
+    """At the optimum the mean slope of a rule is lasso times the sign of its weight, and no more than lasso without one."""
+    rng = np.random.default_rng(5)
+    names = quality_classifier.STATISTICS
+    frame = rng.normal(size=(300, len(names))).round(1)
+    y = (frame[:, 0] - frame[:, 2] + 0.7 * rng.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([(i, int(k), *map(float, r)) for i, (k, r) in enumerate(zip(y, frame, strict=True))], ", ".join(["doc_id long, label int", *[f"`{n}` double" for n in names]]))
+    ensemble = quality_classifier.fit(rows, trees=4, lasso=0.02)
+    assert ensemble.weights
+    found = rows.select("label", ensemble.score().alias("p"), *[r.column().alias(f"r{i}") for i, r in enumerate(ensemble.weights)]).toPandas()
+    off = found["p"] - found["label"]
+    assert abs(off.mean()) < 1e-3
+    for i, w in enumerate(ensemble.weights.values()):
+        assert (off * found[f"r{i}"]).mean() == pytest.approx(-0.02 * np.sign(w), abs=2e-3)
