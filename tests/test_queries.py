@@ -11,7 +11,7 @@ QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 #: Queries on rows with common support, of which the smallest tables have none.
 LARGER = "/root/testdata/sf0.01"
 FITS = {
-    "abcd_linear", "s1c_population", "s1c_linear", "s1c_bootstrap", "leverage_linear", "leverage_regions", "fe_slope_by_region", "bootstrap_decomposition", "bootstrap_supported", "sensitivity_comparison", "region_diagnostics", "paired_bootstrap", "resumed_bootstrap",
+    "abcd_linear", "s1c_population", "s1c_linear", "s1c_bootstrap", "leverage_linear", "leverage_regions", "fe_slope_by_region", "bootstrap_decomposition", "bootstrap_supported", "sensitivity_comparison", "region_diagnostics", "paired_bootstrap", "resumed_bootstrap", "fit_classes", "verified_fit",
 }
 
 
