@@ -23,7 +23,7 @@ def write_panel(panel: DataFrame, path: str, *, files: int = 8) -> None:
 
 
 def write_once(path: str | Path, payload: dict) -> None:
-    """JSON with sorted keys by way of a temporary file; a different content under the name is an error."""
+    """JSON with sorted keys by way of a temporary file on the driver's own disk; a different content under the name is an error."""
     path = Path(path)
     text = json.dumps(payload, sort_keys=True, indent=1) + "\n"
     if path.exists():
@@ -39,6 +39,7 @@ def write_once(path: str | Path, payload: dict) -> None:
 
 
 def append_line(path: str | Path, record: dict) -> None:
+    """Adds a line of JSON to a file on the driver's own disk."""
     with open(path, "a") as out:
         out.write(json.dumps(record, sort_keys=True) + "\n")
         out.flush()
