@@ -33,6 +33,8 @@ FIRST = 500
 HEAD = 100_000
 #: Distinct words, or numbers, that a task holds at a time.
 HELD, PAIRS = 400_000, 4_000_000
+#: Pairs of a word and a class beside it that a task holds before they are merged or told.
+KEYS = 2_000_000
 #: Rounds end when one adds less than this share of the first classes' likelihood.
 GAIN = 0.01
 #: What stands for the class of a word outside the head.
@@ -396,6 +398,33 @@ def other_words(rows: DataFrame, symbols: Symbols, of: np.ndarray, table: np.nda
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(head, pa.binary())
+        rare: dict[bytes, int] = {}
+        rare_class = np.zeros(0, np.int32)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            """Held keys, each once; they come in sorted runs, which a stable sort merges."""
+            keys, n = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            return keys[starts], np.add.reduceat(n[order], starts)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            nonlocal rare_class
+            keys, n = merged()
+            which, slot = np.divmod(keys, wide)
+            starts = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+            counts = np.diff(np.append(starts, len(keys)))
+            ids = which[starts]
+            old = np.append(of[of_head], rare_class[: len(rare)]).astype(np.int32)
+            yield pa.record_batch({
+                "word": pa.concat_arrays([names, pa.array(rare.keys(), pa.binary())]).take(pa.array(ids)), "code": np.where(ids < len(head), ids, -1).astype(np.int32), "old": old[ids],
+                "slots": binaries(slot.astype(np.uint8), counts), "ns": binaries(n.astype("<i4"), counts),
+            })
+            rare.clear()
+            held.clear()
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -406,23 +435,24 @@ def other_words(rows: DataFrame, symbols: Symbols, of: np.ndarray, table: np.nda
                 continue
             cls = of[symbol]
             known = pc.dictionary_encode(batch.column(2).flatten())
+            ids = np.fromiter((rare.setdefault(w, len(rare)) for w in known.dictionary.to_pylist()), np.int64, len(known.dictionary))[known.indices.to_numpy()]
+            rare_class = np.append(rare_class, np.zeros(max(len(rare) - len(rare_class), 0), np.int32))
+            rare_class[ids] = of[some.of_words]
             word = some.codes.copy()
-            word[some.rare] = len(head) + known.indices.to_numpy()[some.places]
+            word[some.rare] = len(head) + ids[some.places]
             before, after = some.before(cls), np.append(cls[1:], 0) + moves.classes
             inside = np.ones(len(cls), bool)
             inside[some.ends] = False
             inside = inside[at]
-            keys, n = np.unique(np.concatenate((word[at] * wide + before[at], word[at][inside] * wide + after[at][inside])), return_counts=True)
-            which, slot = np.divmod(keys, wide)
-            starts = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-            counts = np.diff(np.append(starts, len(keys)))
-            ids = which[starts]
-            old = np.zeros(len(head) + len(known.dictionary), np.int32)
-            old[word[at]] = cls[at]
-            yield pa.record_batch({
-                "word": pa.concat_arrays([names, known.dictionary]).take(pa.array(ids)), "code": np.where(ids < len(head), ids, -1).astype(np.int32), "old": old[ids],
-                "slots": binaries(slot.astype(np.uint8), counts), "ns": binaries(n.astype("<i4"), counts),
-            })
+            held.append(np.unique(np.concatenate((word[at] * wide + before[at], word[at][inside] * wide + after[at][inside])), return_counts=True))
+            if sum(len(h[0]) for h in held) > KEYS:
+                held[:] = [merged()]
+                if len(held[0][0]) > KEYS // 2:
+                    yield from told()
+            if held and len(rare) > HELD:
+                yield from told()
+        if held:
+            yield from told()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -456,7 +456,7 @@ def test_class_lm(spark, texts, head, core):
     assert model.steps == sorted(model.steps) or model.steps[-1] >= model.steps[0]
 
 
-def test_neighbours_and_moves_by_hand(spark, texts):
+def test_neighbours_and_moves_by_hand(spark, texts, monkeypatch):
     """Counted neighbours of symbols, and each word's best class, against plain sums."""
     docs = frame(spark, texts)
     n, v, symbols, head_counts = class_lm.counted(docs, 60, 30, 5)
@@ -515,6 +515,17 @@ def test_neighbours_and_moves_by_hand(spark, texts):
         g = gains(after, before, int(of[symbols.symbol(word)]))
         assert g[r["class"]] == pytest.approx(g.max())
     assert new[0] == 0 and (new > 0)[1:].all()
+    # The same of short batches whose words are merged, or told, at once.
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        for keys, held in ((1, 400_000), (400, 400_000), (10**6, 1)):
+            monkeypatch.setattr(class_lm, "KEYS", keys)
+            monkeypatch.setattr(class_lm, "HELD", held)
+            assert sorted(map(tuple, class_lm.other_words(rows, symbols, of, table).collect())) == sorted(map(tuple, words_))
+    finally:
+        spark.conf.set(key, before)
 
 
 def test_rare_words_are_classed_by_their_neighbours(spark):
