@@ -34,6 +34,15 @@ def exceedance(burden: DataFrame) -> DataFrame:
     )
 
 
+def in_order(report: DataFrame, *then: str, place: str = "place") -> DataFrame:
+    """A report's rows with their place in it, from 0: the nation first, then scopes by name, in each by further columns.
+
+    Rows that tie in all of these have places in no set order; a null scope comes after the nation.
+    """
+    regional = ~F.col("scope").eqNullSafe(F.lit(NATIONAL))
+    return ranked(report.withColumn("_regional", regional), "_regional", "scope", *then, name=place).drop("_regional")
+
+
 def changes(shares: DataFrame) -> DataFrame:
     """Later minus early, in percentage points."""
 

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -71,3 +72,26 @@ def quantiles(rows: DataFrame, column: str, ranks: Sequence[float], *keys: str,
     found = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *ends)
     q = F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (place - F.floor(place)) for i, place in enumerate(places)])
     return found.where("_total is not null").select(*keys, q.alias("q"))
+
+
+def _exact(kind: T.DataType) -> bool:
+    """Whether values of a type have one text in every engine."""
+    if isinstance(kind, T.ArrayType):
+        return _exact(kind.elementType)
+    return isinstance(kind, (T.IntegralType, T.StringType, T.BooleanType))
+
+
+def recorded(rows: DataFrame, *columns: str, record: str = "record", digest: str = "sha256") -> DataFrame:
+    """rows with columns as canonical JSON, and its SHA-256 in lower-case hex.
+
+    Keys are in order of their code points, nothing stands between the parts, nulls stay,
+    and characters outside ASCII are as they are. Whole numbers, texts, truth values and
+    lists of them have one text; other types, such as doubles, are an error, so round
+    or cast them first. Without columns all are taken. Columns of the two names are replaced.
+    """
+    columns = columns or tuple(c for c in rows.columns if c not in (record, digest))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    if bad := [c for c in columns if not _exact(kinds[c])]:
+        raise TypeError(f"columns {bad} have no single text")
+    text = F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+    return rows.withColumn(record, text).withColumn(digest, F.sha2(F.col(record), 256))

@@ -15,7 +15,7 @@ from paneloom.operators import logistic as L
 from paneloom.operators import population as P
 from paneloom.operators import regression as R
 from paneloom.operators import replicates as N
-from paneloom.operators.tables import kept, shared_root
+from paneloom.operators.tables import kept, recorded, shared_root
 from paneloom.plans import population as pop
 from paneloom.sources import adapters as A
 
@@ -32,6 +32,12 @@ def equal_site_exceedance(spark, d):
     return D.exceedance(_burden(spark, d)).select("scope", "period", "n_sites", "equal_site_share", "row_weighted_share")
 
 
+def burden_records(spark, d):
+    """Exceedances of the nation and then of regions, each as canonical JSON with its digest."""
+    counts = D.exceedance(_burden(spark, d)).select("scope", "period", "n_sites", "n_elevated", "n_valid")
+    return D.in_order(recorded(counts), "period").select("place", "scope", "period", "record", "sha256")
+
+
 def site_period_burden(spark, d):
     return D.site_periods(pop._base(spark, d), SAMPLE.threshold).withColumn("share", F.round("share", 9))
 
@@ -525,7 +531,7 @@ def _relation_sql(a: str, b: str) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        equal_site_exceedance, site_period_burden, row_weighted_vs_equal_site, site_patterns, group_diagnostics, fitted_deciles, lag1_correlation, fe_slope_by_region, verified_fit, abcd_linear, leverage_linear, leverage_regions, spline_leverage, spline_fit, spline_abcd,
+        equal_site_exceedance, burden_records, site_period_burden, row_weighted_vs_equal_site, site_patterns, group_diagnostics, fitted_deciles, lag1_correlation, fe_slope_by_region, verified_fit, abcd_linear, leverage_linear, leverage_regions, spline_leverage, spline_fit, spline_abcd,
         spline_3df, s1c_population, s1c_linear, s1c_endpoints, s1c_bootstrap, logit_exceedance, bootstrap_draws, bootstrap_draw_checksums, bootstrap_materialise, bootstrap_multiplicities, burden_bootstrap, bootstrap_intervals, bootstrap_interval_ranks, bootstrap_first_replicates,
         bootstrap_decomposition, bootstrap_decomposition_intervals, spline_bootstrap, spline_bootstrap_rebuilt, logit_bootstrap, resumed_bootstrap, paired_bootstrap, paired_specifications, fit_reproducibility, sensitivity_comparison, continuous_vs_threshold,
     )
@@ -533,6 +539,9 @@ QUERIES = {
 
 ORACLES = {
     "equal_site_exceedance": f"WITH {BURDEN_SQL} SELECT scope, period, n_sites, round(equal_site_share, 9) AS equal_site_share, round(row_weighted_share, 9) AS row_weighted_share FROM shares",
+    "burden_records": f"""WITH {BURDEN_SQL}, c AS (SELECT scope, period, count(*) AS n_sites, CAST(sum(n_elevated) AS BIGINT) AS n_elevated, CAST(sum(n_valid) AS BIGINT) AS n_valid FROM scoped GROUP BY 1, 2),
+        j AS (SELECT *, CAST(json_object('n_elevated', n_elevated, 'n_sites', n_sites, 'n_valid', n_valid, 'period', period, 'scope', scope) AS VARCHAR) AS record FROM c)
+        SELECT row_number() OVER (ORDER BY scope <> 'national', scope, period) - 1 AS place, scope, period, record, sha256(record) AS sha256 FROM j""",
     "site_period_burden": f"WITH {BURDEN_SQL} SELECT site_id, climate_region, period, n_elevated, n_valid, round(share, 9) AS share FROM site_periods",
     "row_weighted_vs_equal_site": f"WITH {BURDEN_SQL} SELECT * FROM point_changes",
     "site_patterns": f"""WITH {BURDEN_SQL}, s AS (SELECT site_id, climate_region, max(period = 'early' AND n_elevated > 0) AS e, max(period = 'later' AND n_elevated > 0) AS l FROM burden GROUP BY 1, 2),
