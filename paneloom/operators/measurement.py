@@ -83,6 +83,33 @@ def daily_windows(hours: DataFrame, site: str, cfg: PanelConfig) -> DataFrame:
     return days.select(site, F.col("day").alias("date_local"), "n_hours", n.cast("long").alias("valid_windows"), F.when(n >= cfg.min_windows, F.array_max("windows")).alias("mda8"))
 
 
+def hour_checks(hours: DataFrame, keys: list[str], cfg: PanelConfig) -> DataFrame:
+    """How far each target day of keys has exactly its 24 hours, whatever their values, and finite ones.
+
+    missing and repeated list relative hours in order; rows whose hour is null or not of a
+    day count in n_unknown, on their own date. verdict is the first of: unknown hour,
+    repeated hour, not finite, missing hour, exact. A null value is an hour without one, not
+    a missing hour. Rows of an hour are counted first, so a day gathers at most 25.
+    """
+    known = F.coalesce(F.col("local_hour").between(0, 23), F.lit(False))
+    day = F.when(known, C.target_day(F.col("date_local"), F.col("local_hour"), cfg.first_hour)).otherwise(F.col("date_local"))
+    rel = F.when(known, C.relative_hour(F.col("local_hour"), cfg.first_hour).cast("int"))
+    strange = F.col("ppb").isNotNull() & (F.isnan("ppb") | (F.abs("ppb") == float("inf")))
+    by_hour = hours.select(*keys, day.alias("_day"), rel.alias("_rel"), strange.alias("_strange")).groupBy(*keys, "_day", "_rel").agg(F.count("*").alias("_n"), F.count_if("_strange").alias("_strange"))
+    days = by_hour.groupBy(*keys, F.col("_day").alias("date_local")).agg(
+        F.sum("_n").alias("n_rows"),
+        F.array_except(F.sequence(F.lit(cfg.first_hour), F.lit(cfg.first_hour + 23)), F.collect_list("_rel")).alias("missing"),
+        F.sort_array(F.collect_list(F.when((F.col("_n") > 1) & F.col("_rel").isNotNull(), F.col("_rel")))).alias("repeated"),
+        F.coalesce(F.sum(F.when(F.col("_rel").isNull(), F.col("_n"))), F.lit(0)).alias("n_unknown"),
+        F.sum("_strange").alias("n_not_finite"),
+    )
+    verdict = (
+        F.when(F.col("n_unknown") > 0, "unknown hour").when(F.size("repeated") > 0, "repeated hour").when(F.col("n_not_finite") > 0, "not finite")
+        .when(F.size("missing") > 0, "missing hour").otherwise("exact")
+    )
+    return days.withColumn("verdict", verdict)
+
+
 def day_spine(days: DataFrame, site: str) -> DataFrame:
     """Every day between a site's first and last, with what is known of it."""
     span = days.groupBy(site).agg(F.min("date_local").alias("lo"), F.max("date_local").alias("hi"))

@@ -66,6 +66,12 @@ def daily_mda8(spark, d):
     return _windows(spark, d)
 
 
+def target_day_hours(spark, d):
+    """Which days of a monitor have exactly the hours that windows need."""
+    found = M.hour_checks(A.hourly(spark, d), ["site", "poc"], SAMPLE)
+    return found.select("site", "poc", "date_local", "n_rows", F.size("missing").cast("long").alias("n_missing"), F.size("repeated").cast("long").alias("n_repeated"), "verdict")
+
+
 def mda8_failed_days(spark, d):
     found = M.day_spine(_windows(spark, d), "site")
     return found.where("mda8 is null").select("site", "date_local", F.coalesce("n_hours", F.lit(0)).alias("n_hours"), F.coalesce("valid_windows", F.lit(0)).alias("valid_windows"))
@@ -117,7 +123,7 @@ resolved AS (
 
 QUERIES = {
     f.__name__: f
-    for f in (classify_ledger, clean_rows, poc_resolution, poc_ledger_by_site, primary_first_substitution, duplicate_multiplicity, daily_mda8, mda8_failed_days, daily_pocs_list, daily_reconciliation, first_hour_of_year)
+    for f in (classify_ledger, clean_rows, poc_resolution, poc_ledger_by_site, primary_first_substitution, duplicate_multiplicity, daily_mda8, target_day_hours, mda8_failed_days, daily_pocs_list, daily_reconciliation, first_hour_of_year)
 }
 
 ORACLES = {
@@ -130,6 +136,10 @@ ORACLES = {
     "primary_first_substitution": f"WITH {WINDOWS_SQL} SELECT site, date_local, local_hour, round(ppb, 6) AS ppb, from_primary FROM hours",
     "duplicate_multiplicity": f"WITH {A.HOURLY_SQL} SELECT m AS multiplicity, count(*) AS n_keys FROM (SELECT count(*) AS m FROM hourly GROUP BY site, date_local, local_hour, poc) GROUP BY 1",
     "daily_mda8": f"WITH {WINDOWS_SQL} SELECT site, date_local, n_hours, valid_windows, mda8 FROM days",
+    "target_day_hours": f"""WITH {A.HOURLY_SQL},
+        r AS (SELECT site, poc, CAST(date_local - CASE WHEN local_hour < 7 THEN 1 ELSE 0 END AS DATE) AS date_local, (local_hour + 17) % 24 + 7 AS rel, count(*) AS n FROM hourly GROUP BY 1, 2, 3, 4)
+        SELECT site, poc, date_local, CAST(sum(n) AS BIGINT) AS n_rows, 24 - count(*) AS n_missing, count(*) FILTER (n > 1) AS n_repeated,
+          CASE WHEN max(n) > 1 THEN 'repeated hour' WHEN count(*) < 24 THEN 'missing hour' ELSE 'exact' END AS verdict FROM r GROUP BY 1, 2, 3""",
     "mda8_failed_days": f"""WITH {WINDOWS_SQL}, spine AS (SELECT site, CAST(unnest(generate_series(min(date_local), max(date_local), INTERVAL 1 DAY)) AS DATE) AS date_local FROM days GROUP BY 1)
         SELECT s.site, s.date_local, coalesce(n_hours, 0) AS n_hours, coalesce(valid_windows, 0) AS valid_windows FROM spine s LEFT JOIN days d ON s.site = d.site AND s.date_local = d.date_local WHERE mda8 IS NULL""",
     "daily_pocs_list": f"WITH {WINDOWS_SQL} SELECT site, date_local, array_to_string(list_sort(list_distinct(flatten(list(pocs)))), ',') AS pocs FROM hours GROUP BY 1, 2",
