@@ -14,6 +14,7 @@ a common prefix of length bytes with it.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -33,10 +34,15 @@ PLACE_BITS = 25
 COLLECTION = 8_000
 #: Starts in a block of a passage with a very frequent fingerprint.
 BLOCK = 64
+#: Bytes that stand for a word where passages are counted in words.
+CODE = 2
 
 SPANS = "array<struct<start: long, end: long>>"
 
 _PLACES = np.uint64((1 << PLACE_BITS) - 1)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IN_WORD = np.array([not _SPACE.match(bytes([b])) for b in range(256)])
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -180,31 +186,16 @@ def whole_characters(raw: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000, min_words: int = 0, characters: bool = False) -> DataFrame:
-    """docs with n_bytes, spans (array of start, end) and kept (the remaining bytes).
-
-    A byte goes if a string of length bytes that covers it starts anywhere else too, in
-    the same text or another; overlaps count, and strings are judged on the input. A null
-    text is empty. Rows that repeat, ids included, are texts of their own. Texts shorter
-    than length keep all bytes. Columns named n_bytes, spans or kept are replaced.
+def repeated_spans(keyed: DataFrame, length: int, hot: int) -> DataFrame:
+    """_k1, _k2 and the starts and ends, ascending, of what repeats in the texts beside these keys.
 
-    With min_words, maximal runs of fewer words, parts of words at either end included,
-    stay. With characters, a character that a run's end splits goes with the run, so that
-    what is left of UTF-8 text is UTF-8.
-
-    A fingerprint with more than hot anchors does not go to one task. Its passages are cut
-    into blocks of BLOCK starts, which meet by a hash of what all strings of a block have
-    in common, so that only strings nearly equal still meet. If more than hot of those do,
-    each string goes by a 128-bit hash of its own, counted in part before the shuffle.
+    Spans of a text may meet or overlap. Texts without any are left out.
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     if length > 1000:
         raise ValueError("length must be at most 1000: a place in a passage has ten bits")
-    docs, named = waiting(docs, "doc_id", "text")
-    names = docs.columns
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", "doc_id", F.lit(7)).alias("_k2"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -213,19 +204,21 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000, mi
                 k1, k2 = (batch.column(k).to_numpy()[row] for k in (0, 1))
                 yield pa.record_batch({"print": prints, "k1": k1, "k2": k2, "place": (place << 20) | ((place - first) << 10) | (place - last)})
 
-    long_enough = F.octet_length("text") >= length
-    found = written(keyed.where(long_enough).select("_k1", "_k2", text.alias("text")).mapInArrow(find, "print long, k1 long, k2 long, place long"), "anchors")
+    found = written(keyed.where(F.octet_length("text") >= length).select("_k1", "_k2", text.alias("text")).mapInArrow(find, "print long, k1 long, k2 long, place long"), "anchors")
     # As a table it joins the anchors of a very frequent fingerprint in parts.
     repeated = written(found.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), "repeated-anchors")
-    placed = (
+    # As a table it leaves the shuffles of all anchors behind before texts move.
+    placed = written(
         found.join(repeated.select("print", (F.col("n") > hot).alias("hot")), "print")
         .groupBy("k1", "k2")
         .agg(F.collect_set(F.struct("print", "place", "hot")).alias("places"))
         .withColumns({"prints": F.col("places.print"), "at": F.col("places.place"), "is_hot": F.col("places.hot")})
-        .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "prints", "at", "is_hot")
+        .select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "prints", "at", "is_hot"),
+        "placed-anchors",
     )
-    # Both joins shuffle the same columns by the same keys, so Spark moves the texts once.
-    beside = keyed.join(placed, ["_k1", "_k2"]).withColumn("text", text).select("_k1", "_k2", "text", "prints", "at", "is_hot", *[n for n in names if n != "text"])
+    # All columns, as the caller's join takes them: equal shuffles by equal keys move the texts once.
+    beside = keyed.join(placed, ["_k1", "_k2"])
+    beside = beside.select("_k1", "_k2", text.alias("text"), "prints", "at", "is_hot", *[c for c in keyed.columns if c not in ("_k1", "_k2", "text")])
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Equal passages of a batch go out once, with all their places."""
@@ -253,7 +246,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000, mi
                 }
             )
 
-    out = written(beside.mapInArrow(passages, "digest binary, print long, before long, passage binary, owners binary"), "passages")
+    # Cut twice from the moved texts, which takes less disk than a table of passages.
+    out = beside.mapInArrow(passages, "digest binary, print long, before long, passage binary, owners binary")
     # Distinct passages are sorted without their owners, however many these are.
     distinct = out.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("print", "before", "passage")], (F.sum(F.octet_length("owners")) > 24).alias("copied"))
     crowded = None
@@ -319,8 +313,108 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000, mi
         twice = one.groupBy("string").agg(F.sum(F.octet_length("owners")).alias("n")).where("n > 24").drop("n")
         spans = spans.unionByName(one.join(twice, "string").select("s", "owners").mapInArrow(alone, "k1 long, k2 long, start long, end long"))
     spans = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
-    spans = spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("found.start").alias("starts"), F.col("found.end").alias("ends"))
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"n_bytes long, spans {SPANS}, kept binary").fields])
+    return spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("found.start").alias("starts"), F.col("found.end").alias("ends"))
+
+
+def between_words(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """(text, bytes) in lists worked on at a time; long texts are cut at white space."""
+    some, size = [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at <= len(text):
+            space = _SPACE.search(text, at + SEGMENT)
+            end = space.start() if space else len(text)
+            some.append((i, text[at:end]))
+            at, size = end + 1, size + end - at
+            if size >= TOGETHER:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+def word_codes(texts: list[bytes]) -> list[bytes]:
+    """CODE bytes for each word of a text, by the word's hash; only a code's first byte is under 128."""
+    coded: list[list[bytes]] = [[] for _ in texts]
+    for some in between_words(texts):
+        raw = b" ".join((b"", *(p for _, p in some), bytes(8)))
+        inside = _IN_WORD[np.frombuffer(raw, np.uint8)[:-8]]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        first, sizes = edges[::2], edges[1::2] - edges[::2]
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        h = sizes.astype(np.uint64)
+        long = np.flatnonzero(sizes > 64)
+        rest = np.flatnonzero(sizes <= 64)
+        for k in range(0, 64, 8):  # eight bytes of all words that have them
+            mixed = (h[rest] ^ (eight[first[rest] + k] & _MASKS[np.minimum(sizes[rest] - k, 8)])) * np.uint64(0x9E3779B97F4A7C15)
+            h[rest] = mixed ^ (mixed >> np.uint64(32))
+            rest = rest[sizes[rest] > k + 8]
+            if not len(rest):
+                break
+        for w in long:
+            h[w] = int.from_bytes(hashlib.blake2b(raw[first[w] : first[w] + sizes[w]], digest_size=8).digest(), "little")
+        h *= np.uint64(0x94D049BB133111EB)
+        codes = np.stack([(h >> np.uint64(57 - 7 * k)).astype(np.uint8) & 127 | (128 if k else 0) for k in range(CODE)], axis=1).tobytes()
+        upto = CODE * np.searchsorted(first, np.cumsum([len(p) + 1 for _, p in some]))
+        for (i, _), start, end in zip(some, (0, *upto[:-1]), upto, strict=True):
+            coded[i].append(codes[start:end])
+    return [b"".join(c) for c in coded]
+
+
+def repeated_passages(keyed: DataFrame, over: int, hot: int) -> DataFrame:
+    """_k1, _k2, n_passages and n_passage_words of the texts beside these keys; texts without passages are left out.
+
+    A passage is a maximal run of words in strings of over + 1 words that start elsewhere
+    too, whatever white space parts the words. Texts become strings of word codes, in which
+    the same search finds them; words with one code, 7 * CODE bits of a hash, count as equal.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(word_codes(batch.column(2).to_pylist()), pa.binary())], names=["_k1", "_k2", "text"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            k1, k2, starts, ends = (batch.column(k).to_pylist() for k in range(4))
+            # parts of codes at either end are not words
+            words = [[e // CODE + -s // CODE for s, e in united(zip(*x, strict=True))] for x in zip(starts, ends, strict=True)]
+            words = [[n for n in x if n > over] for x in words]
+            yield pa.record_batch({"_k1": pa.array(k1, pa.int64()), "_k2": pa.array(k2, pa.int64()), "n_passages": pa.array([len(x) for x in words], pa.int64()), "n_passage_words": pa.array([sum(x) for x in words], pa.int64())})
+
+    text = F.col("text").cast("binary")
+    coded = keyed.where(F.octet_length("text") > 2 * over).select("_k1", "_k2", text.alias("text")).mapInArrow(encode, "_k1 long, _k2 long, text binary")
+    found = repeated_spans(coded, CODE * (over + 1), hot).mapInArrow(count, "_k1 long, _k2 long, n_passages long, n_passage_words long")
+    return written(found.where("n_passages > 0"), "word-passages")
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000, min_words: int = 0, characters: bool = False, passages_over: int | None = None) -> DataFrame:
+    """docs with n_bytes, spans (array of start, end) and kept (the remaining bytes).
+
+    A byte goes if a string of length bytes that covers it starts anywhere else too, in
+    the same text or another; overlaps count, and strings are judged on the input. A null
+    text is empty. Rows that repeat, ids included, are texts of their own. Texts shorter
+    than length keep all bytes. Columns named n_bytes, spans or kept are replaced.
+
+    With min_words, maximal runs of fewer words, parts of words at either end included,
+    stay. With characters, a character that a run's end splits goes with the run, so that
+    what is left of UTF-8 text is UTF-8.
+
+    With passages_over, n_passages and n_passage_words tell of passages of more words than
+    that which repeat, however few bytes they have, see repeated_passages. They stay in kept.
+
+    A fingerprint with more than hot anchors does not go to one task. Its passages are cut
+    into blocks of BLOCK starts, which meet by a hash of what all strings of a block have
+    in common, so that only strings nearly equal still meet. If more than hot of those do,
+    each string goes by a 128-bit hash of its own, counted in part before the shuffle.
+    """
+    docs, named = waiting(docs, "doc_id", "text")
+    names = docs.columns
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", "doc_id", F.lit(7)).alias("_k2"))
+    counts = ["n_passages", "n_passage_words"] if passages_over is not None else []
+    passages = repeated_passages(keyed, passages_over, hot) if counts else None
+    spans = repeated_spans(keyed, length, hot)
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(", ".join([f"n_bytes long, spans {SPANS}, kept binary", *(f"{c} long" for c in counts)])).fields])
     spans_arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,6 +431,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, hot: int = 100_000, mi
                 all_spans.append([{"start": s, "end": e} for s, e in merged])
             columns = [batch.column(i) for i in range(len(names))]
             columns += [pa.array([len(r) for r in raws], pa.int64()), pa.array(all_spans, spans_arrow), pa.array(kept, pa.binary())]
-            yield pa.record_batch(columns, names=[*names, "n_bytes", "spans", "kept"])
+            columns += [batch.column(len(names) + 3 + i) for i in range(len(counts))]
+            yield pa.record_batch(columns, names=[*names, "n_bytes", "spans", "kept", *counts])
 
-    return named(keyed.join(spans, ["_k1", "_k2"], "left").select(*names, text.alias("_raw"), "starts", "ends").mapInArrow(merge, schema))
+    found = keyed.join(spans, ["_k1", "_k2"], "left")
+    if counts:
+        found = found.join(passages, ["_k1", "_k2"], "left")
+    return named(found.select(*names, text.alias("_raw"), "starts", "ends", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts]).mapInArrow(merge, schema))

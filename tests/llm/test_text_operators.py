@@ -101,6 +101,37 @@ def test_short_runs_stay_and_characters_go_whole(spark):
     assert [len(runs[i]) for i in range(len(docs))] == [0, 0, 1, 1, 1, 1, 1] and [len(got[i]["spans"]) for i in range(len(docs))] == [0, 0, 1, 1, 0, 0, 1]
 
 
+def passages_by_hand(docs, over):
+    """(passages, words in them) of each text."""
+    split = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in docs]
+    seen = Counter(tuple(w[i : i + over + 1]) for w in split for i in range(len(w) - over))
+    found = []
+    for w in split:
+        gone = bytearray(len(w))
+        for i in range(len(w) - over):
+            if seen[tuple(w[i : i + over + 1])] > 1:
+                gone[i : i + over + 1] = b"\1" * (over + 1)
+        found.append((sum(len(r) > 0 for r in gone.split(b"\0")), sum(gone)))
+    return found
+
+
+@pytest.mark.parametrize(("over", "hot"), [(50, 100_000), (20, 100_000), (40, 3)])
+def test_repeated_passages_of_words(spark, texts, over, hot):
+    """Passages of few bytes are counted, and stay in what is left."""
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(900)]
+    at_50, at_51 = words(rng, 50, pool), words(rng, 51, pool)
+    docs = [*texts, *(" \n".join([*words(rng, 30, pool), *p, *words(rng, 30, pool)]) for p in (at_50, at_50, at_51, at_51)), " ".join(at_51)]
+    docs += [t.replace(" ", "\t ") for t in docs[-2:]]
+    got = suffix_dedup.remove_repeats(frame(spark, docs, [(7, docs[-1], None, None, 0)] * 2), length=400, hot=hot, passages_over=over).collect()
+    expected = passages_by_hand([*docs, docs[-1], docs[-1]], over)
+    keys = [*(None if i == 11 else i for i in range(len(docs))), 7, 7]
+    assert ids(got, "n_passages", "n_passage_words") == sorted((k is None, k or 0, *v) for k, v in zip(keys, expected, strict=True))
+    if over == 50:
+        one = next(r for r in got if r["doc_id"] == len(texts) + 2)
+        assert (one["n_passages"], one["n_passage_words"], one["spans"]) == (1, 51, []) and not expected[len(texts)][0]
+
+
 def test_repeats_in_a_very_long_text(spark):
     """Repeats inside and across the pieces that a text over 4 MiB is worked on in."""
     rng = np.random.default_rng(9)
