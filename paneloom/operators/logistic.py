@@ -21,9 +21,9 @@ def expit(x: Column) -> Column:
 
 
 def varying_sites(rows: DataFrame, y: str) -> DataFrame:
-    """Rows of sites whose outcome is not always the same: others have no finite effect."""
-    sites = rows.groupBy("site_id").agg(F.min(y).alias("lo"), F.max(y).alias("hi")).where("lo < hi").select("site_id")
-    return rows.join(sites, "site_id", "left_semi")
+    """Rows of sites whose outcome is not always the same: others have no finite effect. A site of several regions is one in each."""
+    sites = rows.groupBy("climate_region", "site_id").agg(F.min(y).alias("lo"), F.max(y).alias("hi")).where("lo < hi").select("climate_region", "site_id")
+    return rows.join(sites, ["climate_region", "site_id"], "left_semi")
 
 
 def fit(rows: DataFrame, xs: Sequence[str], y: str, *, rounds: int = 25, tolerance: float = 1e-8, limit: float = 30.0) -> DataFrame:
@@ -40,20 +40,20 @@ def fit(rows: DataFrame, xs: Sequence[str], y: str, *, rounds: int = 25, toleran
     for _ in range(rounds):
         eta, at = F.lit(0.0), rows
         if fits is not None:
-            at = rows.join(fits.select("site_id", "alpha", "beta"), "site_id")
+            at = rows.join(fits.select("climate_region", "site_id", "alpha", "beta"), ["climate_region", "site_id"])
             eta = F.col("alpha")
             for i, x in enumerate(xs):
                 eta = eta + F.col("beta")[i] * F.col(x)
         p = expit(eta)
         w = F.greatest(p * (1 - p), F.lit(1e-12))
-        new = kept(R.fit(at.withColumns({"_w": w, "_z": eta + (F.col(y) - p) / w}), xs, "_z", weight="_w"), "logit")
+        new = kept(R.fit(at.withColumns({"_w": w, "_z": eta + (F.col(y) - p) / w}), xs, "_z", weight="_w", apart=True), "logit")
         largest = new.agg(F.max(F.greatest(F.abs("alpha"), F.array_max(F.transform("beta", lambda b: F.abs(b)))))).first()[0]
         if largest is not None and largest > limit:
             raise ValueError(f"separated outcome: an effect of {largest:.3g}")
         if fits is not None:
-            old = fits.select("site_id", F.col("alpha").alias("a0"), F.col("beta").alias("b0"))
+            old = fits.select("climate_region", "site_id", F.col("alpha").alias("a0"), F.col("beta").alias("b0"))
             step = F.greatest(F.abs(F.col("alpha") - F.col("a0")), F.array_max(F.zip_with("beta", "b0", lambda b, o: F.abs(b - o))))
-            if (new.join(old, "site_id").agg(F.max(step)).first()[0] or 0.0) < tolerance:
+            if (new.join(old, ["climate_region", "site_id"]).agg(F.max(step)).first()[0] or 0.0) < tolerance:
                 return new
         fits = new
     raise ValueError(f"no convergence in {rounds} rounds")
@@ -73,7 +73,7 @@ def site_means(rows: DataFrame, fits: DataFrame, design: R.Design, r0: float, r1
         sites = sites.join(days.groupBy("site_id").agg(F.collect_list("s").alias("days")), "site_id")
     else:
         sites = sites.withColumn("days", F.array(F.array().cast("array<double>")))
-    joined = sites.join(fits.select("site_id", "alpha", "beta"), "site_id").select("climate_region", "site_id", "alpha", "beta", "c.period", "c.n", "c.t", "days")
+    joined = sites.join(fits.select(*R.site_keys(fits), "alpha", "beta"), R.site_keys(fits)).select("climate_region", "site_id", "alpha", "beta", "c.period", "c.n", "c.t", "days")
     skipped = len(design.extra)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
